@@ -1,0 +1,34 @@
+"""Small planning helpers: size-checked broadcast, plan size estimates."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Sides at most this large (optimizer estimate) may be broadcast.
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of a plan (file sizes scaled by projection)."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes()))
+    except Exception:  # pragma: no cover - Connect sessions have no _jdf
+        return None
+
+
+def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Hint broadcast only when the estimated size is under ``limit_bytes``.
+
+    Beyond the limit the side is left to the planner (shuffle hash or
+    sort-merge join, with AQE able to switch at runtime).
+    """
+    size = estimated_bytes(df)
+    if size is not None and size <= limit_bytes:
+        return F.broadcast(df)
+    return df
+
+
+def one_row(df: DataFrame) -> DataFrame:
+    """Broadcast a global (ungrouped) aggregate: exactly one row by construction."""
+    return F.broadcast(df)
