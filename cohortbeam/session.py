@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     # Image rows are large: keep Arrow batches small when Python sees them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.python.worker.reuse": "true",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
