@@ -1,7 +1,7 @@
 """Array/map column functions: score maps, pixel scaling, normalisation."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = ["scores_to_map", "pixel_scale", "samplewise_norm", "rescale_255", "array_mean"]
@@ -26,19 +26,27 @@ def array_mean(px: Column | str) -> Column:
     return F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double")) / F.size(a)
 
 
-def samplewise_norm(df: DataFrame, px: str, out: str, eps: float = 1e-6) -> DataFrame:
+def samplewise_norm(px: Column | str, eps: float = 1e-6) -> Column:
     """Per-sample centring and scaling: (x - mean) / (std + eps), population std.
 
-    Mean and std are computed once per row into helper columns (two passes
-    over the array), then used by one element-wise transform.
+    Nested ``aggregate`` calls pass the row's sum/count and sum of squares
+    to the inner lambdas as lambda variables, so each statistic is computed
+    once per row (O(n)); a plain column reference to a mean would be inlined
+    by the optimizer into the element lambda and recomputed per element.
     """
-    a = F.col(px)
-    stats = df.withColumn("_sw_mean", array_mean(a))
-    ss = F.aggregate(a, F.lit(0.0).cast("double"),
-                     lambda acc, x: acc + (x.cast("double") - F.col("_sw_mean")) * (x.cast("double") - F.col("_sw_mean")))
-    stats = stats.withColumn("_sw_std", F.sqrt(ss / F.size(a)))
-    return (stats.withColumn(out, F.transform(a, lambda x: (x.cast("double") - F.col("_sw_mean")) / (F.col("_sw_std") + eps)))
-                 .drop("_sw_mean", "_sw_std"))
+    a = _c(px)
+    zero = F.lit(0.0).cast("double")
+    init = F.struct(zero.alias("s"), F.lit(0).cast("long").alias("n"))
+
+    def finish(acc):
+        mean = acc["s"] / acc["n"]
+        return F.aggregate(
+            a, zero, lambda ss, x: ss + (x.cast("double") - mean) * (x.cast("double") - mean),
+            lambda ss: F.transform(a, lambda x: (x.cast("double") - acc["s"] / acc["n"])
+                                   / (F.sqrt(ss / acc["n"]) + eps)))
+
+    return F.aggregate(a, init, lambda acc, x: F.struct((acc["s"] + x.cast("double")).alias("s"),
+                                                        (acc["n"] + 1).alias("n")), finish)
 
 
 def rescale_255(px: Column | str) -> Column:

@@ -13,6 +13,15 @@ def _w(i: str, k: str) -> str:
     return f"(CAST((({i})*7 + ({k})*5) % 13 - 6 AS DOUBLE) / 10.0)"
 
 
+def linear_sql(k: str, emb: str = "e.embedding", meta: list[str] | None = None) -> str:
+    """sigmoid(sum_i x_i * w(i, k)) over the embedding (i = 1..64) followed by
+    optional float32 metadata features (i = 65..)."""
+    z = f"list_sum(list_transform({emb}, lambda v, i: CAST(v AS DOUBLE) * {_w('i', k)}))"
+    for j, m in enumerate(meta or []):
+        z += f" + CAST(CAST({m} AS FLOAT) AS DOUBLE) * {_w(str(65 + j), k)}"
+    return f"(1.0 / (1.0 + exp(-({z}))))"
+
+
 _label_cols = ",\n  ".join(
     f"CAST((event_id + {k}) % {k + 11} = 0 AS INTEGER) AS {name}" for k, name in enumerate(LABELS))
 _label_any = " + ".join(f"CAST((event_id + {k}) % {k + 11} = 0 AS INTEGER)" for k in range(len(LABELS)))
@@ -50,8 +59,9 @@ SELECT p_partkey AS idx,
   CASE p_size % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'm' WHEN 3 THEN 'f' WHEN 4 THEN 'X' END AS gender,
   CASE p_type WHEN 'ECONOMY' THEN 'AP' WHEN 'LARGE' THEN 'PA' WHEN 'MEDIUM' THEN 'ap' WHEN 'PROMO' THEN 'pa'
               WHEN 'SMALL' THEN 'LL' WHEN 'STANDARD' THEN 'AP' END AS view,
-  CASE WHEN p_partkey % 17 = 0 THEN 'junk'
-       WHEN p_partkey % 3 = 0 THEN 'JPEG' ELSE 'PNG' END AS fmt
+  CASE WHEN p_partkey % 17 = 0 THEN encode(p_name)
+       WHEN p_partkey % 3 = 0 THEN unhex('FFD8FFE0') || encode(p_name)
+       ELSE unhex('89504E470D0A1A0A') || encode(p_name) END AS content
 FROM part"""),
     "folders": ([], """
 SELECT p_partkey AS idx,
@@ -68,9 +78,7 @@ FROM folders f, (VALUES ('original.png', 7), ('gradcam_Mass.png', 5), ('metadata
                         ('predictions.json', 13)) AS n(file_name, m)
 WHERE f.idx % n.m <> 0"""),
     "scores": ([], f"""
-SELECT e.vec_id, k.k, 1.0 / (1.0 + exp(-(
-    SELECT sum(CAST(x.v AS DOUBLE) * {_w('x.i', 'k.k')})
-    FROM (SELECT unnest(e.embedding) AS v, generate_subscripts(e.embedding, 1) AS i) x))) AS score
+SELECT e.vec_id, k.k, {linear_sql('k.k')} AS score
 FROM embeddings e, range(0, 14) AS k(k)"""),
     "truth": ([], """
 SELECT vec_id, k.k, CAST(label = k.k AS INTEGER) AS truth FROM embeddings, range(0, 14) AS k(k)"""),

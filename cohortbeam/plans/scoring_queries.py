@@ -1 +1,348 @@
-"""placeholder"""
+"""Scoring, ranking, formatting, validation and upload queries."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..constants import LABELS
+from ..functions import arrays as arr
+from ..functions import features as feat
+from ..functions import text as tx
+from ..operators import ranking as rk
+from ..operators import scoring as sc
+from ..operators import validate as va
+from ..session import scratch_path
+from .catalog import query
+from .oracle_views import linear_sql, sql
+
+_LBL = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
+
+
+def _emb(spark, d):
+    return fx.table(spark, d, "embeddings")
+
+
+def _long_scores(df, key="vec_id", col="scores"):
+    names = F.array(*[F.lit(x) for x in LABELS])
+    z = df.select(key, F.posexplode(F.arrays_zip(names.alias("n"), F.col(col).alias("s"))).alias("k", "z"))
+    return z.select(key, F.col("z.n").alias("label"), F.round("z.s", 6).alias("score"))
+
+
+SCORE_LONG_SQL = sql(["scores", "label_names"], """
+SELECT s.vec_id, n.name AS label, round(s.score, 6) AS score FROM scores s JOIN label_names n ON n.k = s.k""")
+
+
+@query("score_table", SCORE_LONG_SQL, bench=True)
+def q_score_table(spark, d):
+    """Caller-supplied model over the embedding table, 32-row Arrow batches."""
+    scorer = sc.batch_scorer(sc.linear_model_factory(64), [[64]])
+    return _long_scores(sc.score(_emb(spark, d), scorer, ["embedding"]))
+
+
+@query("sink_scored", SCORE_LONG_SQL)
+def q_sink_scored(spark, d):
+    """Scored table written as Parquet (overwrite) and read back."""
+    scorer = sc.batch_scorer(sc.linear_model_factory(64), [[64]])
+    scored = sc.score(_emb(spark, d), scorer, ["embedding"]).select("vec_id", "scores")
+    out = scratch_path(spark, "sink_scored", d.strip("/").replace("/", "_"))
+    scored.write.mode("overwrite").parquet(out)
+    return _long_scores(spark.read.parquet(out))
+
+
+@query("score_errors", sql(["scores"], """
+SELECT vec_id, CASE WHEN vec_id % 37 = 0 THEN 'ValueError: non-finite input' END AS error,
+       CASE WHEN vec_id % 37 = 0 THEN NULL ELSE round(sum(score), 6) END AS score_sum
+FROM scores GROUP BY vec_id"""))
+def q_score_errors(spark, d):
+    """Rows with a corrupt (non-finite) input fail alone; their batch
+    neighbours are scored."""
+    e = _emb(spark, d)
+    poisoned = e.withColumn("embedding", F.when(
+        F.col("vec_id") % 37 == 0, F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x))
+    ).otherwise(F.col("embedding")))
+    scorer = sc.batch_scorer(sc.linear_model_factory(64), [[64]], capture_errors=True)
+    s = sc.score(poisoned, scorer, ["embedding"], capture_errors=True)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return s.select("vec_id", "error", F.round(total, 6).alias("score_sum"))
+
+
+def _meta_cols():
+    return {
+        "age_norm": feat.serve_age_norm((F.col("vec_id") % 120).cast("int")),
+        "sex_bin": (F.col("vec_id") % 2).cast("double"),
+        "view_AP": (F.col("label") % 2).cast("double"),
+        "view_PA": (1 - F.col("label") % 2).cast("double"),
+    }
+
+
+META_SQL = ["least(greatest(CAST(vec_id % 120 AS DOUBLE), 0.0), 100.0) / 100.0", "CAST(vec_id % 2 AS DOUBLE)",
+            "CAST(label % 2 AS DOUBLE)", "CAST(1 - label % 2 AS DOUBLE)"]
+
+
+@query("fuse_features", sql(["label_names"], f"""
+SELECT e.vec_id, n.name AS label, round({linear_sql('n.k', meta=[f'e.{m}' for m in ['m0', 'm1', 'm2', 'm3']])}, 6) AS score
+FROM (SELECT *, {', '.join(f'{m} AS m{j}' for j, m in enumerate(META_SQL))} FROM embeddings) e, label_names n"""))
+def q_fuse_features(spark, d):
+    """Image vector and metadata vector as two model inputs (late fusion)."""
+    e = _emb(spark, d).withColumns(_meta_cols()).withColumn("meta", feat.feature_vector())
+    scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]])
+    return _long_scores(sc.score(e, scorer, ["embedding", "meta"]))
+
+
+@query("union_batches", SCORE_LONG_SQL)
+def q_union_batches(spark, d):
+    """Three separately scored batches stacked by column name."""
+    e = _emb(spark, d)
+    scorer = sc.batch_scorer(sc.linear_model_factory(64), [[64]])
+    parts = [sc.score(e.where(F.col("vec_id") % 3 == r), scorer, ["embedding"]) for r in range(3)]
+    return _long_scores(rk.union_batches(parts))
+
+
+# ------------------------------------------------------------------ ranking
+def _tied_map(spark, d):
+    w = fx.scores_wide(spark, d)
+    tied = F.transform("scores", lambda s: F.round(s, 1))
+    return w.select("vec_id", tied.alias("scores")).withColumn("pred", sc.predictions_map(F.col("scores")))
+
+
+TIED_LONG = ("t", """SELECT s.vec_id, s.k, n.name AS label, CAST(round(s.score, 1) AS FLOAT) AS prob
+  FROM scores s JOIN label_names n ON n.k = s.k""")
+RANKED = ("r", """SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, k ASC) AS rank FROM t""")
+
+
+@query("topk_predictions", sql(["scores", "label_names"],
+       "SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(CAST(prob AS DOUBLE), 6) AS prob FROM r WHERE rank <= 3",
+       [TIED_LONG, RANKED]))
+def q_topk_predictions(spark, d):
+    r = rk.ranked(_tied_map(spark, d), "pred", k=3, keep=["vec_id"])
+    return r.withColumn("prob", F.round(F.col("prob").cast("double"), 6))
+
+
+@query("ranked_predictions", sql(["scores", "label_names"],
+       "SELECT vec_id, CAST(rank AS INTEGER) AS rank, label, round(CAST(prob AS DOUBLE), 6) AS prob FROM r",
+       [TIED_LONG, RANKED]))
+def q_ranked_predictions(spark, d):
+    r = rk.ranked(_tied_map(spark, d), "pred", keep=["vec_id"])
+    return r.withColumn("prob", F.round(F.col("prob").cast("double"), 6))
+
+
+@query("top_prediction", sql(["scores", "label_names"], "SELECT vec_id, label FROM r WHERE rank = 1", [TIED_LONG, RANKED]))
+def q_top_prediction(spark, d):
+    return _tied_map(spark, d).select("vec_id", rk.top_prediction(F.col("pred")).alias("label"))
+
+
+@query("topk_indices", sql(["scores", "label_names"], """
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(k AS INTEGER) AS class_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, k DESC) AS rank FROM t) WHERE rank <= 3""",
+       [TIED_LONG]))
+def q_topk_indices(spark, d):
+    t = _tied_map(spark, d).select("vec_id", rk.top_indices(F.transform("scores", lambda s: s.cast("float")), 3).alias("idx"))
+    x = t.select("vec_id", F.posexplode("idx").alias("pos", "class_idx"))
+    return x.select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("class_idx").cast("int").alias("class_idx"))
+
+
+# --------------------------------------------------------------- formatting
+@query("format_predictions", sql(["scores", "label_names"], """
+SELECT vec_id, string_agg(printf('%-25s %6.2f%% %s', label, round(p * 100.0, 2), repeat('█', CAST(floor(p * 20) AS INTEGER))),
+                          chr(10) ORDER BY p DESC, k) AS text,
+       printf('%.1f', round(max(p) * 100.0, 1)) AS top_pct
+FROM (SELECT s.vec_id, s.k, n.name AS label, CAST(CAST(s.score AS FLOAT) AS DOUBLE) AS p
+      FROM scores s JOIN label_names n ON n.k = s.k) GROUP BY vec_id"""))
+def q_format_predictions(spark, d):
+    w = fx.scores_wide(spark, d).withColumn("pred", sc.predictions_map(F.col("scores")))
+    ent = rk.sorted_entries(F.col("pred"))
+    lines = F.transform(ent, lambda e: tx.bar_line(e["key"], e["value"].cast("double")))
+    top = F.element_at(ent, 1)["value"].cast("double")
+    return w.select("vec_id", F.array_join(lines, "\n").alias("text"), tx.percent_text(top).alias("top_pct"))
+
+
+@query("risk_band", sql(["scores", "label_names"], """
+SELECT s.vec_id, n.name AS label, printf('%.1f', round(CAST(CAST(s.score AS FLOAT) AS DOUBLE) * 100.0, 1)) AS pct,
+  CASE WHEN round(CAST(CAST(s.score AS FLOAT) AS DOUBLE) * 100.0, 1) >= 50.0 THEN 'high'
+       WHEN round(CAST(CAST(s.score AS FLOAT) AS DOUBLE) * 100.0, 1) >= 25.0 THEN 'medium' ELSE 'low' END AS band
+FROM scores s JOIN label_names n ON n.k = s.k"""))
+def q_risk_band(spark, d):
+    w = fx.scores_wide(spark, d).withColumn("pred", sc.predictions_map(F.col("scores")))
+    x = w.select("vec_id", F.explode("pred").alias("label", "p"))
+    p = F.col("p").cast("double")
+    return x.select("vec_id", "label", tx.percent_text(p).alias("pct"), tx.risk_band(p).alias("band"))
+
+
+@query("scores_to_map", sql(["scores", "label_names"], """
+SELECT s.vec_id, n.name AS label, round(CAST(CAST(s.score AS FLOAT) AS DOUBLE), 6) AS score
+FROM scores s JOIN label_names n ON n.k = s.k"""))
+def q_scores_to_map(spark, d):
+    w = fx.scores_wide(spark, d).withColumn("pred", arr.scores_to_map(LABELS, F.transform("scores", lambda s: s.cast("float"))))
+    x = w.select("vec_id", F.explode("pred").alias("label", "score"))
+    return x.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+_flag_list = ", ".join(f"CASE WHEN {n} = 1 THEN '{n}' END" for n in LABELS)
+
+
+@query("label_list", sql(["label_matrix"], f"""
+SELECT idx, CASE WHEN s = '' THEN 'No Label' ELSE s END AS labels_text
+FROM (SELECT idx, array_to_string(list_filter([{_flag_list}], lambda x: x IS NOT NULL), '|') AS s FROM label_matrix)"""))
+def q_label_list(spark, d):
+    lm = fx.label_matrix(spark, d)
+    return lm.select("idx", tx.label_list({n: n for n in LABELS}).alias("labels_text"))
+
+
+# ---------------------------------------------------------------- pixels
+def _long_arr(df, col, key="vec_id"):
+    x = df.select(key, F.posexplode(col).alias("pos", "value"))
+    return x.select(key, "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+EMB_LONG = ("el", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(v AS DOUBLE) AS v FROM "
+                  "(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+
+
+@query("pixel_scale", sql([], "SELECT vec_id, pos, round(v / 127.5 - 1.0, 6) AS value FROM el", [EMB_LONG]))
+def q_pixel_scale(spark, d):
+    return _long_arr(_emb(spark, d).select("vec_id", arr.pixel_scale("embedding").alias("px")), "px")
+
+
+@query("samplewise_norm", sql([], """
+SELECT el.vec_id, el.pos, round((el.v - st.m) / (st.s + 1e-6), 6) AS value FROM el
+JOIN (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS s FROM el GROUP BY vec_id) st ON st.vec_id = el.vec_id""", [EMB_LONG]))
+def q_samplewise_norm(spark, d):
+    return _long_arr(_emb(spark, d).select("vec_id", arr.samplewise_norm("embedding").alias("px")), "px")
+
+
+@query("rescale_255", sql([], """
+SELECT x.vec_id, x.pos, round(CASE WHEN mx.m <= 1.0 THEN x.v * 255.0 ELSE x.v END, 6) AS value
+FROM (SELECT vec_id, pos, CAST(CAST(v * ((vec_id % 4 + 1) * 2) AS FLOAT) AS DOUBLE) AS v FROM el) x
+JOIN (SELECT vec_id, max(CAST(CAST(v * ((vec_id % 4 + 1) * 2) AS FLOAT) AS DOUBLE)) AS m FROM el GROUP BY vec_id) mx
+  ON mx.vec_id = x.vec_id""", [EMB_LONG]))
+def q_rescale_255(spark, d):
+    e = _emb(spark, d)
+    scaled = F.transform("embedding", lambda x: (x.cast("double") * ((F.col("vec_id") % 4 + 1) * 2)).cast("float"))
+    return _long_arr(e.select("vec_id", arr.rescale_255(scaled).alias("px")), "px")
+
+
+# ------------------------------------------------------- uploads & validation
+@query("serve_features", sql(["uploads"], """
+SELECT idx, least(greatest(CAST(age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
+  CASE WHEN upper(gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
+  CASE WHEN upper(view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
+  CASE WHEN upper(view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA FROM uploads"""))
+def q_serve_features(spark, d):
+    u = fx.uploads(spark, d)
+    ap, pa = feat.serve_view_onehot("view")
+    return u.select("idx", feat.serve_age_norm("age").alias("age_norm"), feat.serve_sex_bin("gender").alias("sex_bin"),
+                    ap.alias("view_AP"), pa.alias("view_PA"))
+
+
+VALIDATE_CTE = ("v", """SELECT idx, list_filter([
+    CASE WHEN age < 0 OR age > 150 THEN 'Invalid age: ' || CAST(age AS VARCHAR) || '. Must be between 0 and 150.' END,
+    CASE WHEN upper(gender) NOT IN ('M', 'F') THEN 'Invalid gender: ' || gender || '. Must be ''M'' or ''F''.' END,
+    CASE WHEN upper(view) NOT IN ('AP', 'PA') THEN 'Invalid view: ' || view || '. Must be ''AP'' or ''PA''.' END,
+    CASE WHEN starts_with(hex(content), '89504E470D0A1A0A') OR starts_with(hex(content), 'FFD8FF') THEN NULL
+         ELSE 'Could not read image: cannot identify image file' END], lambda x: x IS NOT NULL) AS errs
+  FROM uploads""")
+
+
+@query("validate_rows", sql(["uploads"], """
+SELECT idx, len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors FROM v""", [VALIDATE_CTE]))
+def q_validate_rows(spark, d):
+    v = va.validate(fx.uploads(spark, d))
+    return v.select("idx", "valid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("rejected_rows", sql(["uploads"], "SELECT idx, CAST(len(errs) AS INTEGER) AS n_errors FROM v WHERE len(errs) > 0",
+                            [VALIDATE_CTE]))
+def q_rejected_rows(spark, d):
+    _, bad = va.split_valid(va.validate(fx.uploads(spark, d)))
+    return bad.select("idx", F.size("errors").alias("n_errors"))
+
+
+UPLOAD_FORM = ("form", """SELECT idx, CASE WHEN idx % 7 = 0 THEN NULL WHEN idx % 19 = 0 THEN CAST(age AS VARCHAR) || '.5'
+    ELSE CAST(age AS VARCHAR) END AS age, CASE WHEN idx % 11 = 0 THEN NULL ELSE gender END AS gender,
+    CASE WHEN idx % 13 = 0 THEN '' ELSE view END AS view FROM uploads""")
+
+
+def _upload_form(spark, d):
+    u = fx.uploads(spark, d)
+    return u.select("idx",
+                    F.when(F.col("idx") % 7 == 0, F.lit(None).cast("string"))
+                     .when(F.col("idx") % 19 == 0, F.concat(F.col("age").cast("string"), F.lit(".5")))
+                     .otherwise(F.col("age").cast("string")).alias("age"),
+                    F.when(F.col("idx") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
+                    F.when(F.col("idx") % 13 == 0, F.lit("")).otherwise(F.col("view")).alias("view"))
+
+
+@query("upload_defaults", sql(["uploads"], """
+SELECT idx, (a IS NULL OR a = '' OR regexp_matches(a, '^\\s*[+-]?[0-9]+\\s*$')) AS age_ok,
+  CASE WHEN a IS NULL OR a = '' THEN 50 WHEN regexp_matches(a, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(a AS INTEGER) END AS age,
+  upper(coalesce(nullif(trim(gender), ''), 'M')) AS gender, upper(coalesce(nullif(trim(view), ''), 'PA')) AS view
+FROM (SELECT idx, trim(age) AS a, gender, view FROM form)""", [UPLOAD_FORM]))
+def q_upload_defaults(spark, d):
+    return feat.upload_defaults(_upload_form(spark, d)).select("idx", "age_ok", "age", "gender", "view")
+
+
+@query("upload_parse", sql([], """
+SELECT event_id AS idx, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
+WHERE event_id % 19 <> 0 AND event_id % 23 <> 0"""))
+def q_upload_parse(spark, d):
+    """Per-row patient JSON + bytes; rows lacking either are dropped."""
+    u = fx.upload_json(spark, d)
+    ok = u.where(F.col("patient_json").isNotNull() & F.col("content").isNotNull())
+    return ok.select("idx", F.from_json("patient_json", "k int").alias("p")).select("idx", "p.k")
+
+
+@query("default_features", sql([], """
+SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id % 100 AS DOUBLE) / 100.0 ELSE 0.5 END AS age_norm,
+       0.0 AS sex_bin, 0.0 AS view_AP, 1.0 AS view_PA FROM embeddings"""))
+def q_default_features(spark, d):
+    """Images without metadata get the default feature values; a partly
+    present column is coalesced."""
+    e = _emb(spark, d).select("vec_id", F.when(F.col("vec_id") % 2 == 0, (F.col("vec_id") % 100) / 100.0).alias("age_norm"))
+    return feat.default_features(e).select("vec_id", "age_norm", "sex_bin", "view_AP", "view_PA")
+
+
+@query("base64_content", sql(["uploads"], "SELECT idx, base64(content) AS b64 FROM uploads"))
+def q_base64_content(spark, d):
+    return fx.uploads(spark, d).select("idx", F.base64("content").alias("b64"))
+
+
+@query("sanitize_name", sql(["uploads"], """
+SELECT idx, name, coalesce(nullif(upper(left(regexp_replace(name, '[^a-zA-Z]', '', 'g'), 1))
+       || lower(substr(regexp_replace(name, '[^a-zA-Z]', '', 'g'), 2)), ''), 'Unknown') AS clean FROM uploads"""))
+def q_sanitize_name(spark, d):
+    return fx.uploads(spark, d).select("idx", "name", tx.sanitize_name("name").alias("clean"))
+
+
+@query("folder_name", sql(["uploads"], """
+SELECT idx, coalesce(nullif(upper(left(regexp_replace(name, '[^a-zA-Z]', '', 'g'), 1))
+       || lower(substr(regexp_replace(name, '[^a-zA-Z]', '', 'g'), 2)), ''), 'Unknown') || '20260209' AS folder_name FROM uploads"""))
+def q_folder_name(spark, d):
+    return fx.uploads(spark, d).select("idx", tx.folder_key("name", F.lit("2026-02-09").cast("date")).alias("folder_name"))
+
+
+FNAME = ("fn", """SELECT idx, CASE WHEN idx % 9 = 0 THEN regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.png$', '')
+    ELSE regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.png$', '') ||
+         (['.png', '.JPG', '.jpeg', '.gif', '.tar.PNG'])[idx % 5 + 1] END AS fname FROM paths""")
+
+
+def _fnames(spark, d):
+    p = fx.paths(spark, d)
+    st = F.regexp_replace(tx.basename("file_path"), r"\.png$", "")
+    ext = F.element_at(F.array(*[F.lit(x) for x in [".png", ".JPG", ".jpeg", ".gif", ".tar.PNG"]]),
+                       (F.col("idx") % 5 + 1).cast("int"))
+    return p.select("idx", F.when(F.col("idx") % 9 == 0, st).otherwise(F.concat(st, ext)).alias("fname"))
+
+
+@query("allowed_file", sql(["paths"], """
+SELECT idx, fname, contains(fname, '.') AND lower(split_part(fname, '.', -1)) IN ('png', 'jpg', 'jpeg') AS allowed FROM fn""",
+                           [FNAME]))
+def q_allowed_file(spark, d):
+    f = _fnames(spark, d)
+    return f.select("idx", "fname", tx.allowed_file("fname").alias("allowed"))
+
+
+@query("path_parts", sql(["paths"], """
+SELECT idx, regexp_extract(file_path, '([^/]*)$', 1) AS basename,
+       split_part(regexp_extract(file_path, '([^/]*)$', 1), '.', 1) AS stem FROM paths"""))
+def q_path_parts(spark, d):
+    return fx.paths(spark, d).select("idx", tx.basename("file_path").alias("basename"), tx.stem("file_path").alias("stem"))
