@@ -1 +1,317 @@
-"""placeholder"""
+"""Sources, sinks, bulk job, image table and streaming intake queries.
+
+File-based queries first materialize their input from the driver tables
+into the shared scratch folder (``spark.checkpoint.dir``), then read it
+back through the source under test, so their work grows with the tables.
+"""
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import fixtures as fx
+from ..constants import LABELS
+from ..functions import features as feat
+from ..operators import bulk
+from ..operators import evaluate as ev
+from ..operators import images as im
+from ..operators import scoring as sc
+from ..operators import split as sp
+from ..operators.cohort import add_age_features
+from ..session import scratch_path
+from ..sinks import writers as wr
+from ..sources import readers as rd
+from .catalog import query
+from .cohort_queries import AGE_SQL, COHORT_VIEWS, U_SQL, SPLIT_SQL, cohort, cohort_sql
+from .eval_queries import eval_sql
+from .oracle_views import linear_sql, sql
+from .registry_queries import LOG, META, STATE, metadata_docs, state
+from .scoring_queries import META_SQL, VALIDATE_CTE, _meta_cols
+
+
+def _tag(d: str) -> str:
+    return d.strip("/").replace("/", "_")
+
+
+def _scratch(spark, d, *parts):
+    return scratch_path(spark, *parts, _tag(d))
+
+
+def ensure_images(spark, d) -> str:
+    """PNG files from ``embeddings`` under the scratch folder (written once)."""
+    root = _scratch(spark, d, "images")
+    marker = os.path.join(root, "_SUCCESS")
+    if not (root.startswith("/") and os.path.exists(marker)):
+        e = fx.table(spark, d, "embeddings")
+        n = im.write_image_files(e, root).count()
+        if root.startswith("/"):
+            with open(marker, "w") as f:
+                f.write(str(n))
+    return root
+
+
+# ------------------------------------------------------------------ sources
+@query("src_csv", sql(["studies"], "SELECT idx, patient_id, age_raw, gender, view_position FROM studies"))
+def q_src_csv(spark, d):
+    """Catalog written as CSV with a header, read back with an explicit schema."""
+    path = _scratch(spark, d, "csv_catalog")
+    wr.write_csv(fx.studies(spark, d).drop("ts"), path)
+    return rd.read_csv(spark, path, rd.CATALOG_SCHEMA)
+
+
+@query("src_path_index", sql([], """
+SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') || '.png' AS basename,
+       'images_' || lpad(CAST(vec_id % 12 + 1 AS VARCHAR), 3, '0') || '/images/' || lpad(CAST(vec_id AS VARCHAR), 8, '0') || '.png' AS rel_path
+FROM embeddings"""))
+def q_src_path_index(spark, d):
+    """Image file index (basename, path): a listing, file contents unread."""
+    idx = rd.path_index(spark, ensure_images(spark, d))
+    return idx.select("basename", F.regexp_extract("path", r"(images_[0-9]+/images/[^/]+)$", 1).alias("rel_path"))
+
+
+@query("src_image_bytes")
+def q_src_image_bytes(spark, d):
+    b = rd.image_bytes(spark, ensure_images(spark, d))
+    return b.select("basename", "length", (F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))).alias("is_png"))
+
+
+SCORING_INPUT_SQL = sql(["uploads"], """
+SELECT 'img_' || CAST(idx AS VARCHAR) || '.png' AS image_path,
+  least(greatest(CAST(age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
+  CASE WHEN upper(gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
+  CASE WHEN upper(view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
+  CASE WHEN upper(view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA FROM uploads""")
+
+
+@query("src_cascade", SCORING_INPUT_SQL)
+def q_src_cascade(spark, d):
+    """Input folder holding only data.csv: the Parquet branch is skipped
+    because the path does not exist, the CSV branch is read with its schema."""
+    base = _scratch(spark, d, "cascade_input")
+    u = bulk.serve_meta(fx.uploads(spark, d)).select(
+        F.concat(F.lit("img_"), F.col("idx").cast("string"), F.lit(".png")).alias("image_path"),
+        "age_norm", "sex_bin", "view_AP", "view_PA")
+    wr.write_csv(u, f"{base}/data.csv")
+    return rd.scoring_input(spark, base)
+
+
+def _model_schema_frame(spark, d):
+    s = fx.studies(spark, d).select(feat.parse_view("view_position").alias("view_cat"))
+    cats = sorted(r[0] for r in s.distinct().collect())
+    meta = ["age_norm", "sex_bin"] + [f"view_{c}" for c in cats]
+    return spark.createDataFrame([(LABELS, meta)], rd.MODEL_SCHEMA)
+
+
+def _write_model_schema(spark, d) -> str:
+    path = _scratch(spark, d, "model_schema")
+    wr.write_text_json(_model_schema_frame(spark, d), path, ["labels", "meta_cols"])
+    return path
+
+
+@query("src_model_schema", sql(["studies", "label_names"], """
+SELECT 'label' AS kind, CAST(k AS INTEGER) AS pos, name FROM label_names
+UNION ALL SELECT 'meta', 0, 'age_norm' UNION ALL SELECT 'meta', 1, 'sex_bin'
+UNION ALL SELECT 'meta', CAST(1 + row_number() OVER (ORDER BY c) AS INTEGER), 'view_' || c FROM (SELECT DISTINCT
+  CASE WHEN view_position IS NULL THEN 'UNK' WHEN contains(view_position, 'AP') THEN 'AP'
+       WHEN contains(view_position, 'PA') THEN 'PA' ELSE 'UNK' END AS c FROM studies)"""))
+def q_src_model_schema(spark, d):
+    """Model schema document (labels + feature columns found in the data)
+    written as JSON, read back with its schema."""
+    ms = rd.model_schema(spark, _write_model_schema(spark, d))
+    lab = ms.select(F.lit("label").alias("kind"), F.posexplode("labels").alias("pos", "name"))
+    met = ms.select(F.lit("meta").alias("kind"), F.posexplode("meta_cols").alias("pos", "name"))
+    return lab.unionByName(met).select("kind", F.col("pos").cast("int").alias("pos"), "name")
+
+
+@query("sink_model_schema")
+def q_sink_model_schema(spark, d):
+    return spark.read.text(_write_model_schema(spark, d))
+
+
+@query("src_registry_json", sql(["folders", "files"], """
+SELECT s.folder_name, m.patient_name, CAST(m.age AS BIGINT) AS age, m.gender, m.view
+FROM state s JOIN meta m ON m.idx = s.idx""", [LOG, STATE, META]))
+def q_src_registry_json(spark, d):
+    """metadata.json documents, one per registry folder, read back with the
+    folder taken from the file path."""
+    root = _scratch(spark, d, "registry_docs")
+    docs = metadata_docs(spark, d).join(state(spark, d).select("idx", "folder_name"), "idx")
+    wr.write_json_docs(docs, root, "folder_name", ["patient_name", "age", "gender", "view", "timestamp"])
+    r = rd.registry_docs(spark, root, "*.txt", rd.METADATA_SCHEMA)
+    return r.select("folder_name", "doc.patient_name", "doc.age", "doc.gender", "doc.view")
+
+
+@query("registry_files")
+def q_registry_files(spark, d):
+    """Listing of the registry tree: folder, file count, bytes (no content read)."""
+    root = _scratch(spark, d, "registry_docs")
+    if not os.path.exists(root):
+        q_src_registry_json(spark, d).count()
+    files = rd.image_files(spark, root, "*.txt").select("path", "length")
+    from ..operators.registry import listing_from_paths
+    lst = listing_from_paths(files).join(files, "path")
+    return lst.groupBy("folder_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+
+
+# ------------------------------------------------------------- bulk job
+BULK_CTES = [VALIDATE_CTE,
+             ("j", """SELECT u.idx, u.name, u.age, u.gender, u.view, e.embedding,
+    CASE WHEN len(v.errs) = 0 AND e.embedding IS NULL THEN ['Could not read image: no decoded pixels'] ELSE v.errs END AS errs,
+    coalesce(nullif(upper(left(regexp_replace(u.name, '[^a-zA-Z]', '', 'g'), 1))
+       || lower(substr(regexp_replace(u.name, '[^a-zA-Z]', '', 'g'), 2)), ''), 'Unknown') || '20260209' AS folder_name
+  FROM uploads u JOIN v ON v.idx = u.idx LEFT JOIN embeddings e ON e.vec_id = u.idx"""),
+             ("sc", f"""SELECT j.idx, n.k, n.name AS label, CAST({linear_sql('n.k', emb='j.embedding', meta=[
+                 "least(greatest(CAST(j.age AS DOUBLE), 0.0), 100.0) / 100.0",
+                 "CASE WHEN upper(j.gender) = 'M' THEN 1.0 ELSE 0.0 END",
+                 "CASE WHEN upper(j.view) = 'AP' THEN 1.0 ELSE 0.0 END",
+                 "CASE WHEN upper(j.view) = 'PA' THEN 1.0 ELSE 0.0 END"])} AS FLOAT) AS p
+  FROM j, label_names n WHERE len(j.errs) = 0"""),
+             ("top", "SELECT idx, arg_max(label, (p, -k)) AS top FROM sc GROUP BY idx"),
+             ("res", """SELECT j.idx, j.name AS patient_name, j.folder_name, len(j.errs) = 0 AS success,
+    CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
+    t.top AS top_prediction FROM j LEFT JOIN top t ON t.idx = j.idx""")]
+BULK_SQL = sql(["uploads", "label_names"], "SELECT * FROM res", BULK_CTES)
+
+
+def run_bulk(spark, d):
+    u = fx.uploads(spark, d)
+    imgs = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("image_vec"))
+    scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]], capture_errors=True)
+    return bulk.bulk_patient_job(u, imgs, scorer, F.lit("2026-02-09").cast("date"))
+
+
+@query("bulk_patient_job", BULK_SQL, bench=True)
+def q_bulk_patient_job(spark, d):
+    """Uploads -> validation -> serving features -> fused model -> top label."""
+    return run_bulk(spark, d).select(*bulk.RESULT_COLS)
+
+
+@query("batch_results", sql(["uploads", "label_names"], "SELECT idx, success, top_prediction FROM res ORDER BY idx", BULK_CTES))
+def q_batch_results(spark, d):
+    return run_bulk(spark, d).select("idx", "success", "top_prediction").orderBy("idx")
+
+
+@query("batch_tally", sql(["uploads", "label_names"], "SELECT count(*) FILTER (WHERE success) AS ok, count(*) AS total FROM res",
+                          BULK_CTES))
+def q_batch_tally(spark, d):
+    return bulk.batch_tally(run_bulk(spark, d))
+
+
+@query("sink_results", BULK_SQL)
+def q_sink_results(spark, d):
+    """Bulk results appended to the results log (partitioned by run date and
+    run id, dynamic overwrite), read back."""
+    path = _scratch(spark, d, "results_log")
+    res = run_bulk(spark, d).withColumns({"run_date": F.lit("2026-02-09"), "run_id": F.lit(1)})
+    wr.write_results(res.drop("predictions", "top3"), path)
+    back = spark.read.parquet(path).where((F.col("run_date") == "2026-02-09") & (F.col("run_id") == 1))
+    return back.select(*bulk.RESULT_COLS)
+
+
+# ------------------------------------------------------------ other sinks
+@query("patient_info_json", sql(["label_names"], f"""
+SELECT e.vec_id AS patient_id, round(e.m0, 6) AS age_norm, n.name AS label,
+       round(CAST(CAST({linear_sql('n.k', meta=['e.m0', 'e.m1', 'e.m2', 'e.m3'])} AS FLOAT) AS DOUBLE), 6) AS prob
+FROM (SELECT *, {', '.join(f'{m} AS m{j}' for j, m in enumerate(META_SQL))} FROM embeddings) e, label_names n"""))
+def q_patient_info_json(spark, d):
+    """Per-patient info documents {patient_id, metadata, probabilities} as
+    JSON lines, read back and flattened."""
+    e = fx.table(spark, d, "embeddings").withColumns(_meta_cols()).withColumn("meta", feat.feature_vector())
+    scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]])
+    s = sc.score(e, scorer, ["embedding", "meta"]).select(
+        F.col("vec_id").alias("patient_id"),
+        F.struct("age_norm", "sex_bin", "view_AP", "view_PA").alias("metadata"),
+        sc.predictions_map(F.col("scores")).alias("probabilities"))
+    path = _scratch(spark, d, "patient_info")
+    wr.write_text_json(s, path, ["patient_id", "metadata", "probabilities"])
+    schema = "patient_id long, metadata struct<age_norm double>, probabilities map<string,float>"
+    back = spark.read.text(path).select(F.from_json("value", schema).alias("doc"))
+    x = back.select("doc.patient_id", F.col("doc.metadata.age_norm").alias("age_norm"),
+                    F.explode("doc.probabilities").alias("label", "prob"))
+    return x.select("patient_id", F.round("age_norm", 6).alias("age_norm"), "label",
+                    F.round(F.col("prob").cast("double"), 6).alias("prob"))
+
+
+@query("train_export", cohort_sql(f"""
+SELECT idx, split, 4 AS n_features, round(age_norm + sex_bin + view_AP + view_PA, 5) AS feature_sum,
+       CAST({' + '.join(LABELS)} AS DOUBLE) AS label_sum
+FROM (SELECT idx, {LABELS[0]}, {', '.join(LABELS[1:])},
+        CAST(CAST(coalesce(CAST(age_i AS DOUBLE), (SELECT median(age_i) FROM parsed)) / 100.0 AS FLOAT) AS DOUBLE) AS age_norm,
+        CASE WHEN gender = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
+        CASE WHEN c = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP, CASE WHEN c = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA,
+        {SPLIT_SQL.replace('u', 'u')} AS split
+      FROM (SELECT *, {U_SQL.replace('group_key', 'coalesce(CAST(patient_id AS VARCHAR), CAST(idx AS VARCHAR))')} AS u,
+              CASE WHEN view_position IS NULL THEN 'UNK' WHEN contains(view_position, 'AP') THEN 'AP'
+                   WHEN contains(view_position, 'PA') THEN 'PA' ELSE 'UNK' END AS c FROM parsed))""",
+    [("parsed", f"SELECT *, {AGE_SQL} AS age_i FROM cohort")]))
+def q_train_export(spark, d):
+    """Cohort features and labels exported per split (seeded order for
+    train, key order for val/test), read back."""
+    f = add_age_features(cohort(spark, d))
+    f = f.withColumns({"view_AP": (F.col("view_cat") == "AP").cast("double"),
+                       "view_PA": (F.col("view_cat") == "PA").cast("double"),
+                       "sex_bin": F.col("sex_bin").cast("double")})
+    f = sp.group_split(f, "group_key", seed=42)
+    path = _scratch(spark, d, "train_export")
+    wr.export_training_set(f, path, ["age_norm", "sex_bin", "view_AP", "view_PA"], LABELS)
+    back = spark.read.parquet(path)
+    fsum = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    lsum = F.aggregate("labels", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("idx", "split", F.size("features").alias("n_features"), F.round(fsum, 5).alias("feature_sum"),
+                       lsum.alias("label_sum"))
+
+
+@query("eval_summary", eval_sql("""SELECT round(avg(auc), 4) AS mean_auc, round(avg(ap), 4) AS mean_ap,
+  CAST(count(*) AS BIGINT) AS n_labels FROM lm"""))
+def q_eval_summary(spark, d):
+    """Per-label report written as CSV (header), read back; the summary
+    keeps mean AUC and mean AP to 4 decimals."""
+    rep = ev.eval_report(fx.scored_long(spark, d))
+    path = _scratch(spark, d, "eval_summary")
+    wr.write_csv(rep, path)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rep.schema.fields])
+    back = rd.read_csv(spark, path, schema)
+    return back.agg(F.round(F.avg("AUC_ROC"), 4).alias("mean_auc"), F.round(F.avg("AvgPrecision"), 4).alias("mean_ap"),
+                    F.count(F.lit(1)).alias("n_labels"))
+
+
+# ---------------------------------------------------------------- images
+@query("image_table")
+def q_image_table(spark, d):
+    """Decode -> RGB / gray to 3 channels -> bilinear 256x256 -> x/127.5-1."""
+    imgs = rd.image_table(spark, ensure_images(spark, d))
+    t = im.prepare_images(imgs, (256, 256), "tanh")
+    mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("pixels")
+    return t.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("basename"), "ok", "channels",
+                    F.size("pixels").alias("n_values"), F.round(mean, 6).alias("mean"))
+
+
+# ------------------------------------------------------------- streaming
+UPLOAD_SCHEMA = T.StructType([T.StructField("idx", T.LongType()), T.StructField("name", T.StringType()),
+                              T.StructField("age", T.IntegerType()), T.StructField("gender", T.StringType()),
+                              T.StructField("view", T.StringType()), T.StructField("content", T.StringType())])
+
+
+@query("stream_intake")
+def q_stream_intake(spark, d):
+    """Upload records arriving as JSON files -> validate -> serving features
+    -> results log, one run id per micro-batch (idempotent replays)."""
+    from ..operators.validate import validate
+    from ..streaming.intake import start_intake
+    base = _scratch(spark, d, "stream")
+    src, out, ckpt = f"{base}/in", f"{base}/results", f"{base}/checkpoint"
+    u = fx.uploads(spark, d).withColumn("content", F.base64("content"))
+    u.repartition(4).write.mode("overwrite").json(src)
+
+    def process(batch):
+        b = batch.withColumn("content", F.unbase64("content"))
+        v = validate(b)
+        return bulk.serve_meta(v).select("idx", "name", "valid", F.array_join("errors", "; ").alias("errors"),
+                                         "age_norm", "sex_bin", "view_AP", "view_PA",
+                                         F.lit("2026-02-09").alias("run_date"))
+
+    q = start_intake(spark, src, UPLOAD_SCHEMA, process, out, ckpt, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("run_id").dropDuplicates(["idx"])

@@ -38,21 +38,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (tests, local runs) a private folder
-    is created and registered.
+    On a cluster the setting points at shared storage and is used as is.
+    Only when it is unset (tests, ad-hoc local runs) a private folder is
+    created and registered, for both the setting and RDD checkpoints.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = tempfile.mkdtemp(prefix="cohortbeam-ckpt-", dir="/tmp")
-            spark.conf.set("spark.checkpoint.dir", current)
-        sc.setCheckpointDir(current)
-    return current
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="cohortbeam-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    if base.startswith("file:"):
+        base = "/" + base[len("file:"):].lstrip("/")
+    return base
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
