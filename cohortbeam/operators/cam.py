@@ -32,14 +32,17 @@ def heatmap_arrays(act: Column, grad: Column, n_cells: int, n_ch: int, eps: floa
     def at(a: Column, cell: Column, ch: Column) -> Column:
         return F.element_at(a, cell * n_ch + ch + 1).cast("double")
 
-    weights = F.transform(chans, lambda ch: F.aggregate(cells, F.lit(0.0), lambda s, c: s + at(grad, c, ch)) / float(n_cells))
+    def weights(g: Column) -> Column:
+        return F.transform(chans, lambda ch: F.aggregate(cells, F.lit(0.0), lambda s, c: s + at(g, c, ch)) / float(n_cells))
 
-    def cam_from(w: Column) -> Column:
+    def cam_from(a: Column, w: Column) -> Column:
         return F.transform(cells, lambda c: F.greatest(F.lit(0.0), F.aggregate(
-            chans, F.lit(0.0), lambda s, ch: s + at(act, c, ch) * F.element_at(w, ch + 1))))
+            chans, F.lit(0.0), lambda s, ch: s + at(a, c, ch) * F.element_at(w, ch + 1))))
 
-    return let(weights, lambda w: let(cam_from(w), lambda cam: let(
-        F.array_max(cam), lambda m: F.transform(cam, lambda x: x / (m + eps)))))
+    # act/grad may be expressions (e.g. a computed gradient): bind each once
+    return let(act.cast("array<double>"), lambda a: let(grad.cast("array<double>"), lambda g: let(
+        weights(g), lambda w: let(cam_from(a, w), lambda cam: let(
+            F.array_max(cam), lambda m: F.transform(cam, lambda x: x / (m + eps)))))))
 
 
 def heatmap_long(t: DataFrame, key: str = "image_key", eps: float = EPS) -> DataFrame:

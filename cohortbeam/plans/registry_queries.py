@@ -237,11 +237,9 @@ FROM (SELECT c.vec_id, c.label, c.cell, greatest(sum(c.act * w.w), 0.0) AS cam
 def q_cam_topk(spark, d):
     """Heatmaps for the top-3 classes of each image; the gradient of a linear
     class score w.r.t. its inputs is that class's weight vector."""
-    w = fx.scores_wide(spark, d)
-    e = fx.table(spark, d, "embeddings").select("vec_id", "embedding")
+    w = fx.scores_wide(spark, d, keep=("embedding",))
     names = F.array(*[F.lit(x) for x in LABELS])
-    t = w.select("vec_id", F.explode(rk.top_indices(F.col("scores"), TOP_K_HEATMAPS)).alias("k"))
-    t = t.join(e, "vec_id")
+    t = w.select("vec_id", "embedding", F.explode(rk.top_indices(F.col("scores"), TOP_K_HEATMAPS)).alias("k"))
     grad = cam.class_gradients(64, F.col("k"), fx.weight)
     h = t.select("vec_id", F.element_at(names, F.col("k") + 1).alias("label"),
                  cam.heatmap_arrays(F.col("embedding"), grad, 16, 4).alias("heat"))
