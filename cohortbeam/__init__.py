@@ -7,3 +7,17 @@ calls (``operators.scoring``) and image decoding (``operators.images``).
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value inside UDF closures, so
+    Python workers (local or on executors) need no installed copy of it."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - older cloudpickle
+        pass
+
+
+_ship_by_value()

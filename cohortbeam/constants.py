@@ -18,6 +18,7 @@ feature order and the user-facing defaults and messages):
 - folder key pattern: letters then 8 digits; fallback date text Unknown,
   fallback raw date 00000000; empty sanitized name -> Unknown
 - record sources: web_upload, spark_batch, batch_sequential
+- validation and form messages: see the MSG_* constants below
 """
 
 LABELS = [
@@ -57,6 +58,10 @@ MSG_GENDER = "Invalid gender: {}. Must be 'M' or 'F'."
 MSG_VIEW = "Invalid view: {}. Must be 'AP' or 'PA'."
 MSG_FORMAT = "Invalid image format: {}. Must be PNG or JPEG."
 MSG_UNREADABLE = "Could not read image: {}"
+# Upload form checks (first failing one is reported).
+MSG_FILE_TYPE = "Invalid file type. Please upload PNG or JPEG."
+MSG_NAME_REQUIRED = "Patient name is required"
+MSG_AGE_VALUE = "Invalid age value"
 
 # File signatures used to recognise image formats without decoding.
 PNG_MAGIC_HEX = "89504E470D0A1A0A"

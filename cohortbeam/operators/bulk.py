@@ -17,7 +17,7 @@ from . import ranking as rk
 from . import scoring as sc
 from .validate import validate
 
-RESULT_COLS = ["idx", "patient_name", "folder_name", "success", "message", "top_prediction"]
+RESULT_COLS = ["idx", "patient_name", "folder_name", "success", "message", "top_prediction", "source"]
 
 
 def serve_meta(df: DataFrame) -> DataFrame:
@@ -28,10 +28,13 @@ def serve_meta(df: DataFrame) -> DataFrame:
 
 def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Column,
                      registry_root: str = "/registry", source: str = "spark_batch",
-                     image_col: str = "image_vec") -> DataFrame:
+                     image_col: str = "image_vec", gradient_fn=None, cam_shape: tuple[int, int] | None = None,
+                     labels: list[str] | None = None) -> DataFrame:
     """``uploads``: idx, name, age, gender, view, content; ``images``: idx and
-    the decoded image vector. Returns one result row per upload plus the
-    predictions map and the top-3 labels for the rows that were scored."""
+    the decoded image vector (activations). Returns one result row per upload
+    plus the predictions map, the top-3 entries and -- when the caller gives
+    ``gradient_fn(class_index) -> gradient array`` and ``cam_shape`` (cells,
+    channels) -- a heatmap per top-3 label, computed row-locally."""
     v = validate(uploads).join(images.select("idx", image_col), "idx", "left")
     no_img = F.col(image_col).isNull()
     v = v.withColumn("errors", F.when(F.col("valid") & no_img,
@@ -43,19 +46,40 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
     scored = sc.score(good, scorer, [image_col, "meta"], capture_errors=True)
     rejected = v.where(~F.col("valid")).withColumns({"scores": F.lit(None).cast("array<double>"),
                                                       "error": F.lit(None).cast("string")})
-    cols = ["idx", "name", "folder_name", "errors", "scores", "error"]
+    cols = ["idx", "name", "folder_name", "errors", "scores", "error", image_col]
     allrows = scored.select(*cols).unionByName(rejected.select(*cols))
     pred = F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores")))
     out = allrows.withColumn("predictions", pred)
     ok = F.col("predictions").isNotNull()
+    labels = labels or LABELS
+    top3 = F.when(ok, rk.top_k(F.col("predictions"), TOP_K_HEATMAPS))
+    heat = F.lit(None).cast("map<string,array<double>>")
+    if gradient_fn is not None and cam_shape is not None:
+        from .cam import heatmap_arrays
+        names = F.array(*[F.lit(x) for x in labels])
+        def one(e):
+            k = F.array_position(names, e["key"]) - 1
+            return heatmap_arrays(F.col(image_col), gradient_fn(k), cam_shape[0], cam_shape[1])
+        heat = F.when(ok, F.map_from_entries(F.transform(top3, lambda e: F.struct(e["key"], one(e)))))
     message = (F.when(ok, F.concat(F.lit(f"Saved to {registry_root.rstrip('/')}/"), F.col("folder_name")))
                 .when(F.size("errors") > 0, F.array_join("errors", "; "))
                 .otherwise(F.col("error")))
     return out.select(
         "idx", F.col("name").alias("patient_name"), "folder_name", ok.alias("success"), message.alias("message"),
         F.when(ok, rk.top_prediction(F.col("predictions"))).alias("top_prediction"),
-        "predictions", F.when(ok, rk.top_k(F.col("predictions"), TOP_K_HEATMAPS)).alias("top3"),
-        F.lit(source).alias("source"))
+        F.lit(source).alias("source"), "predictions", top3.alias("top3"), heat.alias("heatmaps"))
+
+
+def single_patient(spark, image_vec: list[float], name: str, age, gender: str, view: str, content: bytes,
+                   scorer, run_date: str, **kw) -> DataFrame:
+    """One upload scored through the same pipeline (web form path)."""
+    from pyspark.sql import types as T
+    u = spark.createDataFrame([(0, name, age, gender, view, bytearray(content))],
+                              "idx long, name string, age int, gender string, view string, content binary")
+    im = spark.createDataFrame([(0, [float(x) for x in image_vec])],
+                               T.StructType([T.StructField("idx", T.LongType()),
+                                             T.StructField("image_vec", T.ArrayType(T.DoubleType()))]))
+    return bulk_patient_job(u, im, scorer, F.lit(run_date).cast("date"), source="web_upload", **kw)
 
 
 def batch_tally(results: DataFrame) -> DataFrame:

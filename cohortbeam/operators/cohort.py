@@ -52,7 +52,9 @@ def label_prevalence(df: DataFrame, labels: list[str] | None = None) -> DataFram
     sums = df.agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).cast("bigint").alias(c) for c in labels])
     long = sums.unpivot([], labels, "label", "positives")
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label"))
-    return long.withColumn("label_idx", (order - 1).cast("int")).orderBy("positives", "label_idx")
+    # one row per label: sort in a single partition (no range-sampling job)
+    return (long.withColumn("label_idx", (order - 1).cast("int"))
+                .repartition(1).sortWithinPartitions("positives", "label_idx"))
 
 
 def label_share(prevalence: DataFrame) -> DataFrame:

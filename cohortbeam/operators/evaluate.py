@@ -47,6 +47,11 @@ def order_bucket(score: Column, mantissa_bits: int = MANTISSA_BITS) -> Column:
     return F.when(score == 0, F.lit(0)).when(score > 0, mag).otherwise(-mag).cast("bigint")
 
 
+def align_scores(scores: DataFrame, truth: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Scores and truth matched by key (image, label) -- never by position."""
+    return scores.join(truth, keys or ["image_key", "label"], "inner")
+
+
 def score_groups(scored: DataFrame) -> DataFrame:
     """Distinct (label, score) with pos/neg counts (rows with NULL score or
     truth are left out)."""
@@ -67,7 +72,15 @@ def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
                         F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
                         F.sum("pos").over(wall).alias("pos_all"), F.sum("neg").over(wall).alias("neg_all"))
     g = g.withColumn("bucket", order_bucket(F.col("score")))
-    bt = g.groupBy("label", "bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
+    # one shuffle of the distinct-score rows into (label, bucket) clusters:
+    # the running sum inside a bucket and the bucket totals share it
+    inner = Window.partitionBy("label", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("label", "bucket")
+    local = g.select("label", "bucket", "score", "pos", "neg",
+                     F.sum("pos").over(inner).alias("tp_in"), F.sum("neg").over(inner).alias("fp_in"),
+                     F.sum("pos").over(whole).alias("b_pos"), F.sum("neg").over(whole).alias("b_neg"))
+    bt = local.groupBy("label", "bucket").agg(F.first("b_pos").alias("b_pos"), F.first("b_neg").alias("b_neg"))
+    # offsets: counts of all higher buckets, a window over <= (#buckets) rows per label
     above = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy("label")
     offsets = bt.select(
@@ -75,9 +88,6 @@ def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
         F.coalesce(F.sum("b_pos").over(above), F.lit(0)).alias("pos_before"),
         F.coalesce(F.sum("b_neg").over(above), F.lit(0)).alias("neg_before"),
         F.sum("b_pos").over(wall).alias("pos_all"), F.sum("b_neg").over(wall).alias("neg_all"))
-    inner = Window.partitionBy("label", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    local = g.select("label", "bucket", "score", "pos", "neg",
-                     F.sum("pos").over(inner).alias("tp_in"), F.sum("neg").over(inner).alias("fp_in"))
     # offsets has one row per occupied (label, bucket); the planner/AQE picks
     # broadcast when its runtime size allows, a shuffle join otherwise.
     j = local.join(offsets, ["label", "bucket"], "inner")
@@ -169,7 +179,7 @@ def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: b
         F.col("precision").alias("Precision"), F.col("recall").alias("Recall"), F.col("f1").alias("F1"),
         F.col("specificity").alias("Specificity"), F.col("tp").alias("TP"), F.col("fp").alias("FP"),
         F.col("fn").alias("FN"), F.col("tn").alias("TN"), F.col("threshold").alias("OptimalThreshold"),
-        "skipped").orderBy("label_idx")
+        "skipped").repartition(1).sortWithinPartitions("label_idx")  # one row per label
 
 
 def macro_metrics(report: DataFrame) -> DataFrame:

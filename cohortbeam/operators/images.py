@@ -44,31 +44,41 @@ def scale_pixels(x: np.ndarray, mode: str) -> np.ndarray:
     raise ValueError(f"unknown scaling mode {mode}")
 
 
+# Rows per output batch: a 256x256x3 float image is ~786 KB, so output
+# batches stay around 50 MB whatever the Arrow input batch size is.
+OUT_ROWS = 64
+
+
+def _prep_slice(images, out_h: int, out_w: int, mode: str) -> pd.DataFrame:
+    out = {"path": [], "height": [], "width": [], "channels": [], "ok": [], "pixels": []}
+    for img in images:
+        h, w, c = img["height"], img["width"], img["nChannels"]
+        out["path"].append(img["origin"])
+        out["height"].append(out_h)
+        out["width"].append(out_w)
+        out["channels"].append(3)
+        if h is None or h < 0 or img["data"] is None or len(img["data"]) == 0:
+            out["ok"].append(False)
+            out["pixels"].append(None)
+            continue
+        a = np.frombuffer(img["data"], dtype=np.uint8).reshape(h, w, c).astype(np.float32)
+        if c == 1:
+            a = np.repeat(a, 3, axis=2)
+        else:
+            a = a[:, :, 2::-1]  # BGR(A) -> RGB
+        r = scale_pixels(resize_bilinear(a, out_h, out_w), mode).astype(np.float32)
+        out["ok"].append(True)
+        out["pixels"].append(r.reshape(-1))
+    return pd.DataFrame(out)
+
+
 def _prep_fn(size: tuple[int, int], mode: str):
     out_h, out_w = size
 
     def prep(batches):
         for pdf in batches:
-            out = {"path": [], "height": [], "width": [], "channels": [], "ok": [], "pixels": []}
-            for img in pdf["image"]:
-                h, w, c = img["height"], img["width"], img["nChannels"]
-                out["path"].append(img["origin"])
-                out["height"].append(out_h)
-                out["width"].append(out_w)
-                out["channels"].append(3)
-                if h is None or h < 0 or img["data"] is None or len(img["data"]) == 0:
-                    out["ok"].append(False)
-                    out["pixels"].append(None)
-                    continue
-                a = np.frombuffer(img["data"], dtype=np.uint8).reshape(h, w, c).astype(np.float32)
-                if c == 1:
-                    a = np.repeat(a, 3, axis=2)
-                else:
-                    a = a[:, :, 2::-1] if c >= 3 else a  # BGR(A) -> RGB
-                r = scale_pixels(resize_bilinear(a, out_h, out_w), mode).astype(np.float32)
-                out["ok"].append(True)
-                out["pixels"].append(r.reshape(-1))
-            yield pd.DataFrame(out)
+            for start in range(0, len(pdf), OUT_ROWS):
+                yield _prep_slice(pdf["image"].iloc[start:start + OUT_ROWS], out_h, out_w, mode)
     return prep
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (AGE_VALID_MAX, AGE_VALID_MIN, JPEG_MAGIC_HEX, MSG_AGE, MSG_FORMAT,
-                         MSG_GENDER, MSG_UNREADABLE, MSG_VIEW, PNG_MAGIC_HEX)
+from ..constants import (AGE_VALID_MAX, AGE_VALID_MIN, JPEG_MAGIC_HEX, MSG_AGE, MSG_AGE_VALUE, MSG_FILE_TYPE,
+                         MSG_FORMAT, MSG_GENDER, MSG_NAME_REQUIRED, MSG_UNREADABLE, MSG_VIEW, PNG_MAGIC_HEX)
+from ..functions.features import INT_TEXT
+from ..functions.text import allowed_file
 
 
 def _txt(c: Column) -> Column:
@@ -48,6 +50,16 @@ def validate(df: DataFrame, age: str = "age", gender: str = "gender", view: str
     return df.withColumn("errors", errs).withColumn("valid", F.size("errors") == 0)
 
 
+def form_error(file_name: Column, name: Column, age_text: Column) -> Column:
+    """First failing upload-form check: file type, then a non-blank patient
+    name, then an integer age (a missing age is allowed: it defaults)."""
+    age = F.trim(age_text)
+    bad_age = age.isNotNull() & (age != "") & ~age.rlike(INT_TEXT)
+    return (F.when(~F.coalesce(allowed_file(file_name), F.lit(False)), F.lit(MSG_FILE_TYPE))
+             .when(F.coalesce(F.trim(name), F.lit("")) == "", F.lit(MSG_NAME_REQUIRED))
+             .when(bad_age, F.lit(MSG_AGE_VALUE)))
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows) of a validated frame."""
     return df.where(F.col("valid")), df.where(~F.col("valid"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..constants import LABELS
 from ..operators import evaluate as ev
 from .catalog import query
 from .oracle_views import sql
@@ -69,7 +70,13 @@ def q_roc_curve(spark, d):
 
 @query("roc_auc", eval_sql("SELECT label, round(auc, 6) AS auc FROM lm"))
 def q_roc_auc(spark, d):
-    return _r6(ev.label_metrics(ev.roc_points(scored(spark, d))).select("label", "auc"), ["auc"])
+    """AUC from a scores table and a truth table aligned by (image, label)."""
+    names = F.array(*[F.lit(x) for x in LABELS])
+    lab = F.element_at(names, F.col("k").cast("int") + 1)
+    s = fx.scores(spark, d).select(F.col("vec_id").alias("image_key"), lab.alias("label"), "score")
+    t = fx.truth(spark, d).select(F.col("vec_id").alias("image_key"), lab.alias("label"), "truth")
+    pts = ev.roc_points(ev.align_scores(s, t))
+    return _r6(ev.label_metrics(pts).select("label", "auc"), ["auc"])
 
 
 @query("average_precision", eval_sql("SELECT label, round(ap, 6) AS ap FROM lm"))

@@ -15,6 +15,7 @@ from .. import fixtures as fx
 from ..constants import LABELS
 from ..functions import features as feat
 from ..operators import bulk
+from ..operators import cam
 from ..operators import evaluate as ev
 from ..operators import images as im
 from ..operators import scoring as sc
@@ -28,7 +29,7 @@ from .cohort_queries import AGE_SQL, COHORT_VIEWS, U_SQL, SPLIT_SQL, cohort, coh
 from .eval_queries import eval_sql
 from .oracle_views import linear_sql, sql
 from .registry_queries import LOG, META, STATE, metadata_docs, state
-from .scoring_queries import META_SQL, VALIDATE_CTE, _meta_cols
+from .scoring_queries import FNAME, META_SQL, UPLOAD_FORM, VALIDATE_CTE, _fnames, _meta_cols, _upload_form
 
 
 def _tag(d: str) -> str:
@@ -171,7 +172,7 @@ BULK_CTES = [VALIDATE_CTE,
              ("top", "SELECT idx, arg_max(label, (p, -k)) AS top FROM sc GROUP BY idx"),
              ("res", """SELECT j.idx, j.name AS patient_name, j.folder_name, len(j.errs) = 0 AS success,
     CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
-    t.top AS top_prediction FROM j LEFT JOIN top t ON t.idx = j.idx""")]
+    t.top AS top_prediction, 'spark_batch' AS source FROM j LEFT JOIN top t ON t.idx = j.idx""")]
 BULK_SQL = sql(["uploads", "label_names"], "SELECT * FROM res", BULK_CTES)
 
 
@@ -179,7 +180,10 @@ def run_bulk(spark, d):
     u = fx.uploads(spark, d)
     imgs = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("image_vec"))
     scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]], capture_errors=True)
-    return bulk.bulk_patient_job(u, imgs, scorer, F.lit("2026-02-09").cast("date"))
+    # gradient of the linear class score w.r.t. the image inputs: its weights
+    grads = lambda k: cam.class_gradients(64, k, fx.weight)
+    return bulk.bulk_patient_job(u, imgs, scorer, F.lit("2026-02-09").cast("date"),
+                                 gradient_fn=grads, cam_shape=(16, 4))
 
 
 @query("bulk_patient_job", BULK_SQL, bench=True)
@@ -199,13 +203,52 @@ def q_batch_tally(spark, d):
     return bulk.batch_tally(run_bulk(spark, d))
 
 
+@query("bulk_heatmaps", sql(["uploads", "label_names"], f"""
+SELECT t.idx, t.label, CAST(c.cell AS INTEGER) AS cell,
+       round(c.cam / (max(c.cam) OVER (PARTITION BY t.idx, t.label) + 1e-8), 6) AS heat
+FROM t3 t JOIN (SELECT x.idx, x.k, x.cell, greatest(sum(x.act * w.w), 0.0) AS cam
+                FROM cells x JOIN (SELECT idx, k, ch, avg(grad) AS w FROM cells GROUP BY 1, 2, 3) w
+                  ON w.idx = x.idx AND w.k = x.k AND w.ch = x.ch GROUP BY 1, 2, 3) c ON c.idx = t.idx AND c.k = t.k""",
+    BULK_CTES + [
+        ("t3", "SELECT idx, k, label FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p DESC, k) AS r FROM sc) WHERE r <= 3"),
+        ("el", "SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings"),
+        ("cells", """SELECT t.idx, t.k, (el.i - 1) // 4 AS cell, (el.i - 1) % 4 AS ch, CAST(el.v AS DOUBLE) AS act,
+                     (CAST(((el.i) * 7 + (t.k) * 5) % 13 - 6 AS DOUBLE) / 10.0) AS grad
+                     FROM t3 t JOIN el ON el.vec_id = t.idx"""),
+    ]))
+def q_bulk_heatmaps(spark, d):
+    """Heatmaps the bulk job stores for the top-3 labels of each scored upload."""
+    r = run_bulk(spark, d).where("success")
+    x = r.select("idx", F.explode("heatmaps").alias("label", "heat"))
+    x = x.select("idx", "label", F.posexplode("heat").alias("cell", "heat"))
+    return x.select("idx", "label", F.col("cell").cast("int").alias("cell"), F.round("heat", 6).alias("heat"))
+
+
+@query("form_errors", sql(["paths", "uploads"], """
+SELECT f.idx, CASE WHEN NOT (contains(f.fname, '.') AND lower(split_part(f.fname, '.', -1)) IN ('png', 'jpg', 'jpeg'))
+    THEN 'Invalid file type. Please upload PNG or JPEG.'
+  WHEN coalesce(trim(CASE WHEN u.idx % 23 = 0 THEN '  ' ELSE u.name END), '') = '' THEN 'Patient name is required'
+  WHEN trim(u.age_txt) IS NOT NULL AND trim(u.age_txt) <> '' AND NOT regexp_matches(trim(u.age_txt), '^\s*[+-]?[0-9]+\s*$')
+    THEN 'Invalid age value' END AS error
+FROM fn f JOIN (SELECT uu.idx, uu.name, fm.age AS age_txt FROM uploads uu JOIN form fm ON fm.idx = uu.idx) u ON u.idx = f.idx""",
+    [FNAME, UPLOAD_FORM]))
+def q_form_errors(spark, d):
+    """Upload-form checks on file name, patient name and age text."""
+    from ..operators.validate import form_error
+    f = _fnames(spark, d)
+    u = fx.uploads(spark, d).select("idx", F.when(F.col("idx") % 23 == 0, F.lit("  ")).otherwise(F.col("name")).alias("name"))
+    a = _upload_form(spark, d).select("idx", F.col("age").alias("age_txt"))
+    j = f.join(u, "idx").join(a, "idx")
+    return j.select("idx", form_error(F.col("fname"), F.col("name"), F.col("age_txt")).alias("error"))
+
+
 @query("sink_results", BULK_SQL)
 def q_sink_results(spark, d):
     """Bulk results appended to the results log (partitioned by run date and
     run id, dynamic overwrite), read back."""
     path = _scratch(spark, d, "results_log")
     res = run_bulk(spark, d).withColumns({"run_date": F.lit("2026-02-09"), "run_id": F.lit(1)})
-    wr.write_results(res.drop("predictions", "top3"), path)
+    wr.write_results(res.drop("top3"), path)
     back = spark.read.parquet(path).where((F.col("run_date") == "2026-02-09") & (F.col("run_id") == 1))
     return back.select(*bulk.RESULT_COLS)
 

@@ -14,7 +14,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Image rows are large: keep Arrow batches small when Python sees them.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.python.worker.reuse": "true",
     "spark.ui.showConsoleProgress": "false",
 }
