@@ -63,24 +63,26 @@ def score_groups(scored: DataFrame) -> DataFrame:
 
 def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
     """Per label and distinct score (high -> low): pos, neg of the group and
-    cumulative tp, fp including it, plus the label totals pos_all, neg_all."""
-    g = score_groups(scored)
+    cumulative tp, fp including it, plus the label totals pos_all, neg_all.
+
+    Two-level plan: (1) bucket totals straight from the scored rows -- a
+    partial aggregate, so each task ships at most one row per occupied
+    bucket; their offsets are a window over that small table. (2) distinct
+    (label, score) groups (partial aggregate first, so tied or hot scores
+    collapse before the shuffle), then one shuffle into (label, bucket)
+    clusters for the running sums, joined to the offsets.
+    """
     if not two_level:
+        g = score_groups(scored)
         w = Window.partitionBy("label").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
         wall = Window.partitionBy("label")
         return g.select("label", "score", "pos", "neg",
                         F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
                         F.sum("pos").over(wall).alias("pos_all"), F.sum("neg").over(wall).alias("neg_all"))
-    g = g.withColumn("bucket", order_bucket(F.col("score")))
-    # one shuffle of the distinct-score rows into (label, bucket) clusters:
-    # the running sum inside a bucket and the bucket totals share it
-    inner = Window.partitionBy("label", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("label", "bucket")
-    local = g.select("label", "bucket", "score", "pos", "neg",
-                     F.sum("pos").over(inner).alias("tp_in"), F.sum("neg").over(inner).alias("fp_in"),
-                     F.sum("pos").over(whole).alias("b_pos"), F.sum("neg").over(whole).alias("b_neg"))
-    bt = local.groupBy("label", "bucket").agg(F.first("b_pos").alias("b_pos"), F.first("b_neg").alias("b_neg"))
-    # offsets: counts of all higher buckets, a window over <= (#buckets) rows per label
+    s = scored.where(F.col("score").isNotNull() & F.col("truth").isNotNull())
+    s = s.withColumn("bucket", order_bucket(F.col("score")))
+    t = F.col("truth").cast("long")
+    bt = s.groupBy("label", "bucket").agg(F.sum(t).alias("b_pos"), F.sum(1 - t).alias("b_neg"))
     above = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy("label")
     offsets = bt.select(
@@ -88,8 +90,12 @@ def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
         F.coalesce(F.sum("b_pos").over(above), F.lit(0)).alias("pos_before"),
         F.coalesce(F.sum("b_neg").over(above), F.lit(0)).alias("neg_before"),
         F.sum("b_pos").over(wall).alias("pos_all"), F.sum("b_neg").over(wall).alias("neg_all"))
-    # offsets has one row per occupied (label, bucket); the planner/AQE picks
-    # broadcast when its runtime size allows, a shuffle join otherwise.
+    g = s.groupBy("label", "bucket", "score").agg(F.sum(t).alias("pos"), F.sum(1 - t).alias("neg"))
+    inner = Window.partitionBy("label", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    local = g.select("label", "bucket", "score", "pos", "neg",
+                     F.sum("pos").over(inner).alias("tp_in"), F.sum("neg").over(inner).alias("fp_in"))
+    # offsets has one row per occupied (label, bucket); AQE broadcasts it when
+    # its runtime size is under the broadcast threshold, else shuffles it.
     j = local.join(offsets, ["label", "bucket"], "inner")
     return j.select("label", "score", "pos", "neg",
                     (F.col("pos_before") + F.col("tp_in")).alias("tp"),
