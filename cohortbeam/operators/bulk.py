@@ -28,10 +28,12 @@ def serve_meta(df: DataFrame) -> DataFrame:
 
 def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Column,
                      registry_root: str = "/registry", source: str = "spark_batch",
-                     image_col: str = "image_vec", gradient_fn=None, cam_shape: tuple[int, int] | None = None,
+                     image_col: str = "image_vec", image_dim: int = 64,
+                     gradient_fn=None, cam_shape: tuple[int, int] | None = None,
                      labels: list[str] | None = None) -> DataFrame:
     """``uploads``: idx, name, age, gender, view, content; ``images``: idx and
-    the decoded image vector (activations). Returns one result row per upload
+    the decoded image vector (activations, ``image_dim`` values). ``scorer``
+    must be a masked batch scorer with inputs (image, metadata, mask). Returns one result row per upload
     plus the predictions map, the top-3 entries and -- when the caller gives
     ``gradient_fn(class_index) -> gradient array`` and ``cam_shape`` (cells,
     channels) -- a heatmap per top-3 label, computed row-locally."""
@@ -42,12 +44,17 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
                      .otherwise(F.col("errors")))
     v = v.withColumn("valid", F.size("errors") == 0)
     v = v.withColumn("folder_name", folder_key("name", run_date))
-    good = serve_meta(v.where(F.col("valid")))
-    scored = sc.score(good, scorer, [image_col, "meta"], capture_errors=True)
-    rejected = v.where(~F.col("valid")).withColumns({"scores": F.lit(None).cast("array<double>"),
-                                                      "error": F.lit(None).cast("string")})
-    cols = ["idx", "name", "folder_name", "errors", "scores", "error", image_col]
-    allrows = scored.select(*cols).unionByName(rejected.select(*cols))
+    # One pass, no union: every row goes through the same plan, but the
+    # scorer's mask keeps rejected rows away from the model (they get
+    # placeholder inputs of the right shape that are never evaluated).
+    v = serve_meta(v)
+    valid = F.col("valid")
+    v = v.withColumns({
+        "_img": F.when(valid, F.col(image_col).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), image_dim)),
+        "_meta": F.when(valid, F.col("meta").cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), 4)),
+        "_mask": valid.cast("double"),
+    })
+    allrows = sc.score(v, scorer, ["_img", "_meta", "_mask"], capture_errors=True)
     pred = F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores")))
     out = allrows.withColumn("predictions", pred)
     ok = F.col("predictions").isNotNull()

@@ -105,18 +105,23 @@ def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
 
 def roc_curve(points: DataFrame, with_start: bool = True) -> DataFrame:
     """(label, threshold, fpr, tpr) for each distinct score, plus the start
-    point (0, 0, +inf). Labels without both classes get NULL rates."""
-    pts = points.select(
-        "label", F.col("score").alias("threshold"),
-        F.when(F.col("neg_all") > 0, F.col("fp") / F.col("neg_all")).alias("fpr"),
-        F.when(F.col("pos_all") > 0, F.col("tp") / F.col("pos_all")).alias("tpr"))
+    point (0, 0, +inf). Labels without both classes get NULL rates.
+
+    The start point is emitted next to each label's highest-score group --
+    the one group whose cumulative counts equal its own (tp = pos, fp = neg)
+    -- so no second pass over the points is needed.
+    """
+    fpr = F.when(F.col("neg_all") > 0, F.col("fp") / F.col("neg_all"))
+    tpr = F.when(F.col("pos_all") > 0, F.col("tp") / F.col("pos_all"))
+    row = F.struct(F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
     if not with_start:
-        return pts
-    start = points.groupBy("label").agg(F.first("pos_all").alias("pos_all"), F.first("neg_all").alias("neg_all"))
-    start = start.select("label", F.lit(float("inf")).alias("threshold"),
-                         F.when(F.col("neg_all") > 0, F.lit(0.0)).alias("fpr"),
-                         F.when(F.col("pos_all") > 0, F.lit(0.0)).alias("tpr"))
-    return pts.unionByName(start)
+        return points.select("label", row.alias("r")).select("label", "r.*")
+    start = F.struct(F.lit(float("inf")).alias("threshold"),
+                     F.when(F.col("neg_all") > 0, F.lit(0.0)).alias("fpr"),
+                     F.when(F.col("pos_all") > 0, F.lit(0.0)).alias("tpr"))
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    rows = F.when(first, F.array(start, row)).otherwise(F.array(row))
+    return points.select("label", F.explode(rows).alias("r")).select("label", "r.*")
 
 
 def label_metrics(points: DataFrame) -> DataFrame:

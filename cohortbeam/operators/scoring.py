@@ -65,38 +65,52 @@ def linear_model_factory(n_features: int, n_inputs: int = 1) -> Callable[[], Pre
 
 
 def _with_error_capture(make_predict_fn: Callable[[], PredictFn], n_out: int,
-                        n_inputs: int) -> Callable[[], PredictFn]:
+                        n_inputs: int, masked: bool = False) -> Callable[[], PredictFn]:
     def make():
         model = make_predict_fn()
 
-        def predict(*inputs):
-            n = len(inputs[0])
+        def run(inputs, rows, scores, errors):
             try:
-                out = np.asarray(model(*inputs), dtype=np.float64)
-                return {"scores": out, "error": np.array([None] * n, dtype=object)}
-            except Exception:  # noqa: BLE001 - retried per row below
-                scores = np.full((n, n_out), np.nan)
-                errors = np.array([None] * n, dtype=object)
-                for r in range(n):
+                scores[rows] = np.asarray(model(*[a[rows] for a in inputs]), dtype=np.float64)
+            except Exception:  # noqa: BLE001 - retried row by row
+                for r in rows:
                     try:
                         scores[r] = np.asarray(model(*[a[r:r + 1] for a in inputs]), dtype=np.float64)[0]
                     except Exception as e:  # noqa: BLE001
                         errors[r] = f"{type(e).__name__}: {e}"
-                return {"scores": scores, "error": errors}
-        return with_arity(predict, n_inputs)
+
+        def predict(*inputs):
+            if masked:  # last input: 1 = send to the model, 0 = never seen by it
+                inputs, mask = inputs[:-1], np.asarray(inputs[-1])
+                rows = np.flatnonzero(mask > 0)
+            else:
+                rows = np.arange(len(inputs[0]))
+            n = len(inputs[0])
+            scores = np.full((n, n_out), np.nan)
+            errors = np.array([None] * n, dtype=object)
+            if len(rows):
+                run(inputs, rows, scores, errors)
+            return {"scores": scores, "error": errors}
+        return with_arity(predict, n_inputs + (1 if masked else 0))
     return make
 
 
 def batch_scorer(make_predict_fn: Callable[[], PredictFn], input_shapes: list[list[int]],
                  n_out: int = len(LABELS), batch_size: int = BATCH_SIZE,
-                 capture_errors: bool = False):
-    """A Spark column function scoring its array inputs in batches."""
+                 capture_errors: bool = False, masked: bool = False):
+    """A Spark column function scoring its array inputs in batches.
+
+    ``capture_errors``: returns struct<scores, error> and isolates failing
+    rows. ``masked`` (implies capture): one extra trailing 0/1 column; rows
+    with 0 are never passed to the model and come back without scores.
+    """
     from pyspark.ml.functions import predict_batch_udf
-    if capture_errors:
+    if capture_errors or masked:
         rt = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())),
                            T.StructField("error", T.StringType())])
-        return predict_batch_udf(_with_error_capture(make_predict_fn, n_out, len(input_shapes)), return_type=rt,
-                                 batch_size=batch_size, input_tensor_shapes=input_shapes)
+        shapes = list(input_shapes) + ([None] if masked else [])
+        return predict_batch_udf(_with_error_capture(make_predict_fn, n_out, len(input_shapes), masked),
+                                 return_type=rt, batch_size=batch_size, input_tensor_shapes=shapes)
     return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
                              batch_size=batch_size, input_tensor_shapes=input_shapes)
 
@@ -109,7 +123,8 @@ def score(df: DataFrame, scorer, inputs: list[str], out: str = "scores",
     if not capture_errors:
         return df.withColumn(out, res)
     tmp = df.withColumn("_res", res)
-    bad = F.col("_res.error").isNotNull() | F.exists(F.col("_res.scores"), lambda x: F.isnan(x))
+    bad = (F.col("_res.error").isNotNull() | F.col("_res.scores").isNull()
+           | F.exists(F.col("_res.scores"), lambda x: x.isNull() | F.isnan(x)))
     return (tmp.withColumn(out, F.when(~bad, F.col("_res.scores")))
                .withColumn("error", F.col("_res.error")).drop("_res"))
 

@@ -179,7 +179,7 @@ BULK_SQL = sql(["uploads", "label_names"], "SELECT * FROM res", BULK_CTES)
 def run_bulk(spark, d):
     u = fx.uploads(spark, d)
     imgs = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("image_vec"))
-    scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]], capture_errors=True)
+    scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]], masked=True)
     # gradient of the linear class score w.r.t. the image inputs: its weights
     grads = lambda k: cam.class_gradients(64, k, fx.weight)
     return bulk.bulk_patient_job(u, imgs, scorer, F.lit("2026-02-09").cast("date"),
