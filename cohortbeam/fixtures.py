@@ -148,16 +148,18 @@ def weight(i: Column, k: Column | int) -> Column:
     return ((i * 7 + F.lit(k) * 5) % 13 - 6).cast("double") / 10.0
 
 
+def _class_score_sql(k: int) -> str:
+    """sigmoid(embedding . w(., k)) as one SQL expression (weights inline)."""
+    ws = ", ".join(f"{((i * 7 + k * 5) % 13 - 6) / 10.0!r}D" for i in range(1, EMBED_DIM + 1))
+    return (f"1.0D / (1.0D + exp(-aggregate(zip_with(embedding, array({ws}), (x, w) -> CAST(x AS DOUBLE) * w), "
+            f"0.0D, (acc, v) -> acc + v)))")
+
+
 def scores_wide(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """vec_id, label, scores array<double>[14] from a fixed logistic model
     (plus ``keep`` columns of the same row)."""
     emb = table(spark, sf_dir, "embeddings")
-    per_class = []
-    for k in range(N_CLASSES):
-        wk = F.array(*[F.lit(((i * 7 + k * 5) % 13 - 6) / 10.0) for i in range(1, EMBED_DIM + 1)])
-        z = F.aggregate(F.zip_with("embedding", wk, lambda x, w: x.cast("double") * w),
-                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-        per_class.append(1.0 / (1.0 + F.exp(-z)))
+    per_class = [F.expr(_class_score_sql(k)) for k in range(N_CLASSES)]
     return emb.select("vec_id", "label", *keep, F.array(*per_class).alias("scores"))
 
 

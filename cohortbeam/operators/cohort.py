@@ -41,28 +41,32 @@ def label_columns(df: DataFrame, start: int = 1, stop: int = -1) -> list[str]:
     return df.columns[start:stop]
 
 
-def label_prevalence(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """Positives per label, ascending.
+def label_prevalence(df: DataFrame, labels: list[str] | None = None, with_share: bool = False) -> DataFrame:
+    """Positives per label, ascending (optionally with the share of all
+    positives in percent).
 
     One global aggregate with a sum per label (map-side partial sums, a
     single tiny final step), then the one-row result is unpivoted: the wide
-    table is never exploded or shuffled.
+    table is never exploded or shuffled, and the total comes from the same
+    aggregate row.
     """
     labels = labels or LABELS
     sums = df.agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).cast("bigint").alias(c) for c in labels])
-    long = sums.unpivot([], labels, "label", "positives")
+    sums = sums.withColumn("_total", sum((F.col(f"`{c}`") for c in labels), F.lit(0)))
+    long = sums.unpivot(["_total"], labels, "label", "positives")
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label"))
+    out = long.withColumn("label_idx", (order - 1).cast("int"))
+    cols = ["label", "positives", "label_idx"]
+    if with_share:
+        out = out.withColumn("share_pct", F.col("positives") * 100.0 / F.col("_total"))
+        cols.append("share_pct")
     # one row per label: sort in a single partition (no range-sampling job)
-    return (long.withColumn("label_idx", (order - 1).cast("int"))
-                .repartition(1).sortWithinPartitions("positives", "label_idx"))
+    return out.select(*cols).repartition(1).sortWithinPartitions("positives", "label_idx")
 
 
-def label_share(prevalence: DataFrame) -> DataFrame:
-    """Share of each label in percent of all positives (the total is a window
-    over the 14-row prevalence table, not over the data)."""
-    from pyspark.sql import Window
-    total = F.sum("positives").over(Window.partitionBy())
-    return prevalence.withColumn("share_pct", F.col("positives") * 100.0 / total)
+def label_share(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Share of each label in percent of all positives."""
+    return label_prevalence(df, labels, with_share=True)
 
 
 def cohort_counts(joined: DataFrame) -> DataFrame:
@@ -159,5 +163,22 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
     return out.select(*cols)
 
 
+def discover_categories(df: DataFrame, col: str, max_categories: int = 256) -> list[str]:
+    """Sorted distinct non-null values of a low-cardinality column. At most
+    ``max_categories`` + 1 rows reach the driver; more is an error."""
+    found = df.select(col).distinct().limit(max_categories + 1).collect()
+    if len(found) > max_categories:
+        raise ValueError(f"{col}: more than {max_categories} categories; not a categorical column")
+    return sorted(r[0] for r in found if r[0] is not None)
+
+
+def onehot_from_data(df: DataFrame, col: str, prefix: str, max_categories: int = 256) -> DataFrame:
+    """One 0/1 column per category found in the data (pandas-style dummies,
+    sorted). Rows are never pivoted or shuffled; only the categories are
+    collected."""
+    cats = discover_categories(df, col, max_categories)
+    return df.withColumns({f"{prefix}{c}": (F.col(col) == c).cast("int") for c in cats})
+
+
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))

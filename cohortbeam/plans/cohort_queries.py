@@ -48,7 +48,7 @@ def q_label_prevalence(spark, d):
 @query("label_share", cohort_sql(f"""SELECT label, positives, label_idx,
   positives * 100.0 / sum(positives) OVER () AS share_pct FROM ({_prev_union})"""))
 def q_label_share(spark, d):
-    return co.label_share(co.label_prevalence(cohort(spark, d))).withColumn("share_pct", F.round("share_pct", 9))
+    return co.label_share(cohort(spark, d)).withColumn("share_pct", F.round("share_pct", 9))
 
 
 # ------------------------------------------------------------------- joins
@@ -267,14 +267,6 @@ def q_group_key(spark, d):
     return fx.studies(spark, d).select("idx", feat.group_key("patient_id", "idx").alias("group_key"))
 
 
-def onehot_from_data(df, col: str, prefix: str):
-    """One indicator column per category present in the data (sorted), as
-    pandas-style dummies. Only the distinct categories (a handful) reach the
-    driver; rows are never pivoted or shuffled."""
-    cats = sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
-    return df.withColumns({f"{prefix}{c}": (F.col(col) == c).cast("int") for c in cats})
-
-
 @query("onehot_view", sql(["studies"], """
 SELECT idx, CAST(c = 'AP' AS INTEGER) AS view_AP, CAST(c = 'PA' AS INTEGER) AS view_PA,
        CAST(c = 'UNK' AS INTEGER) AS view_UNK FROM v""", [("v", """SELECT idx,
@@ -282,7 +274,7 @@ SELECT idx, CAST(c = 'AP' AS INTEGER) AS view_AP, CAST(c = 'PA' AS INTEGER) AS v
        WHEN contains(view_position, 'PA') THEN 'PA' ELSE 'UNK' END AS c FROM studies""")]))
 def q_onehot_view(spark, d):
     s = fx.studies(spark, d).select("idx", feat.parse_view("view_position").alias("view_cat"))
-    return onehot_from_data(s, "view_cat", "view_").drop("view_cat")
+    return co.onehot_from_data(s, "view_cat", "view_").drop("view_cat")
 
 
 @query("feature_vector", cohort_sql("""

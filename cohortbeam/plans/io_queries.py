@@ -100,8 +100,8 @@ def q_src_cascade(spark, d):
 
 def _model_schema_frame(spark, d):
     s = fx.studies(spark, d).select(feat.parse_view("view_position").alias("view_cat"))
-    cats = sorted(r[0] for r in s.distinct().collect())
-    meta = ["age_norm", "sex_bin"] + [f"view_{c}" for c in cats]
+    from ..operators.cohort import discover_categories
+    meta = ["age_norm", "sex_bin"] + [f"view_{c}" for c in discover_categories(s, "view_cat")]
     return spark.createDataFrame([(LABELS, meta)], rd.MODEL_SCHEMA)
 
 
