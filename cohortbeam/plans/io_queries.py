@@ -228,7 +228,7 @@ def q_bulk_heatmaps(spark, d):
 SELECT f.idx, CASE WHEN NOT (contains(f.fname, '.') AND lower(split_part(f.fname, '.', -1)) IN ('png', 'jpg', 'jpeg'))
     THEN 'Invalid file type. Please upload PNG or JPEG.'
   WHEN coalesce(trim(CASE WHEN u.idx % 23 = 0 THEN '  ' ELSE u.name END), '') = '' THEN 'Patient name is required'
-  WHEN trim(u.age_txt) IS NOT NULL AND trim(u.age_txt) <> '' AND NOT regexp_matches(trim(u.age_txt), '^\s*[+-]?[0-9]+\s*$')
+  WHEN trim(u.age_txt) IS NOT NULL AND trim(u.age_txt) <> '' AND NOT regexp_matches(trim(u.age_txt), '^\\s*[+-]?[0-9]+\\s*$')
     THEN 'Invalid age value' END AS error
 FROM fn f JOIN (SELECT uu.idx, uu.name, fm.age AS age_txt FROM uploads uu JOIN form fm ON fm.idx = uu.idx) u ON u.idx = f.idx""",
     [FNAME, UPLOAD_FORM]))
