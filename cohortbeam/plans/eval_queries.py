@@ -34,7 +34,8 @@ POINTS = [
               CASE WHEN m.pos_all > 0 AND m.neg_all > 0 THEN CAST(CASE WHEN b.j > 0 THEN b.btp ELSE 0 END AS BIGINT) END AS tp,
               CASE WHEN m.pos_all > 0 AND m.neg_all > 0 THEN CAST(CASE WHEN b.j > 0 THEN b.bfp ELSE 0 END AS BIGINT) END AS fp
             FROM m JOIN best b ON m.label = b.label"""),
-    ("cm", """SELECT *, CASE WHEN NOT skipped THEN pos_all - tp END AS fn, CASE WHEN NOT skipped THEN neg_all - fp END AS tn FROM lm"""),
+    ("cm", """SELECT *, CAST(CASE WHEN NOT skipped THEN pos_all - tp END AS BIGINT) AS fn,
+              CAST(CASE WHEN NOT skipped THEN neg_all - fp END AS BIGINT) AS tn FROM lm"""),
     ("rep", """SELECT label, auc, ap, threshold, tp, fp, fn, tn, skipped,
               CASE WHEN NOT skipped THEN CASE WHEN pos_all <> 0 THEN tp / pos_all ELSE 0.0 END END AS sensitivity,
               CASE WHEN NOT skipped THEN CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0.0 END END AS specificity,

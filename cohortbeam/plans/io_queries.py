@@ -81,9 +81,9 @@ def q_src_image_bytes(spark, d):
 SCORING_INPUT_SQL = sql(["uploads"], """
 SELECT 'img_' || CAST(idx AS VARCHAR) || '.png' AS image_path,
   least(greatest(CAST(age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
-  CASE WHEN upper(gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
-  CASE WHEN upper(view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
-  CASE WHEN upper(view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA FROM uploads""")
+  CASE WHEN upper(gender) = 'M' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sex_bin,
+  CASE WHEN upper(view) = 'AP' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS view_AP,
+  CASE WHEN upper(view) = 'PA' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS view_PA FROM uploads""")
 
 
 @query("src_cascade", SCORING_INPUT_SQL)
@@ -282,8 +282,8 @@ SELECT idx, split, 4 AS n_features, round(age_norm + sex_bin + view_AP + view_PA
        CAST({' + '.join(LABELS)} AS DOUBLE) AS label_sum
 FROM (SELECT idx, {LABELS[0]}, {', '.join(LABELS[1:])},
         CAST(CAST(coalesce(CAST(age_i AS DOUBLE), (SELECT median(age_i) FROM parsed)) / 100.0 AS FLOAT) AS DOUBLE) AS age_norm,
-        CASE WHEN gender = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
-        CASE WHEN c = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP, CASE WHEN c = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA,
+        CASE WHEN gender = 'M' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sex_bin,
+        CASE WHEN c = 'AP' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS view_AP, CASE WHEN c = 'PA' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS view_PA,
         {SPLIT_SQL.replace('u', 'u')} AS split
       FROM (SELECT *, {U_SQL.replace('group_key', 'coalesce(CAST(patient_id AS VARCHAR), CAST(idx AS VARCHAR))')} AS u,
               CASE WHEN view_position IS NULL THEN 'UNK' WHEN contains(view_position, 'AP') THEN 'AP'

@@ -224,9 +224,9 @@ def q_rescale_255(spark, d):
 # ------------------------------------------------------- uploads & validation
 @query("serve_features", sql(["uploads"], """
 SELECT idx, least(greatest(CAST(age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
-  CASE WHEN upper(gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
-  CASE WHEN upper(view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
-  CASE WHEN upper(view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA FROM uploads"""))
+  CASE WHEN upper(gender) = 'M' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sex_bin,
+  CASE WHEN upper(view) = 'AP' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS view_AP,
+  CASE WHEN upper(view) = 'PA' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS view_PA FROM uploads"""))
 def q_serve_features(spark, d):
     u = fx.uploads(spark, d)
     ap, pa = feat.serve_view_onehot("view")
@@ -293,7 +293,7 @@ def q_upload_parse(spark, d):
 
 @query("default_features", sql([], """
 SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id % 100 AS DOUBLE) / 100.0 ELSE 0.5 END AS age_norm,
-       0.0 AS sex_bin, 0.0 AS view_AP, 1.0 AS view_PA FROM embeddings"""))
+       0.0::DOUBLE AS sex_bin, 0.0::DOUBLE AS view_AP, 1.0::DOUBLE AS view_PA FROM embeddings"""))
 def q_default_features(spark, d):
     """Images without metadata get the default feature values; a partly
     present column is coalesced."""
