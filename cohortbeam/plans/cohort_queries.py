@@ -46,9 +46,9 @@ def q_label_prevalence(spark, d):
 
 
 @query("label_share", cohort_sql(f"""SELECT label, positives, label_idx,
-  positives * 100.0 / sum(positives) OVER () AS share_pct FROM ({_prev_union})"""))
+  round(CAST(positives AS DOUBLE) * 100.0 / sum(positives) OVER (), 6) AS share_pct FROM ({_prev_union})"""))
 def q_label_share(spark, d):
-    return co.label_share(cohort(spark, d)).withColumn("share_pct", F.round("share_pct", 9))
+    return co.label_share(cohort(spark, d)).withColumn("share_pct", F.round("share_pct", 6))
 
 
 # ------------------------------------------------------------------- joins
