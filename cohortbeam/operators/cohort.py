@@ -83,9 +83,17 @@ def normal_vs_sick(df: DataFrame, flag: str = "no_finding") -> DataFrame:
     return df.agg(F.count_if(F.col(flag) == 1).alias("normal"), F.count_if(F.col(flag) != 1).alias("sick"))
 
 
-def add_age_features(df: DataFrame, age_raw: str = "age_raw") -> DataFrame:
+def add_age_features(df: DataFrame, age_raw: str = "age_raw", materialize: bool = False) -> DataFrame:
     """Training features: parsed age, NULL -> exact median, age_norm = age/100,
-    sex_bin (exact 'M'), view category and group key."""
+    sex_bin (exact 'M'), view category and group key.
+
+    The median needs a full pass before rows can be filled. With
+    ``materialize=True`` the input is checkpointed once to the shared
+    ``spark.checkpoint.dir`` (lineage cut, survives executor loss), so the
+    joins that produced it run once instead of twice.
+    """
+    if materialize:
+        df = df.checkpoint(eager=True)
     parsed = df.withColumn("age_years", parse_age(age_raw))
     med = scalar(parsed.agg(F.median("age_years")))
     return parsed.withColumns({

@@ -251,7 +251,7 @@ FROM parsed""", [PARSED])
 
 @query("train_features", TRAIN_FEATURES_SQL)
 def q_train_features(spark, d):
-    f = co.add_age_features(cohort(spark, d))
+    f = co.add_age_features(cohort(spark, d), materialize=True)
     return f.select("idx", F.round("age_norm", 6).alias("age_norm"), "sex_bin", "view_cat", "group_key")
 
 
@@ -287,7 +287,7 @@ SELECT idx, pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS value FROM (
   CASE WHEN view_position IS NULL THEN 'UNK' WHEN contains(view_position, 'AP') THEN 'AP'
        WHEN contains(view_position, 'PA') THEN 'PA' ELSE 'UNK' END AS c FROM parsed""")]))
 def q_feature_vector(spark, d):
-    f = co.add_age_features(cohort(spark, d))
+    f = co.add_age_features(cohort(spark, d), materialize=True)
     f = f.withColumns({"view_AP": (F.col("view_cat") == "AP").cast("double"),
                        "view_PA": (F.col("view_cat") == "PA").cast("double"),
                        "sex_bin": F.col("sex_bin").cast("double")})

@@ -292,7 +292,7 @@ FROM (SELECT idx, {LABELS[0]}, {', '.join(LABELS[1:])},
 def q_train_export(spark, d):
     """Cohort features and labels exported per split (seeded order for
     train, key order for val/test), read back."""
-    f = add_age_features(cohort(spark, d))
+    f = add_age_features(cohort(spark, d), materialize=True)
     f = f.withColumns({"view_AP": (F.col("view_cat") == "AP").cast("double"),
                        "view_PA": (F.col("view_cat") == "PA").cast("double"),
                        "sex_bin": F.col("sex_bin").cast("double")})
@@ -343,7 +343,8 @@ def q_stream_intake(spark, d):
     -> results log, one run id per micro-batch (idempotent replays)."""
     from ..operators.validate import validate
     from ..streaming.intake import start_intake
-    base = _scratch(spark, d, "stream")
+    import uuid
+    base = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex}"  # a new run folder per invocation
     src, out, ckpt = f"{base}/in", f"{base}/results", f"{base}/checkpoint"
     u = fx.uploads(spark, d).withColumn("content", F.base64("content"))
     u.repartition(4).write.mode("overwrite").json(src)
@@ -357,4 +358,4 @@ def q_stream_intake(spark, d):
 
     q = start_intake(spark, src, UPLOAD_SCHEMA, process, out, ckpt, max_files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("run_id").dropDuplicates(["idx"])
+    return spark.read.parquet(out).drop("run_id")
