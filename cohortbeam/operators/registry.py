@@ -23,6 +23,7 @@ def latest_per_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 def listing_from_paths(files: DataFrame, path: str = "path") -> DataFrame:
     """(folder_name, file_name, path) from file paths of a registry tree."""
     parent = F.regexp_extract(F.col(path), r"([^/]+)/[^/]+$", 1)
+    parent = F.regexp_replace(parent, r"^[^=]+=", "")  # partitionBy layout: key=value
     return files.select(parent.alias("folder_name"), basename(path).alias("file_name"), F.col(path))
 
 

@@ -72,10 +72,14 @@ def q_src_path_index(spark, d):
     return idx.select("basename", F.regexp_extract("path", r"(images_[0-9]+/images/[^/]+)$", 1).alias("rel_path"))
 
 
-@query("src_image_bytes")
+@query("src_image_bytes", sql([], """
+SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') || '.png' AS basename, vec_id % 50 <> 0 AS is_png, true AS has_bytes
+FROM embeddings"""))
 def q_src_image_bytes(spark, d):
+    """Image file contents: signature check on the bytes read by binaryFile."""
     b = rd.image_bytes(spark, ensure_images(spark, d))
-    return b.select("basename", "length", (F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))).alias("is_png"))
+    png = F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))
+    return b.select("basename", png.alias("is_png"), (F.col("length") > 0).alias("has_bytes"))
 
 
 SCORING_INPUT_SQL = sql(["uploads"], """
@@ -126,8 +130,13 @@ def q_src_model_schema(spark, d):
     return lab.unionByName(met).select("kind", F.col("pos").cast("int").alias("pos"), "name")
 
 
-@query("sink_model_schema")
+@query("sink_model_schema", sql(["studies", "label_names"], """
+SELECT to_json({'labels': (SELECT list(name ORDER BY k) FROM label_names),
+                'meta_cols': ['age_norm', 'sex_bin'] || (SELECT list('view_' || c ORDER BY c) FROM (SELECT DISTINCT
+  CASE WHEN view_position IS NULL THEN 'UNK' WHEN contains(view_position, 'AP') THEN 'AP'
+       WHEN contains(view_position, 'PA') THEN 'PA' ELSE 'UNK' END AS c FROM studies))})::VARCHAR AS value"""))
 def q_sink_model_schema(spark, d):
+    """The model schema document as written (JSON text)."""
     return spark.read.text(_write_model_schema(spark, d))
 
 
@@ -144,16 +153,18 @@ def q_src_registry_json(spark, d):
     return r.select("folder_name", "doc.patient_name", "doc.age", "doc.gender", "doc.view")
 
 
-@query("registry_files")
+@query("registry_files", sql(["folders", "files"], """
+SELECT s.folder_name, CAST(count(*) AS BIGINT) AS n_files FROM state s JOIN meta m ON m.idx = s.idx GROUP BY s.folder_name""",
+                              [LOG, STATE, META]))
 def q_registry_files(spark, d):
-    """Listing of the registry tree: folder, file count, bytes (no content read)."""
+    """Listing of the registry tree: files per folder (contents not read)."""
     root = _scratch(spark, d, "registry_docs")
     if not os.path.exists(root):
         q_src_registry_json(spark, d).count()
     files = rd.image_files(spark, root, "*.txt").select("path", "length")
     from ..operators.registry import listing_from_paths
     lst = listing_from_paths(files).join(files, "path")
-    return lst.groupBy("folder_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+    return lst.groupBy("folder_name").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 # ------------------------------------------------------------- bulk job
@@ -337,25 +348,26 @@ UPLOAD_SCHEMA = T.StructType([T.StructField("idx", T.LongType()), T.StructField(
                               T.StructField("view", T.StringType()), T.StructField("content", T.StringType())])
 
 
-@query("stream_intake")
+@query("stream_intake", BULK_SQL)
 def q_stream_intake(spark, d):
-    """Upload records arriving as JSON files -> validate -> serving features
-    -> results log, one run id per micro-batch (idempotent replays)."""
-    from ..operators.validate import validate
-    from ..streaming.intake import start_intake
+    """Upload records arriving as JSON files -> validate -> join decoded
+    images -> masked batch scoring -> results log, one run id per
+    micro-batch (a replayed batch overwrites its own partition)."""
     import uuid
+
+    from ..streaming.intake import start_intake
     base = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex}"  # a new run folder per invocation
     src, out, ckpt = f"{base}/in", f"{base}/results", f"{base}/checkpoint"
     u = fx.uploads(spark, d).withColumn("content", F.base64("content"))
     u.repartition(4).write.mode("overwrite").json(src)
+    imgs = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("image_vec"))
+    scorer = sc.batch_scorer(sc.linear_model_factory(68, n_inputs=2), [[64], [4]], masked=True)
 
     def process(batch):
         b = batch.withColumn("content", F.unbase64("content"))
-        v = validate(b)
-        return bulk.serve_meta(v).select("idx", "name", "valid", F.array_join("errors", "; ").alias("errors"),
-                                         "age_norm", "sex_bin", "view_AP", "view_PA",
-                                         F.lit("2026-02-09").alias("run_date"))
+        r = bulk.bulk_patient_job(b, imgs, scorer, F.lit("2026-02-09").cast("date"))
+        return r.select(*bulk.RESULT_COLS).withColumn("run_date", F.lit("2026-02-09"))
 
-    q = start_intake(spark, src, UPLOAD_SCHEMA, process, out, ckpt, max_files_per_trigger=1)
+    q = start_intake(spark, src, UPLOAD_SCHEMA, process, out, ckpt, max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(out).drop("run_id")
+    return spark.read.parquet(out).select(*bulk.RESULT_COLS)
