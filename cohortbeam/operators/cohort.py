@@ -8,7 +8,6 @@ from ..constants import LABELS
 from ..functions.features import (group_key, parse_age, parse_view, train_age_norm,
                                   train_sex_bin)
 from .joins import attach_demographics, attach_paths, exclude, join_coalesce, scalar
-from .plan_utils import sized_broadcast
 
 DEMOGRAPHICS = ["patient_id", "age_raw", "gender", "view_position"]
 
@@ -142,9 +141,8 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
     integers; ``log_count`` is ln(count) (NULL for empty bins).
 
     Work: a partial+final aggregate for the range (one row per group), one
-    partial+final count per (group, bin). The range table is joined back as
-    a broadcast only after its size is checked; callers group by a
-    low-cardinality column (gender).
+    partial+final count per (group, bin). The range table (one row per
+    group) is joined back; Spark broadcasts it under the size threshold.
     """
     data = df.where(F.col(value).isNotNull())
     if by is None:
@@ -156,7 +154,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
     # bin from the ratio (x-lo)*bins/(hi-lo); the maximum goes to the last bin
     raw = F.floor((x - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo")))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
-    counts = (data.join(sized_broadcast(rng), key, "inner").withColumn("bin", idx)
+    counts = (data.join(rng, key, "inner").withColumn("bin", idx)
                   .groupBy(key, "bin").agg(F.count(F.lit(1)).alias("count")))
     frame = rng.select(key, "lo", "hi", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = frame.join(counts, [key, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))

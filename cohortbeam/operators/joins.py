@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plan_utils import sized_broadcast
 
 
 def attach_paths(labels: DataFrame, paths: DataFrame, on: str = "idx") -> DataFrame:
@@ -14,8 +13,12 @@ def attach_paths(labels: DataFrame, paths: DataFrame, on: str = "idx") -> DataFr
 
 def exclude(catalog: DataFrame, bad: DataFrame, on: str = "idx") -> DataFrame:
     """Catalog rows whose key is not in the exclusion list (anti join, NULL-safe
-    in the sense of ``isin``: a NULL key in ``bad`` excludes nothing)."""
-    return catalog.join(sized_broadcast(bad.select(on).where(F.col(on).isNotNull())), on, "left_anti")
+    in the sense of ``isin``: a NULL key in ``bad`` excludes nothing).
+
+    No hint: Spark broadcasts the list when its estimated size is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks the real size
+    at runtime; a larger list gets a sort-merge anti join instead."""
+    return catalog.join(bad.select(on).where(F.col(on).isNotNull()), on, "left_anti")
 
 
 def attach_demographics(left: DataFrame, catalog: DataFrame, cols: list[str], on: str = "idx") -> DataFrame:
