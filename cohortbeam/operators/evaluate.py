@@ -177,11 +177,20 @@ def confusion_metrics(m: DataFrame) -> DataFrame:
     })
 
 
-def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: bool = True) -> DataFrame:
+def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: bool = True,
+                materialize: bool = False) -> DataFrame:
     """Per-label report in label order: Pathology, AUC_ROC, AvgPrecision,
     Precision, Recall, F1, Specificity, TP, FP, FN, TN, OptimalThreshold and a
-    ``skipped`` flag for labels that lack positives or negatives."""
+    ``skipped`` flag for labels that lack positives or negatives.
+
+    The two-level plan reads ``scored`` twice (bucket totals, then groups).
+    When ``scored`` is not a stored table (e.g. straight out of a model UDF),
+    pass ``materialize=True``: it is checkpointed once to the shared
+    ``spark.checkpoint.dir`` so the model is not run twice.
+    """
     labels = labels or LABELS
+    if materialize:
+        scored = scored.checkpoint(eager=True)
     m = confusion_metrics(label_metrics(roc_points(scored, two_level)))
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
     return m.select(
