@@ -92,6 +92,8 @@ def add_age_features(df: DataFrame, age_raw: str = "age_raw", materialize: bool
     joins that produced it run once instead of twice.
     """
     if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     parsed = df.withColumn("age_years", parse_age(age_raw))
     med = scalar(parsed.agg(F.median("age_years")))

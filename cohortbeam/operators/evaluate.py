@@ -190,6 +190,8 @@ def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: b
     """
     labels = labels or LABELS
     if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(scored.sparkSession)
         scored = scored.checkpoint(eager=True)
     m = confusion_metrics(label_metrics(roc_points(scored, two_level)))
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1

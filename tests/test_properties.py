@@ -83,3 +83,31 @@ def test_split_shares_over_groups(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("g"))
     c = {r.split: r["count"] for r in sp.group_split(df, "g").groupBy("split").count().collect()}
     assert abs(c["train"] / 20000 - 0.8) < 0.02 and abs(c["val"] / 20000 - 0.1) < 0.01
+
+
+def test_all_equal_scores_give_half_auc(spark):
+    rows = [(i, "A", 0.7, i % 3 == 0) for i in range(30)]
+    df = spark.createDataFrame([(a, b, c, int(d)) for a, b, c, d in rows],
+                               "image_key long, label string, score double, truth int")
+    r = ev.eval_report(df, labels=["A"], materialize=True).first()
+    assert r.AUC_ROC == 0.5 and r.OptimalThreshold == float("inf")
+    assert abs(r.AvgPrecision - 10 / 30) < 1e-12
+
+
+@SETTINGS
+@given(st.lists(st.integers(-50, 500), min_size=1, max_size=80), st.integers(1, 40))
+def test_histogram_counts_every_row(spark, ages, bins):
+    from cohortbeam.operators.cohort import histogram
+    df = spark.createDataFrame([(a,) for a in ages], "age int")
+    h = histogram(df, "age", bins).collect()
+    assert len(h) == bins and sum(r["count"] for r in h) == len(ages)
+
+
+@SETTINGS
+@given(st.text(max_size=12), st.dates(min_value=__import__("datetime").date(1000, 1, 1)))
+def test_folder_key_parse_inverts_build(spark, name, day):
+    from cohortbeam.functions import text as tx
+    df = spark.createDataFrame([(name, day)], "n string, d date")
+    k = df.select(tx.sanitize_name("n").alias("clean"), tx.folder_key("n", F.col("d")).alias("k"))
+    r = k.select("clean", *[v.alias(x) for x, v in tx.parse_folder(F.col("k")).items()]).first()
+    assert r.patient_name == r.clean and r.date == day.isoformat()
