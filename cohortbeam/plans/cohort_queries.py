@@ -115,11 +115,16 @@ def q_strip_columns(spark, d):
     return s.toDF(*[c.strip() for c in s.columns])
 
 
-@query("label_columns", f"SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate(LABELS))}) AS t(pos, label)")
+@query("label_columns", sql(["label_matrix"], "\nUNION ALL ".join(
+    f"SELECT idx, {k} AS pos, '{n}' AS label FROM label_matrix WHERE {n} = 1" for k, n in enumerate(LABELS))))
 def q_label_columns(spark, d):
+    """Label columns found by position (between the key and the trailing
+    no_finding column), then every set flag of every row in long form."""
     lm = fx.label_matrix(spark, d)
-    names = co.label_columns(lm)  # all columns between the key and the trailing no_finding
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, label string")
+    names = co.label_columns(lm)
+    long = lm.select("idx", F.posexplode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"`{n}`").alias("flag"))
+                                                    for n in names])).alias("pos", "e"))
+    return long.where(F.col("e.flag") == 1).select("idx", "pos", F.col("e.label").alias("label"))
 
 
 @query("age_outliers", sql(["studies"], """

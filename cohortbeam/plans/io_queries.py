@@ -25,7 +25,7 @@ from ..session import scratch_path
 from ..sinks import writers as wr
 from ..sources import readers as rd
 from .catalog import query
-from .cohort_queries import AGE_SQL, COHORT_VIEWS, U_SQL, SPLIT_SQL, cohort, cohort_sql
+from .cohort_queries import AGE_SQL, SPLIT_SQL, U_SQL, cohort, cohort_sql
 from .eval_queries import eval_sql
 from .oracle_views import linear_sql, sql
 from .registry_queries import LOG, META, STATE, metadata_docs, state
