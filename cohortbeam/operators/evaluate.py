@@ -16,8 +16,10 @@ the rows, say) into one task, so the running sum is done in two levels:
 * inside each (label, bucket) the running sum is a window partitioned by
   both, so the work spreads over all buckets.
 
-For float32 scores a bucket holds at most 2^(23-MANTISSA_BITS) distinct
-values, so no task grows with the data. The result is identical to the plain
+With MANTISSA_BITS = 16 a bucket spans a relative width of 2^-16, so it
+holds at most 2^(23-16) = 128 distinct float32 scores (model outputs) and
+no task grows with the data; a label has at most 65,536 occupied buckets
+per binary octave of scores, which bounds the per-label offsets window. The result is identical to the plain
 label-partitioned window (``two_level=False``, kept for tests).
 """
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS
 
-MANTISSA_BITS = 10
+MANTISSA_BITS = 16
 _EXP_OFFSET = 1100
 
 
