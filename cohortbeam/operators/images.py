@@ -86,6 +86,23 @@ def prepare_images(images: DataFrame, size: tuple[int, int] = (256, 256), mode:
     return images.select("image").mapInPandas(_prep_fn(size, mode), IMAGE_OUT_SCHEMA)
 
 
+def score_images(images: DataFrame, scorer, size: tuple[int, int] = (256, 256), mode: str = "tanh") -> DataFrame:
+    """Decoded images -> prepared tensors -> Arrow-batched model scores.
+
+    Undecodable images are kept with ``ok = false`` and never reach the
+    model (the scorer's mask); tensors stay inside the tasks that decoded
+    them -- nothing is shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    from .scoring import score
+    t = prepare_images(images, size, mode)
+    n = size[0] * size[1] * 3
+    t = t.withColumns({"_px": F.when(F.col("ok"), F.col("pixels")).otherwise(F.array_repeat(F.lit(0.0).cast("float"), n)),
+                       "_mask": F.col("ok").cast("double")})
+    return score(t, scorer, ["_px", "_mask"], capture_errors=True).drop("_px", "_mask", "pixels")
+
+
 def _png_writer(root: str, key: str, value: str, layout: str):
     def write(batches):
         import pyarrow.fs as pafs

@@ -39,6 +39,27 @@ class LinearSigmoidModel:
         return 1.0 / (1.0 + np.exp(-(x @ self.weights)))
 
 
+class ChannelMeanModel:
+    """Test model on image tensors: per-channel mean pixel -> logistic layer.
+    Input (n, H*W*C) or (n, H, W, C) float32; C = 3."""
+
+    def __init__(self, weights: np.ndarray, channels: int = 3):
+        self.weights = np.asarray(weights, dtype=np.float64)
+        self.channels = channels
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, dtype=np.float64).reshape(len(x), -1, self.channels)
+        if not np.isfinite(x).all():
+            raise ValueError("non-finite input")
+        return 1.0 / (1.0 + np.exp(-(x.mean(axis=1) @ self.weights)))
+
+
+def channel_mean_factory(channels: int = 3) -> Callable[[], PredictFn]:
+    def make_predict_fn() -> PredictFn:
+        return with_arity(ChannelMeanModel(rule_weights(channels) * 4.0, channels), 1)
+    return make_predict_fn
+
+
 def rule_weights(n_features: int, n_classes: int = len(LABELS)) -> np.ndarray:
     """w(i, k) = ((i*7 + k*5) % 13 - 6) / 10 for i = 1..n_features (test model)."""
     i = np.arange(1, n_features + 1)[:, None]

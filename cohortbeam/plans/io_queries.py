@@ -342,6 +342,20 @@ def q_image_table(spark, d):
                     F.size("pixels").alias("n_values"), F.round(mean, 6).alias("mean"))
 
 
+@query("score_images")
+def q_score_images(spark, d):
+    """Image files -> decode, RGB, 256x256 bilinear, x/127.5-1 -> model in
+    Arrow batches -> top label (undecodable files kept, never scored)."""
+    from ..operators import ranking as rk
+    imgs = rd.image_table(spark, ensure_images(spark, d))
+    scorer = sc.batch_scorer(sc.channel_mean_factory(), [[256 * 256 * 3]], masked=True)
+    s = im.score_images(imgs, scorer)
+    pred = F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores")))
+    return s.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("basename"), "ok",
+                    F.when(pred.isNotNull(), rk.top_prediction(pred)).alias("top_prediction"),
+                    F.size("scores").alias("n_scores"))
+
+
 # ------------------------------------------------------------- streaming
 UPLOAD_SCHEMA = T.StructType([T.StructField("idx", T.LongType()), T.StructField("name", T.StringType()),
                               T.StructField("age", T.IntegerType()), T.StructField("gender", T.StringType()),

@@ -92,3 +92,25 @@ def test_cascade_raises_on_other_errors(spark, tmp_path):
     (bad / "data.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         rd.scoring_input(spark, str(bad)).collect()
+
+
+def test_score_images_matches_numpy(spark, tmp_path):
+    from cohortbeam.constants import LABELS
+    from cohortbeam.operators import scoring as sc
+    rng = np.random.default_rng(3)
+    expect = {}
+    model = sc.ChannelMeanModel(sc.rule_weights(3) * 4.0)
+    for i in range(6):
+        px = rng.integers(0, 256, size=(5, 7, 3), dtype=np.uint8) if i % 2 else rng.integers(0, 256, size=(5, 7), dtype=np.uint8)
+        (tmp_path / f"{i}.png").write_bytes(encode_png(px))
+        rgb = px.astype(np.float32) if px.ndim == 3 else np.repeat(px[..., None], 3, axis=2).astype(np.float32)
+        x = im.scale_pixels(im.resize_bilinear(rgb, 16, 16), "tanh").astype(np.float32).reshape(1, -1)
+        expect[f"{i}.png"] = LABELS[int(np.argmax(model(x)[0]))]
+    (tmp_path / "broken.png").write_bytes(b"junk")
+    scorer = sc.batch_scorer(sc.channel_mean_factory(), [[16 * 16 * 3]], masked=True)
+    rows = im.score_images(rd.image_table(spark, str(tmp_path)), scorer, size=(16, 16)).collect()
+    got = {r.path.rsplit("/", 1)[-1]: r for r in rows}
+    assert got["broken.png"].ok is False and got["broken.png"].scores is None
+    for name, label in expect.items():
+        s = got[name].scores
+        assert LABELS[int(np.argmax(s))] == label
