@@ -19,6 +19,9 @@ feature order and the user-facing defaults and messages):
   fallback raw date 00000000; empty sanitized name -> Unknown
 - record sources: web_upload, spark_batch, batch_sequential
 - validation and form messages: see the MSG_* constants below
+- registry file names: original.png, heatmap files gradcam_<label>.png
+  (blanks and slashes in the label become underscores), metadata.json,
+  predictions.json; result message "Saved to <registry root>/<folder>"
 """
 
 LABELS = [
@@ -52,6 +55,13 @@ NO_LABEL = "No Label"
 
 SOURCES = ["web_upload", "spark_batch", "batch_sequential"]
 
+ORIGINAL_IMAGE = "original.png"
+HEATMAP_PREFIX = "gradcam_"
+IMAGE_SUFFIX = ".png"
+METADATA_DOC = "metadata.json"
+PREDICTIONS_DOC = "predictions.json"
+MSG_SAVED = "Saved to {}/{}"
+
 # Validation messages (fixed text; {} is the offending value).
 MSG_AGE = "Invalid age: {}. Must be between 0 and 150."
 MSG_GENDER = "Invalid gender: {}. Must be 'M' or 'F'."

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import (BAND_HIGH, BAND_MEDIUM, FOLDER_PATTERN, NO_LABEL, UNKNOWN_DATE,
-                         UNKNOWN_DATE_RAW, UNKNOWN_NAME)
+from ..constants import (BAND_HIGH, BAND_MEDIUM, FOLDER_PATTERN, HEATMAP_PREFIX, IMAGE_SUFFIX, NO_LABEL,
+                         ORIGINAL_IMAGE, UNKNOWN_DATE, UNKNOWN_DATE_RAW, UNKNOWN_NAME)
 
 __all__ = [
     "sanitize_name", "folder_key", "parse_folder", "basename", "stem", "extension",
@@ -96,19 +96,19 @@ def gender_display(g: Column | str) -> Column:
 
 def heatmap_filename(label: Column | str) -> Column:
     """Label -> heatmap file name (blanks and slashes become underscores)."""
-    return F.concat(F.lit("gradcam_"), F.translate(_c(label), " /", "__"), F.lit(".png"))
+    return F.concat(F.lit(HEATMAP_PREFIX), F.translate(_c(label), " /", "__"), F.lit(IMAGE_SUFFIX))
 
 
 def label_from_filename(fname: Column | str) -> Column:
-    """First 'gradcam_' and first '.png' removed."""
-    x = F.regexp_replace(_c(fname), r"^(.*?)gradcam_", "$1")
-    return F.regexp_replace(x, r"^(.*?)\.png", "$1")
+    """First heatmap prefix and first image suffix removed."""
+    x = F.regexp_replace(_c(fname), r"^(.*?)" + HEATMAP_PREFIX, "$1")
+    return F.regexp_replace(x, r"^(.*?)\." + IMAGE_SUFFIX.lstrip("."), "$1")
 
 
 def image_role(fname: Column | str) -> Column:
     f = _c(fname)
-    return (F.when(f == "original.png", "original")
-             .when(f.endswith(".png"), "gradcam"))
+    return (F.when(f == ORIGINAL_IMAGE, "original")
+             .when(f.endswith(IMAGE_SUFFIX), "gradcam"))
 
 
 def bar_line(label: Column | str, prob: Column | str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, MSG_UNREADABLE, TOP_K_HEATMAPS
+from ..constants import LABELS, MSG_SAVED, MSG_UNREADABLE, TOP_K_HEATMAPS
 from ..functions import features as feat
 from ..functions.text import folder_key
 from . import ranking as rk
@@ -68,7 +68,8 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
             k = F.array_position(names, e["key"]) - 1
             return heatmap_arrays(F.col(image_col), gradient_fn(k), cam_shape[0], cam_shape[1])
         heat = F.when(ok, F.map_from_entries(F.transform(top3, lambda e: F.struct(e["key"], one(e)))))
-    message = (F.when(ok, F.concat(F.lit(f"Saved to {registry_root.rstrip('/')}/"), F.col("folder_name")))
+    saved_prefix = MSG_SAVED.format(registry_root.rstrip("/"), "")
+    message = (F.when(ok, F.concat(F.lit(saved_prefix), F.col("folder_name")))
                 .when(F.size("errors") > 0, F.array_join("errors", "; "))
                 .otherwise(F.col("error")))
     return out.select(
