@@ -171,6 +171,34 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
     return out.select(*cols)
 
 
+def row_numbers(df: DataFrame, order: list[str], out: str = "row_no", partitions: int | None = None) -> DataFrame:
+    """Exact 0-based position of every row in ``order`` -- distributed.
+
+    Range partitioning (sampled boundaries, so balanced) plus a sort within
+    each partition gives each row a local index (from
+    ``monotonically_increasing_id``: partition id in the upper bits, index in
+    the lower 33). Per-partition counts -- one row per partition -- are
+    summed into offsets and added back through a broadcast join whose size is
+    bounded by the partition count. No step moves all rows to one task
+    (a global ``offset`` or ``row_number()`` window would).
+    """
+    from pyspark.sql import Window
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    srt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    srt = srt.withColumn("_mid", F.monotonically_increasing_id())
+    srt = srt.withColumns({"_pid": F.shiftright(F.col("_mid"), 33), "_loc": F.col("_mid").bitwiseAND((1 << 33) - 1)})
+    # materialize the numbered rows so the counts and the rows come from one evaluation
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    srt = srt.checkpoint(eager=True)
+    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (srt.join(F.broadcast(offsets), "_pid")
+               .withColumn(out, F.col("_off") + F.col("_loc"))
+               .drop("_mid", "_pid", "_loc", "_off"))
+
+
 def discover_categories(df: DataFrame, col: str, max_categories: int = 256) -> list[str]:
     """Sorted distinct non-null values of a low-cardinality column. At most
     ``max_categories`` + 1 rows reach the driver; more is an error."""

@@ -137,14 +137,16 @@ def q_age_outliers(spark, d):
 
 @query("row_offset", sql(["studies"], "SELECT idx, gender FROM studies ORDER BY idx OFFSET 89"))
 def q_row_offset(spark, d):
-    # tail of the catalog from a row position, in an explicit key order
-    return fx.studies(spark, d).select("idx", "gender").orderBy("idx").offset(89)
+    """Tail of the catalog from a row position, in an explicit key order."""
+    r = co.row_numbers(fx.studies(spark, d).select("idx", "gender"), ["idx"])
+    return r.where(F.col("row_no") >= 89).select("idx", "gender")
 
 
 @query("row_at", sql(["studies"], "SELECT idx, gender FROM studies ORDER BY idx LIMIT 1 OFFSET 7"))
 def q_row_at(spark, d):
-    # pick one row by position: a global order with a bounded offset
-    return fx.studies(spark, d).select("idx", "gender").orderBy("idx").offset(7).limit(1)
+    """One row by its position in an explicit key order."""
+    r = co.row_numbers(fx.studies(spark, d).select("idx", "gender"), ["idx"])
+    return r.where(F.col("row_no") == 7).select("idx", "gender")
 
 
 # --------------------------------------------------------------- features

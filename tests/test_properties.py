@@ -111,3 +111,13 @@ def test_folder_key_parse_inverts_build(spark, name, day):
     k = df.select(tx.sanitize_name("n").alias("clean"), tx.folder_key("n", F.col("d")).alias("k"))
     r = k.select("clean", *[v.alias(x) for x, v in tx.parse_folder(F.col("k")).items()]).first()
     assert r.patient_name == r.clean and r.date == day.isoformat()
+
+
+@SETTINGS
+@given(st.lists(st.integers(-1000, 1000), min_size=1, max_size=200), st.integers(1, 7))
+def test_row_numbers_are_sorted_positions(spark, keys, parts):
+    from cohortbeam.operators.cohort import row_numbers
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    got = sorted((r.row_no, r.k, r.i) for r in row_numbers(df, ["k", "i"], partitions=parts).collect())
+    exp = [(n, k, i) for n, (k, i) in enumerate(sorted((k, i) for i, k in enumerate(keys)))]
+    assert got == exp
