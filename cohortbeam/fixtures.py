@@ -8,8 +8,6 @@ with it and keep Parquet pushdown/pruning.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,93 +21,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _case(col: Column, mapping: list[tuple[object, str]]) -> Column:
-    out = None
-    for key, val in mapping:
-        out = (F.when(col == key, F.lit(val)) if out is None
-               else out.when(col == key, F.lit(val)))
-    return out
-
-
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Study catalog: idx, patient_id, age_raw ('058Y' text), gender, view_position, ts."""
-    e = table(spark, sf_dir, "events")
-    age_txt = F.concat(F.lpad(F.floor("value").cast("string"), 3, "0"), F.lit("Y"))
-    return e.select(
-        F.col("event_id").alias("idx"),
-        F.when(F.col("event_id") % 53 == 0, F.lit(None).cast("bigint"))
-         .otherwise(F.col("user_id")).alias("patient_id"),
-        F.when(F.col("event_id") % 61 == 0, F.lit("abc")).otherwise(age_txt).alias("age_raw"),
-        _case(F.col("user_id") % 3, [(0, "M"), (1, "F")]).alias("gender"),
-        _case(F.col("event_type"), [("view", "PA"), ("click", "AP"),
-                                    ("purchase", "AP supine"), ("signup", "LL")]
-              ).alias("view_position"),
-        F.col("ts"),
-    )
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS idx",
+        "CASE WHEN event_id % 53 = 0 THEN CAST(NULL AS BIGINT) ELSE user_id END AS patient_id",
+        "CASE WHEN event_id % 61 = 0 THEN 'abc' ELSE concat(lpad(CAST(floor(value) AS STRING), 3, '0'), 'Y') END AS age_raw",
+        "CASE user_id % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS gender",
+        "CASE event_type WHEN 'view' THEN 'PA' WHEN 'click' THEN 'AP' WHEN 'purchase' THEN 'AP supine' "
+        "WHEN 'signup' THEN 'LL' END AS view_position",
+        "ts")
 
 
-def label_flag(k: int) -> Column:
-    return (((F.col("event_id") + k) % (k + 11)) == 0).cast("int")
+def _flag_sql(k: int) -> str:
+    return f"CAST((event_id + {k}) % {k + 11} = 0 AS INT)"
 
 
 def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide label matrix: idx, 14 label flags, no_finding."""
-    e = table(spark, sf_dir, "events")
-    flags = [label_flag(k).alias(LABELS[k]) for k in range(N_CLASSES)]
-    any_pos = reduce(lambda a, b: a + b, [label_flag(k) for k in range(N_CLASSES)])
-    return e.select(F.col("event_id").alias("idx"), *flags,
-                    (any_pos == 0).cast("int").alias("no_finding"))
+    flags = [f"{_flag_sql(k)} AS {LABELS[k]}" for k in range(N_CLASSES)]
+    none = "CAST(" + " + ".join(_flag_sql(k) for k in range(N_CLASSES)) + " = 0 AS INT) AS no_finding"
+    return table(spark, sf_dir, "events").selectExpr("event_id AS idx", *flags, none)
 
 
 def bad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.where(F.col("event_id") % 97 == 0).select(F.col("event_id").alias("idx"))
+    return table(spark, sf_dir, "events").where("event_id % 97 = 0").selectExpr("event_id AS idx")
 
 
-def _image_path(prefix: str) -> Column:
-    return F.concat(
-        F.lit(prefix + "images_"), F.lpad(((F.col("event_id") % 12) + 1).cast("string"), 3, "0"),
-        F.lit("/images/"), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit(".png"))
+def _image_path_sql(prefix: str) -> str:
+    return (f"concat('{prefix}images_', lpad(CAST(event_id % 12 + 1 AS STRING), 3, '0'), '/images/', "
+            f"lpad(CAST(event_id AS STRING), 8, '0'), '.png')")
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path index: idx -> file_path; no row when event_id % 101 = 0."""
-    e = table(spark, sf_dir, "events")
-    return (e.where(F.col("event_id") % 101 != 0)
-             .select(F.col("event_id").alias("idx"), _image_path("").alias("file_path")))
+    return (table(spark, sf_dir, "events").where("event_id % 101 <> 0")
+            .selectExpr("event_id AS idx", f"{_image_path_sql('')} AS file_path"))
 
 
 def paths_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second path source (the label file's own path column); no row when % 103 = 0."""
-    e = table(spark, sf_dir, "events")
-    return (e.where(F.col("event_id") % 103 != 0)
-             .select(F.col("event_id").alias("idx"), _image_path("alt/").alias("file_path")))
+    return (table(spark, sf_dir, "events").where("event_id % 103 <> 0")
+            .selectExpr("event_id AS idx", f"{_image_path_sql('alt/')} AS file_path"))
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upload records: idx, name, age, gender, view, content (bytes)."""
-    p = table(spark, sf_dir, "part")
-    name = F.when(F.col("p_partkey") % 29 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name"))
-    gender = _case(F.col("p_size") % 5, [(0, "M"), (1, "F"), (2, "m"), (3, "f"), (4, "X")])
-    view = _case(F.col("p_type"), [("ECONOMY", "AP"), ("LARGE", "PA"), ("MEDIUM", "ap"),
-                                   ("PROMO", "pa"), ("SMALL", "LL"), ("STANDARD", "AP")])
-    # Image bytes: PNG signature, JPEG signature, or junk, by key.
-    body = F.encode(F.col("p_name"), "UTF-8")
-    content = (F.when(F.col("p_partkey") % 17 == 0, body)
-                .when(F.col("p_partkey") % 3 == 0, F.concat(F.unhex(F.lit("FFD8FFE0")), body))
-                .otherwise(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), body)))
-    return p.select(F.col("p_partkey").alias("idx"), name.alias("name"),
-                    (F.col("p_size") * 4 - 20).alias("age"), gender.alias("gender"),
-                    view.alias("view"), content.alias("content"))
+    """Upload records: idx, name, age, gender, view, content (bytes: PNG
+    signature, JPEG signature or junk, by key)."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS idx",
+        "CASE WHEN p_partkey % 29 = 0 THEN CAST(p_partkey AS STRING) ELSE p_name END AS name",
+        "p_size * 4 - 20 AS age",
+        "CASE p_size % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'm' WHEN 3 THEN 'f' WHEN 4 THEN 'X' END AS gender",
+        "CASE p_type WHEN 'ECONOMY' THEN 'AP' WHEN 'LARGE' THEN 'PA' WHEN 'MEDIUM' THEN 'ap' WHEN 'PROMO' THEN 'pa' "
+        "WHEN 'SMALL' THEN 'LL' WHEN 'STANDARD' THEN 'AP' END AS view",
+        "CASE WHEN p_partkey % 17 = 0 THEN encode(p_name, 'UTF-8') "
+        "WHEN p_partkey % 3 = 0 THEN concat(unhex('FFD8FFE0'), encode(p_name, 'UTF-8')) "
+        "ELSE concat(unhex('89504E470D0A1A0A'), encode(p_name, 'UTF-8')) END AS content")
 
 
 def upload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row patient JSON text plus image bytes (null for some rows)."""
-    e = table(spark, sf_dir, "events")
-    patient = F.when(F.col("event_id") % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("props"))
-    content = F.when(F.col("event_id") % 23 == 0, F.lit(None).cast("binary")).otherwise(
-        F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(F.col("event_type"), "UTF-8")))
-    return e.select(F.col("event_id").alias("idx"), patient.alias("patient_json"), content.alias("content"))
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS idx",
+        "CASE WHEN event_id % 19 = 0 THEN CAST(NULL AS STRING) ELSE props END AS patient_json",
+        "CASE WHEN event_id % 23 = 0 THEN CAST(NULL AS BINARY) "
+        "ELSE concat(unhex('89504E470D0A1A0A'), encode(event_type, 'UTF-8')) END AS content")
 
 
 def folder_date(col: Column) -> Column:
@@ -133,14 +110,10 @@ FILE_MISSING_MOD = {"original.png": 7, "gradcam_Mass.png": 5, "metadata.json": 1
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (folder, file); a file is missing when idx % its modulus = 0."""
-    f = folders(spark, sf_dir)
-    names = F.array(*[F.lit(n) for n in FILE_NAMES])
-    out = f.select("idx", "folder_name", F.explode(names).alias("file_name"))
-    keep = None
-    for n, m in FILE_MISSING_MOD.items():
-        cond = (F.col("file_name") == n) & (F.col("idx") % m != 0)
-        keep = cond if keep is None else keep | cond
-    return out.where(keep)
+    names = ", ".join(f"'{n}'" for n in FILE_NAMES)
+    keep = " OR ".join(f"(file_name = '{n}' AND idx % {m} <> 0)" for n, m in FILE_MISSING_MOD.items())
+    return (folders(spark, sf_dir).selectExpr("idx", "folder_name", f"explode(array({names})) AS file_name")
+            .where(keep))
 
 
 def weight(i: Column, k: Column | int) -> Column:
@@ -170,10 +143,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = table(spark, sf_dir, "embeddings")
-    ks = F.sequence(F.lit(0), F.lit(N_CLASSES - 1))
-    return (emb.select("vec_id", "label", F.explode(ks).alias("k"))
-               .select("vec_id", "k", (F.col("label") == F.col("k")).cast("int").alias("truth")))
+    return (table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", f"explode(sequence(0, {N_CLASSES - 1})) AS k")
+            .selectExpr("vec_id", "k", "CAST(label = k AS INT) AS truth"))
 
 
 def scored_long(spark: SparkSession, sf_dir: str, tied: bool = False) -> DataFrame:
@@ -182,24 +153,21 @@ def scored_long(spark: SparkSession, sf_dir: str, tied: bool = False) -> DataFra
     Built from one scan of ``embeddings``: scores and truth come from the
     same row, so no join is needed to align them.
     """
-    w = scores_wide(spark, sf_dir)
-    names = F.array(*[F.lit(n) for n in LABELS])
-    x = w.select("vec_id", "label", F.posexplode(F.arrays_zip(names.alias("n"), F.col("scores").alias("s"))).alias("k", "z"))
-    score = F.round(F.col("z.s"), 1) if tied else F.col("z.s")
-    return x.select(F.col("vec_id").alias("image_key"), F.col("z.n").alias("label"),
-                    score.alias("score"), (F.col("label") == F.col("k")).cast("int").alias("truth"))
+    names = ", ".join(f"'{n}'" for n in LABELS)
+    x = scores_wide(spark, sf_dir).selectExpr("vec_id", "label", "posexplode(scores) AS (k, s)")
+    score = "round(s, 1)" if tied else "s"
+    return x.selectExpr("vec_id AS image_key", f"element_at(array({names}), k + 1) AS label", f"{score} AS score",
+                        "CAST(label = k AS INT) AS truth")
 
 
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activation/gradient cells: image_key, cell (0..15), ch (0..3), act, grad."""
-    emb = table(spark, sf_dir, "embeddings")
-    x = emb.select("vec_id", F.posexplode("embedding").alias("pos", "v"))
-    v = F.col("v").cast("double")
-    return x.select(F.col("vec_id").alias("image_key"), (F.col("pos") / 4).cast("int").alias("cell"),
-                    (F.col("pos") % 4).cast("int").alias("ch"), v.alias("act"), (v * v - 0.01).alias("grad"))
+    x = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "posexplode(embedding) AS (pos, v)")
+    return x.selectExpr("vec_id AS image_key", "CAST(pos DIV 4 AS INT) AS cell", "CAST(pos % 4 AS INT) AS ch",
+                        "CAST(v AS DOUBLE) AS act", "CAST(v AS DOUBLE) * CAST(v AS DOUBLE) - 0.01D AS grad")
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("idx"),
-                    F.col("conv_id").cast("string").alias("group_key"), "role")
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "concat_ws('-', CAST(conv_id AS STRING), CAST(turn AS STRING)) AS idx",
+        "CAST(conv_id AS STRING) AS group_key", "role")

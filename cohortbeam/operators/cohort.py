@@ -50,8 +50,8 @@ def label_prevalence(df: DataFrame, labels: list[str] | None = None, with_share:
     aggregate row.
     """
     labels = labels or LABELS
-    sums = df.agg(*[F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).cast("bigint").alias(c) for c in labels])
-    sums = sums.withColumn("_total", sum((F.col(f"`{c}`") for c in labels), F.lit(0)))
+    sums = df.agg(*[F.expr(f"CAST(coalesce(sum(`{c}`), 0) AS BIGINT)").alias(c) for c in labels])
+    sums = sums.withColumn("_total", F.expr(" + ".join(f"`{c}`" for c in labels)))
     long = sums.unpivot(["_total"], labels, "label", "positives")
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label"))
     out = long.withColumn("label_idx", (order - 1).cast("int"))
