@@ -74,35 +74,33 @@ def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
     collapse before the shuffle), then one shuffle into (label, bucket)
     clusters for the running sums, joined to the offsets.
     """
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     if not two_level:
         g = score_groups(scored)
-        w = Window.partitionBy("label").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        wall = Window.partitionBy("label")
-        return g.select("label", "score", "pos", "neg",
-                        F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-                        F.sum("pos").over(wall).alias("pos_all"), F.sum("neg").over(wall).alias("neg_all"))
-    s = scored.where(F.col("score").isNotNull() & F.col("truth").isNotNull())
-    s = s.withColumn("bucket", order_bucket(F.col("score")))
-    t = F.col("truth").cast("long")
-    bt = s.groupBy("label", "bucket").agg(F.sum(t).alias("b_pos"), F.sum(1 - t).alias("b_neg"))
-    above = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy("label")
-    offsets = bt.select(
+        return g.selectExpr(
+            "label", "score", "pos", "neg",
+            f"sum(pos) OVER (PARTITION BY label ORDER BY score DESC {running}) AS tp",
+            f"sum(neg) OVER (PARTITION BY label ORDER BY score DESC {running}) AS fp",
+            "sum(pos) OVER (PARTITION BY label) AS pos_all", "sum(neg) OVER (PARTITION BY label) AS neg_all")
+    s = (scored.where("score IS NOT NULL AND truth IS NOT NULL")
+               .withColumn("bucket", order_bucket(F.col("score")))
+               .withColumn("_t", F.col("truth").cast("long")))
+    bt = s.groupBy("label", "bucket").agg(F.expr("sum(_t) AS b_pos"), F.expr("sum(1 - _t) AS b_neg"))
+    above = "ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = bt.selectExpr(
         "label", "bucket",
-        F.coalesce(F.sum("b_pos").over(above), F.lit(0)).alias("pos_before"),
-        F.coalesce(F.sum("b_neg").over(above), F.lit(0)).alias("neg_before"),
-        F.sum("b_pos").over(wall).alias("pos_all"), F.sum("b_neg").over(wall).alias("neg_all"))
-    g = s.groupBy("label", "bucket", "score").agg(F.sum(t).alias("pos"), F.sum(1 - t).alias("neg"))
-    inner = Window.partitionBy("label", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    local = g.select("label", "bucket", "score", "pos", "neg",
-                     F.sum("pos").over(inner).alias("tp_in"), F.sum("neg").over(inner).alias("fp_in"))
+        f"coalesce(sum(b_pos) OVER (PARTITION BY label {above}), 0) AS pos_before",
+        f"coalesce(sum(b_neg) OVER (PARTITION BY label {above}), 0) AS neg_before",
+        "sum(b_pos) OVER (PARTITION BY label) AS pos_all", "sum(b_neg) OVER (PARTITION BY label) AS neg_all")
+    g = s.groupBy("label", "bucket", "score").agg(F.expr("sum(_t) AS pos"), F.expr("sum(1 - _t) AS neg"))
+    local = g.selectExpr(
+        "label", "bucket", "score", "pos", "neg",
+        f"sum(pos) OVER (PARTITION BY label, bucket ORDER BY score DESC {running}) AS tp_in",
+        f"sum(neg) OVER (PARTITION BY label, bucket ORDER BY score DESC {running}) AS fp_in")
     # offsets has one row per occupied (label, bucket); AQE broadcasts it when
     # its runtime size is under the broadcast threshold, else shuffles it.
-    j = local.join(offsets, ["label", "bucket"], "inner")
-    return j.select("label", "score", "pos", "neg",
-                    (F.col("pos_before") + F.col("tp_in")).alias("tp"),
-                    (F.col("neg_before") + F.col("fp_in")).alias("fp"),
-                    "pos_all", "neg_all")
+    return local.join(offsets, ["label", "bucket"], "inner").selectExpr(
+        "label", "score", "pos", "neg", "pos_before + tp_in AS tp", "neg_before + fp_in AS fp", "pos_all", "neg_all")
 
 
 def roc_curve(points: DataFrame, with_start: bool = True) -> DataFrame:
@@ -134,49 +132,42 @@ def label_metrics(points: DataFrame) -> DataFrame:
     Youden's J is compared as the exact integer tp*N - fp*P (decimal(38,0)),
     so ties are exact and the highest threshold wins them.
     """
-    P = F.col("pos_all").cast("double")
-    N = F.col("neg_all").cast("double")
-    j = (F.col("tp").cast("decimal(38,0)") * F.col("neg_all").cast("decimal(38,0)")
-         - F.col("fp").cast("decimal(38,0)") * F.col("pos_all").cast("decimal(38,0)"))
+    j = ("CAST(tp AS DECIMAL(38,0)) * CAST(neg_all AS DECIMAL(38,0)) "
+         "- CAST(fp AS DECIMAL(38,0)) * CAST(pos_all AS DECIMAL(38,0))")
     agg = points.groupBy("label").agg(
-        F.first("pos_all").alias("pos_all"), F.first("neg_all").alias("neg_all"),
-        F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos")).cast("double")
-              + F.col("neg").cast("double") * F.col("pos").cast("double") / F.lit(2.0)).alias("auc_num"),
-        F.sum(F.col("pos").cast("double") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap_num"),
-        F.max(F.struct(j.alias("j"), F.col("score").alias("thr"), F.col("tp").alias("tp"),
-                       F.col("fp").alias("fp"))).alias("best"))
-    ok = (F.col("pos_all") > 0) & (F.col("neg_all") > 0)
-    beats = F.col("best.j") > 0
-    return agg.select(
-        "label", "pos_all", "neg_all", (~ok).alias("skipped"),
-        F.when(ok, F.col("auc_num") / (P * N)).alias("auc"),
-        F.when(ok, F.col("ap_num") / P).alias("ap"),
-        F.when(ok, F.when(beats, F.col("best.thr")).otherwise(F.lit(float("inf")))).alias("threshold"),
-        F.when(ok, F.when(beats, F.col("best.tp")).otherwise(F.lit(0))).cast("bigint").alias("tp"),
-        F.when(ok, F.when(beats, F.col("best.fp")).otherwise(F.lit(0))).cast("bigint").alias("fp"))
-
-
-def _safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
+        F.expr("first(pos_all) AS pos_all"), F.expr("first(neg_all) AS neg_all"),
+        F.expr("sum(CAST(neg AS DOUBLE) * CAST(tp - pos AS DOUBLE) + CAST(neg AS DOUBLE) * CAST(pos AS DOUBLE) / 2.0D) AS auc_num"),
+        F.expr("sum(CAST(pos AS DOUBLE) * (tp / (tp + fp))) AS ap_num"),
+        F.expr(f"max(named_struct('j', {j}, 'thr', score, 'tp', tp, 'fp', fp)) AS best"))
+    ok = "(pos_all > 0 AND neg_all > 0)"
+    return agg.selectExpr(
+        "label", "pos_all", "neg_all", f"NOT {ok} AS skipped",
+        f"CASE WHEN {ok} THEN auc_num / (CAST(pos_all AS DOUBLE) * CAST(neg_all AS DOUBLE)) END AS auc",
+        f"CASE WHEN {ok} THEN ap_num / CAST(pos_all AS DOUBLE) END AS ap",
+        f"CASE WHEN {ok} THEN IF(best.j > 0, best.thr, CAST('inf' AS DOUBLE)) END AS threshold",
+        f"CAST(CASE WHEN {ok} THEN IF(best.j > 0, best.tp, 0) END AS BIGINT) AS tp",
+        f"CAST(CASE WHEN {ok} THEN IF(best.j > 0, best.fp, 0) END AS BIGINT) AS fp")
+
+
+def _ratio(num: str, den: str) -> str:
+    """num / den as double, 0 when den is 0 (zero-division -> 0)."""
+    return f"IF({den} <> 0, CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE), 0.0D)"
 
 
 def confusion_metrics(m: DataFrame) -> DataFrame:
     """Confusion counts at the chosen threshold (``score >= threshold``) and
     the derived rates; a zero denominator gives 0."""
-    tp, fp = F.col("tp"), F.col("fp")
-    fn = F.col("pos_all") - tp
-    tn = F.col("neg_all") - fp
-    out = m.withColumns({"fn": F.when(~F.col("skipped"), fn).cast("bigint"),
-                         "tn": F.when(~F.col("skipped"), tn).cast("bigint")})
-    live = ~F.col("skipped")
-    return out.withColumns({
-        "sensitivity": F.when(live, _safe_div(tp, F.col("pos_all"))),
-        "specificity": F.when(live, _safe_div(F.col("tn"), F.col("tn") + fp)),
-        "accuracy": F.when(live, _safe_div(tp + F.col("tn"), F.col("pos_all") + F.col("neg_all"))),
-        "precision": F.when(live, _safe_div(tp, tp + fp)),
-        "recall": F.when(live, _safe_div(tp, tp + F.col("fn"))),
-        "f1": F.when(live, _safe_div(2 * tp, 2 * tp + fp + F.col("fn"))),
-    })
+    live = "CASE WHEN NOT skipped THEN {} END"
+    c = m.selectExpr("*", "CAST(CASE WHEN NOT skipped THEN pos_all - tp END AS BIGINT) AS fn",
+                     "CAST(CASE WHEN NOT skipped THEN neg_all - fp END AS BIGINT) AS tn")
+    return c.selectExpr(
+        "*",
+        live.format(_ratio("tp", "pos_all")) + " AS sensitivity",
+        live.format(_ratio("tn", "tn + fp")) + " AS specificity",
+        live.format(_ratio("tp + tn", "pos_all + neg_all")) + " AS accuracy",
+        live.format(_ratio("tp", "tp + fp")) + " AS precision",
+        live.format(_ratio("tp", "tp + fn")) + " AS recall",
+        live.format(_ratio("2 * tp", "2 * tp + fp + fn")) + " AS f1")
 
 
 def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: bool = True,
