@@ -10,44 +10,47 @@ from ..functions.features import INT_TEXT
 from ..functions.text import allowed_file
 
 
-def _txt(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("None"))
+def _lit(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _msg(template: str, value: Column) -> Column:
+def _msg(template: str, value_sql: str) -> str:
     before, after = template.split("{}")
-    return F.concat(F.lit(before), _txt(value), F.lit(after))
+    return f"concat({_lit(before)}, coalesce(CAST({value_sql} AS STRING), 'None'), {_lit(after)})"
 
 
-def image_format(content: Column) -> Column:
+def image_format_sql(content: str) -> str:
     """PNG / JPEG by file signature; a few other known formats by name; NULL
     when the bytes are not a recognisable image."""
-    return (F.when(F.substring(content, 1, 8) == F.unhex(F.lit(PNG_MAGIC_HEX)), "PNG")
-             .when(F.substring(content, 1, 3) == F.unhex(F.lit(JPEG_MAGIC_HEX)), "JPEG")
-             .when(F.substring(content, 1, 4) == F.unhex(F.lit("47494638")), "GIF")
-             .when(F.substring(content, 1, 2) == F.unhex(F.lit("424D")), "BMP"))
+    return (f"CASE WHEN substring({content}, 1, 8) = unhex('{PNG_MAGIC_HEX}') THEN 'PNG' "
+            f"WHEN substring({content}, 1, 3) = unhex('{JPEG_MAGIC_HEX}') THEN 'JPEG' "
+            f"WHEN substring({content}, 1, 4) = unhex('47494638') THEN 'GIF' "
+            f"WHEN substring({content}, 1, 2) = unhex('424D') THEN 'BMP' END")
 
 
-def validation_errors(age: Column, gender: Column, view: Column, content: Column | None = None) -> Column:
-    """array<string> of all problems of a row (empty when valid)."""
-    age_i = age.cast("string").try_cast("int") if age is not None else None
+def validation_errors_sql(age: str, gender: str, view: str, content: str | None = None) -> str:
+    """SQL for array<string> of all problems of a row (empty when valid)."""
+    age_i = f"try_cast(CAST({age} AS STRING) AS INT)"
     checks = [
-        F.when(age_i.isNull() | (age_i < AGE_VALID_MIN) | (age_i > AGE_VALID_MAX), _msg(MSG_AGE, age)),
-        F.when(~F.coalesce(F.upper(gender).isin("M", "F"), F.lit(False)), _msg(MSG_GENDER, gender)),
-        F.when(~F.coalesce(F.upper(view).isin("AP", "PA"), F.lit(False)), _msg(MSG_VIEW, view)),
+        f"CASE WHEN {age_i} IS NULL OR {age_i} < {AGE_VALID_MIN} OR {age_i} > {AGE_VALID_MAX} "
+        f"THEN {_msg(MSG_AGE, age)} END",
+        f"CASE WHEN NOT coalesce(upper({gender}) IN ('M', 'F'), false) THEN {_msg(MSG_GENDER, gender)} END",
+        f"CASE WHEN NOT coalesce(upper({view}) IN ('AP', 'PA'), false) THEN {_msg(MSG_VIEW, view)} END",
     ]
     if content is not None:
-        fmt = image_format(content)
-        checks.append(F.when(fmt.isNull(), _msg(MSG_UNREADABLE, F.lit("cannot identify image file")))
-                       .when(~fmt.isin("PNG", "JPEG"), _msg(MSG_FORMAT, fmt)))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+        fmt = image_format_sql(content)
+        checks.append(f"CASE WHEN ({fmt}) IS NULL THEN {_msg(MSG_UNREADABLE, _lit('cannot identify image file'))} "
+                      f"WHEN ({fmt}) NOT IN ('PNG', 'JPEG') THEN {_msg(MSG_FORMAT, fmt)} END")
+    return f"filter(array({', '.join(checks)}), x -> x IS NOT NULL)"
 
 
 def validate(df: DataFrame, age: str = "age", gender: str = "gender", view: str = "view",
              content: str | None = "content") -> DataFrame:
-    """Adds ``errors`` (array<string>) and ``valid`` (no errors)."""
-    errs = validation_errors(F.col(age), F.col(gender), F.col(view), F.col(content) if content else None)
-    return df.withColumn("errors", errs).withColumn("valid", F.size("errors") == 0)
+    """Adds ``errors`` (array<string>, every message of the row) and ``valid``."""
+    q = lambda c: f"`{c}`"
+    errs = validation_errors_sql(q(age), q(gender), q(view), q(content) if content else None)
+    return df.selectExpr("*", f"{errs} AS errors").withColumn("valid", F.expr("size(errors) = 0"))
 
 
 def form_error(file_name: Column, name: Column, age_text: Column) -> Column:
