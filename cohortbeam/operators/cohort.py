@@ -130,10 +130,6 @@ def impute_median(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col).cast("double"), F.lit(med).cast("double")))
 
 
-def _trunc(x):
-    return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
-
-
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
               log_count: bool = True) -> DataFrame:
     """Equal-width histogram over [min, max] (per ``by`` group when given).
@@ -146,29 +142,27 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
     partial+final count per (group, bin). The range table (one row per
     group) is joined back; Spark broadcasts it under the size threshold.
     """
-    data = df.where(F.col(value).isNotNull())
-    if by is None:
-        data = data.withColumn("_g", F.lit(0))
     key = by or "_g"
-    rng = data.groupBy(key).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    rng = rng.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
-    x = F.col(value).cast("double")
+    data = df.where(f"`{value}` IS NOT NULL").selectExpr(f"{f'`{by}`' if by else '0'} AS `{key}`",
+                                                          f"CAST(`{value}` AS DOUBLE) AS _x")
+    rng = data.groupBy(key).agg(F.expr("min(_x) AS lo"), F.expr("max(_x) AS hi"))
+    rng = rng.selectExpr("*", f"(hi - lo) / {float(bins)}D AS width")
     # bin from the ratio (x-lo)*bins/(hi-lo); the maximum goes to the last bin
-    raw = F.floor((x - F.col("lo")) * F.lit(float(bins)) / (F.col("hi") - F.col("lo")))
-    idx = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
-    counts = (data.join(rng, key, "inner").withColumn("bin", idx)
-                  .groupBy(key, "bin").agg(F.count(F.lit(1)).alias("count")))
-    frame = rng.select(key, "lo", "hi", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = frame.join(counts, [key, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
-    left = F.col("lo") + F.col("bin") * F.col("width")
-    right = F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * F.col("width"))
-    out = out.withColumns({"left": left, "right": right})
-    out = out.withColumn("interval", F.concat(_trunc(F.col("left")).cast("bigint").cast("string"), F.lit(" to "),
-                                              _trunc(F.col("right")).cast("bigint").cast("string")))
-    if log_count:
-        out = out.withColumn("log_count", F.when(F.col("count") > 0, F.log(F.col("count").cast("double"))))
-    cols = ([by] if by else []) + ["bin", "left", "right", "interval", "count"] + (["log_count"] if log_count else [])
-    return out.select(*cols)
+    bin_sql = (f"CAST(CASE WHEN hi = lo THEN {bins // 2} "
+               f"ELSE least(floor((_x - lo) * {float(bins)}D / (hi - lo)), {bins - 1}) END AS INT)")
+    counts = (data.join(rng, key, "inner").selectExpr(f"`{key}`", f"{bin_sql} AS bin")
+                  .groupBy(key, "bin").agg(F.expr("count(1) AS count")))
+    frame = rng.selectExpr(f"`{key}`", "lo", "hi", "width", f"explode(sequence(0, {bins - 1})) AS bin")
+    edges = frame.join(counts, [key, "bin"], "left").selectExpr(
+        f"`{key}`", "bin", "lo + bin * width AS left",
+        f"CASE WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * width END AS right",
+        "CAST(coalesce(count, 0) AS BIGINT) AS count")
+    trunc = "CAST(CASE WHEN {0} >= 0 THEN floor({0}) ELSE ceil({0}) END AS BIGINT)"
+    cols = ([f"`{key}`"] if by else []) + [
+        "bin", "left", "right",
+        f"concat(CAST({trunc.format('left')} AS STRING), ' to ', CAST({trunc.format('right')} AS STRING)) AS interval",
+        "count"] + (["CASE WHEN count > 0 THEN ln(CAST(count AS DOUBLE)) END AS log_count"] if log_count else [])
+    return edges.selectExpr(*cols)
 
 
 def row_numbers(df: DataFrame, order: list[str], out: str = "row_no", partitions: int | None = None) -> DataFrame:
