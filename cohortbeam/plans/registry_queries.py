@@ -17,9 +17,8 @@ from .oracle_views import _w, sql
 # ----------------------------------------------------------- registry log
 def write_log(spark, d):
     """Registry writes: one per folders row; write time from its date."""
-    f = fx.folders(spark, d)
-    days = F.datediff(F.col("run_date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return f.withColumn("write_ts", days * 86400 + (F.col("idx") % 24) * 3600)
+    return fx.folders(spark, d).selectExpr(
+        "*", "CAST(datediff(run_date, DATE'1970-01-01') AS BIGINT) * 86400 + (idx % 24) * 3600 AS write_ts")
 
 
 LOG = ("log", """SELECT *, CAST(date_diff('day', DATE '1970-01-01', run_date) AS BIGINT) * 86400 + (idx % 24) * 3600 AS write_ts
@@ -39,17 +38,15 @@ def q_registry_upsert(spark, d):
 
 
 def metadata_docs(spark, d):
-    f = fx.folders(spark, d)
-    has = fx.files(spark, d).where(F.col("file_name") == "metadata.json").select("idx")
-    meta = f.join(has, "idx", "left_semi").select(
+    has = fx.files(spark, d).where("file_name = 'metadata.json'").select("idx")
+    return fx.folders(spark, d).join(has, "idx", "left_semi").selectExpr(
         "idx",
-        F.when(F.col("idx") % 23 == 0, F.lit("")).otherwise(F.col("patient_name")).alias("patient_name"),
-        (F.col("p_size") * 2).alias("age"),
-        F.when(F.col("idx") % 2 == 0, "M").otherwise("F").alias("gender"),
-        F.when(F.col("p_type").isin("ECONOMY", "MEDIUM", "STANDARD"), "AP").otherwise("PA").alias("view"),
-        F.when(F.col("idx") % 41 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.date_format("run_date", "yyyy-MM-dd"), F.lit("T10:00:00"))).alias("timestamp"))
-    return meta
+        "CASE WHEN idx % 23 = 0 THEN '' ELSE patient_name END AS patient_name",
+        "p_size * 2 AS age",
+        "IF(idx % 2 = 0, 'M', 'F') AS gender",
+        "IF(p_type IN ('ECONOMY', 'MEDIUM', 'STANDARD'), 'AP', 'PA') AS view",
+        "CASE WHEN idx % 41 = 0 THEN CAST(NULL AS STRING) "
+        "ELSE concat(date_format(run_date, 'yyyy-MM-dd'), 'T10:00:00') END AS timestamp")
 
 
 META = ("meta", """SELECT f.idx, CASE WHEN f.idx % 23 = 0 THEN '' ELSE f.patient_name END AS patient_name,
@@ -60,7 +57,7 @@ META = ("meta", """SELECT f.idx, CASE WHEN f.idx % 23 = 0 THEN '' ELSE f.patient
 
 
 def prediction_docs(spark, d):
-    has = fx.files(spark, d).where(F.col("file_name") == "predictions.json").select("idx")
+    has = fx.files(spark, d).where("file_name = 'predictions.json'").select("idx")
     w = fx.scores_wide(spark, d).select(F.col("vec_id").alias("idx"), sc.predictions_map(F.col("scores")).alias("predictions"))
     return w.join(has, "idx", "left_semi")
 
