@@ -85,6 +85,23 @@ def linear_model_factory(n_features: int, n_inputs: int = 1) -> Callable[[], Pre
     return make_predict_fn
 
 
+def file_model_factory(spark, path: str, n_inputs: int = 1) -> Callable[[], PredictFn]:
+    """Factory for a logistic model stored as an ``.npz`` file (array
+    ``weights``). The file is shipped to every executor with
+    ``SparkContext.addFile`` and loaded once per Python worker from its
+    local copy (``SparkFiles.get``)."""
+    import os
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def make_predict_fn() -> PredictFn:
+        from pyspark import SparkFiles
+        with np.load(SparkFiles.get(name)) as z:
+            weights = z["weights"]
+        return with_arity(LinearSigmoidModel(weights), n_inputs)
+    return make_predict_fn
+
+
 def _with_error_capture(make_predict_fn: Callable[[], PredictFn], n_out: int,
                         n_inputs: int, masked: bool = False) -> Callable[[], PredictFn]:
     def make():

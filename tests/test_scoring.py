@@ -58,3 +58,14 @@ def test_single_patient_path(spark):
     assert ok.success and ok.folder_name == "Annlee20260209" and ok.source == "web_upload" and len(ok.top3) == 3
     bad = bulk.single_patient(spark, [0.01] * 64, "Ann", 400, "f", "pa", png, scorer, "2026-02-09").first()
     assert not bad.success and bad.message.startswith("Invalid age: 400.") and bad.predictions is None
+
+
+def test_model_shipped_as_file(spark, tmp_path):
+    path = str(tmp_path / "weights_file_model.npz")
+    np.savez(path, weights=sc.rule_weights(64))
+    from_file = sc.batch_scorer(sc.file_model_factory(spark, path), [[64]])
+    in_memory = sc.batch_scorer(sc.linear_model_factory(64), [[64]])
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    a = {r.vec_id: r.s for r in sc.score(df, from_file, ["embedding"], out="s").select("vec_id", "s").collect()}
+    b = {r.vec_id: r.s for r in sc.score(df, in_memory, ["embedding"], out="s").select("vec_id", "s").collect()}
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
