@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, MSG_SAVED, MSG_UNREADABLE, TOP_K_HEATMAPS
+from ..constants import LABELS, MSG_SAVED, MSG_UNREADABLE, SOURCES, TOP_K_HEATMAPS
 from ..functions import features as feat
 from ..functions.text import folder_key
 from . import ranking as rk
@@ -37,6 +37,8 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
     plus the predictions map, the top-3 entries and -- when the caller gives
     ``gradient_fn(class_index) -> gradient array`` and ``cam_shape`` (cells,
     channels) -- a heatmap per top-3 label, computed row-locally."""
+    if source not in SOURCES:
+        raise ValueError(f"source must be one of {SOURCES}")
     v = validate(uploads).join(images.select("idx", image_col), "idx", "left")
     no_img = F.col(image_col).isNull()
     v = v.withColumn("errors", F.when(F.col("valid") & no_img,

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..constants import LABELS, TOP_K_DISPLAY, TOP_K_HEATMAPS
+from ..constants import LABELS, METADATA_DOC, PREDICTIONS_DOC, TOP_K_DISPLAY, TOP_K_HEATMAPS
 from ..functions import text as tx
 from ..operators import cam
 from ..operators import ranking as rk
@@ -38,7 +38,7 @@ def q_registry_upsert(spark, d):
 
 
 def metadata_docs(spark, d):
-    has = fx.files(spark, d).where("file_name = 'metadata.json'").select("idx")
+    has = fx.files(spark, d).where(F.col("file_name") == METADATA_DOC).select("idx")
     return fx.folders(spark, d).join(has, "idx", "left_semi").selectExpr(
         "idx",
         "CASE WHEN idx % 23 = 0 THEN '' ELSE patient_name END AS patient_name",
@@ -57,7 +57,7 @@ META = ("meta", """SELECT f.idx, CASE WHEN f.idx % 23 = 0 THEN '' ELSE f.patient
 
 
 def prediction_docs(spark, d):
-    has = fx.files(spark, d).where("file_name = 'predictions.json'").select("idx")
+    has = fx.files(spark, d).where(F.col("file_name") == PREDICTIONS_DOC).select("idx")
     w = fx.scores_wide(spark, d).select(F.col("vec_id").alias("idx"), sc.predictions_map(F.col("scores")).alias("predictions"))
     return w.join(has, "idx", "left_semi")
 

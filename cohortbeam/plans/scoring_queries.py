@@ -15,9 +15,6 @@ from ..session import scratch_path
 from .catalog import query
 from .oracle_views import linear_sql, sql
 
-_LBL = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
-
-
 def _emb(spark, d):
     return fx.table(spark, d, "embeddings")
 
