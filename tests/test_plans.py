@@ -57,3 +57,21 @@ def test_last_write_wins_uses_partial_aggregation(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("ts"))
     p = plan(rg.latest_per_key(df, "k", ["ts"]))
     assert "partial_max" in p and "Window" not in p
+
+
+def _final_plan(df) -> str:
+    """The final adaptive plan only (the text also carries the initial plan)."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_roc_shuffles_distinct_scores_once(spark):
+    p = _final_plan(ev.roc_points(fx.scored_long(spark, SF_SMALL)))
+    big = [ln for ln in p.splitlines() if "Exchange hashpartitioning(label" in ln and "score" in ln]
+    assert len(big) == 1, big  # the pre-aggregated (label, bucket, score) shuffle happens once
+
+
+def test_bulk_job_is_one_branch_with_one_model_call(spark):
+    p = _final_plan(E.queries()["bulk_patient_job"](spark, SF_SMALL))
+    assert "Union" not in p
+    assert p.count("ArrowEvalPython") == 1
