@@ -348,8 +348,8 @@ def q_score_images(spark, d):
     Arrow batches -> top label (undecodable files kept, never scored)."""
     from ..operators import ranking as rk
     imgs = rd.image_table(spark, ensure_images(spark, d))
-    scorer = sc.batch_scorer(sc.channel_mean_factory(), [[256 * 256 * 3]], masked=True)
-    s = im.score_images(imgs, scorer)
+    # decode + resize + model in one Python step: tensors never return to the JVM
+    s = im.score_images_fused(imgs, sc.channel_mean_factory(), n_out=len(LABELS))
     pred = F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores")))
     return s.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("basename"), "ok",
                     F.when(pred.isNotNull(), rk.top_prediction(pred)).alias("top_prediction"),

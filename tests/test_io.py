@@ -114,3 +114,20 @@ def test_score_images_matches_numpy(spark, tmp_path):
     for name, label in expect.items():
         s = got[name].scores
         assert LABELS[int(np.argmax(s))] == label
+
+
+def test_fused_image_scoring_equals_two_step(spark, tmp_path):
+    from cohortbeam.operators import scoring as sc
+    rng = np.random.default_rng(5)
+    for i in range(5):
+        (tmp_path / f"{i}.png").write_bytes(encode_png(rng.integers(0, 256, size=(6, 4, 3), dtype=np.uint8)))
+    (tmp_path / "bad.png").write_bytes(b"junk")
+    imgs = rd.image_table(spark, str(tmp_path))
+    scorer = sc.batch_scorer(sc.channel_mean_factory(), [[8 * 8 * 3]], masked=True)
+    two = {r.path: r.scores for r in im.score_images(imgs, scorer, size=(8, 8)).collect()}
+    one = {r.path: r.scores for r in im.score_images_fused(imgs, sc.channel_mean_factory(), 14, size=(8, 8)).collect()}
+    assert two.keys() == one.keys()
+    for k in two:
+        assert (two[k] is None) == (one[k] is None)
+        if two[k] is not None:
+            assert np.allclose(two[k], one[k])
