@@ -107,6 +107,14 @@ def add_age_features(df: DataFrame, age_raw: str = "age_raw", materialize: bool
     })
 
 
+def distinct_count(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct non-null values of ``col`` (e.g. patients). ``approx=True``
+    uses HyperLogLog++ (``approx_count_distinct``): mergeable sketches, no
+    shuffle of the values -- the choice for very large tables."""
+    agg = F.approx_count_distinct(col, rsd) if approx else F.countDistinct(col)
+    return df.agg(agg.alias("n_distinct"))
+
+
 def age_median(df: DataFrame, age: str = "age") -> DataFrame:
     """Exact, interpolated median (Spark keeps a value->count map, so memory
     follows the number of distinct ages, not rows)."""

@@ -168,3 +168,10 @@ def test_filename_label_roundtrip_f19(spark):
 def test_iso_date_part_f13(spark):
     df = spark.createDataFrame([("2026-01-05T10:00:00",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.iso_date_part("t")).collect()] == ["2026-01-05", "N/A", "N/A"]
+
+
+def test_distinct_count_exact_and_approx(spark):
+    df = spark.range(20000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE id % 5000 END AS p")
+    assert co.distinct_count(df, "p").first()[0] == 4000
+    approx = co.distinct_count(df, "p", approx=True, rsd=0.02).first()[0]
+    assert abs(approx - 4000) / 4000 < 0.08
