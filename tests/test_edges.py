@@ -172,6 +172,6 @@ def test_iso_date_part_f13(spark):
 
 def test_distinct_count_exact_and_approx(spark):
     df = spark.range(20000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE id % 5000 END AS p")
-    assert co.distinct_count(df, "p").first()[0] == 4000
+    assert co.distinct_count(df, "p").first()[0] == 4500  # multiples of 10 only come from NULLed ids
     approx = co.distinct_count(df, "p", approx=True, rsd=0.02).first()[0]
-    assert abs(approx - 4000) / 4000 < 0.08
+    assert abs(approx - 4500) / 4500 < 0.08
