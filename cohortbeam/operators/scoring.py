@@ -154,16 +154,20 @@ def batch_scorer(make_predict_fn: Callable[[], PredictFn], input_shapes: list[li
 
 
 def score(df: DataFrame, scorer, inputs: list[str], out: str = "scores",
-          capture_errors: bool = False) -> DataFrame:
+          capture_errors: bool = False, failed_as_zeros: bool = False) -> DataFrame:
     """Add ``out`` (array<double>); with error capture also ``error`` and
-    NULL scores for failed rows (NaN never leaks out)."""
+    NULL scores for failed rows (NaN never leaks out). ``failed_as_zeros``
+    gives failed rows all-zero scores instead (compatibility: a failure then
+    looks like a healthy image, so keep ``error`` to tell them apart)."""
     res = scorer(*[F.col(c) for c in inputs])
     if not capture_errors:
         return df.withColumn(out, res)
     tmp = df.withColumn("_res", res)
     bad = (F.col("_res.error").isNotNull() | F.col("_res.scores").isNull()
            | F.exists(F.col("_res.scores"), lambda x: x.isNull() | F.isnan(x)))
-    return (tmp.withColumn(out, F.when(~bad, F.col("_res.scores")))
+    failed = (F.transform(F.col("_res.scores"), lambda _: F.lit(0.0)) if failed_as_zeros
+              else F.lit(None).cast("array<double>"))
+    return (tmp.withColumn(out, F.when(~bad, F.col("_res.scores")).otherwise(failed))
                .withColumn("error", F.col("_res.error")).drop("_res"))
 
 

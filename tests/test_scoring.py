@@ -69,3 +69,11 @@ def test_model_shipped_as_file(spark, tmp_path):
     a = {r.vec_id: r.s for r in sc.score(df, from_file, ["embedding"], out="s").select("vec_id", "s").collect()}
     b = {r.vec_id: r.s for r in sc.score(df, in_memory, ["embedding"], out="s").select("vec_id", "s").collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_failed_rows_as_zeros_compat(spark, tmp_path):
+    scorer = sc.batch_scorer(_factory(str(tmp_path)), [[3]], n_out=2, capture_errors=True)
+    df = spark.range(8).select("id", F.array(F.when(F.col("id") == 3, -999.0).otherwise(1.0), F.lit(1.0), F.lit(1.0)).alias("x"))
+    r = {x.id: x for x in sc.score(df, scorer, ["x"], capture_errors=True, failed_as_zeros=True).collect()}
+    assert r[3].scores == [0.0, 0.0] and r[3].error is not None
+    assert r[0].scores == [3.0, 3.0] and r[0].error is None
