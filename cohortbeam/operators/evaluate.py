@@ -124,10 +124,12 @@ def roc_curve(points: DataFrame, with_start: bool = True) -> DataFrame:
     return points.select("label", F.explode(rows).alias("r")).select("label", "r.*")
 
 
-def label_metrics(points: DataFrame) -> DataFrame:
+def label_metrics(points: DataFrame, strict: bool = False) -> DataFrame:
     """One row per label: AUC (ties count 1/2), average precision, the
     Youden-optimal threshold (first, i.e. highest, threshold maximising
-    tpr - fpr; +inf when no point beats the start) and its tp/fp.
+    tpr - fpr; +inf when no point beats the start) and its tp/fp -- counted
+    with ``score >= threshold``, or ``score > threshold`` when ``strict``
+    (the threshold's own score group is then left out).
 
     Youden's J is compared as the exact integer tp*N - fp*P (decimal(38,0)),
     so ties are exact and the highest threshold wins them.
@@ -138,15 +140,16 @@ def label_metrics(points: DataFrame) -> DataFrame:
         F.expr("first(pos_all) AS pos_all"), F.expr("first(neg_all) AS neg_all"),
         F.expr("sum(CAST(neg AS DOUBLE) * CAST(tp - pos AS DOUBLE) + CAST(neg AS DOUBLE) * CAST(pos AS DOUBLE) / 2.0D) AS auc_num"),
         F.expr("sum(CAST(pos AS DOUBLE) * (tp / (tp + fp))) AS ap_num"),
-        F.expr(f"max(named_struct('j', {j}, 'thr', score, 'tp', tp, 'fp', fp)) AS best"))
+        F.expr(f"max(named_struct('j', {j}, 'thr', score, 'tp', tp, 'fp', fp, 'pos', pos, 'neg', neg)) AS best"))
+    tp_at, fp_at = ("best.tp - best.pos", "best.fp - best.neg") if strict else ("best.tp", "best.fp")
     ok = "(pos_all > 0 AND neg_all > 0)"
     return agg.selectExpr(
         "label", "pos_all", "neg_all", f"NOT {ok} AS skipped",
         f"CASE WHEN {ok} THEN auc_num / (CAST(pos_all AS DOUBLE) * CAST(neg_all AS DOUBLE)) END AS auc",
         f"CASE WHEN {ok} THEN ap_num / CAST(pos_all AS DOUBLE) END AS ap",
         f"CASE WHEN {ok} THEN IF(best.j > 0, best.thr, CAST('inf' AS DOUBLE)) END AS threshold",
-        f"CAST(CASE WHEN {ok} THEN IF(best.j > 0, best.tp, 0) END AS BIGINT) AS tp",
-        f"CAST(CASE WHEN {ok} THEN IF(best.j > 0, best.fp, 0) END AS BIGINT) AS fp")
+        f"CAST(CASE WHEN {ok} THEN IF(best.j > 0, {tp_at}, 0) END AS BIGINT) AS tp",
+        f"CAST(CASE WHEN {ok} THEN IF(best.j > 0, {fp_at}, 0) END AS BIGINT) AS fp")
 
 
 def _ratio(num: str, den: str) -> str:
@@ -171,7 +174,7 @@ def confusion_metrics(m: DataFrame) -> DataFrame:
 
 
 def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: bool = True,
-                materialize: bool = False) -> DataFrame:
+                materialize: bool = False, strict: bool = False) -> DataFrame:
     """Per-label report in label order: Pathology, AUC_ROC, AvgPrecision,
     Precision, Recall, F1, Specificity, TP, FP, FN, TN, OptimalThreshold and a
     ``skipped`` flag for labels that lack positives or negatives.
@@ -186,7 +189,7 @@ def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: b
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(scored.sparkSession)
         scored = scored.checkpoint(eager=True)
-    m = confusion_metrics(label_metrics(roc_points(scored, two_level)))
+    m = confusion_metrics(label_metrics(roc_points(scored, two_level), strict=strict))
     order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
     return m.select(
         order.cast("int").alias("label_idx"),

@@ -175,3 +175,12 @@ def test_distinct_count_exact_and_approx(spark):
     assert co.distinct_count(df, "p").first()[0] == 4500  # multiples of 10 only come from NULLed ids
     approx = co.distinct_count(df, "p", approx=True, rsd=0.02).first()[0]
     assert abs(approx - 4500) / 4500 < 0.08
+
+
+def test_strict_threshold_option_b6(spark):
+    rows = [(0, "A", 0.9, 1), (1, "A", 0.9, 0), (2, "A", 0.5, 1), (3, "A", 0.1, 0)]
+    df = _scored(spark, rows)
+    ge = ev.eval_report(df, labels=["A"]).first()
+    gt = ev.eval_report(df, labels=["A"], strict=True).first()
+    assert ge.OptimalThreshold == gt.OptimalThreshold == 0.5
+    assert (ge.TP, ge.FP) == (2, 1) and (gt.TP, gt.FP) == (1, 1)
