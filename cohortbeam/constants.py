@@ -19,6 +19,8 @@ feature order and the user-facing defaults and messages):
   fallback raw date 00000000; empty sanitized name -> Unknown
 - record sources: web_upload, spark_batch, batch_sequential
 - validation and form messages: see the MSG_* constants below
+- pixel scaling "imagenet" (per-channel RGB, after x / 255):
+  mean 0.485, 0.456, 0.406; std 0.229, 0.224, 0.225
 - registry file names: original.png, heatmap files gradcam_<label>.png
   (blanks and slashes in the label become underscores), metadata.json,
   predictions.json; result message "Saved to <registry root>/<folder>"
@@ -73,6 +75,9 @@ MSG_FILE_TYPE = "Invalid file type. Please upload PNG or JPEG."
 MSG_NAME_REQUIRED = "Patient name is required"
 MSG_AGE_VALUE = "Invalid age value"
 
+IMAGENET_MEAN = [0.485, 0.456, 0.406]
+IMAGENET_STD = [0.229, 0.224, 0.225]
+
 # File signatures used to recognise image formats without decoding.
 PNG_MAGIC_HEX = "89504E470D0A1A0A"
 JPEG_MAGIC_HEX = "FFD8FF"

@@ -38,6 +38,9 @@ def scale_pixels(x: np.ndarray, mode: str) -> np.ndarray:
         return x / 127.5 - 1.0
     if mode == "unit":        # x / 255
         return x / 255.0
+    if mode == "imagenet":  # x / 255, then per-channel standardisation (last axis = RGB)
+        from ..constants import IMAGENET_MEAN, IMAGENET_STD
+        return (x / 255.0 - np.asarray(IMAGENET_MEAN, dtype=np.float32)) / np.asarray(IMAGENET_STD, dtype=np.float32)
     if mode == "none":
         return x
     raise ValueError(f"unknown scaling mode {mode}")

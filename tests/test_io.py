@@ -131,3 +131,13 @@ def test_fused_image_scoring_equals_two_step(spark, tmp_path):
         assert (two[k] is None) == (one[k] is None)
         if two[k] is not None:
             assert np.allclose(two[k], one[k])
+
+
+def test_scaling_modes():
+    px = np.full((2, 2, 3), 255.0, dtype=np.float32)
+    assert np.allclose(im.scale_pixels(px, "tanh"), 1.0)
+    assert np.allclose(im.scale_pixels(px, "unit"), 1.0)
+    out = im.scale_pixels(px, "imagenet")
+    assert np.allclose(out[0, 0], [(1 - 0.485) / 0.229, (1 - 0.456) / 0.224, (1 - 0.406) / 0.225])
+    with pytest.raises(ValueError):
+        im.scale_pixels(px, "other")
