@@ -190,14 +190,13 @@ def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: b
         ensure_checkpoint_dir(scored.sparkSession)
         scored = scored.checkpoint(eager=True)
     m = confusion_metrics(label_metrics(roc_points(scored, two_level), strict=strict))
-    order = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-    return m.select(
-        order.cast("int").alias("label_idx"),
-        F.col("label").alias("Pathology"), F.col("auc").alias("AUC_ROC"), F.col("ap").alias("AvgPrecision"),
-        F.col("precision").alias("Precision"), F.col("recall").alias("Recall"), F.col("f1").alias("F1"),
-        F.col("specificity").alias("Specificity"), F.col("tp").alias("TP"), F.col("fp").alias("FP"),
-        F.col("fn").alias("FN"), F.col("tn").alias("TN"), F.col("threshold").alias("OptimalThreshold"),
-        "skipped").repartition(1).sortWithinPartitions("label_idx")  # one row per label
+    names = ", ".join("'" + x.replace("'", "\\'") + "'" for x in labels)
+    return m.selectExpr(
+        f"CAST(array_position(array({names}), label) - 1 AS INT) AS label_idx",
+        "label AS Pathology", "auc AS AUC_ROC", "ap AS AvgPrecision", "precision AS Precision",
+        "recall AS Recall", "f1 AS F1", "specificity AS Specificity", "tp AS TP", "fp AS FP", "fn AS FN",
+        "tn AS TN", "threshold AS OptimalThreshold", "skipped",
+    ).repartition(1).sortWithinPartitions("label_idx")  # one row per label
 
 
 def macro_metrics(report: DataFrame) -> DataFrame:
