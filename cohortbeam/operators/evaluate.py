@@ -111,17 +111,14 @@ def roc_curve(points: DataFrame, with_start: bool = True) -> DataFrame:
     the one group whose cumulative counts equal its own (tp = pos, fp = neg)
     -- so no second pass over the points is needed.
     """
-    fpr = F.when(F.col("neg_all") > 0, F.col("fp") / F.col("neg_all"))
-    tpr = F.when(F.col("pos_all") > 0, F.col("tp") / F.col("pos_all"))
-    row = F.struct(F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
+    row = ("named_struct('threshold', score, 'fpr', IF(neg_all > 0, fp / neg_all, NULL), "
+           "'tpr', IF(pos_all > 0, tp / pos_all, NULL))")
     if not with_start:
-        return points.select("label", row.alias("r")).select("label", "r.*")
-    start = F.struct(F.lit(float("inf")).alias("threshold"),
-                     F.when(F.col("neg_all") > 0, F.lit(0.0)).alias("fpr"),
-                     F.when(F.col("pos_all") > 0, F.lit(0.0)).alias("tpr"))
-    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
-    rows = F.when(first, F.array(start, row)).otherwise(F.array(row))
-    return points.select("label", F.explode(rows).alias("r")).select("label", "r.*")
+        return points.selectExpr("label", f"{row} AS r").selectExpr("label", "r.*")
+    start = ("named_struct('threshold', CAST('inf' AS DOUBLE), 'fpr', IF(neg_all > 0, 0.0D, NULL), "
+             "'tpr', IF(pos_all > 0, 0.0D, NULL))")
+    rows = f"IF(tp = pos AND fp = neg, array({start}, {row}), array({row}))"
+    return points.selectExpr("label", f"explode({rows}) AS r").selectExpr("label", "r.*")
 
 
 def label_metrics(points: DataFrame, strict: bool = False) -> DataFrame:
