@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import mtree, packing, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,30 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+@query
+def op3_topk(spark, sf_dir):
+    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
+
+
+ORACLE["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
+"""
+
+
 @query
 def op4_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), encoder_path(), seq_len=1024)
