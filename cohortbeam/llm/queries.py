@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mtree, packing, simhash
+from . import decontaminate, line_dedup, mtree, packing, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -53,3 +53,41 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS
 def op4_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), encoder_path(), seq_len=1024)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_lines=2).select(
+        "doc_id", "text", "n_lines", "n_deleted")
+
+
+ORACLE["op8_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents
+), w AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l
+), c AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 AS later
+  FROM w WHERE next IS NOT NULL
+), gone AS (
+  SELECT doc_id, i FROM c WHERE later UNION SELECT doc_id, i + 1 FROM c WHERE later
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted,
+         string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i
+  GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query
+def op10_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return decontaminate.judged(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
