@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 from .fm_index import BREAK, END, FIRST, FMIndex
@@ -161,13 +161,15 @@ def _merge(batches):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 500_000,
-                  shard_words: int = 1_000_000) -> DataFrame:
+                  shard_words: int = 1_000_000, row_key: Column | None = None) -> DataFrame:
     """Per document (row_key, doc_id, n_words, spans, items): spans are merged
-    word ranges [start, end) covered by windows, items the ids they come from."""
+    word ranges [start, end) covered by windows, items the ids they come from.
+    ``row_key`` (long) names the rows; by default they are numbered."""
     chunks = stored(item_chunks(benchmark, window), "decontaminate-items")
     total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long"),
+    key = F.monotonically_increasing_id() if row_key is None else row_key
+    rows = docs.select(key.alias("row_key"), F.col("doc_id").cast("long"),
                        F.col("text").cast("string"))
     if blocks > 1:
         rows = stored(rows, "decontaminate-docs")
@@ -177,8 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
         part = _search_block(rows, Windows(mine, window), shard_words)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("row_key").agg(
-            F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        found = found.groupBy("row_key", "doc_id", "n_words").agg(
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).mapInPandas(_merge, RESULT)
     return found
@@ -188,3 +189,11 @@ def judged(found: DataFrame) -> DataFrame:
     """Adds n_hit and contaminated (hits cover a twentieth of the words or more)."""
     return (found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"))
             .withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words")))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The documents that are not contaminated, all columns."""
+    key = F.xxhash64("doc_id", "text")  # rows with one id and text share their verdict
+    bad = judged(contamination(docs, benchmark, window, row_key=key)).where("contaminated").select("row_key").distinct()
+    return docs.withColumn("row_key", key).join(stored(bad, "decontaminate-bad"), "row_key", "left_anti").select(
+        *[f"`{c}`" for c in docs.columns])

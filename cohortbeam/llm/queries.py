@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mtree, packing, simhash
+from . import decontaminate, line_dedup, mtree, packing, simhash, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -55,6 +55,11 @@ def op4_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_lines=2).select(

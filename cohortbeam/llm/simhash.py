@@ -85,14 +85,15 @@ def _batch_fingerprints(texts, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document; fp holds the 64 bits as a long."""
+    """(key, doc_id, fp): one row per document; fp holds the 64 bits as a long,
+    key is a hash of id and text."""
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"),
+            yield pd.DataFrame({"key": b.key, "doc_id": b.doc_id.astype("Int64"),
                                 "fp": _batch_fingerprints(b.text.tolist(), shingle).view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, fp long")
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"),
+                       F.col("text").cast("string")).mapInPandas(run, "key long, doc_id long, fp long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -269,15 +270,30 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return stored(found.selectExpr("q AS u", "x AS v").distinct(), "simhash-links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id): fingerprint as 16 lowercase hex
-    digits, component_id the smallest doc_id reachable over links."""
+def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """(key, doc_id, fp, root, component_id): root is the fingerprint that names
+    the group, component_id the smallest doc_id in it."""
     rows = stored(fingerprints(docs, shingle), "simhash-fps")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = component_labels(links(distinct, max_bits), "simhash-components")
     rooted = distinct.join(groups, distinct.fp == groups.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                          "component_id")
+    return rows.join(rooted.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id): fingerprint as 16 lowercase hex
+    digits, component_id the smallest doc_id reachable over links."""
+    return grouped(docs, shingle, max_bits).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """docs without near-duplicates: the smallest id of each group stays (rows
+    without an id come last, equal rows count as one)."""
+    kept = grouped(docs, shingle, max_bits).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best")).select("best.key")
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    return keyed.join(stored(kept, "simhash-kept"), "key", "left_semi").dropDuplicates(["key"]).select(
+        *[f"`{c}`" for c in docs.columns])
