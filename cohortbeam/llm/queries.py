@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mtree, packing, simhash, toxicity
+from . import decontaminate, language, line_dedup, mtree, packing, simhash, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -20,6 +20,11 @@ def encoder_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@query
+def op1_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
@@ -90,6 +95,17 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+@query
+def op9_url_filter(spark, sf_dir):
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op10_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)

@@ -87,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
 
 
 def fit(labels: np.ndarray, word_sets: list, identity: list, max_features: int, swap_weight: float = 1.0,
-        decay: float = 1e-3, steps: int = 400) -> tuple[dict[str, float], float]:
+        decay: float = 3e-4, steps: int = 400) -> tuple[dict[str, float], float]:
     """Weights by feature and the intercept (full-batch descent)."""
     pos, n = int(labels.sum()), len(labels)
     if pos in (0, n):
