@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mtree, packing, simhash, toxicity, url_filter
+from . import decontaminate, language, line_dedup, mtree, packing, pii, simhash, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -65,6 +65,11 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_pii(spark, sf_dir):
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key="op7").select("doc_id", "text", "n_replaced")
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_lines=2).select(
