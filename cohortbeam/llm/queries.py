@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mtree, packing, pii, simhash, toxicity, url_filter
+from . import decontaminate, language, line_dedup, mtree, packing, passages, pii, simhash, toxicity, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -60,6 +60,11 @@ def op4_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op5_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
 @query
 def op6_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
