@@ -70,6 +70,7 @@ MSG_GENDER = "Invalid gender: {}. Must be 'M' or 'F'."
 MSG_VIEW = "Invalid view: {}. Must be 'AP' or 'PA'."
 MSG_FORMAT = "Invalid image format: {}. Must be PNG or JPEG."
 MSG_UNREADABLE = "Could not read image: {}"
+MSG_NO_SCORES = "The model returned no usable scores"
 # Upload form checks (first failing one is reported).
 MSG_FILE_TYPE = "Invalid file type. Please upload PNG or JPEG."
 MSG_NAME_REQUIRED = "Patient name is required"

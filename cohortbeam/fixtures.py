@@ -139,7 +139,7 @@ def scores_wide(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) ->
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long scores: vec_id, k, score."""
     w = scores_wide(spark, sf_dir)
-    return w.select("vec_id", F.posexplode("scores").alias("k", "score"))
+    return w.select("vec_id", F.posexplode_outer("scores").alias("k", "score"))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def scored_long(spark: SparkSession, sf_dir: str, tied: bool = False) -> DataFra
     same row, so no join is needed to align them.
     """
     names = ", ".join(f"'{n}'" for n in LABELS)
-    x = scores_wide(spark, sf_dir).selectExpr("vec_id", "label", "posexplode(scores) AS (k, s)")
+    x = scores_wide(spark, sf_dir).selectExpr("vec_id", "label", "posexplode_outer(scores) AS (k, s)")
     score = "round(s, 1)" if tied else "s"
     return x.selectExpr("vec_id AS image_key", f"element_at(array({names}), k + 1) AS label", f"{score} AS score",
                         "CAST(label = k AS INT) AS truth")

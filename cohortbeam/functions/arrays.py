@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["scores_to_map", "pixel_scale", "samplewise_norm", "rescale_255", "array_mean"]
+__all__ = ["scores_to_map", "pixel_scale", "samplewise_norm", "rescale_255"]
 
 
 def _c(c):
@@ -21,11 +21,6 @@ def pixel_scale(px: Column | str) -> Column:
     return F.transform(_c(px), lambda x: x.cast("double") / 127.5 - 1.0)
 
 
-def array_mean(px: Column | str) -> Column:
-    a = _c(px)
-    return F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double")) / F.size(a)
-
-
 def samplewise_norm(px: Column | str, eps: float = 1e-6) -> Column:
     """Per-sample centring and scaling: (x - mean) / (std + eps), population std.
 

@@ -83,17 +83,17 @@ def default_features(df: DataFrame, defaults: dict[str, float] | None = None) ->
 
 
 def upload_defaults(df: DataFrame, age: str = "age", gender: str = "gender", view: str = "view") -> DataFrame:
-    """Missing form fields get defaults; gender/view upper-cased; age text parsed.
+    """Absent (NULL) form fields get defaults; gender/view upper-cased; age text parsed.
 
-    ``age_ok`` is false when an age was given but is not an integer; such rows
-    are rejected by validation rather than silently defaulted.
+    A blank field is not absent: a blank gender or view stays blank and a blank
+    or non-integer age gives ``age_ok = false``, so validation rejects the row
+    instead of scoring invented values.
     """
-    age_txt = F.trim(F.col(age).cast("string"))
-    given = age_txt.isNotNull() & (age_txt != "")
-    parsed = F.when(age_txt.rlike(INT_TEXT), age_txt.try_cast("int"))
+    age_txt = F.col(age).cast("string")
+    parsed = F.when(age_txt.rlike(INT_TEXT), F.trim(age_txt).try_cast("int"))
     return df.withColumns({
-        "age_ok": ~given | parsed.isNotNull(),
-        age: F.when(given, parsed).otherwise(F.lit(UPLOAD_DEFAULTS["age"])),
-        gender: F.upper(F.coalesce(F.nullif(F.trim(F.col(gender)), F.lit("")), F.lit(UPLOAD_DEFAULTS["gender"]))),
-        view: F.upper(F.coalesce(F.nullif(F.trim(F.col(view)), F.lit("")), F.lit(UPLOAD_DEFAULTS["view"]))),
+        "age_ok": age_txt.isNull() | parsed.isNotNull(),
+        age: F.when(age_txt.isNull(), F.lit(UPLOAD_DEFAULTS["age"])).otherwise(parsed),
+        gender: F.upper(F.coalesce(F.col(gender), F.lit(UPLOAD_DEFAULTS["gender"]))),
+        view: F.upper(F.coalesce(F.col(view), F.lit(UPLOAD_DEFAULTS["view"]))),
     })

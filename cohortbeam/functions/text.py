@@ -8,7 +8,7 @@ from ..constants import (BAND_HIGH, BAND_MEDIUM, FOLDER_PATTERN, HEATMAP_PREFIX,
                          ORIGINAL_IMAGE, UNKNOWN_DATE, UNKNOWN_DATE_RAW, UNKNOWN_NAME)
 
 __all__ = [
-    "sanitize_name", "folder_key", "parse_folder", "basename", "stem", "extension",
+    "sanitize_name", "folder_key", "parse_folder", "basename", "stem",
     "allowed_file", "iso_date_part", "label_list", "percent_text", "risk_band",
     "gender_display", "heatmap_filename", "label_from_filename", "image_role", "bar_line",
 ]
@@ -55,12 +55,6 @@ def stem(path: Column | str) -> Column:
     return F.substring_index(basename(path), ".", 1)
 
 
-def extension(path: Column | str) -> Column:
-    """Lower-cased text after the last dot ('' when there is no dot)."""
-    b = basename(path)
-    return F.when(b.contains("."), F.lower(F.substring_index(b, ".", -1))).otherwise(F.lit(""))
-
-
 def allowed_file(name: Column | str, allowed: list[str] | None = None) -> Column:
     from ..constants import ALLOWED_EXTENSIONS
     n = _c(name)

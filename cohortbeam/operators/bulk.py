@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, MSG_SAVED, MSG_UNREADABLE, SOURCES, TOP_K_HEATMAPS
+from ..constants import LABELS, MSG_NO_SCORES, MSG_SAVED, MSG_UNREADABLE, SOURCES, TOP_K_HEATMAPS
 from ..functions import features as feat
 from ..functions.text import folder_key
 from . import ranking as rk
 from . import scoring as sc
 from .validate import validate
 
-RESULT_COLS = ["idx", "patient_name", "folder_name", "success", "message", "top_prediction", "source"]
+RESULT_COLS = ["idx", "patient_name", "age", "gender", "view", "folder_name", "success", "message", "top_prediction",
+               "source"]
 
 
 def serve_meta(df: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
     saved_prefix = MSG_SAVED.format(registry_root.rstrip("/"), "")
     message = (F.when(ok, F.concat(F.lit(saved_prefix), F.col("folder_name")))
                 .when(F.size("errors") > 0, F.array_join("errors", "; "))
-                .otherwise(F.col("error")))
+                .otherwise(F.coalesce("error", F.lit(MSG_NO_SCORES))))
     return out.select(
-        "idx", F.col("name").alias("patient_name"), "folder_name", ok.alias("success"), message.alias("message"),
+        "idx", F.col("name").alias("patient_name"), "age", "gender", "view", "folder_name", ok.alias("success"), message.alias("message"),
         F.when(ok, rk.top_prediction(F.col("predictions"))).alias("top_prediction"),
         F.lit(source).alias("source"), "predictions", top3.alias("top3"), heat.alias("heatmaps"))
 

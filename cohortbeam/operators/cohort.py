@@ -146,20 +146,32 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
     count 0; ``interval`` is '<left> to <right>' with edges truncated to
     integers; ``log_count`` is ln(count) (NULL for empty bins).
 
-    Work: a partial+final aggregate for the range (one row per group), one
-    partial+final count per (group, bin). The range table (one row per
-    group) is joined back; Spark broadcasts it under the size threshold.
+    When all values are equal the range is widened by 0.5 on both sides.
+
+    Work: one scan into counts of distinct (group, value) pairs; ranges, bins
+    and counts come from that small table. Without groups the range is one row
+    and becomes two literals, so nothing is joined to the data.
     """
     key = by or "_g"
-    data = df.where(f"`{value}` IS NOT NULL").selectExpr(f"{f'`{by}`' if by else '0'} AS `{key}`",
+    vals = (df.where(f"`{value}` IS NOT NULL").selectExpr(f"{f'`{by}`' if by else '0'} AS `{key}`",
                                                           f"CAST(`{value}` AS DOUBLE) AS _x")
-    rng = data.groupBy(key).agg(F.expr("min(_x) AS lo"), F.expr("max(_x) AS hi"))
+              .groupBy(key, "_x").agg(F.count(F.lit(1)).alias("_n")))
+    span = ["IF(min(_x) = max(_x), min(_x) - 0.5D, min(_x)) AS lo", "IF(min(_x) = max(_x), max(_x) + 0.5D, max(_x)) AS hi"]
+    if by:
+        rng = vals.groupBy(key).agg(*[F.expr(x) for x in span])
+        data = vals.join(rng, key)
+    else:
+        lo, hi = vals.agg(*[F.expr(x) for x in span]).first()
+        if lo is None:
+            rng = vals.selectExpr(f"`{key}`", "_x AS lo", "_x AS hi").limit(0)
+            data = vals.withColumns({"lo": F.col("_x"), "hi": F.col("_x")})
+        else:
+            rng = df.sparkSession.range(1).select(F.lit(0).alias(key), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+            data = vals.withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
     rng = rng.selectExpr("*", f"(hi - lo) / {float(bins)}D AS width")
     # bin from the ratio (x-lo)*bins/(hi-lo); the maximum goes to the last bin
-    bin_sql = (f"CAST(CASE WHEN hi = lo THEN {bins // 2} "
-               f"ELSE least(floor((_x - lo) * {float(bins)}D / (hi - lo)), {bins - 1}) END AS INT)")
-    counts = (data.join(rng, key, "inner").selectExpr(f"`{key}`", f"{bin_sql} AS bin")
-                  .groupBy(key, "bin").agg(F.expr("count(1) AS count")))
+    bin_sql = f"CAST(least(floor((_x - lo) * {float(bins)}D / (hi - lo)), {bins - 1}) AS INT)"
+    counts = data.selectExpr(f"`{key}`", f"{bin_sql} AS bin", "_n").groupBy(key, "bin").agg(F.sum("_n").alias("count"))
     frame = rng.selectExpr(f"`{key}`", "lo", "hi", "width", f"explode(sequence(0, {bins - 1})) AS bin")
     edges = frame.join(counts, [key, "bin"], "left").selectExpr(
         f"`{key}`", "bin", "lo + bin * width AS left",
@@ -185,8 +197,8 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "row_no", partitions
     (a global ``offset`` or ``row_number()`` window would).
     """
     from pyspark.sql import Window
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    srt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    srt = ranged.sortWithinPartitions(*order)
     srt = srt.withColumn("_mid", F.monotonically_increasing_id())
     srt = srt.withColumns({"_pid": F.shiftright(F.col("_mid"), 33), "_loc": F.col("_mid").bitwiseAND((1 << 33) - 1)})
     # materialize the numbered rows so the counts and the rows come from one evaluation
@@ -201,16 +213,27 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "row_no", partitions
                .drop("_mid", "_pid", "_loc", "_off"))
 
 
-def discover_categories(df: DataFrame, col: str, max_categories: int = 256) -> list[str]:
-    """Sorted distinct non-null values of a low-cardinality column. At most
-    ``max_categories`` + 1 rows reach the driver; more is an error."""
-    found = df.select(col).distinct().limit(max_categories + 1).collect()
-    if len(found) > max_categories:
+def row_at(df: DataFrame, order: list[str], position: int, near: int = 10_000) -> DataFrame:
+    """The row at a 0-based position of an explicit order. A position under
+    ``near`` is the last of an ordered limit (each task keeps that many rows);
+    a deeper one is found by ``row_numbers``."""
+    if position < near:
+        return df.orderBy(*order).offset(position).limit(1)
+    return row_numbers(df, order).where(F.col("row_no") == position).select(*df.columns)
+
+
+def discover_categories(df: DataFrame, col: str, max_categories: int | None = None) -> list[str]:
+    """Sorted distinct non-null values of a low-cardinality column. They become
+    columns of the plan, so the caller vouches for their number, or gives
+    ``max_categories``: then more is an error."""
+    distinct = df.select(col).distinct()
+    found = (distinct.limit(max_categories + 1) if max_categories else distinct).collect()
+    if max_categories and len(found) > max_categories:
         raise ValueError(f"{col}: more than {max_categories} categories; not a categorical column")
     return sorted(r[0] for r in found if r[0] is not None)
 
 
-def onehot_from_data(df: DataFrame, col: str, prefix: str, max_categories: int = 256) -> DataFrame:
+def onehot_from_data(df: DataFrame, col: str, prefix: str, max_categories: int | None = None) -> DataFrame:
     """One 0/1 column per category found in the data (pandas-style dummies,
     sorted). Rows are never pivoted or shuffled; only the categories are
     collected."""

@@ -9,46 +9,23 @@ ROC points need running sums of those counts in descending score order per
 label. A window partitioned by label alone would put each label (a third of
 the rows, say) into one task, so the running sum is done in two levels:
 
-* every score gets an order-preserving *bucket* (binary exponent and top
-  mantissa bits, computed exactly with native math);
-* per (label, bucket) totals are summed in a small window per label, which
-  gives each bucket the counts of all higher buckets (its offset);
-* inside each (label, bucket) the running sum is a window partitioned by
-  both, so the work spreads over all buckets.
-
-With MANTISSA_BITS = 16 a bucket spans a relative width of 2^-16, so it
-holds at most 2^(23-16) = 128 distinct float32 scores (model outputs) and
-no task grows with the data; a label has at most 65,536 occupied buckets
-per binary octave of scores, which bounds the per-label offsets window. The result is identical to the plain
-label-partitioned window (``two_level=False``, kept for tests).
+* the distinct groups are range-partitioned by (label, score) -- boundaries are
+  sampled from the data, so partitions are balanced whatever the scores look
+  like (a narrow range, ties, infinities) -- and checkpointed once;
+* running sums inside each (partition, label), plus the totals of the label's
+  earlier partitions (one row per partition and label).
+
+Rows without score or truth, and NaN scores, are left out; infinite scores are
+ordinary scores. The result equals the plain label-partitioned window
+(``two_level=False``, kept for tests).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
 
-MANTISSA_BITS = 16
-_EXP_OFFSET = 1100
-
-
-def order_bucket(score: Column, mantissa_bits: int = MANTISSA_BITS) -> Column:
-    """Monotone (non-decreasing) bucket id of a finite double, exact.
-
-    0 for zero; for |s| > 0: (exponent + offset) * 2^m + top m mantissa bits
-    + 1, negated for negative scores.
-    """
-    a = F.abs(score)
-    e0 = F.floor(F.log2(a))
-    e = (F.when(a < F.pow(F.lit(2.0), e0), e0 - 1)
-          .when(a >= F.pow(F.lit(2.0), e0 + 1), e0 + 1).otherwise(e0))
-    frac = a / F.pow(F.lit(2.0), e) - 1.0  # exact, in [0, 1)
-    m = F.floor(frac * float(2 ** mantissa_bits))
-    mag = (e + _EXP_OFFSET) * (2 ** mantissa_bits) + m + 1
-    return F.when(score == 0, F.lit(0)).when(score > 0, mag).otherwise(-mag).cast("bigint")
-
-
 def align_scores(scores: DataFrame, truth: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Scores and truth matched by key (image, label) -- never by position."""
     return scores.join(truth, keys or ["image_key", "label"], "inner")
@@ -56,8 +33,8 @@ def align_scores(scores: DataFrame, truth: DataFrame, keys: list[str] | None = N
 
 def score_groups(scored: DataFrame) -> DataFrame:
     """Distinct (label, score) with pos/neg counts (rows with NULL score or
-    truth are left out)."""
-    s = scored.where(F.col("score").isNotNull() & F.col("truth").isNotNull())
+    truth, and NaN scores, are left out)."""
+    s = scored.where(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")) & F.col("truth").isNotNull())
     return s.groupBy("label", "score").agg(
         F.sum(F.col("truth").cast("long")).alias("pos"),
         F.sum(1 - F.col("truth").cast("long")).alias("neg"))
@@ -67,39 +44,33 @@ def roc_points(scored: DataFrame, two_level: bool = True) -> DataFrame:
     """Per label and distinct score (high -> low): pos, neg of the group and
     cumulative tp, fp including it, plus the label totals pos_all, neg_all.
 
-    Two-level plan: (1) bucket totals straight from the scored rows -- a
-    partial aggregate, so each task ships at most one row per occupied
-    bucket; their offsets are a window over that small table. (2) distinct
-    (label, score) groups (partial aggregate first, so tied or hot scores
-    collapse before the shuffle), then one shuffle into (label, bucket)
-    clusters for the running sums, joined to the offsets.
+    One scan of ``scored`` (partial aggregate first, so tied or hot scores
+    collapse before the shuffle); everything after it works on the distinct
+    groups, range-partitioned and checkpointed to the shared folder.
     """
     running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    g = score_groups(scored)
     if not two_level:
-        g = score_groups(scored)
         return g.selectExpr(
             "label", "score", "pos", "neg",
             f"sum(pos) OVER (PARTITION BY label ORDER BY score DESC {running}) AS tp",
             f"sum(neg) OVER (PARTITION BY label ORDER BY score DESC {running}) AS fp",
             "sum(pos) OVER (PARTITION BY label) AS pos_all", "sum(neg) OVER (PARTITION BY label) AS neg_all")
-    s = (scored.where("score IS NOT NULL AND truth IS NOT NULL")
-               .withColumn("bucket", order_bucket(F.col("score")))
-               .withColumn("_t", F.col("truth").cast("long")))
-    bt = s.groupBy("label", "bucket").agg(F.expr("sum(_t) AS b_pos"), F.expr("sum(1 - _t) AS b_neg"))
-    above = "ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    offsets = bt.selectExpr(
-        "label", "bucket",
-        f"coalesce(sum(b_pos) OVER (PARTITION BY label {above}), 0) AS pos_before",
-        f"coalesce(sum(b_neg) OVER (PARTITION BY label {above}), 0) AS neg_before",
-        "sum(b_pos) OVER (PARTITION BY label) AS pos_all", "sum(b_neg) OVER (PARTITION BY label) AS neg_all")
-    g = s.groupBy("label", "bucket", "score").agg(F.expr("sum(_t) AS pos"), F.expr("sum(1 - _t) AS neg"))
-    local = g.selectExpr(
-        "label", "bucket", "score", "pos", "neg",
-        f"sum(pos) OVER (PARTITION BY label, bucket ORDER BY score DESC {running}) AS tp_in",
-        f"sum(neg) OVER (PARTITION BY label, bucket ORDER BY score DESC {running}) AS fp_in")
-    # offsets has one row per occupied (label, bucket); AQE broadcasts it when
-    # its runtime size is under the broadcast threshold, else shuffles it.
-    return local.join(offsets, ["label", "bucket"], "inner").selectExpr(
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(scored.sparkSession)
+    ranged = (g.repartitionByRange("label", F.desc("score")).withColumn("part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    earlier = "ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = ranged.groupBy("label", "part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).selectExpr(
+        "label", "part",
+        f"coalesce(sum(p) OVER (PARTITION BY label {earlier}), 0) AS pos_before",
+        f"coalesce(sum(n) OVER (PARTITION BY label {earlier}), 0) AS neg_before",
+        "sum(p) OVER (PARTITION BY label) AS pos_all", "sum(n) OVER (PARTITION BY label) AS neg_all")
+    local = ranged.selectExpr(
+        "label", "part", "score", "pos", "neg",
+        f"sum(pos) OVER (PARTITION BY label, part ORDER BY score DESC {running}) AS tp_in",
+        f"sum(neg) OVER (PARTITION BY label, part ORDER BY score DESC {running}) AS fp_in")
+    return local.join(offsets, ["label", "part"], "inner").selectExpr(
         "label", "score", "pos", "neg", "pos_before + tp_in AS tp", "neg_before + fp_in AS fp", "pos_all", "neg_all")
 
 
@@ -171,21 +142,12 @@ def confusion_metrics(m: DataFrame) -> DataFrame:
 
 
 def eval_report(scored: DataFrame, labels: list[str] | None = None, two_level: bool = True,
-                materialize: bool = False, strict: bool = False) -> DataFrame:
+                strict: bool = False) -> DataFrame:
     """Per-label report in label order: Pathology, AUC_ROC, AvgPrecision,
     Precision, Recall, F1, Specificity, TP, FP, FN, TN, OptimalThreshold and a
-    ``skipped`` flag for labels that lack positives or negatives.
-
-    The two-level plan reads ``scored`` twice (bucket totals, then groups).
-    When ``scored`` is not a stored table (e.g. straight out of a model UDF),
-    pass ``materialize=True``: it is checkpointed once to the shared
-    ``spark.checkpoint.dir`` so the model is not run twice.
-    """
+    ``skipped`` flag for labels that lack positives or negatives. ``scored``
+    is read once, so it may come straight out of a model."""
     labels = labels or LABELS
-    if materialize:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(scored.sparkSession)
-        scored = scored.checkpoint(eager=True)
     m = confusion_metrics(label_metrics(roc_points(scored, two_level), strict=strict))
     names = ", ".join("'" + x.replace("'", "\\'") + "'" for x in labels)
     return m.selectExpr(

@@ -115,18 +115,30 @@ def _decode_rgb(img) -> np.ndarray | None:
 
 
 def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tuple[int, int] = (256, 256),
-                       mode: str = "tanh", batch_size: int = 32) -> DataFrame:
+                       mode: str = "tanh", batch_size: int = 32, meta: list[str] | None = None,
+                       keep: tuple[str, ...] = ()) -> DataFrame:
     """Decode, prepare and score in one Python step per partition.
 
     Same result as ``prepare_images`` followed by the batch scorer, but the
     float tensors (786 KB per 256x256x3 image) never go back to the JVM:
-    only (path, ok, scores, error) leave the task. The model comes from
-    ``make_predict_fn`` once per Python worker (PySpark's model cache, as
-    ``predict_batch_udf`` does); a failing batch is retried row by row.
+    only (path, ok, scores, error) and the ``keep`` columns leave the task. With
+    ``meta`` the model gets a second input, the rows' metadata features. The
+    model comes from ``make_predict_fn`` once per Python worker (PySpark's model
+    cache, as ``predict_batch_udf`` does); a failing batch is retried row by
+    row, and a row whose scores are not finite is an error row.
     """
     import uuid
+
+    from pyspark.sql import types as T
     key = uuid.uuid4()
     out_h, out_w = size
+    meta = list(meta or [])
+
+    def call(model, x, m):
+        res = np.asarray(model(x, m) if meta else model(x), dtype=np.float64)
+        if res.shape != (len(x), n_out):
+            raise ValueError(f"model returned shape {res.shape}")
+        return res
 
     def run(batches):
         from pyspark.ml.model_cache import ModelCache
@@ -136,39 +148,83 @@ def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tup
             ModelCache.add(key, model)
         for pdf in batches:
             for start in range(0, len(pdf), OUT_ROWS):
-                chunk = pdf["image"].iloc[start:start + OUT_ROWS]
+                chunk = pdf.iloc[start:start + OUT_ROWS]
+                features = chunk[meta].to_numpy(dtype=np.float64) if meta else np.zeros((len(chunk), 0))
                 paths, oks, tensors = [], [], []
-                for img in chunk:
+                for img in chunk["image"]:
                     paths.append(img["origin"])
                     rgb = _decode_rgb(img)
                     oks.append(rgb is not None)
                     if rgb is not None:
                         tensors.append(scale_pixels(resize_bilinear(rgb, out_h, out_w), mode).astype(np.float32).reshape(-1))
                 scores = [None] * len(paths)
-                errors = [None] * len(paths)
+                errors = [None if ok else "Could not read image" for ok in oks]
                 idx = [i for i, ok in enumerate(oks) if ok]  # tensors[j] belongs to row idx[j]
                 for b in range(0, len(idx), batch_size):
                     rows = idx[b:b + batch_size]
-                    x = np.stack(tensors[b:b + batch_size])
+                    x, m = np.stack(tensors[b:b + batch_size]), features[rows]
                     try:
-                        res = np.asarray(model(x), dtype=np.float64)
-                        for r, v in zip(rows, res):
-                            scores[r] = v.tolist()
+                        res = list(call(model, x, m))
                     except Exception:  # noqa: BLE001 - isolate the failing rows
-                        for j, r in enumerate(rows):
+                        res = []
+                        for j in range(len(rows)):
                             try:
-                                scores[r] = np.asarray(model(x[j:j + 1]), dtype=np.float64)[0].tolist()
+                                res.append(call(model, x[j:j + 1], m[j:j + 1])[0])
                             except Exception as e:  # noqa: BLE001
-                                errors[r] = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"path": paths, "ok": oks, "scores": scores, "error": errors})
+                                res.append(f"{type(e).__name__}: {e}")
+                    for r, v in zip(rows, res):
+                        if isinstance(v, str):
+                            errors[r] = v
+                        elif not np.isfinite(v).all():
+                            errors[r] = "The model returned no usable scores"
+                        else:
+                            scores[r] = v.tolist()
+                yield pd.DataFrame({"path": paths, "ok": oks, "scores": scores, "error": errors}
+                                   | {c: chunk[c].to_numpy() for c in keep})
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("ok", T.BooleanType()),
+                           T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()),
+                           *[images.schema[c] for c in keep]])
+    return images.select("image", *dict.fromkeys([*meta, *keep])).mapInPandas(run, schema)
+
+
+def batch_score_images(inputs: DataFrame, images: DataFrame, make_predict_fn, n_out: int, features: list[str],
+                       labels: list[str] | None = None, **options) -> DataFrame:
+    """The bulk scoring job: (image_path, predictions map<string,float>, error).
+
+    ``inputs``: image_path and the metadata ``features``; ``images``: Spark's
+    image table. They meet by file name -- the encoded pixels of an image move
+    at most once, with its few features, and its tensor lives and dies in the
+    task that scores it. An input without a file, an undecodable file and a
+    failing row keep their row, with an error and no predictions.
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions.text import basename
+    from .scoring import predictions_map
+    named = images.withColumn("_file", basename("image.origin"))
+    found = inputs.withColumn("_file", basename("image_path")).join(named, "_file", "inner")
+    scored = score_images_fused(found, make_predict_fn, n_out, meta=features, keep=("image_path",), **options)
+    out = inputs.select("image_path").join(scored.select("image_path", "scores", "error", F.lit(True).alias("_hit")),
+                                           "image_path", "left")
+    return out.select("image_path", F.when(F.col("scores").isNotNull(), predictions_map(F.col("scores"), labels))
+                      .alias("predictions"),
+                      F.when(F.col("_hit").isNull(), F.lit("Could not read image: no such file"))
+                      .otherwise(F.col("error")).alias("error"))
+
 
-    return images.select("image").mapInPandas(run, "path string, ok boolean, scores array<double>, error string")
+def qualified(spark, path: str) -> str:
+    """``path`` as a URI of the file system that Spark's readers would use."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file:///" + uri[len("file:"):].lstrip("/") if uri.startswith("file:") else uri
 
 
 def _png_writer(root: str, key: str, value: str, layout: str):
     def write(batches):
         import pyarrow.fs as pafs
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        fs, base = pafs.FileSystem.from_uri(root)
         made = set()
         for pdf in batches:
             paths = []
@@ -197,8 +253,10 @@ def _png_writer(root: str, key: str, value: str, layout: str):
 
 def write_image_files(df: DataFrame, root: str, key: str = "vec_id", value: str = "embedding",
                       layout: str = "images_{group:03d}/images/{key:08d}.png") -> DataFrame:
-    """Materialize one 8x8 PNG per row (gray for key % 3 == 0, RGB otherwise,
+    """Test data: materialize one 8x8 PNG per row (gray for key % 3 == 0, RGB otherwise,
     an unreadable file for key % 50 == 0) under ``root``; runs in the tasks
-    (local or any ``pyarrow.fs`` URI). Deterministic, so a retried task
-    rewrites identical files. Returns (key, path)."""
+    (any ``pyarrow.fs`` URI; a path without scheme belongs to the cluster's
+    default file system, as for Spark's own readers). Deterministic, so a
+    retried task rewrites identical files. Returns (key, path)."""
+    root = qualified(df.sparkSession, root)
     return df.select(key, value).mapInPandas(_png_writer(root, key, value, layout), f"{key} long, path string")

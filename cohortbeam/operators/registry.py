@@ -20,11 +20,11 @@ def latest_per_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(best.alias("_b")).select(key, "_b.row.*")
 
 
-def listing_from_paths(files: DataFrame, path: str = "path") -> DataFrame:
-    """(folder_name, file_name, path) from file paths of a registry tree."""
+def listing_from_paths(files: DataFrame, path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(folder_name, file_name, path, and the ``keep`` columns) from file paths of a registry tree."""
     parent = F.regexp_extract(F.col(path), r"([^/]+)/[^/]+$", 1)
     parent = F.regexp_replace(parent, r"^[^=]+=", "")  # partitionBy layout: key=value
-    return files.select(parent.alias("folder_name"), basename(path).alias("file_name"), F.col(path))
+    return files.select(parent.alias("folder_name"), basename(path).alias("file_name"), F.col(path), *keep)
 
 
 def registry_list(folders: DataFrame, folder: str = "folder_name") -> DataFrame:

@@ -12,6 +12,7 @@ an ``error`` text and NULL scores, and their 31 neighbours are still scored.
 """
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 import numpy as np
@@ -54,6 +55,24 @@ class ChannelMeanModel:
         return 1.0 / (1.0 + np.exp(-(x.mean(axis=1) @ self.weights)))
 
 
+class ChannelMetaModel(ChannelMeanModel):
+    """Test model on two inputs: channel means of the image tensor followed by
+    the metadata features -> logistic layer."""
+
+    def __call__(self, x: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, dtype=np.float64).reshape(len(x), -1, self.channels).mean(axis=1)
+        both = np.concatenate([x, np.asarray(meta, dtype=np.float64)], axis=1)
+        if not np.isfinite(both).all():
+            raise ValueError("non-finite input")
+        return 1.0 / (1.0 + np.exp(-(both @ self.weights)))
+
+
+def channel_meta_factory(n_meta: int = 4, channels: int = 3) -> Callable[[], PredictFn]:
+    def make_predict_fn() -> PredictFn:
+        return with_arity(ChannelMetaModel(rule_weights(channels + n_meta), channels), 2)
+    return make_predict_fn
+
+
 def channel_mean_factory(channels: int = 3) -> Callable[[], PredictFn]:
     def make_predict_fn() -> PredictFn:
         return with_arity(ChannelMeanModel(rule_weights(channels) * 4.0, channels), 1)
@@ -70,13 +89,11 @@ def rule_weights(n_features: int, n_classes: int = len(LABELS)) -> np.ndarray:
 def with_arity(fn: Callable[..., object], n_inputs: int) -> Callable[..., object]:
     """Give a variadic predict function an explicit positional signature:
     ``predict_batch_udf`` maps input columns to parameters by count."""
-    if n_inputs == 1:
-        return lambda x: fn(x)
-    if n_inputs == 2:
-        return lambda x1, x2: fn(x1, x2)
-    if n_inputs == 3:
-        return lambda x1, x2, x3: fn(x1, x2, x3)
-    raise ValueError("at most 3 model inputs are supported")
+    def call(*inputs):
+        return fn(*inputs)
+    call.__signature__ = inspect.Signature(
+        [inspect.Parameter(f"x{i}", inspect.Parameter.POSITIONAL_OR_KEYWORD) for i in range(n_inputs)])
+    return call
 
 
 def linear_model_factory(n_features: int, n_inputs: int = 1) -> Callable[[], PredictFn]:
@@ -175,8 +192,3 @@ def predictions_map(scores: Column, labels: list[str] | None = None) -> Column:
     """Scores in class order -> map<label, float> (the stored prediction type)."""
     labels = labels or LABELS
     return F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.transform(scores, lambda s: s.cast("float")))
-
-
-def fuse(image_vec: Column, meta_vec: Column) -> Column:
-    """Late fusion input: image vector followed by the metadata vector."""
-    return F.concat(image_vec.cast("array<double>"), meta_vec.cast("array<double>"))

@@ -55,9 +55,8 @@ def validate(df: DataFrame, age: str = "age", gender: str = "gender", view: str
 
 def form_error(file_name: Column, name: Column, age_text: Column) -> Column:
     """First failing upload-form check: file type, then a non-blank patient
-    name, then an integer age (a missing age is allowed: it defaults)."""
-    age = F.trim(age_text)
-    bad_age = age.isNotNull() & (age != "") & ~age.rlike(INT_TEXT)
+    name, then an integer age (an absent age defaults; a blank one is an error)."""
+    bad_age = age_text.isNotNull() & ~age_text.rlike(INT_TEXT)
     return (F.when(~F.coalesce(allowed_file(file_name), F.lit(False)), F.lit(MSG_FILE_TYPE))
              .when(F.coalesce(F.trim(name), F.lit("")) == "", F.lit(MSG_NAME_REQUIRED))
              .when(bad_age, F.lit(MSG_AGE_VALUE)))

@@ -145,8 +145,7 @@ def q_row_offset(spark, d):
 @query("row_at", sql(["studies"], "SELECT idx, gender FROM studies ORDER BY idx LIMIT 1 OFFSET 7"))
 def q_row_at(spark, d):
     """One row by its position in an explicit key order."""
-    r = co.row_numbers(fx.studies(spark, d).select("idx", "gender"), ["idx"])
-    return r.where(F.col("row_no") == 7).select("idx", "gender")
+    return co.row_at(fx.studies(spark, d).select("idx", "gender"), ["idx"], 7)
 
 
 # --------------------------------------------------------------- features
@@ -244,6 +243,8 @@ def q_age_histogram_gender(spark, d):
     return _round_hist(co.histogram(s, "age", 95, by="gender"))
 
 
+AGE_INPUTS = ["idx", "patient_id", "age_raw", "gender", "view_position"]  # all that the checkpoint has to hold
+
 # training features ---------------------------------------------------------
 PARSED = ("parsed", f"SELECT *, {AGE_SQL} AS age_i FROM cohort")
 TRAIN_FEATURES_SQL = cohort_sql("""
@@ -258,7 +259,7 @@ FROM parsed""", [PARSED])
 
 @query("train_features", TRAIN_FEATURES_SQL)
 def q_train_features(spark, d):
-    f = co.add_age_features(cohort(spark, d), materialize=True)
+    f = co.add_age_features(cohort(spark, d).select(*AGE_INPUTS), materialize=True)
     return f.select("idx", F.round("age_norm", 6).alias("age_norm"), "sex_bin", "view_cat", "group_key")
 
 
@@ -294,7 +295,7 @@ SELECT idx, pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS value FROM (
   CASE WHEN view_position IS NULL THEN 'UNK' WHEN contains(view_position, 'AP') THEN 'AP'
        WHEN contains(view_position, 'PA') THEN 'PA' ELSE 'UNK' END AS c FROM parsed""")]))
 def q_feature_vector(spark, d):
-    f = co.add_age_features(cohort(spark, d), materialize=True)
+    f = co.add_age_features(cohort(spark, d).select(*AGE_INPUTS), materialize=True)
     f = f.withColumns({"view_AP": (F.col("view_cat") == "AP").cast("double"),
                        "view_PA": (F.col("view_cat") == "PA").cast("double"),
                        "sex_bin": F.col("sex_bin").cast("double")})

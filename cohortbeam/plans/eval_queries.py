@@ -134,13 +134,6 @@ def q_eval_report_ties(spark, d):
     return _r6(ev.eval_report(scored(spark, d, tied=True)), REPORT_ROUND)
 
 
-@query("eval_report_window", eval_sql(REPORT_SQL_BODY))
-def q_eval_report_window(spark, d):
-    """Same report through the plain label-partitioned window (reference form
-    of the two-level prefix sum)."""
-    return _r6(ev.eval_report(scored(spark, d), two_level=False), REPORT_ROUND)
-
-
 @query("macro_metrics", eval_sql("""SELECT round(avg(auc), 6) AS mean_auc, round(avg(ap), 6) AS mean_ap,
   count(*) FILTER (WHERE skipped) AS n_skipped FROM lm"""))
 def q_macro_metrics(spark, d):

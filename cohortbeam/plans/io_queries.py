@@ -6,13 +6,13 @@ back through the source under test, so their work grows with the tables.
 """
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixtures as fx
-from ..constants import LABELS
+from ..constants import LABELS, META_COLS
 from ..functions import features as feat
 from ..operators import bulk
 from ..operators import cam
@@ -29,27 +29,18 @@ from .cohort_queries import AGE_SQL, SPLIT_SQL, U_SQL, cohort, cohort_sql
 from .eval_queries import eval_sql
 from .oracle_views import linear_sql, sql
 from .registry_queries import LOG, META, STATE, metadata_docs, state
-from .scoring_queries import FNAME, META_SQL, UPLOAD_FORM, VALIDATE_CTE, _fnames, _meta_cols, _upload_form
-
-
-def _tag(d: str) -> str:
-    return d.strip("/").replace("/", "_")
+from .scoring_queries import META_SQL, UPLOAD_FORM, VALIDATE_CTE, _meta_cols, _upload_form
 
 
 def _scratch(spark, d, *parts):
-    return scratch_path(spark, *parts, _tag(d))
+    """A new folder for every call: nothing of an earlier run is read or replaced."""
+    return scratch_path(spark, *parts, uuid.uuid4().hex)
 
 
-def ensure_images(spark, d) -> str:
-    """PNG files from ``embeddings`` under the scratch folder (written once)."""
+def write_images(spark, d) -> str:
+    """PNG files from ``embeddings`` in a new scratch folder."""
     root = _scratch(spark, d, "images")
-    marker = os.path.join(root, "_SUCCESS")
-    if not (root.startswith("/") and os.path.exists(marker)):
-        e = fx.table(spark, d, "embeddings")
-        n = im.write_image_files(e, root).count()
-        if root.startswith("/"):
-            with open(marker, "w") as f:
-                f.write(str(n))
+    im.write_image_files(fx.table(spark, d, "embeddings"), root).write.format("noop").mode("overwrite").save()
     return root
 
 
@@ -68,7 +59,7 @@ SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') || '.png' AS basename,
 FROM embeddings"""))
 def q_src_path_index(spark, d):
     """Image file index (basename, path): a listing, file contents unread."""
-    idx = rd.path_index(spark, ensure_images(spark, d))
+    idx = rd.path_index(spark, write_images(spark, d))
     return idx.select("basename", F.regexp_extract("path", r"(images_[0-9]+/images/[^/]+)$", 1).alias("rel_path"))
 
 
@@ -77,7 +68,7 @@ SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') || '.png' AS basename, vec_id % 50
 FROM embeddings"""))
 def q_src_image_bytes(spark, d):
     """Image file contents: signature check on the bytes read by binaryFile."""
-    b = rd.image_bytes(spark, ensure_images(spark, d))
+    b = rd.image_bytes(spark, write_images(spark, d))
     png = F.substring("content", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))
     return b.select("basename", png.alias("is_png"), (F.col("length") > 0).alias("has_bytes"))
 
@@ -146,25 +137,26 @@ FROM state s JOIN meta m ON m.idx = s.idx""", [LOG, STATE, META]))
 def q_src_registry_json(spark, d):
     """metadata.json documents, one per registry folder, read back with the
     folder taken from the file path."""
+    r = rd.registry_docs(spark, _write_metadata_docs(spark, d), "*.txt", rd.METADATA_SCHEMA)
+    return r.select("folder_name", "doc.patient_name", "doc.age", "doc.gender", "doc.view")
+
+
+def _write_metadata_docs(spark, d) -> str:
     root = _scratch(spark, d, "registry_docs")
     docs = metadata_docs(spark, d).join(state(spark, d).select("idx", "folder_name"), "idx")
     wr.write_json_docs(docs, root, "folder_name", ["patient_name", "age", "gender", "view", "timestamp"])
-    r = rd.registry_docs(spark, root, "*.txt", rd.METADATA_SCHEMA)
-    return r.select("folder_name", "doc.patient_name", "doc.age", "doc.gender", "doc.view")
+    return root
 
 
 @query("registry_files", sql(["folders", "files"], """
-SELECT s.folder_name, CAST(count(*) AS BIGINT) AS n_files FROM state s JOIN meta m ON m.idx = s.idx GROUP BY s.folder_name""",
-                              [LOG, STATE, META]))
+SELECT s.folder_name, CAST(count(*) AS BIGINT) AS n_files, true AS has_bytes
+FROM state s JOIN meta m ON m.idx = s.idx GROUP BY s.folder_name""", [LOG, STATE, META]))
 def q_registry_files(spark, d):
     """Listing of the registry tree: files per folder (contents not read)."""
-    root = _scratch(spark, d, "registry_docs")
-    if not os.path.exists(root):
-        q_src_registry_json(spark, d).count()
-    files = rd.image_files(spark, root, "*.txt").select("path", "length")
     from ..operators.registry import listing_from_paths
-    lst = listing_from_paths(files).join(files, "path")
-    return lst.groupBy("folder_name").agg(F.count(F.lit(1)).alias("n_files"))
+    files = rd.image_files(spark, _write_metadata_docs(spark, d), "*.txt").select("path", "length")
+    return listing_from_paths(files, keep=("length",)).groupBy("folder_name").agg(
+        F.count(F.lit(1)).alias("n_files"), (F.min("length") > 0).alias("has_bytes"))
 
 
 # ------------------------------------------------------------- bulk job
@@ -181,7 +173,7 @@ BULK_CTES = [VALIDATE_CTE,
                  "CASE WHEN upper(j.view) = 'PA' THEN 1.0 ELSE 0.0 END"])} AS FLOAT) AS p
   FROM j, label_names n WHERE len(j.errs) = 0"""),
              ("top", "SELECT idx, arg_max(label, (p, -k)) AS top FROM sc GROUP BY idx"),
-             ("res", """SELECT j.idx, j.name AS patient_name, j.folder_name, len(j.errs) = 0 AS success,
+             ("res", """SELECT j.idx, j.name AS patient_name, j.age, j.gender, j.view, j.folder_name, len(j.errs) = 0 AS success,
     CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
     t.top AS top_prediction, 'spark_batch' AS source FROM j LEFT JOIN top t ON t.idx = j.idx""")]
 BULK_SQL = sql(["uploads", "label_names"], "SELECT * FROM res", BULK_CTES)
@@ -235,22 +227,28 @@ def q_bulk_heatmaps(spark, d):
     return x.select("idx", "label", F.col("cell").cast("int").alias("cell"), F.round("heat", 6).alias("heat"))
 
 
-@query("form_errors", sql(["paths", "uploads"], """
+FORM_FILE_SQL = """lpad(CAST(idx AS VARCHAR), 8, '0') || CASE WHEN idx % 9 = 0 THEN ''
+  ELSE (['.png', '.JPG', '.jpeg', '.gif', '.tar.PNG'])[idx % 5 + 1] END"""
+
+
+@query("form_errors", sql(["uploads"], """
 SELECT f.idx, CASE WHEN NOT (contains(f.fname, '.') AND lower(split_part(f.fname, '.', -1)) IN ('png', 'jpg', 'jpeg'))
     THEN 'Invalid file type. Please upload PNG or JPEG.'
-  WHEN coalesce(trim(CASE WHEN u.idx % 23 = 0 THEN '  ' ELSE u.name END), '') = '' THEN 'Patient name is required'
-  WHEN trim(u.age_txt) IS NOT NULL AND trim(u.age_txt) <> '' AND NOT regexp_matches(trim(u.age_txt), '^\\s*[+-]?[0-9]+\\s*$')
-    THEN 'Invalid age value' END AS error
-FROM fn f JOIN (SELECT uu.idx, uu.name, fm.age AS age_txt FROM uploads uu JOIN form fm ON fm.idx = uu.idx) u ON u.idx = f.idx""",
-    [FNAME, UPLOAD_FORM]))
+  WHEN coalesce(trim(f.name), '') = '' THEN 'Patient name is required'
+  WHEN f.age IS NOT NULL AND NOT regexp_matches(f.age, '^\\s*[+-]?[0-9]+\\s*$') THEN 'Invalid age value' END AS error
+FROM named f""",
+    [UPLOAD_FORM, ("named", f"""SELECT u.idx, {FORM_FILE_SQL.replace('idx', 'u.idx')} AS fname, fm.age,
+  CASE WHEN u.idx % 23 = 0 THEN '  ' ELSE u.name END AS name FROM uploads u JOIN form fm ON fm.idx = u.idx""")]))
 def q_form_errors(spark, d):
-    """Upload-form checks on file name, patient name and age text."""
+    """Upload-form checks on file name, patient name and age text, all three
+    fields of every upload."""
     from ..operators.validate import form_error
-    f = _fnames(spark, d)
-    u = fx.uploads(spark, d).select("idx", F.when(F.col("idx") % 23 == 0, F.lit("  ")).otherwise(F.col("name")).alias("name"))
-    a = _upload_form(spark, d).select("idx", F.col("age").alias("age_txt"))
-    j = f.join(u, "idx").join(a, "idx")
-    return j.select("idx", form_error(F.col("fname"), F.col("name"), F.col("age_txt")).alias("error"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in [".png", ".JPG", ".jpeg", ".gif", ".tar.PNG"]]),
+                       (F.col("idx") % 5 + 1).cast("int"))
+    fname = F.concat(F.lpad(F.col("idx").cast("string"), 8, "0"), F.when(F.col("idx") % 9 == 0, F.lit("")).otherwise(ext))
+    name = F.when(F.col("idx") % 23 == 0, F.lit("  ")).otherwise(F.col("name"))
+    form = _upload_form(spark, d, keep=("name",)).select("idx", fname.alias("fname"), name.alias("name"), "age")
+    return form.select("idx", form_error(F.col("fname"), F.col("name"), F.col("age")).alias("error"))
 
 
 @query("sink_results", BULK_SQL)
@@ -258,15 +256,15 @@ def q_sink_results(spark, d):
     """Bulk results appended to the results log (partitioned by run date and
     run id, dynamic overwrite), read back."""
     path = _scratch(spark, d, "results_log")
-    res = run_bulk(spark, d).withColumns({"run_date": F.lit("2026-02-09"), "run_id": F.lit(1)})
-    wr.write_results(res.drop("top3"), path)
-    back = spark.read.parquet(path).where((F.col("run_date") == "2026-02-09") & (F.col("run_id") == 1))
+    res = run_bulk(spark, d).withColumns({"run_date": F.lit("2026-02-09"), "intake_id": F.lit("bulk"), "run_id": F.lit(1)})
+    wr.write_results(res, path)
+    back = spark.read.parquet(path).where("run_date = '2026-02-09' AND intake_id = 'bulk' AND run_id = 1")
     return back.select(*bulk.RESULT_COLS)
 
 
 # ------------------------------------------------------------ other sinks
 @query("patient_info_json", sql(["label_names"], f"""
-SELECT e.vec_id AS patient_id, round(e.m0, 6) AS age_norm, n.name AS label,
+SELECT e.vec_id AS patient_id, round(e.m0, 6) AS age_norm, e.m1 AS sex_bin, e.m2 AS view_AP, e.m3 AS view_PA, n.name AS label,
        round(CAST(CAST({linear_sql('n.k', meta=['e.m0', 'e.m1', 'e.m2', 'e.m3'])} AS FLOAT) AS DOUBLE), 6) AS prob
 FROM (SELECT *, {', '.join(f'{m} AS m{j}' for j, m in enumerate(META_SQL))} FROM embeddings) e, label_names n"""))
 def q_patient_info_json(spark, d):
@@ -280,11 +278,11 @@ def q_patient_info_json(spark, d):
         sc.predictions_map(F.col("scores")).alias("probabilities"))
     path = _scratch(spark, d, "patient_info")
     wr.write_text_json(s, path, ["patient_id", "metadata", "probabilities"])
-    schema = "patient_id long, metadata struct<age_norm double>, probabilities map<string,float>"
+    schema = ("patient_id long, metadata struct<age_norm double, sex_bin double, view_AP double, view_PA double>, "
+              "probabilities map<string,float>")
     back = spark.read.text(path).select(F.from_json("value", schema).alias("doc"))
-    x = back.select("doc.patient_id", F.col("doc.metadata.age_norm").alias("age_norm"),
-                    F.explode("doc.probabilities").alias("label", "prob"))
-    return x.select("patient_id", F.round("age_norm", 6).alias("age_norm"), "label",
+    x = back.select("doc.patient_id", "doc.metadata.*", F.explode("doc.probabilities").alias("label", "prob"))
+    return x.select("patient_id", F.round("age_norm", 6).alias("age_norm"), "sex_bin", "view_AP", "view_PA", "label",
                     F.round(F.col("prob").cast("double"), 6).alias("prob"))
 
 
@@ -332,28 +330,88 @@ def q_eval_summary(spark, d):
 
 
 # ---------------------------------------------------------------- images
-@query("image_table")
+# Oracle: the 8x8 test images restated from the embeddings. A bilinear resize by
+# a whole factor weighs all pixels alike, so channel means equal those of the file.
+PIXEL_CTES = [
+    ("px", """SELECT vec_id, least(greatest(round_even((CAST(v AS DOUBLE) + 0.25) * 510.0, 0), 0.0), 255.0) AS p
+              FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings)"""),
+    ("chan", """SELECT vec_id, avg(p) / 127.5 - 1.0 AS c0,
+              CASE WHEN vec_id % 3 = 0 THEN avg(p) ELSE avg(255.0 - p) END / 127.5 - 1.0 AS c1,
+              CASE WHEN vec_id % 3 = 0 THEN avg(p) ELSE avg((p * 7.0) % 256.0) END / 127.5 - 1.0 AS c2
+              FROM px WHERE vec_id % 50 <> 0 GROUP BY vec_id"""),
+    ("img", """SELECT e.vec_id, lpad(CAST(e.vec_id AS VARCHAR), 8, '0') || '.png' AS basename, c.c0, c.c1, c.c2,
+              c.vec_id IS NOT NULL AS ok FROM embeddings e LEFT JOIN chan c ON c.vec_id = e.vec_id""")]
+
+
+def _image_score_sql(scale: float, meta: list[str] | None = None) -> str:
+    z = " + ".join(f"{x} * ({scale} * CAST(({i} * 7 + n.k * 5) % 13 - 6 AS DOUBLE) / 10.0)"
+                   for i, x in enumerate(["i.c0", "i.c1", "i.c2", *(meta or [])], 1))
+    return f"(1.0 / (1.0 + exp(-({z}))))"
+
+
+@query("image_table", sql([], """
+SELECT basename, ok, 3 AS channels, CASE WHEN ok THEN 196608 END AS n_values,
+       CASE WHEN ok THEN CAST(round((c0 + c1 + c2 + 3.0) * 127.5 * 64.0) AS BIGINT) END AS pixel_sum FROM img""", PIXEL_CTES))
 def q_image_table(spark, d):
-    """Decode -> RGB / gray to 3 channels -> bilinear 256x256 -> x/127.5-1."""
-    imgs = rd.image_table(spark, ensure_images(spark, d))
+    """Decode -> RGB / gray to 3 channels -> bilinear 256x256 -> x/127.5-1.
+    pixel_sum is the sum over the 8x8 source pixels that the mean stands for."""
+    imgs = rd.image_table(spark, write_images(spark, d))
     t = im.prepare_images(imgs, (256, 256), "tanh")
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("pixels")
     return t.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("basename"), "ok", "channels",
-                    F.size("pixels").alias("n_values"), F.round(mean, 6).alias("mean"))
+                    F.when(F.col("ok"), F.size("pixels")).alias("n_values"),
+                    F.round((mean + 1.0) * 127.5 * 192.0).cast("long").alias("pixel_sum"))
 
 
-@query("score_images")
+@query("score_images", sql(["label_names"], f"""
+SELECT i.basename, any_value(i.ok) AS ok, CASE WHEN any_value(i.ok) THEN arg_max(n.name, (p, -n.k)) END AS top_prediction,
+       CASE WHEN any_value(i.ok) THEN 14 END AS n_scores
+FROM (SELECT i.basename, i.ok, n.k, n.name, CAST({_image_score_sql(4.0)} AS FLOAT) AS p FROM img i, label_names n) i
+JOIN label_names n ON n.k = i.k GROUP BY i.basename""", PIXEL_CTES))
 def q_score_images(spark, d):
     """Image files -> decode, RGB, 256x256 bilinear, x/127.5-1 -> model in
     Arrow batches -> top label (undecodable files kept, never scored)."""
     from ..operators import ranking as rk
-    imgs = rd.image_table(spark, ensure_images(spark, d))
+    imgs = rd.image_table(spark, write_images(spark, d))
     # decode + resize + model in one Python step: tensors never return to the JVM
     s = im.score_images_fused(imgs, sc.channel_mean_factory(), n_out=len(LABELS))
     pred = F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores")))
     return s.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("basename"), "ok",
                     F.when(pred.isNotNull(), rk.top_prediction(pred)).alias("top_prediction"),
-                    F.size("scores").alias("n_scores"))
+                    F.when(pred.isNotNull(), F.size("scores")).alias("n_scores"))
+
+
+BATCH_META = ["i.age_norm", "i.sex_bin", "i.view_AP", "i.view_PA"]
+
+
+@query("batch_score_images", sql(["label_names"], f"""
+SELECT i.image_path, n.name AS label, CASE WHEN i.ok THEN round(CAST(CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT) AS DOUBLE), 4) END AS score,
+       CASE WHEN i.missing THEN 'Could not read image: no such file' WHEN NOT i.ok THEN 'Could not read image' END AS error
+FROM inputs i JOIN label_names n ON i.ok OR n.k = 0""", PIXEL_CTES + [
+    ("inputs", """SELECT CASE WHEN vec_id % 41 = 0 THEN 'gone_' ELSE '' END || basename AS image_path, ok AND vec_id % 41 <> 0 AS ok,
+       vec_id % 41 = 0 AS missing, c0, c1, c2, CAST(vec_id % 101 AS DOUBLE) / 100.0 AS age_norm,
+       CAST(vec_id % 2 AS DOUBLE) AS sex_bin, CAST(vec_id % 4 = 1 AS INTEGER)::DOUBLE AS view_AP,
+       CAST(vec_id % 4 = 2 AS INTEGER)::DOUBLE AS view_PA FROM img""")]).replace("n.name AS label, CASE", "CASE WHEN i.ok THEN n.name END AS label, CASE"))
+def q_batch_score_images(spark, d):
+    """The bulk job end to end: scoring input (Parquet branch of the cascade)
+    -> images by file name -> 256x256 tensors -> model on image and four
+    metadata features -> map<string,float> -> scored table, read back. Missing
+    and undecodable files keep a row with their error."""
+    base = _scratch(spark, d, "scoring_input")
+    e = fx.table(spark, d, "embeddings")
+    name = F.concat(F.when(F.col("vec_id") % 41 == 0, F.lit("gone_")).otherwise(F.lit("")),
+                    F.lpad(F.col("vec_id").cast("string"), 8, "0"), F.lit(".png"))
+    e.select(name.alias("image_path"), ((F.col("vec_id") % 101) / 100.0).alias("age_norm"),
+             (F.col("vec_id") % 2).cast("double").alias("sex_bin"),
+             (F.col("vec_id") % 4 == 1).cast("double").alias("view_AP"),
+             (F.col("vec_id") % 4 == 2).cast("double").alias("view_PA")).write.parquet(f"{base}/data.parquet")
+    inputs = rd.scoring_input(spark, base)
+    imgs = rd.image_table(spark, write_images(spark, d))
+    scored = im.batch_score_images(inputs, imgs, sc.channel_meta_factory(), len(LABELS), META_COLS)
+    out = _scratch(spark, d, "batch_scored")
+    wr.write_scored(scored, out)
+    back = spark.read.parquet(out).select("image_path", "error", F.explode_outer("predictions").alias("label", "score"))
+    return back.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
 # ------------------------------------------------------------- streaming
@@ -367,10 +425,8 @@ def q_stream_intake(spark, d):
     """Upload records arriving as JSON files -> validate -> join decoded
     images -> masked batch scoring -> results log, one run id per
     micro-batch (a replayed batch overwrites its own partition)."""
-    import uuid
-
     from ..streaming.intake import start_intake
-    base = f"{_scratch(spark, d, 'stream')}/{uuid.uuid4().hex}"  # a new run folder per invocation
+    base = _scratch(spark, d, "stream")
     src, out, ckpt = f"{base}/in", f"{base}/results", f"{base}/checkpoint"
     u = fx.uploads(spark, d).withColumn("content", F.base64("content"))
     u.repartition(4).write.mode("overwrite").json(src)

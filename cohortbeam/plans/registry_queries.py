@@ -208,7 +208,7 @@ def q_cam_heatmap(spark, d):
     act = F.col("embedding")
     grad = F.transform("embedding", lambda v: v.cast("double") * v.cast("double") - 0.01)
     h = e.select(F.col("vec_id").alias("image_key"), cam.heatmap_arrays(act, grad, 16, 4).alias("heat"))
-    x = h.select("image_key", F.posexplode("heat").alias("cell", "heat"))
+    x = h.select("image_key", F.posexplode_outer("heat").alias("cell", "heat"))
     return x.select("image_key", F.col("cell").cast("int").alias("cell"), F.round("heat", 6).alias("heat"))
 
 
@@ -236,9 +236,9 @@ def q_cam_topk(spark, d):
     class score w.r.t. its inputs is that class's weight vector."""
     w = fx.scores_wide(spark, d, keep=("embedding",))
     names = F.array(*[F.lit(x) for x in LABELS])
-    t = w.select("vec_id", "embedding", F.explode(rk.top_indices(F.col("scores"), TOP_K_HEATMAPS)).alias("k"))
+    t = w.select("vec_id", "embedding", F.explode_outer(rk.top_indices(F.col("scores"), TOP_K_HEATMAPS)).alias("k"))
     grad = cam.class_gradients(64, F.col("k"), fx.weight)
     h = t.select("vec_id", F.element_at(names, F.col("k") + 1).alias("label"),
                  cam.heatmap_arrays(F.col("embedding"), grad, 16, 4).alias("heat"))
-    x = h.select("vec_id", "label", F.posexplode("heat").alias("cell", "heat"))
+    x = h.select("vec_id", "label", F.posexplode_outer("heat").alias("cell", "heat"))
     return x.select("vec_id", "label", F.col("cell").cast("int").alias("cell"), F.round("heat", 6).alias("heat"))

@@ -1,6 +1,8 @@
 """Scoring, ranking, formatting, validation and upload queries."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -12,6 +14,7 @@ from ..operators import ranking as rk
 from ..operators import scoring as sc
 from ..operators import validate as va
 from ..session import scratch_path
+from ..sinks.writers import write_scored
 from .catalog import query
 from .oracle_views import linear_sql, sql
 
@@ -36,14 +39,17 @@ def q_score_table(spark, d):
     return _long_scores(sc.score(_emb(spark, d), scorer, ["embedding"]))
 
 
-@query("sink_scored", SCORE_LONG_SQL)
+@query("sink_scored", sql(["scores", "label_names"], """
+SELECT s.vec_id, n.name AS label, round(CAST(CAST(s.score AS FLOAT) AS DOUBLE), 6) AS score
+FROM scores s JOIN label_names n ON n.k = s.k"""))
 def q_sink_scored(spark, d):
-    """Scored table written as Parquet (overwrite) and read back."""
+    """Scored table (a prediction map per image) written as Parquet and read back."""
     scorer = sc.batch_scorer(sc.linear_model_factory(64), [[64]])
     scored = sc.score(_emb(spark, d), scorer, ["embedding"]).select("vec_id", "scores")
-    out = scratch_path(spark, "sink_scored", d.strip("/").replace("/", "_"))
-    scored.write.mode("overwrite").parquet(out)
-    return _long_scores(spark.read.parquet(out))
+    out = scratch_path(spark, "sink_scored", uuid.uuid4().hex)
+    write_scored(scored.select("vec_id", sc.predictions_map(F.col("scores")).alias("predictions")), out)
+    x = spark.read.parquet(out).select("vec_id", F.explode("predictions").alias("label", "score"))
+    return x.withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
 @query("score_errors", sql(["scores"], """
@@ -254,15 +260,16 @@ def q_rejected_rows(spark, d):
     return bad.select("idx", F.size("errors").alias("n_errors"))
 
 
-UPLOAD_FORM = ("form", """SELECT idx, CASE WHEN idx % 7 = 0 THEN NULL WHEN idx % 19 = 0 THEN CAST(age AS VARCHAR) || '.5'
+UPLOAD_FORM = ("form", """SELECT idx, CASE WHEN idx % 7 = 0 THEN NULL WHEN idx % 17 = 0 THEN ' ' WHEN idx % 19 = 0 THEN CAST(age AS VARCHAR) || '.5'
     ELSE CAST(age AS VARCHAR) END AS age, CASE WHEN idx % 11 = 0 THEN NULL ELSE gender END AS gender,
     CASE WHEN idx % 13 = 0 THEN '' ELSE view END AS view FROM uploads""")
 
 
-def _upload_form(spark, d):
+def _upload_form(spark, d, keep=()):
     u = fx.uploads(spark, d)
-    return u.select("idx",
+    return u.select("idx", *keep,
                     F.when(F.col("idx") % 7 == 0, F.lit(None).cast("string"))
+                     .when(F.col("idx") % 17 == 0, F.lit(" "))
                      .when(F.col("idx") % 19 == 0, F.concat(F.col("age").cast("string"), F.lit(".5")))
                      .otherwise(F.col("age").cast("string")).alias("age"),
                     F.when(F.col("idx") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
@@ -270,10 +277,10 @@ def _upload_form(spark, d):
 
 
 @query("upload_defaults", sql(["uploads"], """
-SELECT idx, (a IS NULL OR a = '' OR regexp_matches(a, '^\\s*[+-]?[0-9]+\\s*$')) AS age_ok,
-  CASE WHEN a IS NULL OR a = '' THEN 50 WHEN regexp_matches(a, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(a AS INTEGER) END AS age,
-  upper(coalesce(nullif(trim(gender), ''), 'M')) AS gender, upper(coalesce(nullif(trim(view), ''), 'PA')) AS view
-FROM (SELECT idx, trim(age) AS a, gender, view FROM form)""", [UPLOAD_FORM]))
+SELECT idx, (a IS NULL OR regexp_matches(a, '^\\s*[+-]?[0-9]+\\s*$')) AS age_ok,
+  CASE WHEN a IS NULL THEN 50 WHEN regexp_matches(a, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(trim(a) AS INTEGER) END AS age,
+  upper(coalesce(gender, 'M')) AS gender, upper(coalesce(view, 'PA')) AS view
+FROM (SELECT idx, age AS a, gender, view FROM form)""", [UPLOAD_FORM]))
 def q_upload_defaults(spark, d):
     return feat.upload_defaults(_upload_form(spark, d)).select("idx", "age_ok", "age", "gender", "view")
 

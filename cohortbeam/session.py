@@ -20,14 +20,15 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "cohortbeam", **extra: str) -> SparkSession:
     """Build (or reuse) a session with the defaults this library assumes."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:  # else the cluster's own value
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra)
     for k, v in conf.items():
         builder = builder.config(k, v)

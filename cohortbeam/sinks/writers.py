@@ -11,16 +11,17 @@ def write_scored(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_results(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ("run_date", "run_id")) -> None:
-    """Append-only results log partitioned by date and run. Dynamic partition
-    overwrite: a rerun of a run replaces only its own partitions."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+def write_results(df: DataFrame, path: str,
+                  partition_cols: tuple[str, ...] = ("run_date", "intake_id", "run_id")) -> None:
+    """Append-only results log partitioned by date, intake and run. Dynamic
+    partition overwrite (an option of this write, not of the session): a rerun
+    of a run replaces only its own partitions. ``intake_id`` names where the
+    runs come from, so equal run ids of two intakes never meet. Rows without a
+    ``written_at`` get the time of the write."""
+    if "written_at" not in df.columns:
+        df = df.withColumn("written_at", F.current_timestamp())
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partition_cols).parquet(path))
 
 
 def write_json_docs(df: DataFrame, path: str, key: str, doc_cols: list[str]) -> None:
@@ -38,15 +39,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def export_training_set(df: DataFrame, path: str, features: list[str], labels: list[str], split: str = "split",
-                        key: str = "idx", seed: int = 42, n_files: int = 8) -> None:
+                        key: str = "idx", seed: int = 42, n_files: int | None = None) -> None:
     """(key, path, features array<float>, labels array<float>) per split;
     the train split is written in a seeded pseudo-random order, val/test in
-    key order. Sorting is a range-partitioned distributed sort."""
+    key order. Sorting is a range-partitioned distributed sort, over the
+    session's shuffle partitions unless ``n_files`` is given."""
     out = df.select(key, split, F.col("file_path"),
                     F.array(*[F.col(c) for c in features]).cast("array<float>").alias("features"),
                     F.array(*[F.col(f"`{c}`") for c in labels]).cast("array<float>").alias("labels"))
     order = F.when(F.col(split) == "train", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))\
              .otherwise(F.lpad(F.col(key).cast("string"), 20, "0"))
-    (out.withColumn("_order", order).repartitionByRange(n_files, split, "_order")
-        .sortWithinPartitions(split, "_order").drop("_order")
+    ordered = out.withColumn("_order", order)
+    ranged = (ordered.repartitionByRange(n_files, split, "_order") if n_files
+              else ordered.repartitionByRange(split, "_order"))
+    (ranged.sortWithinPartitions(split, "_order").drop("_order")
         .write.mode("overwrite").partitionBy(split).parquet(path))

@@ -78,7 +78,7 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     from cohortbeam.session import get_spark
     import __spark_entry__ as E
-    spark = get_spark("local[8]")
+    spark = get_spark("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     names = names or sorted(E.queries())
     fails = 0

@@ -50,7 +50,7 @@ def test_model_schema_default(spark, tmp_path):
 
 def test_results_log_rerun_replaces_only_its_partition(spark, tmp_path):
     path = str(tmp_path / "log")
-    mk = lambda run, n: spark.range(n).select(F.col("id"), F.lit("2026-01-01").alias("run_date"), F.lit(run).alias("run_id"))
+    mk = lambda run, n: spark.range(n).select(F.col("id"), F.lit("2026-01-01").alias("run_date"), F.lit("a").alias("intake_id"), F.lit(run).alias("run_id"))
     wr.write_results(mk(1, 5), path)
     wr.write_results(mk(2, 3), path)
     wr.write_results(mk(1, 2), path)  # replay of run 1
@@ -86,6 +86,19 @@ def test_stream_intake_replay_is_idempotent(spark, tmp_path):
     assert n1 == 10 and spark.read.parquet(out).count() == 10
 
 
+def test_two_intakes_and_a_reset_checkpoint_share_one_log(spark, tmp_path):
+    from cohortbeam.streaming.intake import start_intake
+    proc = lambda b: b.withColumn("run_date", F.lit("2026-01-01"))
+    out = str(tmp_path / "out")
+    for n, src, ck in ((10, "a", "ck1"), (3, "b", "ck2"), (3, "b", "ck3")):  # ck3: the second intake starts afresh
+        if not (tmp_path / src).exists():
+            spark.range(n).select(F.col("id").alias("idx")).coalesce(1).write.json(str(tmp_path / src))
+        start_intake(spark, str(tmp_path / src), "idx long", proc, out, str(tmp_path / ck)).awaitTermination()
+    log = spark.read.parquet(out)
+    assert log.count() == 16 and log.select("intake_id").distinct().count() == 3
+    assert log.where("written_at IS NULL").count() == 0
+
+
 def test_cascade_raises_on_other_errors(spark, tmp_path):
     bad = tmp_path / "in"
     bad.mkdir()

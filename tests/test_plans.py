@@ -36,9 +36,18 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     assert "PushedFilters: [IsNotNull(p_name), EqualTo(p_name,x)]" in plan(lk)
 
 
-def test_two_level_roc_windows(spark):
+def test_roc_reads_the_scores_once(spark):
     p = plan(ev.roc_points(fx.scored_long(spark, SF_SMALL)))
-    assert "Window" in p and "bucket" in p
+    assert "Window" in p and "embeddings.parquet" not in p  # only the checkpointed groups are left
+    assert plan(ev.score_groups(fx.scored_long(spark, SF_SMALL))).count("Scan parquet") == 1
+
+
+def test_histograms_have_no_nested_loop_and_one_scan_of_values(spark):
+    from cohortbeam.operators import cohort as co
+    df = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    p = plan(co.histogram(df, "p_size", 5))
+    assert "NestedLoop" not in p and "Cartesian" not in p
+    assert "NestedLoop" not in plan(co.histogram(df, "p_size", 5, by="p_type"))
 
 
 def test_row_local_queries_do_not_shuffle(spark):
@@ -66,9 +75,9 @@ def _final_plan(df) -> str:
 
 
 def test_roc_shuffles_distinct_scores_once(spark):
-    p = _final_plan(ev.roc_points(fx.scored_long(spark, SF_SMALL)))
+    p = _final_plan(ev.score_groups(fx.scored_long(spark, SF_SMALL)))
     big = [ln for ln in p.splitlines() if "Exchange hashpartitioning(label" in ln and "score" in ln]
-    assert len(big) == 1, big  # the pre-aggregated (label, bucket, score) shuffle happens once
+    assert len(big) == 1, big  # the pre-aggregated (label, score) shuffle happens once
 
 
 def test_bulk_job_is_one_branch_with_one_model_call(spark):

@@ -50,24 +50,20 @@ def test_auc_ap_youden_match_brute_force(spark, rows):
         assert abs(r.auc - exp[0]) < 1e-12 and abs(r.ap - exp[1]) < 1e-12 and r.threshold == exp[2]
 
 
-@SETTINGS
-@given(st.lists(st.floats(-1e6, 1e6, allow_nan=False, allow_subnormal=True), min_size=2, max_size=60))
-def test_order_bucket_is_monotone(spark, xs):
-    df = spark.createDataFrame([(float(x),) for x in xs], "s double")
-    got = df.select("s", ev.order_bucket(F.col("s")).alias("b")).collect()
-    pairs = sorted((r.s, r.b) for r in got)
-    assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:]))
-
-
-def test_two_level_equals_window_on_many_buckets(spark):
+def test_two_level_equals_window(spark):
     rng = np.random.default_rng(7)
-    s = np.concatenate([rng.random(3000), rng.random(500) * 1e-6, np.round(rng.random(500), 2)])
+    odd = [np.inf, -np.inf, np.nan, 0.0, -0.0, 5e-324, -1e300] * 20
+    s = np.concatenate([rng.random(3000), 0.7 + rng.random(3000) * 1e-6, np.round(rng.random(500), 2), odd])
     t = (rng.random(len(s)) < 0.3).astype(int)
     df = spark.createDataFrame([(i, ["A", "B"][i % 2], float(a), int(b)) for i, (a, b) in enumerate(zip(s, t))],
                                "image_key long, label string, score double, truth int")
     a = {(r.label, r.score): (r.tp, r.fp) for r in ev.roc_points(df, True).collect()}
     b = {(r.label, r.score): (r.tp, r.fp) for r in ev.roc_points(df, False).collect()}
-    assert a == b
+    assert a == b and not any(np.isnan(k[1]) for k in a) and ("A", np.inf) in a
+    two, one = ([r.asDict() for r in ev.eval_report(df, labels=["A", "B"], two_level=x).collect()] for x in (True, False))
+    for x, y in zip(two, one):
+        assert x.keys() == y.keys()
+        assert all(x[k] == y[k] or abs(x[k] - y[k]) < 1e-12 for k in x)
 
 
 @SETTINGS
@@ -89,7 +85,7 @@ def test_all_equal_scores_give_half_auc(spark):
     rows = [(i, "A", 0.7, i % 3 == 0) for i in range(30)]
     df = spark.createDataFrame([(a, b, c, int(d)) for a, b, c, d in rows],
                                "image_key long, label string, score double, truth int")
-    r = ev.eval_report(df, labels=["A"], materialize=True).first()
+    r = ev.eval_report(df, labels=["A"]).first()
     assert r.AUC_ROC == 0.5 and r.OptimalThreshold == float("inf")
     assert abs(r.AvgPrecision - 10 / 30) < 1e-12
 
