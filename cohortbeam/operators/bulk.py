@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, MSG_NO_SCORES, MSG_SAVED, MSG_UNREADABLE, SOURCES, TOP_K_HEATMAPS
+from ..constants import LABELS, META_COLS, MSG_NO_SCORES, MSG_SAVED, MSG_UNREADABLE, SOURCES, TOP_K_HEATMAPS
 from ..functions import features as feat
-from ..functions.text import folder_key
+from ..functions.text import basename, folder_key
 from . import ranking as rk
 from . import scoring as sc
 from .validate import validate
@@ -81,6 +81,37 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
         F.lit(source).alias("source"), "predictions", top3.alias("top3"), heat.alias("heatmaps"))
 
 
+def bulk_image_job(uploads: DataFrame, images: DataFrame, make_predict_fn, run_date: Column,
+                   registry_root: str = "/registry", source: str = "spark_batch", features: list[str] | None = None,
+                   labels: list[str] | None = None, **options) -> DataFrame:
+    """Uploads with their image files: validate -> decode -> model on image and
+    metadata -> result rows. ``uploads``: idx, name, age, gender, view,
+    image_path; ``images``: Spark's image table. The uploaded file itself is
+    decoded and scored in one task; a missing or undecodable file rejects its
+    row, and rejected rows never reach the model. One result row per upload,
+    with the predictions map."""
+    from .images import score_images_fused
+    if source not in SOURCES:
+        raise ValueError(f"source must be one of {SOURCES}")
+    labels = labels or LABELS
+    v = serve_meta(validate(uploads, content=None)).withColumns({
+        "folder_name": folder_key("name", run_date), "_file": basename("image_path")})
+    j = v.join(images.select(basename("image.origin").alias("_file"), "image"), "_file", "left")
+    s = score_images_fused(j, make_predict_fn, len(labels), meta=features or META_COLS, mask="valid",
+                           keep=("idx", "name", "age", "gender", "view", "folder_name", "errors"), **options)
+    unreadable = F.array(F.lit(MSG_UNREADABLE.format("cannot identify image file")))
+    s = s.withColumn("errors", F.when(F.col("ok"), F.col("errors")).otherwise(F.concat("errors", unreadable)))
+    s = s.withColumn("predictions", F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores"), labels)))
+    ok = F.col("predictions").isNotNull()
+    message = (F.when(ok, F.concat(F.lit(MSG_SAVED.format(registry_root.rstrip("/"), "")), F.col("folder_name")))
+                .when(F.size("errors") > 0, F.array_join("errors", "; "))
+                .otherwise(F.coalesce("error", F.lit(MSG_NO_SCORES))))
+    return s.select("idx", F.col("name").alias("patient_name"), "age", "gender", "view", "folder_name",
+                    ok.alias("success"), message.alias("message"),
+                    F.when(ok, rk.top_prediction(F.col("predictions"))).alias("top_prediction"),
+                    F.lit(source).alias("source"), "predictions")
+
+
 def single_patient(spark, image_vec: list[float], name: str, age, gender: str, view: str, content: bytes,
                    scorer, run_date: str, **kw) -> DataFrame:
     """One upload scored through the same pipeline (web form path)."""
@@ -97,4 +128,4 @@ def batch_tally(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if("success").alias("ok"), F.count(F.lit(1)).alias("total"))
 
 
-__all__ = ["bulk_patient_job", "batch_tally", "serve_meta", "RESULT_COLS", "LABELS"]
+__all__ = ["bulk_patient_job", "bulk_image_job", "batch_tally", "serve_meta", "RESULT_COLS", "LABELS"]

@@ -116,7 +116,7 @@ def _decode_rgb(img) -> np.ndarray | None:
 
 def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tuple[int, int] = (256, 256),
                        mode: str = "tanh", batch_size: int = 32, meta: list[str] | None = None,
-                       keep: tuple[str, ...] = ()) -> DataFrame:
+                       keep: tuple[str, ...] = (), mask: str | None = None) -> DataFrame:
     """Decode, prepare and score in one Python step per partition.
 
     Same result as ``prepare_images`` followed by the batch scorer, but the
@@ -125,7 +125,9 @@ def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tup
     ``meta`` the model gets a second input, the rows' metadata features. The
     model comes from ``make_predict_fn`` once per Python worker (PySpark's model
     cache, as ``predict_batch_udf`` does); a failing batch is retried row by
-    row, and a row whose scores are not finite is an error row.
+    row, and a row whose scores are not finite is an error row. Rows whose
+    ``mask`` column is false are decoded, but never reach the model; a row
+    without an image is not ok.
     """
     import uuid
 
@@ -151,15 +153,16 @@ def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tup
                 chunk = pdf.iloc[start:start + OUT_ROWS]
                 features = chunk[meta].to_numpy(dtype=np.float64) if meta else np.zeros((len(chunk), 0))
                 paths, oks, tensors = [], [], []
-                for img in chunk["image"]:
-                    paths.append(img["origin"])
-                    rgb = _decode_rgb(img)
+                wanted = chunk[mask].tolist() if mask else [True] * len(chunk)
+                for img, want in zip(chunk["image"], wanted):
+                    paths.append(img["origin"] if img is not None else None)
+                    rgb = _decode_rgb(img) if img is not None else None
                     oks.append(rgb is not None)
-                    if rgb is not None:
+                    if rgb is not None and want:
                         tensors.append(scale_pixels(resize_bilinear(rgb, out_h, out_w), mode).astype(np.float32).reshape(-1))
                 scores = [None] * len(paths)
                 errors = [None if ok else "Could not read image" for ok in oks]
-                idx = [i for i, ok in enumerate(oks) if ok]  # tensors[j] belongs to row idx[j]
+                idx = [i for i, ok in enumerate(oks) if ok and wanted[i]]  # tensors[j] belongs to row idx[j]
                 for b in range(0, len(idx), batch_size):
                     rows = idx[b:b + batch_size]
                     x, m = np.stack(tensors[b:b + batch_size]), features[rows]
@@ -185,7 +188,7 @@ def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tup
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("ok", T.BooleanType()),
                            T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()),
                            *[images.schema[c] for c in keep]])
-    return images.select("image", *dict.fromkeys([*meta, *keep])).mapInPandas(run, schema)
+    return images.select("image", *dict.fromkeys([*meta, *keep, *([mask] if mask else [])])).mapInPandas(run, schema)
 
 
 def batch_score_images(inputs: DataFrame, images: DataFrame, make_predict_fn, n_out: int, features: list[str],

@@ -414,6 +414,35 @@ def q_batch_score_images(spark, d):
     return back.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
+@query("bulk_image_job", sql(["uploads", "label_names"], f"""
+SELECT j.idx, j.name AS patient_name, j.age, j.gender, j.view, j.folder_name, len(j.errs) = 0 AS success,
+  CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
+  t.top AS top_prediction, 'spark_batch' AS source
+FROM j LEFT JOIN (SELECT i.idx, arg_max(n.name, (CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT), -n.k)) AS top
+                  FROM j i, label_names n WHERE len(i.errs) = 0 GROUP BY i.idx) t ON t.idx = j.idx""", PIXEL_CTES + [
+    ("j", """SELECT u.idx, u.name, u.age, u.gender, u.view, i.c0, i.c1, i.c2,
+      least(greatest(CAST(u.age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
+      CASE WHEN upper(u.gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
+      CASE WHEN upper(u.view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
+      CASE WHEN upper(u.view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA,
+      coalesce(nullif(upper(left(regexp_replace(u.name, '[^a-zA-Z]', '', 'g'), 1))
+        || lower(substr(regexp_replace(u.name, '[^a-zA-Z]', '', 'g'), 2)), ''), 'Unknown') || '20260209' AS folder_name,
+      list_filter([
+        CASE WHEN u.age < 0 OR u.age > 150 THEN 'Invalid age: ' || CAST(u.age AS VARCHAR) || '. Must be between 0 and 150.' END,
+        CASE WHEN upper(u.gender) NOT IN ('M', 'F') THEN 'Invalid gender: ' || u.gender || '. Must be ''M'' or ''F''.' END,
+        CASE WHEN upper(u.view) NOT IN ('AP', 'PA') THEN 'Invalid view: ' || u.view || '. Must be ''AP'' or ''PA''.' END,
+        CASE WHEN NOT coalesce(i.ok, false) THEN 'Could not read image: cannot identify image file' END],
+        lambda x: x IS NOT NULL) AS errs
+      FROM uploads u LEFT JOIN img i ON i.vec_id = u.idx % 490""")]))
+def q_bulk_image_job(spark, d):
+    """Uploads whose image files are decoded and scored with their metadata in
+    one task; unreadable files are rejected by decoding, not by name."""
+    u = fx.uploads(spark, d).drop("content").withColumn(
+        "image_path", F.concat(F.lit("up/"), F.lpad((F.col("idx") % 490).cast("string"), 8, "0"), F.lit(".png")))
+    imgs = rd.image_table(spark, write_images(spark, d))
+    return bulk.bulk_image_job(u, imgs, sc.channel_meta_factory(), F.lit("2026-02-09").cast("date")).select(*bulk.RESULT_COLS)
+
+
 # ------------------------------------------------------------- streaming
 UPLOAD_SCHEMA = T.StructType([T.StructField("idx", T.LongType()), T.StructField("name", T.StringType()),
                               T.StructField("age", T.IntegerType()), T.StructField("gender", T.StringType()),
