@@ -1,6 +1,8 @@
 """Result registry: folder keys, listing, search, assembly, last-write-wins."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,13 @@ from ..functions.text import basename, image_role, parse_folder
 def latest_per_key(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Last write wins: per ``key`` the row with the greatest ``order`` tuple.
 
-    Done as an aggregate of ``max(struct(order..., row))`` so each task
-    reduces its rows to one per key before the shuffle (partial aggregation):
-    a hot key costs one row per task, not a sorted partition.
+    Done as ``max_by(row, order tuple)``, an aggregate: each task reduces its
+    rows to one per key before the shuffle, so a hot key costs one row per
+    task, not a sorted partition. The row may hold maps.
     """
     payload = [c for c in log.columns if c != key]
-    best = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                          F.struct(*payload).alias("row")))
-    return log.groupBy(key).agg(best.alias("_b")).select(key, "_b.row.*")
+    best = F.max_by(F.struct(*payload), F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]))
+    return log.groupBy(key).agg(best.alias("_row")).select(key, "_row.*")
 
 
 def listing_from_paths(files: DataFrame, path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -45,6 +46,16 @@ def lookup(df: DataFrame, folder: str) -> DataFrame:
     return df.where(F.col("folder_name") == folder)
 
 
+def lookup_log(log: DataFrame, folder: str, order: list[str], date_col: str = "run_date") -> DataFrame:
+    """Latest row of one folder, straight from the results log: the date inside
+    the folder key prunes the log's date partitions before anything is read."""
+    found = lookup(log, folder)
+    key = re.fullmatch(r"[A-Za-z]+(\d{4})(\d{2})(\d{2})", folder)
+    if key:
+        found = found.where(F.col(date_col) == F.lit("-".join(key.groups())).cast(log.schema[date_col].dataType))
+    return latest_per_key(found, "folder_name", order)
+
+
 def images_per_folder(files: DataFrame) -> DataFrame:
     """Images of each folder as array<struct<filename, type>> (few per folder)."""
     png = files.where(F.col("file_name").endswith(".png"))

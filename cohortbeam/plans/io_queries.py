@@ -18,6 +18,7 @@ from ..operators import bulk
 from ..operators import cam
 from ..operators import evaluate as ev
 from ..operators import images as im
+from ..operators import registry as rg
 from ..operators import scoring as sc
 from ..operators import split as sp
 from ..operators.cohort import add_age_features
@@ -414,12 +415,7 @@ def q_batch_score_images(spark, d):
     return back.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
-@query("bulk_image_job", sql(["uploads", "label_names"], f"""
-SELECT j.idx, j.name AS patient_name, j.age, j.gender, j.view, j.folder_name, len(j.errs) = 0 AS success,
-  CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
-  t.top AS top_prediction, 'spark_batch' AS source
-FROM j LEFT JOIN (SELECT i.idx, arg_max(n.name, (CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT), -n.k)) AS top
-                  FROM j i, label_names n WHERE len(i.errs) = 0 GROUP BY i.idx) t ON t.idx = j.idx""", PIXEL_CTES + [
+IMAGE_JOB_CTES = PIXEL_CTES + [
     ("j", """SELECT u.idx, u.name, u.age, u.gender, u.view, i.c0, i.c1, i.c2,
       least(greatest(CAST(u.age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
       CASE WHEN upper(u.gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
@@ -433,14 +429,44 @@ FROM j LEFT JOIN (SELECT i.idx, arg_max(n.name, (CAST({_image_score_sql(1.0, BAT
         CASE WHEN upper(u.view) NOT IN ('AP', 'PA') THEN 'Invalid view: ' || u.view || '. Must be ''AP'' or ''PA''.' END,
         CASE WHEN NOT coalesce(i.ok, false) THEN 'Could not read image: cannot identify image file' END],
         lambda x: x IS NOT NULL) AS errs
-      FROM uploads u LEFT JOIN img i ON i.vec_id = u.idx % 490""")]))
+      FROM uploads u LEFT JOIN img i ON i.vec_id = u.idx % 490""")]
+
+
+@query("bulk_image_job", sql(["uploads", "label_names"], f"""
+SELECT j.idx, j.name AS patient_name, j.age, j.gender, j.view, j.folder_name, len(j.errs) = 0 AS success,
+  CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
+  t.top AS top_prediction, 'spark_batch' AS source
+FROM j LEFT JOIN (SELECT i.idx, arg_max(n.name, (CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT), -n.k)) AS top
+                  FROM j i, label_names n WHERE len(i.errs) = 0 GROUP BY i.idx) t ON t.idx = j.idx""", IMAGE_JOB_CTES))
 def q_bulk_image_job(spark, d):
     """Uploads whose image files are decoded and scored with their metadata in
     one task; unreadable files are rejected by decoding, not by name."""
+    return _image_job(spark, d).select(*bulk.RESULT_COLS)
+
+
+def _image_job(spark, d):
     u = fx.uploads(spark, d).drop("content").withColumn(
         "image_path", F.concat(F.lit("up/"), F.lpad((F.col("idx") % 490).cast("string"), 8, "0"), F.lit(".png")))
     imgs = rd.image_table(spark, write_images(spark, d))
-    return bulk.bulk_image_job(u, imgs, sc.channel_meta_factory(), F.lit("2026-02-09").cast("date")).select(*bulk.RESULT_COLS)
+    return bulk.bulk_image_job(u, imgs, sc.channel_meta_factory(), F.lit("2026-02-09").cast("date"))
+
+
+@query("registry_from_results", sql(["uploads", "label_names"], """
+SELECT folder_name, arg_max(idx, (2 - idx % 2, idx)) AS idx, arg_max(name, (2 - idx % 2, idx)) AS patient_name,
+  arg_max(age, (2 - idx % 2, idx)) AS age, arg_max(gender, (2 - idx % 2, idx)) AS gender,
+  arg_max(view, (2 - idx % 2, idx)) AS view, max(2 - idx % 2) AS run_id
+FROM j WHERE len(errs) = 0 GROUP BY folder_name""", IMAGE_JOB_CTES))
+def q_registry_from_results(spark, d):
+    """Registry state served from the results log alone: two runs of one day
+    (the second re-scores every other upload), last write wins per folder."""
+    path = _scratch(spark, d, "results_log")
+    res = _image_job(spark, d).withColumns({"run_date": F.lit("2026-02-09"), "intake_id": F.lit("bulk")})
+    wr.write_results(res.withColumn("run_id", F.lit(1)), path)
+    first = spark.read.parquet(path)
+    wr.write_results(first.where("idx % 2 = 0").drop("written_at").withColumn("run_id", F.lit(2)), path)
+    log = spark.read.parquet(path).where("success")
+    return rg.latest_per_key(log, "folder_name", ["run_id", "idx"]).select(
+        "folder_name", "idx", "patient_name", "age", "gender", "view", F.col("run_id").cast("int").alias("run_id"))
 
 
 # ------------------------------------------------------------- streaming

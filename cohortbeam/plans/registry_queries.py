@@ -103,9 +103,9 @@ def q_registry_search(spark, d):
 SELECT s.folder_name, s.idx, f.patient_name FROM state s JOIN folders f ON f.idx = s.idx
 WHERE s.folder_name = 'Redwidget20260102'""", [LOG, STATE]))
 def q_registry_lookup(spark, d):
-    """Point lookup of one folder key (a filter the scan can push down)."""
-    s = rg.lookup(state(spark, d), "Redwidget20260102")
-    return s.join(fx.folders(spark, d).select("idx", "patient_name"), "idx").select("folder_name", "idx", "patient_name")
+    """Point lookup of one folder key in the write log, pruned by its date."""
+    log = write_log(spark, d).select("folder_name", "run_date", "idx", "patient_name", "write_ts")
+    return rg.lookup_log(log, "Redwidget20260102", ["write_ts", "idx"]).select("folder_name", "idx", "patient_name")
 
 
 @query("image_role", sql(["files"], """
@@ -166,25 +166,32 @@ SELECT s.folder_name, coalesce(nullif(m.patient_name, ''), s.folder_name) AS tit
   CASE WHEN m.idx IS NULL THEN NULL ELSE coalesce(nullif(split_part(m.timestamp, 'T', 1), ''), 'N/A') END AS date,
   CAST(r.rank AS INTEGER) AS rank, r.label, printf('%.1f', round(r.p * 100.0, 1)) AS pct,
   CASE WHEN r.rank IS NULL THEN NULL WHEN round(r.p * 100.0, 1) >= 50.0 THEN 'high'
-       WHEN round(r.p * 100.0, 1) >= 25.0 THEN 'medium' ELSE 'low' END AS band
+       WHEN round(r.p * 100.0, 1) >= 25.0 THEN 'medium' ELSE 'low' END AS band, im.image_list
 FROM state s LEFT JOIN meta m ON m.idx = s.idx
+LEFT JOIN (SELECT idx, string_agg(CASE WHEN file_name = 'original.png' THEN 'original:' ELSE 'gradcam:' END || file_name, ',' ORDER BY file_name) AS image_list
+           FROM files WHERE suffix(file_name, '.png') GROUP BY idx) im ON im.idx = s.idx
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p DESC, k) AS rank FROM pred)
            WHERE rank <= {TOP_K_DISPLAY}) r ON r.idx = s.idx""", [LOG, STATE, META, PRED]))
 def q_registry_detail(spark, d):
-    """Detail page data: title, gender, date, top-5 predictions with bands."""
+    """Detail page data: title, gender, date, images with their role, top-5
+    predictions with bands."""
     st = state(spark, d)
+    files = fx.files(spark, d).join(st.select("idx"), "idx", "left_semi")
+    images = rg.images_per_folder(files).select("folder_name", F.array_join(F.transform(
+        "images", lambda x: F.concat(x["type"], F.lit(":"), x["filename"])), ",").alias("image_list"))
     meta = metadata_docs(spark, d)
     pred = prediction_docs(spark, d)
-    j = st.join(meta, "idx", "left").join(pred, "idx", "left")
+    j = st.join(meta, "idx", "left").join(pred, "idx", "left").join(images, "folder_name", "left")
     has_meta = F.col("age").isNotNull()
     j = j.select("folder_name",
                  F.coalesce(F.nullif(F.col("patient_name"), F.lit("")), F.col("folder_name")).alias("title"),
                  F.when(has_meta, tx.gender_display("gender")).alias("gender_display"),
                  F.when(has_meta, tx.iso_date_part("timestamp")).alias("date"),
-                 rk.top_k(F.col("predictions"), TOP_K_DISPLAY).alias("top"))
-    x = j.select("folder_name", "title", "gender_display", "date", F.posexplode_outer("top").alias("pos", "e"))
+                 "image_list", rk.top_k(F.col("predictions"), TOP_K_DISPLAY).alias("top"))
+    x = j.select("folder_name", "title", "gender_display", "date", "image_list",
+                 F.posexplode_outer("top").alias("pos", "e"))
     p = F.col("e.value").cast("double")
-    return x.select("folder_name", "title", "gender_display", "date",
+    return x.select("folder_name", "title", "gender_display", "date", "image_list",
                     F.when(F.col("e").isNotNull(), F.col("pos") + 1).cast("int").alias("rank"),
                     F.col("e.key").alias("label"),
                     F.when(F.col("e").isNotNull(), tx.percent_text(p)).alias("pct"),
