@@ -84,7 +84,10 @@ def upload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-row patient JSON text plus image bytes (null for some rows)."""
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS idx",
-        "CASE WHEN event_id % 19 = 0 THEN CAST(NULL AS STRING) ELSE props END AS patient_json",
+        "CASE WHEN event_id % 19 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 29 = 0 THEN '{\"name\": ' "
+        "WHEN event_id % 31 = 0 THEN concat('{\"name\": \"P', user_id, '\"}') "
+        "ELSE concat('{\"name\": \"P', user_id, '\", \"age\": \"', CAST(floor(value) AS BIGINT), "
+        "'\", \"gender\": \"', IF(user_id % 2 = 0, 'm', 'F'), '\", \"view\": \"', IF(user_id % 3 = 0, '', 'pa'), '\"}') END AS patient_json",
         "CASE WHEN event_id % 23 = 0 THEN CAST(NULL AS BINARY) "
         "ELSE concat(unhex('89504E470D0A1A0A'), encode(event_type, 'UTF-8')) END AS content")
 

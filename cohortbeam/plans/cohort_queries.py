@@ -79,10 +79,10 @@ def q_join_coalesce(spark, d):
 
 
 @query("drop_null_path", sql(["label_matrix", "paths"], """
-SELECT count(*) AS n_rows FROM label_matrix l JOIN paths p ON l.idx = p.idx WHERE p.file_path IS NOT NULL"""))
+SELECT l.idx, p.file_path, l.no_finding FROM label_matrix l JOIN paths p ON l.idx = p.idx WHERE p.file_path IS NOT NULL"""))
 def q_drop_null_path(spark, d):
     j = jn.attach_paths(fx.label_matrix(spark, d), fx.paths(spark, d)).dropna(subset=["file_path"])
-    return j.agg(F.count(F.lit(1)).alias("n_rows"))
+    return j.select("idx", "file_path", "no_finding")
 
 
 @query("cohort_counts", sql(COHORT_VIEWS, """

@@ -29,7 +29,7 @@ from .catalog import query
 from .cohort_queries import AGE_SQL, SPLIT_SQL, U_SQL, cohort, cohort_sql
 from .eval_queries import eval_sql
 from .oracle_views import linear_sql, sql
-from .registry_queries import LOG, META, STATE, metadata_docs, state
+from .registry_queries import LOG, META, PRED, STATE, metadata_docs, prediction_docs, state
 from .scoring_queries import META_SQL, UPLOAD_FORM, VALIDATE_CTE, _meta_cols, _upload_form
 
 
@@ -94,6 +94,15 @@ def q_src_cascade(spark, d):
     return rd.scoring_input(spark, base)
 
 
+@query("src_cascade_listing", sql([], """
+SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') || '.png' AS basename, 0.5::DOUBLE AS age_norm, 0.0::DOUBLE AS sex_bin,
+       0.0::DOUBLE AS view_AP, 1.0::DOUBLE AS view_PA FROM embeddings"""))
+def q_src_cascade_listing(spark, d):
+    """Input folder holding nothing but images: their listing with default features."""
+    t = rd.scoring_input(spark, write_images(spark, d))
+    return t.select(F.regexp_extract("image_path", r"([^/]+)$", 1).alias("basename"), *META_COLS)
+
+
 def _model_schema_frame(spark, d):
     s = fx.studies(spark, d).select(feat.parse_view("view_position").alias("view_cat"))
     from ..operators.cohort import discover_categories
@@ -142,10 +151,25 @@ def q_src_registry_json(spark, d):
     return r.select("folder_name", "doc.patient_name", "doc.age", "doc.gender", "doc.view")
 
 
+@query("src_registry_predictions", sql(["folders", "files", "scores", "label_names"], """
+SELECT s.folder_name, p.label, round(p.p, 6) AS score FROM state s JOIN pred p ON p.idx = s.idx""", [LOG, STATE, PRED]))
+def q_src_registry_predictions(spark, d):
+    """predictions.json documents (label -> score), one per registry folder,
+    read back as maps with the folder taken from the file path."""
+    root = _scratch(spark, d, "registry_predictions")
+    docs = prediction_docs(spark, d).join(state(spark, d).select("idx", "folder_name"), "idx")
+    docs.select("folder_name", F.to_json("predictions").alias("value")).write.partitionBy("folder_name").text(root)
+    r = rd.registry_docs(spark, root, "*.txt", rd.PREDICTIONS_SCHEMA)
+    x = r.select("folder_name", F.explode("doc").alias("label", "score"))
+    return x.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
 def _write_metadata_docs(spark, d) -> str:
+    """Test input in the layout of the source: one folder and file per key."""
     root = _scratch(spark, d, "registry_docs")
     docs = metadata_docs(spark, d).join(state(spark, d).select("idx", "folder_name"), "idx")
-    wr.write_json_docs(docs, root, "folder_name", ["patient_name", "age", "gender", "view", "timestamp"])
+    value = F.to_json(F.struct("patient_name", "age", "gender", "view", "timestamp"))
+    docs.select("folder_name", value.alias("value")).write.partitionBy("folder_name").text(root)
     return root
 
 
@@ -160,6 +184,22 @@ def q_registry_files(spark, d):
         F.count(F.lit(1)).alias("n_files"), (F.min("length") > 0).alias("has_bytes"))
 
 
+@query("sink_registry_docs", sql(["folders", "files"], """
+SELECT s.folder_name, m.patient_name, CAST(m.age AS BIGINT) AS age, m.gender, m.view, m.timestamp, strftime(f.run_date, '%Y-%m-%d') AS run_date
+FROM state s JOIN meta m ON m.idx = s.idx JOIN folders f ON f.idx = s.idx""", [LOG, STATE, META]))
+def q_sink_registry_docs(spark, d):
+    """Registry metadata documents written by date, read back with the key
+    from the document and the date from the partition."""
+    path = _scratch(spark, d, "registry_by_date")
+    st = state(spark, d).select("idx", "folder_name")
+    docs = metadata_docs(spark, d).join(st, "idx").join(
+        fx.folders(spark, d).select("idx", F.col("run_date").cast("string").alias("run_date")), "idx")
+    wr.write_json_docs(docs, path, ["folder_name", "patient_name", "age", "gender", "view", "timestamp"])
+    back = spark.read.text(path).select(F.from_json("value", rd.METADATA_SCHEMA).alias("doc"),
+                                        F.col("run_date").cast("string").alias("run_date"))
+    return back.select("doc.folder_name", "doc.patient_name", "doc.age", "doc.gender", "doc.view", "doc.timestamp", "run_date")
+
+
 # ------------------------------------------------------------- bulk job
 BULK_CTES = [VALIDATE_CTE,
              ("j", """SELECT u.idx, u.name, u.age, u.gender, u.view, e.embedding,

@@ -15,6 +15,7 @@ from ..operators import scoring as sc
 from ..operators import validate as va
 from ..session import scratch_path
 from ..sinks.writers import write_scored
+from ..sources.readers import uploads_from_json
 from .catalog import query
 from .oracle_views import linear_sql, sql
 
@@ -286,13 +287,18 @@ def q_upload_defaults(spark, d):
 
 
 @query("upload_parse", sql([], """
-SELECT event_id AS idx, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
-WHERE event_id % 19 <> 0 AND event_id % 23 <> 0"""))
+SELECT event_id AS idx, CASE WHEN event_id % 29 <> 0 THEN 'P' || CAST(user_id AS VARCHAR) END AS name,
+  true AS age_ok,
+  CASE WHEN event_id % 29 = 0 OR event_id % 31 = 0 THEN 50 ELSE CAST(floor(value) AS INTEGER) END AS age,
+  CASE WHEN event_id % 29 = 0 OR event_id % 31 = 0 THEN 'M' WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS gender,
+  CASE WHEN event_id % 29 = 0 OR event_id % 31 = 0 THEN 'PA' WHEN user_id % 3 = 0 THEN '' ELSE 'PA' END AS view
+FROM events WHERE event_id % 19 <> 0 AND event_id % 23 <> 0"""))
 def q_upload_parse(spark, d):
-    """Per-row patient JSON + bytes; rows lacking either are dropped."""
-    u = fx.upload_json(spark, d)
-    ok = u.where(F.col("patient_json").isNotNull() & F.col("content").isNotNull())
-    return ok.select("idx", F.from_json("patient_json", "k int").alias("p")).select("idx", "p.k")
+    """Upload batch rows: patient JSON with name, age, gender and view, plus
+    bytes; rows lacking either are dropped, absent fields (also of unreadable
+    JSON) get their defaults, blank ones stay blank."""
+    u = uploads_from_json(fx.upload_json(spark, d)).select("idx", "patient.*")
+    return feat.upload_defaults(u).select("idx", "name", "age_ok", "age", "gender", "view")
 
 
 @query("default_features", sql([], """

@@ -24,9 +24,11 @@ def write_results(df: DataFrame, path: str,
        .partitionBy(*partition_cols).parquet(path))
 
 
-def write_json_docs(df: DataFrame, path: str, key: str, doc_cols: list[str]) -> None:
-    """One JSON document per key value, under ``<path>/<key>=<value>/``."""
-    df.select(key, F.to_json(F.struct(*doc_cols)).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def write_json_docs(df: DataFrame, path: str, doc_cols: list[str], partition: str = "run_date") -> None:
+    """JSON documents as lines of one file per task, partitioned by date: the
+    key is a field of the document, so millions of keys need no folders."""
+    (df.select(partition, F.to_json(F.struct(*doc_cols)).alias("value"))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).text(path))
 
 
 def write_text_json(df: DataFrame, path: str, cols: list[str]) -> None:
