@@ -22,57 +22,55 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
 
+SLICE = 256  # rows that are Python objects at a time
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
+                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
+                    ("window", pa.int64()), ("source", pa.string())])
+
 
 def load_encoder(path: str):
-    """str -> list of token ids, for a ``tokenizers`` .json or a ``.tiktoken``
-    rank file of the same vocabulary. Strings of special tokens in a text are
-    ordinary text."""
+    """(str -> list of token ids, number of ids), for a ``tokenizers`` .json or a
+    ``.tiktoken`` rank file of the same vocabulary. Strings of special tokens in
+    a text are ordinary text."""
     if path.endswith(".tiktoken"):
         import public_tokenizers
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                 special_tokens={}).encode_ordinary
+                                 special_tokens={}).encode_ordinary, max(ranks.values()) + 1
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return lambda text: tok.encode(text, add_special_tokens=False).ids
+    return lambda text: tok.encode(text, add_special_tokens=False).ids, tok.get_vocab_size()
 
 
 def tokenize(docs: DataFrame, encoder_path: str, separator: int = 0) -> DataFrame:
-    """(row_key, doc_id, source, n, ids): ids little-endian unsigned 32-bit, the
-    separator id last. row_key numbers the rows (its high bits: the partition)."""
+    """(row_key, doc_id, source, n, ids): ids little-endian, unsigned, 16 bits
+    each if the vocabulary allows it, else 32; the separator id last. row_key
+    numbers the rows (its high bits: the partition)."""
     def run(batches):
-        encode = load_encoder(encoder_path)
-        for b in batches:
-            ids = [np.array(encode(t) + [separator], dtype="<u4").tobytes() for t in b.text]
-            yield pd.DataFrame({"row_key": b.row_key, "doc_id": b.doc_id, "source": b.source,
-                                "n": [len(x) // 4 for x in ids], "ids": ids})
+        encode, size = load_encoder(encoder_path)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):  # few rows at a time as Python objects
+                b = batch.slice(i, SLICE)
+                ids = [np.array(encode(t) + [separator], dtype=kind) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row_key"), b.column("doc_id"), b.column("source"),
+                     pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    names=["row_key", "doc_id", "source", "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long"),
                        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "row_key long, doc_id long, source string, n long, ids binary")
-
-
-def _queue_positions(tokens: DataFrame) -> DataFrame:
-    """(row_key, source, n, a): a = tokens queued in the source before the row.
-    Two-level prefix sums: rows inside a (source, block), then block totals."""
-    rows = tokens.select("row_key", "source", "n", F.shiftright("row_key", 33).alias("block"))
-    blocks = rows.groupBy("source", "block").agg(F.sum("n").alias("bn"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "block", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("block_at"))
-    inside = Window.partitionBy("source", "block").orderBy("row_key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("in_block", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return rows.join(blocks, ["source", "block"]).select("row_key", "source", "n",
-                                                         F.expr("block_at + in_block").alias("a"))
+    return rows.mapInArrow(run, "row_key long, doc_id long, source string, n long, ids binary")
 
 
 def _weights(weights: dict[str, float] | None) -> Column:
@@ -86,19 +84,30 @@ def drr_slices(tokens: DataFrame, window_tokens: int, min_slice: int,
                weights: dict[str, float] | None = None) -> DataFrame:
     """(row_key, start, length, window, source, at): the slice of a document
     that its source sends in a window; ``at`` is its place in the queue. Sources
-    without a weight, or with 0, follow after all others."""
-    totals = tokens.groupBy("source").agg(F.sum("n").alias("total")).withColumn("w", _weights(weights))
-    # An unweighted queue gets a share that one window holds; it starts after the last weighted window.
-    totals = (totals.crossJoin(F.broadcast(totals.agg(F.sum("w").alias("w_all"), F.sum("total").alias("n_all"))))
+    without a weight, or with 0, follow after all others.
+
+    A row's place in its queue is a two-level prefix sum: rows inside a (source,
+    block), then block totals; a block is one partition of the token table. The
+    rows meet their source's credit with their block, so a hot source is spread
+    over as many tasks as it has blocks."""
+    rows = tokens.select("row_key", "source", "n", F.shiftright("row_key", 33).alias("block"))
+    blocks = rows.groupBy("source", "block").agg(F.sum("n").alias("bn"))
+    totals = blocks.groupBy("source").agg(F.sum("bn").alias("total")).withColumn("w", _weights(weights))
+    totals = (totals.crossJoin(F.broadcast(totals.agg(F.sum("w").alias("w_all"))))  # one row
               .withColumn("q", F.expr(f"CASE WHEN w > 0 THEN greatest({window_tokens} * w / w_all, 1e-6) "
                                       f"ELSE {window_tokens}D END"))
               .withColumn("k", F.expr(f"CAST(greatest(1, ceil({min_slice} / q)) AS BIGINT)"))
-              .selectExpr("source", "k", "k * q AS g", "total", "w > 0 AS weighted", "q"))
+              .selectExpr("source", "k", "k * q AS g", "total", "w > 0 AS weighted"))
     last = totals.where("weighted").agg(F.coalesce(F.max(F.expr("k * (CAST(ceil(total / g) AS BIGINT) + 1)")), F.lit(0))
                                         .alias("late"))
-    totals = totals.crossJoin(F.broadcast(last)).selectExpr(
+    totals = totals.crossJoin(F.broadcast(last)).selectExpr(  # one row
         "source", "k", "g", "CASE WHEN weighted THEN 0 ELSE late END AS first")
-    rows = _queue_positions(tokens).join(totals, "source")
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("block_at", F.coalesce(F.sum("bn").over(before), F.lit(0))).join(totals, "source").select(
+        "source", "block", "block_at", "k", "g", "first")
+    inside = Window.partitionBy("source", "block").orderBy("row_key").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (rows.withColumn("in_block", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, ["source", "block"])
+            .withColumn("a", F.expr("block_at + in_block")))
     return (rows.withColumn("j", F.explode(F.expr(
                 "sequence(greatest(1, CAST(ceil((a + 1) / g) AS BIGINT) - 1), CAST(ceil((a + n) / g) AS BIGINT) + 1)")))
             .withColumn("lo", F.expr("greatest(a, CAST(floor((j - 1) * g) AS BIGINT))"))
@@ -153,27 +162,30 @@ def pack(docs: DataFrame, encoder_path: str, seq_len: int = 1024, window_tokens:
 
     def cut(batches):
         tail_at = np.array([p for p, _ in tail])
-        for b in batches:
-            out = []
-            for doc_id, source, n, ids, slices in zip(b.doc_id, b.source, b.n, b.ids, b.slices):
-                for s in sorted(slices, key=lambda x: x["start"]):
-                    start, pos, end = s["start"], s["pos"], s["pos"] + s["length"]
-                    while pos < end:
-                        if pos < whole:
-                            number, offset = divmod(pos, seq_len)
-                            stop = min(end, (number + 1) * seq_len)
-                        else:
-                            i = int(np.searchsorted(tail_at, pos, side="right")) - 1
-                            number, offset = tail[i][1], pos - tail[i][0]
-                            stop = min(end, tail[i + 1][0])
-                        out.append((doc_id, start, stop - pos, ids[4 * start:4 * (start + stop - pos)], n, number,
-                                    offset, s["window"], source))
-                        start, pos = start + stop - pos, stop
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset",
-                                             "window", "source"]).astype({"doc_id": "Int64"})
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                out = []
+                for r in batch.slice(i, SLICE).to_pylist():
+                    ids = np.frombuffer(r["ids"], dtype="<u2" if len(r["ids"]) == 2 * r["n"] else "<u4").astype("<u4")
+                    for s in sorted(r["slices"], key=lambda x: x["start"]):
+                        start, pos, end = s["start"], s["pos"], s["pos"] + s["length"]
+                        while pos < end:
+                            if pos < whole:
+                                number, offset = divmod(pos, seq_len)
+                                stop = min(end, (number + 1) * seq_len)
+                            else:
+                                t = int(np.searchsorted(tail_at, pos, side="right")) - 1
+                                number, offset = tail[t][1], pos - tail[t][0]
+                                stop = min(end, tail[t + 1][0])
+                            out.append({"doc_id": r["doc_id"], "start": start, "length": stop - pos,
+                                        "ids": ids[start:start + stop - pos].tobytes(), "doc_tokens": r["n"],
+                                        "sequence_id": number, "offset": offset, "window": s["window"],
+                                        "source": r["source"]})
+                            start, pos = start + stop - pos, stop
+                yield pa.RecordBatch.from_pylist(out, schema=PIECES)
 
     placed = _stream_positions(drr_slices(tokens, window_tokens, min_slice, weights))
     per_row = placed.groupBy("row_key").agg(F.collect_list(F.struct("start", "length", "pos", "window")).alias("slices"))
-    return tokens.join(per_row, "row_key").select("doc_id", "source", "n", "ids", "slices").mapInPandas(
+    return tokens.join(per_row, "row_key").select("doc_id", "source", "n", "ids", "slices").mapInArrow(
         cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
              "window long, source string")

@@ -35,20 +35,20 @@ def test_query_round_trip(spark, sf, real_docs):
     got = queries.QUERIES["op4_packing"](spark, sf).toPandas()
     texts = dict(zip(real_docs.doc_id, real_docs.text))
     assert set(got.doc_id) == set(texts)
-    check_pieces(got, texts, packing.load_encoder(JSON))
+    check_pieces(got, texts, packing.load_encoder(JSON)[0])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_both_vocabulary_files_give_the_same_ids(text):
     if not hasattr(test_both_vocabulary_files_give_the_same_ids, "enc"):
-        test_both_vocabulary_files_give_the_same_ids.enc = packing.load_encoder(JSON), packing.load_encoder(RANKS)
+        test_both_vocabulary_files_give_the_same_ids.enc = packing.load_encoder(JSON)[0], packing.load_encoder(RANKS)[0]
     a, b = test_both_vocabulary_files_give_the_same_ids.enc
     assert a(text) == b(text)
 
 
 def test_both_vocabulary_files_on_documents(real_docs):
-    a, b = packing.load_encoder(JSON), packing.load_encoder(RANKS)
+    a, b = packing.load_encoder(JSON)[0], packing.load_encoder(RANKS)[0]
     assert all(a(t) == b(t) for t in real_docs.text)
     assert a("x <|endoftext|> y") == b("x <|endoftext|> y")
 

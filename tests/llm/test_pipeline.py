@@ -41,7 +41,7 @@ def test_stages(spark, sf):
     assert rows(clean) == want
 
     pieces = stage["packing"](spark, clean, sf).toPandas()
-    check_pieces(pieces, {r[0]: r[1] for r in want}, packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json")))
+    check_pieces(pieces, {r[0]: r[1] for r in want}, packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"))[0])
     whole = corpus_pipeline.run(spark, sf).toPandas()
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert set(whole.doc_id) == {r[0] for r in want} and whole.length.sum() == pieces.length.sum()
