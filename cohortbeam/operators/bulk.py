@@ -124,6 +124,16 @@ def single_patient(spark, image_vec: list[float], name: str, age, gender: str, v
     return bulk_patient_job(u, im, scorer, F.lit(run_date).cast("date"), source="web_upload", **kw)
 
 
+def single_image(spark, image_path: str, name: str, age, gender: str, view: str, make_predict_fn, run_date: str,
+                 **options) -> DataFrame:
+    """One uploaded image file through the same job (web form path)."""
+    from ..sources.readers import image_table
+    row = spark.createDataFrame([(0, name, age, gender, view, image_path)],
+                                "idx long, name string, age int, gender string, view string, image_path string")
+    return bulk_image_job(row, image_table(spark, image_path), make_predict_fn, F.lit(run_date).cast("date"),
+                          source="web_upload", **options)
+
+
 def batch_tally(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if("success").alias("ok"), F.count(F.lit(1)).alias("total"))
 

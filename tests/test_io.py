@@ -190,6 +190,10 @@ def test_truncated_image_is_rejected(spark, tmp_path):
     assert got[2].message == got[3].message == "Could not read image: cannot identify image file"
     assert got[4].message.startswith("Invalid age: 400")
 
+    one = bulk.single_image(spark, str(tmp_path / "good.png"), "Ann", 40, "F", "PA", sc.channel_meta_factory(),
+                            "2026-02-09", size=(16, 16)).first()
+    assert one.predictions == got[1].predictions and one.source == "web_upload"
+
     def nan_factory():
         return sc.with_arity(lambda x, m: np.full((len(x), 14), np.nan), 2)
     bad = bulk.bulk_image_job(up.where("idx = 1"), rd.image_table(spark, str(tmp_path)), nan_factory,
