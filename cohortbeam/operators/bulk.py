@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS, META_COLS, MSG_NO_SCORES, MSG_SAVED, MSG_UNREADABLE, SOURCES, TOP_K_HEATMAPS
 from ..functions import features as feat
-from ..functions.text import basename, folder_key
+from ..functions.text import folder_key
 from . import ranking as rk
 from . import scoring as sc
 from .validate import validate
@@ -90,13 +90,12 @@ def bulk_image_job(uploads: DataFrame, images: DataFrame, make_predict_fn, run_d
     decoded and scored in one task; a missing or undecodable file rejects its
     row, and rejected rows never reach the model. One result row per upload,
     with the predictions map."""
-    from .images import score_images_fused
+    from .images import join_images, score_images_fused
     if source not in SOURCES:
         raise ValueError(f"source must be one of {SOURCES}")
     labels = labels or LABELS
-    v = serve_meta(validate(uploads, content=None)).withColumns({
-        "folder_name": folder_key("name", run_date), "_file": basename("image_path")})
-    j = v.join(images.select(basename("image.origin").alias("_file"), "image"), "_file", "left")
+    v = serve_meta(validate(uploads, content=None)).withColumn("folder_name", folder_key("name", run_date))
+    j = join_images(v, images, "image_path", "left")
     s = score_images_fused(j, make_predict_fn, len(labels), meta=features or META_COLS, mask="valid",
                            keep=("idx", "name", "age", "gender", "view", "folder_name", "errors"), **options)
     unreadable = F.array(F.lit(MSG_UNREADABLE.format("cannot identify image file")))

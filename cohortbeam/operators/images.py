@@ -191,6 +191,19 @@ def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tup
     return images.select("image", *dict.fromkeys([*meta, *keep, *([mask] if mask else [])])).mapInPandas(run, schema)
 
 
+def join_images(rows: DataFrame, images: DataFrame, path: str, how: str) -> DataFrame:
+    """``rows`` with the ``image`` of the file name in ``path``. The rows are dealt
+    by file name over four partitions a core, and the join keeps them: scoring
+    an image costs far more than its bytes, so small files must not be coalesced
+    into few tasks. Images move once at most."""
+    from pyspark.sql import functions as F
+
+    from ..functions.text import basename
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.withColumn("_file", basename(path)).repartition(parts, "_file")
+    return dealt.join(images.select(basename("image.origin").alias("_file"), "image"), "_file", how)
+
+
 def batch_score_images(inputs: DataFrame, images: DataFrame, make_predict_fn, n_out: int, features: list[str],
                        labels: list[str] | None = None, **options) -> DataFrame:
     """The bulk scoring job: (image_path, predictions map<string,float>, error).
@@ -203,10 +216,8 @@ def batch_score_images(inputs: DataFrame, images: DataFrame, make_predict_fn, n_
     """
     from pyspark.sql import functions as F
 
-    from ..functions.text import basename
     from .scoring import predictions_map
-    named = images.withColumn("_file", basename("image.origin"))
-    found = inputs.withColumn("_file", basename("image_path")).join(named, "_file", "inner")
+    found = join_images(inputs, images, "image_path", "inner")
     scored = score_images_fused(found, make_predict_fn, n_out, meta=features, keep=("image_path",), **options)
     out = inputs.select("image_path").join(scored.select("image_path", "scores", "error", F.lit(True).alias("_hit")),
                                            "image_path", "left")
