@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mtree, packing, passages, pii, simhash, toxicity, url_filter
+from . import (decontaminate, language, line_dedup, mtree, packing, passages, pii, simhash, toxicity, url_filter,
+               vector_codes)
 from .common import table
 
 QUERIES: dict = {}
@@ -152,3 +153,47 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), n_parts=16, entries=64, rounds=2, scale=256)
+    return rows.select("vec_id", "code", "error", "label_error",
+                       F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    def assigned(n: int) -> str:
+        """Least distance, then least index, as one number; ``/`` 64 and ``%`` 64 take it apart."""
+        return f"""a{n} AS (
+  SELECT x.r, x.p, any_value(x.v) AS v,
+         min(64 * list_sum([(x.v[i] - b.v[i]) * (x.v[i] - b.v[i]) FOR i IN range(1, len(x.v) + 1)]) + b.e) AS best
+  FROM x JOIN b{n} b USING (p) GROUP BY x.r, x.p)"""
+
+    steps = []
+    for n in range(rounds):
+        steps += [assigned(n), f"""m{n} AS (
+  SELECT p, e, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS v
+  FROM (SELECT p, best % 64 AS e, i, CAST(sum(v[i]) AS HUGEINT) AS s, count(*) AS n
+        FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{n}) GROUP BY p, best % 64, i) GROUP BY p, e)""",
+                  f"""b{n + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{n} b LEFT JOIN m{n} m USING (p, e))"""]
+    return f"""WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), x AS (
+  SELECT r, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM k, range(16) t(p)
+), b0 AS (SELECT p, r - 1 AS e, v FROM x WHERE r <= 64),
+{", ".join(steps)}, {assigned(rounds)},
+c AS (
+  SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM k JOIN c USING (r)
+"""
+
+
+ORACLE["op12_vector_codes"] = _codes_sql()
