@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language, line_dedup, mtree, packing, passages, pii, simhash, toxicity, url_filter,
-               vector_codes)
+from . import (decontaminate, language, line_dedup, main_text, mtree, packing, passages, pii, simhash, toxicity,
+               url_filter, vector_codes)
 from .common import table
 
 QUERIES: dict = {}
@@ -155,6 +155,11 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+@query
+def op11_main_text(spark, sf_dir):
+    return main_text.main_text(table(spark, sf_dir, "pages"), main_text.train()).drop("n_kept")
+
+
 @query
 def op12_vector_codes(spark, sf_dir):
     rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), n_parts=16, entries=64, rounds=2, scale=256)
