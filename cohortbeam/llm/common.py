@@ -3,7 +3,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from cohortbeam.session import ensure_checkpoint_dir
 
@@ -29,6 +33,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hot_join(rows: DataFrame, small: DataFrame, on: list[str], size: str, share: int = 1000) -> DataFrame:
+    """Left join on keys that may be hot in ``rows`` (a stored table).
+
+    ``small`` has one row per key, and in ``size`` how many of the rows have that
+    key. Keys with a ``share``-th of all counted rows or more are ``share`` at
+    most: they are broadcast. No key of the shuffled rest is hot. ``size`` is not
+    part of the result; key columns hold no nulls.
+    """
+    total = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    is_hot = F.col(size) * share >= total
+    near = rows.join(F.broadcast(small.where(is_hot).withColumn("_met", F.lit(True))), on, "left")
+    found = [c for c in small.columns if c not in on]
+    rest = near.where("_met IS NULL").drop("_met", *found).join(small.where(~is_hot), on, "left")
+    return near.where("_met").drop("_met").unionByName(rest).drop(size)
+
+
+def running(df: DataFrame, key: str, order: list, xors: tuple = (), sums: tuple = (), name: str = "running") -> DataFrame:
+    """df plus ``run_n``, the row's 1-based place in its key by ``order``, and
+    ``run_<c>``, the running xor or sum of a long column to that place included.
+
+    Rows are sorted by ranges of (key, order), so a key of any size is dealt over
+    tasks; a task scans its rows once, and the key on a border between ranges
+    gets what the ranges before hold (one row per range on the driver). ``key``
+    and the columns summed hold no nulls.
+    """
+    spark = df.sparkSession
+    made = ["run_n", *(f"run_{c}" for c in (*xors, *sums))]
+    steps = [np.add, *[np.bitwise_xor] * len(xors), *[np.add] * len(sums)]
+    back = [np.subtract, *[np.bitwise_xor] * len(xors), *[np.subtract] * len(sums)]
+
+    def run(batches):
+        part, last, head, carry = TaskContext.get().partitionId(), None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            head = k[0] if head is None else head
+            new = np.concatenate([[last is None or k[0] != last], k[1:] != k[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+            columns = [np.ones(len(k), dtype=np.int64), *(
+                b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (*xors, *sums))]
+            goes_on = (start == 0) & (not new[0])
+            totals = []
+            for i, x in enumerate(columns):
+                all_of = steps[i].accumulate(x)
+                x = back[i](all_of, np.concatenate([[0], all_of[:-1]])[start])
+                totals.append(np.where(goes_on, steps[i](x, carry[i]), x) if carry else x)
+            last, carry = k[-1], [x[-1] for x in totals]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *map(pa.array, totals), pa.array(np.full(len(k), part, dtype=np.int32)), pa.array(k == head)],
+                names=[*b.schema.names, *made, "_part", "_head"])
+
+    kind = StructType([*df.schema.fields, *[StructField(c, LongType()) for c in made],
+                       StructField("_part", IntegerType()), StructField("_head", BooleanType())])
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    rows = stored(ranged.mapInArrow(run, kind), name)
+    borders = rows.groupBy("_part").agg(F.min(key).alias("first"), F.max(F.struct(key, *made)).alias("last")).orderBy("_part").collect()
+    add, at, carry = [], None, None
+    for r in borders:  # one row per range
+        own, joins = list(r.last[1:]), at is not None and r.first == at
+        if joins:
+            add.append((r._part, True, *carry))
+        if joins and r.last[0] == r.first:
+            own = [int(steps[i](np.int64(a), np.int64(b))) for i, (a, b) in enumerate(zip(carry, own))]
+        at, carry = r.last[0], own
+    if add:
+        more = spark.createDataFrame(add, "_part int, _head boolean, " + ", ".join(f"_{c} long" for c in made))
+        rows = rows.join(F.broadcast(more), ["_part", "_head"], "left")  # one row per range at most
+        for i, c in enumerate(made):
+            added = F.coalesce(f"_{c}", F.lit(0))
+            rows = rows.withColumn(c, F.col(c).bitwiseXOR(added) if 0 < i <= len(xors) else F.col(c) + added)
+    return rows.select(*df.columns, *made)
+
+
 def component_labels(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v; any order, repeats allowed).
 

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language, line_dedup, main_text, mtree, packing, passages, pii, simhash, toxicity,
-               url_filter, vector_codes)
+from . import (decontaminate, language, line_dedup, main_text, mtree, packing, passages, pii, prefix_trie,
+               simhash, toxicity, url_filter, vector_codes)
 from .common import table
 
 QUERIES: dict = {}
@@ -202,3 +202,57 @@ FROM k JOIN c USING (r)
 
 
 ORACLE["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    turns, conversations = prefix_trie.with_shared_heads(prefix_trie.turn_digests(table(spark, sf_dir, "conversations")))
+    nodes, ends = prefix_trie.prefix_trie(turns, conversations, block=4)
+    return nodes.join(prefix_trie.list_digests(ends), prefix_trie.NODE, "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+ORACLE["op13_prefix_trie"] = """
+WITH o AS (
+  SELECT conv_id, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_md5,
+         len(coalesce(text, '')) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_md5) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, max(n) AS len, list_reduce(
+    list_concat([4294967295], [ascii(x) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+                                  lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS reg
+  FROM o GROUP BY conv_id
+), k AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 100 AS base, xor(c.reg, 4294967295) % 6 AS h,
+         least(xor(c.reg, 4294967295) % 6, coalesce(b.len, 0)) AS kept
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100
+), r AS (
+  SELECT k.conv_id, o.n, turn_md5, chars FROM k JOIN o ON o.conv_id = k.base AND o.n <= k.h
+  UNION ALL
+  SELECT k.conv_id, o.n - k.h + k.kept, turn_md5, chars FROM k JOIN o ON o.conv_id = k.conv_id AND o.n > k.h
+), m AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM k
+  UNION ALL
+  SELECT conv_id, n, string_agg(turn_md5, '') OVER (PARTITION BY conv_id ORDER BY n), chars FROM r
+), nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM m GROUP BY depth, path
+), below AS (
+  SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), tree AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN below USING (path)
+), sums AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved_tokens
+  FROM tree a JOIN tree b ON starts_with(b.path, a.path) GROUP BY a.path
+), lists AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, max_by(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path
+)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, t.n_convs,
+       CAST(t.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM tree t JOIN sums USING (path) LEFT JOIN lists USING (path)
+LEFT JOIN tree p ON t.depth > 0 AND p.path = left(t.path, 32 * (t.depth - 1))
+"""
