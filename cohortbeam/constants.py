@@ -82,3 +82,5 @@ IMAGENET_STD = [0.229, 0.224, 0.225]
 # File signatures used to recognise image formats without decoding.
 PNG_MAGIC_HEX = "89504E470D0A1A0A"
 JPEG_MAGIC_HEX = "FFD8FF"
+SIGNATURES = [("PNG", PNG_MAGIC_HEX), ("JPEG", JPEG_MAGIC_HEX), ("GIF", "47494638"), ("BMP", "424D"), ("TIFF", "49492A00"),
+              ("TIFF", "4D4D002A")]

@@ -1,9 +1,9 @@
 """Bulk patient job: validate -> features -> score -> top-3 -> result rows.
 
-Rejected rows never reach the model: validation splits the frame, only the
-valid rows go through the Arrow-batched scorer, and the two parts are
-unioned back. Every input row yields exactly one result row; a failure is a
-row with ``success = false`` and its message, never a lost task.
+One pass without a split: every row goes through the same plan, and a mask
+keeps rejected rows away from the model. Every input row yields exactly one
+result row; a failure is a row with ``success = false`` and its message, never a
+lost task.
 """
 from __future__ import annotations
 
@@ -81,25 +81,27 @@ def bulk_patient_job(uploads: DataFrame, images: DataFrame, scorer, run_date: Co
         F.lit(source).alias("source"), "predictions", top3.alias("top3"), heat.alias("heatmaps"))
 
 
-def bulk_image_job(uploads: DataFrame, images: DataFrame, make_predict_fn, run_date: Column,
-                   registry_root: str = "/registry", source: str = "spark_batch", features: list[str] | None = None,
-                   labels: list[str] | None = None, **options) -> DataFrame:
-    """Uploads with their image files: validate -> decode -> model on image and
-    metadata -> result rows. ``uploads``: idx, name, age, gender, view,
-    image_path; ``images``: Spark's image table. The uploaded file itself is
-    decoded and scored in one task; a missing or undecodable file rejects its
-    row, and rejected rows never reach the model. One result row per upload,
-    with the predictions map."""
-    from .images import join_images, score_images_fused
+def bulk_image_job(uploads: DataFrame, make_predict_fn, run_date: Column, registry_root: str = "/registry",
+                   source: str = "spark_batch", features: list[str] | None = None, labels: list[str] | None = None,
+                   image_path: str = "image_path", content: str | None = None, **options) -> DataFrame:
+    """Uploads with their images: validate -> decode -> model on image and
+    metadata -> result rows. ``uploads``: idx, name, age, gender, view and either
+    ``image_path``, the file of the row, or ``content``, its bytes. The image is
+    decoded and scored in one task; a missing, undecodable or foreign file
+    rejects its row, and rejected rows never reach the model. One result row per
+    upload, with the predictions map."""
+    from .file_scoring import score_content, score_paths
     if source not in SOURCES:
         raise ValueError(f"source must be one of {SOURCES}")
     labels = labels or LABELS
     v = serve_meta(validate(uploads, content=None)).withColumn("folder_name", folder_key("name", run_date))
-    j = join_images(v, images, "image_path", "left")
-    s = score_images_fused(j, make_predict_fn, len(labels), meta=features or META_COLS, mask="valid",
-                           keep=("idx", "name", "age", "gender", "view", "folder_name", "errors"), **options)
-    unreadable = F.array(F.lit(MSG_UNREADABLE.format("cannot identify image file")))
-    s = s.withColumn("errors", F.when(F.col("ok"), F.col("errors")).otherwise(F.concat("errors", unreadable)))
+    options |= {"meta": features or META_COLS, "mask": "valid",
+                "keep": ("idx", "name", "age", "gender", "view", "folder_name", "errors")}
+    if content:
+        s = score_content(v, make_predict_fn, len(labels), content=content, **options)
+    else:
+        s = score_paths(v, make_predict_fn, len(labels), path=image_path, **options)
+    s = s.withColumn("errors", F.when(F.col("ok"), F.col("errors")).otherwise(F.concat("errors", F.array("error"))))
     s = s.withColumn("predictions", F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores"), labels)))
     ok = F.col("predictions").isNotNull()
     message = (F.when(ok, F.concat(F.lit(MSG_SAVED.format(registry_root.rstrip("/"), "")), F.col("folder_name")))
@@ -111,6 +113,22 @@ def bulk_image_job(uploads: DataFrame, images: DataFrame, make_predict_fn, run_d
                     F.lit(source).alias("source"), "predictions")
 
 
+def batch_score_images(inputs: DataFrame, make_predict_fn, n_out: int, features: list[str],
+                       labels: list[str] | None = None, root: str | None = None, **options) -> DataFrame:
+    """The bulk scoring job: (image_path, predictions map<string,float>, error),
+    one row per input row.
+
+    ``inputs``: image_path (under ``root`` unless absolute) and the metadata
+    ``features``. Every row is scored on the file at its own path: equal names in
+    other folders are other files, and a path that stands in several rows is
+    scored with each row's features. An input without a file, an undecodable file
+    and a failing row keep their row, with an error and no predictions."""
+    from .file_scoring import score_paths
+    s = score_paths(inputs, make_predict_fn, n_out, root=root, meta=features, keep=("image_path",), **options)
+    return s.select("image_path", F.when(F.col("scores").isNotNull(), sc.predictions_map(F.col("scores"), labels))
+                    .alias("predictions"), "error")
+
+
 def single_patient(spark, image_vec: list[float], name: str, age, gender: str, view: str, content: bytes,
                    scorer, run_date: str, **kw) -> DataFrame:
     """One upload scored through the same pipeline (web form path)."""
@@ -123,18 +141,22 @@ def single_patient(spark, image_vec: list[float], name: str, age, gender: str, v
     return bulk_patient_job(u, im, scorer, F.lit(run_date).cast("date"), source="web_upload", **kw)
 
 
-def single_image(spark, image_path: str, name: str, age, gender: str, view: str, make_predict_fn, run_date: str,
+def single_image(spark, image: str | bytes, name: str, age, gender: str, view: str, make_predict_fn, run_date: str,
                  **options) -> DataFrame:
-    """One uploaded image file through the same job (web form path)."""
-    from ..sources.readers import image_table
-    row = spark.createDataFrame([(0, name, age, gender, view, image_path)],
-                                "idx long, name string, age int, gender string, view string, image_path string")
-    return bulk_image_job(row, image_table(spark, image_path), make_predict_fn, F.lit(run_date).cast("date"),
-                          source="web_upload", **options)
+    """One uploaded image, its bytes or the path of its file, through the same
+    job (web form path)."""
+    from pyspark.sql import types as T
+    held = not isinstance(image, str)
+    fields = [("idx", T.LongType()), ("name", T.StringType()), ("age", T.IntegerType()), ("gender", T.StringType()),
+              ("view", T.StringType()), ("image", T.BinaryType() if held else T.StringType())]
+    row = spark.createDataFrame([(0, name, age, gender, view, bytearray(image) if held else image)],
+                                T.StructType([T.StructField(n, t) for n, t in fields]))
+    return bulk_image_job(row, make_predict_fn, F.lit(run_date).cast("date"), source="web_upload",
+                          **({"content": "image"} if held else {"image_path": "image"}), **options)
 
 
 def batch_tally(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if("success").alias("ok"), F.count(F.lit(1)).alias("total"))
 
 
-__all__ = ["bulk_patient_job", "bulk_image_job", "batch_tally", "serve_meta", "RESULT_COLS", "LABELS"]
+__all__ = ["bulk_patient_job", "bulk_image_job", "batch_score_images", "batch_tally", "serve_meta", "RESULT_COLS", "LABELS"]

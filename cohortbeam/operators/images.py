@@ -1,4 +1,5 @@
 """Image table: decode (Spark ``image`` source), channel fix, resize, scale.
+Files named by the rows themselves, or held in a column: ``file_scoring``.
 
 Spark decodes in the JVM and hands rows as (height, width, nChannels, mode,
 BGR bytes). One ``mapInPandas`` step, batch by batch, reorders channels,
@@ -106,125 +107,33 @@ def score_images(images: DataFrame, scorer, size: tuple[int, int] = (256, 256),
     return score(t, scorer, ["_px", "_mask"], capture_errors=True).drop("_px", "_mask", "pixels")
 
 
-def _decode_rgb(img) -> np.ndarray | None:
-    h, w, c = img["height"], img["width"], img["nChannels"]
-    if h is None or h < 0 or img["data"] is None or len(img["data"]) == 0:
-        return None
-    a = np.frombuffer(img["data"], dtype=np.uint8).reshape(h, w, c).astype(np.float32)
-    return np.repeat(a, 3, axis=2) if c == 1 else a[:, :, 2::-1]
-
-
-def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, size: tuple[int, int] = (256, 256),
-                       mode: str = "tanh", batch_size: int = 32, meta: list[str] | None = None,
-                       keep: tuple[str, ...] = (), mask: str | None = None) -> DataFrame:
-    """Decode, prepare and score in one Python step per partition.
+def score_images_fused(images: DataFrame, make_predict_fn, n_out: int, resize: str = "bilinear", keep: tuple[str, ...] = (),
+                       **options) -> DataFrame:
+    """Spark's image table: decode, prepare and score in one Python step.
 
     Same result as ``prepare_images`` followed by the batch scorer, but the
-    float tensors (786 KB per 256x256x3 image) never go back to the JVM:
-    only (path, ok, scores, error) and the ``keep`` columns leave the task. With
-    ``meta`` the model gets a second input, the rows' metadata features. The
-    model comes from ``make_predict_fn`` once per Python worker (PySpark's model
-    cache, as ``predict_batch_udf`` does); a failing batch is retried row by
-    row, and a row whose scores are not finite is an error row. Rows whose
-    ``mask`` column is false are decoded, but never reach the model; a row
-    without an image is not ok.
+    float tensors (786 KB per 256x256x3 image) never go back to the JVM. Columns:
+    path, ok, scores, error and ``keep``; options: see ``score_rows``.
     """
-    import uuid
-
-    from pyspark.sql import types as T
-    key = uuid.uuid4()
-    out_h, out_w = size
-    meta = list(meta or [])
-
-    def call(model, x, m):
-        res = np.asarray(model(x, m) if meta else model(x), dtype=np.float64)
-        if res.shape != (len(x), n_out):
-            raise ValueError(f"model returned shape {res.shape}")
-        return res
-
-    def run(batches):
-        from pyspark.ml.model_cache import ModelCache
-        model = ModelCache.get(key)
-        if model is None:
-            model = make_predict_fn()
-            ModelCache.add(key, model)
-        for pdf in batches:
-            for start in range(0, len(pdf), OUT_ROWS):
-                chunk = pdf.iloc[start:start + OUT_ROWS]
-                features = chunk[meta].to_numpy(dtype=np.float64) if meta else np.zeros((len(chunk), 0))
-                paths, oks, tensors = [], [], []
-                wanted = chunk[mask].tolist() if mask else [True] * len(chunk)
-                for img, want in zip(chunk["image"], wanted):
-                    paths.append(img["origin"] if img is not None else None)
-                    rgb = _decode_rgb(img) if img is not None else None
-                    oks.append(rgb is not None)
-                    if rgb is not None and want:
-                        tensors.append(scale_pixels(resize_bilinear(rgb, out_h, out_w), mode).astype(np.float32).reshape(-1))
-                scores = [None] * len(paths)
-                errors = [None if ok else "Could not read image" for ok in oks]
-                idx = [i for i, ok in enumerate(oks) if ok and wanted[i]]  # tensors[j] belongs to row idx[j]
-                for b in range(0, len(idx), batch_size):
-                    rows = idx[b:b + batch_size]
-                    x, m = np.stack(tensors[b:b + batch_size]), features[rows]
-                    try:
-                        res = list(call(model, x, m))
-                    except Exception:  # noqa: BLE001 - isolate the failing rows
-                        res = []
-                        for j in range(len(rows)):
-                            try:
-                                res.append(call(model, x[j:j + 1], m[j:j + 1])[0])
-                            except Exception as e:  # noqa: BLE001
-                                res.append(f"{type(e).__name__}: {e}")
-                    for r, v in zip(rows, res):
-                        if isinstance(v, str):
-                            errors[r] = v
-                        elif not np.isfinite(v).all():
-                            errors[r] = "The model returned no usable scores"
-                        else:
-                            scores[r] = v.tolist()
-                yield pd.DataFrame({"path": paths, "ok": oks, "scores": scores, "error": errors}
-                                   | {c: chunk[c].to_numpy() for c in keep})
-
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("ok", T.BooleanType()),
-                           T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()),
-                           *[images.schema[c] for c in keep]])
-    return images.select("image", *dict.fromkeys([*meta, *keep, *([mask] if mask else [])])).mapInPandas(run, schema)
-
-
-def join_images(rows: DataFrame, images: DataFrame, path: str, how: str) -> DataFrame:
-    """``rows`` with the ``image`` of the file name in ``path``. The rows are dealt
-    by file name over four partitions a core, and the join keeps them: scoring
-    an image costs far more than its bytes, so small files must not be coalesced
-    into few tasks. Images move once at most."""
     from pyspark.sql import functions as F
 
-    from ..functions.text import basename
-    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
-    dealt = rows.withColumn("_file", basename(path)).repartition(parts, "_file")
-    return dealt.join(images.select(basename("image.origin").alias("_file"), "image"), "_file", how)
+    from .file_scoring import score_rows
 
+    def load(chunk):
+        for img in chunk.column("image").to_pylist():
+            rgb = _decode_rgb(img) if img is not None else None
+            yield "Could not read image" if rgb is None else rgb
 
-def batch_score_images(inputs: DataFrame, images: DataFrame, make_predict_fn, n_out: int, features: list[str],
-                       labels: list[str] | None = None, **options) -> DataFrame:
-    """The bulk scoring job: (image_path, predictions map<string,float>, error).
+    rows = images.withColumn("path", F.col("image.origin"))
+    return score_rows(rows, ["image"], load, make_predict_fn, n_out, resize=resize, keep=("path", *keep), **options)
 
-    ``inputs``: image_path and the metadata ``features``; ``images``: Spark's
-    image table. They meet by file name -- the encoded pixels of an image move
-    at most once, with its few features, and its tensor lives and dies in the
-    task that scores it. An input without a file, an undecodable file and a
-    failing row keep their row, with an error and no predictions.
-    """
-    from pyspark.sql import functions as F
 
-    from .scoring import predictions_map
-    found = join_images(inputs, images, "image_path", "inner")
-    scored = score_images_fused(found, make_predict_fn, n_out, meta=features, keep=("image_path",), **options)
-    out = inputs.select("image_path").join(scored.select("image_path", "scores", "error", F.lit(True).alias("_hit")),
-                                           "image_path", "left")
-    return out.select("image_path", F.when(F.col("scores").isNotNull(), predictions_map(F.col("scores"), labels))
-                      .alias("predictions"),
-                      F.when(F.col("_hit").isNull(), F.lit("Could not read image: no such file"))
-                      .otherwise(F.col("error")).alias("error"))
+def _decode_rgb(img) -> np.ndarray | None:
+    h, w, c = img["height"], img["width"], img["nChannels"]
+    if h is None or h < 0 or img["data"] is None or len(img["data"]) == 0:
+        return None
+    a = np.frombuffer(img["data"], dtype=np.uint8).reshape(h, w, c)
+    return np.repeat(a, 3, axis=2) if c == 1 else a[:, :, 2::-1]
 
 
 def qualified(spark, path: str) -> str:
@@ -243,7 +152,7 @@ def _png_writer(root: str, key: str, value: str, layout: str):
         for pdf in batches:
             paths = []
             for k, vec in zip(pdf[key], pdf[value]):
-                rel = layout.format(key=int(k), group=int(k) % 12 + 1)
+                rel = layout.format(key=int(k), group=int(k) % 12 + 1, name=int(k) // 12)
                 full = f"{base.rstrip('/')}/{rel}"
                 parent = full.rsplit("/", 1)[0]
                 if parent not in made:

@@ -17,6 +17,7 @@ from ..functions import features as feat
 from ..operators import bulk
 from ..operators import cam
 from ..operators import evaluate as ev
+from ..operators import file_scoring as fsc
 from ..operators import images as im
 from ..operators import registry as rg
 from ..operators import scoring as sc
@@ -38,13 +39,24 @@ def _scratch(spark, d, *parts):
     return scratch_path(spark, *parts, uuid.uuid4().hex)
 
 
-def write_images(spark, d) -> str:
+def write_images(spark, d, **layout) -> str:
     """PNG files from ``embeddings`` in a new scratch folder."""
     root = _scratch(spark, d, "images")
-    im.write_image_files(fx.table(spark, d, "embeddings"), root).write.format("noop").mode("overwrite").save()
+    im.write_image_files(fx.table(spark, d, "embeddings"), root, **layout).write.format("noop").mode("overwrite").save()
     return root
 
 
+#: The same file names in all twelve folders: only the whole path tells images apart.
+SAME_NAMES = {"layout": "images_{group:03d}/images/{name:08d}.png"}
+
+
+def image_path(vec_id: str, prefix: str = "''", dialect: str = "spark") -> str:
+    """Where ``write_images(**SAME_NAMES)`` puts an image, as SQL for Spark or DuckDB."""
+    text, div = ("STRING", "div") if dialect == "spark" else ("VARCHAR", "//")
+    return (f"concat('images_', lpad(CAST({vec_id} % 12 + 1 AS {text}), 3, '0'), '/images/', {prefix}, "
+            f"lpad(CAST({vec_id} {div} 12 AS {text}), 8, '0'), '.png')")
+
+
 # ------------------------------------------------------------------ sources
 @query("src_csv", sql(["studies"], "SELECT idx, patient_id, age_raw, gender, view_position FROM studies"))
 def q_src_csv(spark, d):
@@ -422,73 +434,169 @@ def q_score_images(spark, d):
                     F.when(pred.isNotNull(), F.size("scores")).alias("n_scores"))
 
 
+# Oracle of the windowed-sinc resize of the 8x8 test images: whole-number weights
+# of 22 bits, columns first, every sum rounded and clipped to 8 bits.
+PLANE_CTES = [
+    ("px", """SELECT vec_id, i, CAST(least(greatest(round_even((CAST(v AS DOUBLE) + 0.25) * 510.0, 0), 0.0), 255.0) AS BIGINT) AS p
+              FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+              WHERE vec_id % 50 <> 0"""),
+    ("planes", """SELECT vec_id, c, i // 8 AS y, i % 8 AS x, CASE WHEN c = 0 THEN p WHEN c = 1 THEN 255 - p ELSE p * 7 % 256 END AS p
+              FROM px, range(3) t(c) WHERE c = 0 OR vec_id % 3 <> 0"""),
+    ("lines", f"""SELECT vec_id, c, y, {", ".join(f"max(p) FILTER (x = {i}) AS p{i}" for i in range(8))} FROM planes GROUP BY vec_id, c, y""")]
+
+
+def _resized_ctes(n: int, name: str) -> list[tuple[str, str]]:
+    """(vec_id, total0, total1, total2): sums over the n x n pixels of each channel."""
+    scale, wide = 8 / n, max(8 / n, 1.0)
+
+    def dot(values: str) -> str:
+        return f"least(greatest(2097152 + {' + '.join(f'w{i} * {values}{i}' for i in range(8))}, 0) >> 22, 255)"
+
+    return [
+        (f"{name}_axis", f"""SELECT o, {", ".join(f"max(w) FILTER (x = {i}) AS w{i}" for i in range(8))} FROM (
+            SELECT o, x, CAST(trunc(k * 4194304 + CASE WHEN k < 0 THEN -0.5 ELSE 0.5 END) AS BIGINT) AS w FROM (
+              SELECT o, x, k / sum(k) OVER (PARTITION BY o) AS k FROM (
+                SELECT o, x, CASE WHEN x < trunc(c - 3 * {wide} + 0.5) OR x >= trunc(c + 3 * {wide} + 0.5) OR abs(t) >= 3 THEN 0.0
+                  WHEN t = 0 THEN 1.0 ELSE sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) END AS k
+                FROM (SELECT o, x, (o + 0.5) * {scale} AS c, (x - (o + 0.5) * {scale} + 0.5) / {wide} AS t
+                      FROM range({n}) a(o), range(8) b(x))))) GROUP BY o"""),
+        (f"{name}_wide", f"SELECT vec_id, c, y, o, {dot('p')} AS h FROM lines, {name}_axis"),
+        (f"{name}_columns", f"""SELECT vec_id, c, o, {", ".join(f"max(h) FILTER (y = {i}) AS h{i}" for i in range(8))}
+            FROM {name}_wide GROUP BY vec_id, c, o"""),
+        (f"{name}_totals", f"""SELECT vec_id, c, sum({dot('h')}) AS total
+            FROM {name}_columns k, (SELECT * EXCLUDE o FROM {name}_axis) GROUP BY vec_id, c"""),
+        (name, f"""SELECT vec_id, max(total) FILTER (c = 0) AS total0, coalesce(max(total) FILTER (c = 1), total0) AS total1,
+            coalesce(max(total) FILTER (c = 2), total0) AS total2 FROM {name}_totals GROUP BY vec_id""")]
+
+
+FULL_CTES = [*PLANE_CTES, *_resized_ctes(256, "whole"),
+    ("img", f"""SELECT e.vec_id, {image_path('e.vec_id', dialect='duckdb')} AS image_path, f.vec_id IS NOT NULL AS ok,
+      {", ".join(f"f.total{c} / 65536.0 / 127.5 - 1.0 AS c{c}" for c in range(3))}
+      FROM embeddings e LEFT JOIN whole f USING (vec_id)""")]
+
+
+
+@query("image_resample", sql([], """
+SELECT e.vec_id, u.vec_id IS NOT NULL AS ok, CAST(u.total0 AS BIGINT) AS up0, CAST(u.total1 AS BIGINT) AS up1, CAST(u.total2 AS BIGINT) AS up2,
+  CAST(s.total0 AS BIGINT) AS down0, CAST(s.total1 AS BIGINT) AS down1, CAST(s.total2 AS BIGINT) AS down2,
+  CASE WHEN u.vec_id IS NULL THEN 'Could not read image: cannot identify image file' END AS error
+FROM embeddings e LEFT JOIN up u USING (vec_id) LEFT JOIN small s USING (vec_id)""",
+    [*PLANE_CTES, *_resized_ctes(20, "up"), *_resized_ctes(3, "small")]))
+def q_image_resample(spark, d):
+    """Image bytes -> decode -> antialiased resize, larger and smaller; sums per
+    channel of the whole-number pixels."""
+    rows = rd.image_bytes(spark, write_images(spark, d)).select(
+        F.regexp_extract("basename", r"(\d+)", 1).cast("long").alias("vec_id"), "content")
+
+    def sums(size, name):
+        t = fsc.prepare_content(rows, size=(size, size), mode="none", keep=("vec_id",))
+        return t.select("vec_id", "ok", "error", *[F.expr(
+            f"CAST(aggregate(filter(pixels, (x, i) -> i % 3 = {c}), 0D, (a, x) -> a + x) AS BIGINT)").alias(f"{name}{c}") for c in range(3)])
+
+    return sums(20, "up").join(sums(3, "down").drop("ok", "error"), "vec_id").select(
+        "vec_id", "ok", "up0", "up1", "up2", "down0", "down1", "down2", "error")
+
+
 BATCH_META = ["i.age_norm", "i.sex_bin", "i.view_AP", "i.view_PA"]
 
 
 @query("batch_score_images", sql(["label_names"], f"""
-SELECT i.image_path, n.name AS label, CASE WHEN i.ok THEN round(CAST(CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT) AS DOUBLE), 4) END AS score,
-       CASE WHEN i.missing THEN 'Could not read image: no such file' WHEN NOT i.ok THEN 'Could not read image' END AS error
-FROM inputs i JOIN label_names n ON i.ok OR n.k = 0""", PIXEL_CTES + [
-    ("inputs", """SELECT CASE WHEN vec_id % 41 = 0 THEN 'gone_' ELSE '' END || basename AS image_path, ok AND vec_id % 41 <> 0 AS ok,
-       vec_id % 41 = 0 AS missing, c0, c1, c2, CAST(vec_id % 101 AS DOUBLE) / 100.0 AS age_norm,
+SELECT i.image_path, CASE WHEN i.ok THEN n.name END AS label,
+       CASE WHEN i.ok THEN round(CAST(CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT) AS DOUBLE), 4) END AS score,
+       CASE WHEN i.missing THEN 'Could not read image: no such file' WHEN NOT i.ok THEN 'Could not read image: cannot identify image file' END AS error
+FROM inputs i JOIN label_names n ON i.ok OR n.k = 0""", FULL_CTES + [
+    ("inputs", f"""SELECT CASE WHEN vec_id % 41 = 0 THEN {image_path('vec_id', "'gone_'", 'duckdb')} ELSE image_path END AS image_path,
+       ok AND vec_id % 41 <> 0 AS ok, vec_id % 41 = 0 AS missing, c0, c1, c2, CAST((vec_id + 50 * again) % 101 AS DOUBLE) / 100.0 AS age_norm,
        CAST(vec_id % 2 AS DOUBLE) AS sex_bin, CAST(vec_id % 4 = 1 AS INTEGER)::DOUBLE AS view_AP,
-       CAST(vec_id % 4 = 2 AS INTEGER)::DOUBLE AS view_PA FROM img""")]).replace("n.name AS label, CASE", "CASE WHEN i.ok THEN n.name END AS label, CASE"))
+       CAST(vec_id % 4 = 2 AS INTEGER)::DOUBLE AS view_PA FROM img, range(2) t(again) WHERE again = 0 OR vec_id % 37 = 0""")]))
 def q_batch_score_images(spark, d):
     """The bulk job end to end: scoring input (Parquet branch of the cascade)
-    -> images by file name -> 256x256 tensors -> model on image and four
-    metadata features -> map<string,float> -> scored table, read back. Missing
-    and undecodable files keep a row with their error."""
+    -> each row's own image file -> 256x256 tensors -> model on image and four
+    metadata features -> map<string,float> -> scored table, read back. The
+    folders hold equal file names, some paths stand in two rows with other
+    features; missing and undecodable files keep a row with their error."""
     base = _scratch(spark, d, "scoring_input")
-    e = fx.table(spark, d, "embeddings")
-    name = F.concat(F.when(F.col("vec_id") % 41 == 0, F.lit("gone_")).otherwise(F.lit("")),
-                    F.lpad(F.col("vec_id").cast("string"), 8, "0"), F.lit(".png"))
-    e.select(name.alias("image_path"), ((F.col("vec_id") % 101) / 100.0).alias("age_norm"),
-             (F.col("vec_id") % 2).cast("double").alias("sex_bin"),
-             (F.col("vec_id") % 4 == 1).cast("double").alias("view_AP"),
-             (F.col("vec_id") % 4 == 2).cast("double").alias("view_PA")).write.parquet(f"{base}/data.parquet")
-    inputs = rd.scoring_input(spark, base)
-    imgs = rd.image_table(spark, write_images(spark, d))
-    scored = im.batch_score_images(inputs, imgs, sc.channel_meta_factory(), len(LABELS), META_COLS)
+    e = fx.table(spark, d, "embeddings").selectExpr("vec_id", "explode(IF(vec_id % 37 = 0, array(0, 1), array(0))) AS again")
+    e.selectExpr(f"CASE WHEN vec_id % 41 = 0 THEN {image_path('vec_id', QUOTED_GONE)} ELSE {image_path('vec_id')} END AS image_path",
+                 "((vec_id + 50 * again) % 101) / 100.0D AS age_norm", "CAST(vec_id % 2 AS DOUBLE) AS sex_bin",
+                 "CAST(vec_id % 4 = 1 AS DOUBLE) AS view_AP", "CAST(vec_id % 4 = 2 AS DOUBLE) AS view_PA").write.parquet(f"{base}/data.parquet")
+    scored = bulk.batch_score_images(rd.scoring_input(spark, base), sc.channel_meta_factory(), len(LABELS), META_COLS,
+                                     root=write_images(spark, d, **SAME_NAMES))
     out = _scratch(spark, d, "batch_scored")
     wr.write_scored(scored, out)
     back = spark.read.parquet(out).select("image_path", "error", F.explode_outer("predictions").alias("label", "score"))
     return back.withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
-IMAGE_JOB_CTES = PIXEL_CTES + [
-    ("j", """SELECT u.idx, u.name, u.age, u.gender, u.view, i.c0, i.c1, i.c2,
-      least(greatest(CAST(u.age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
-      CASE WHEN upper(u.gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
-      CASE WHEN upper(u.view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
-      CASE WHEN upper(u.view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA,
-      coalesce(nullif(upper(left(regexp_replace(u.name, '[^a-zA-Z]', '', 'g'), 1))
-        || lower(substr(regexp_replace(u.name, '[^a-zA-Z]', '', 'g'), 2)), ''), 'Unknown') || '20260209' AS folder_name,
+QUOTED_GONE = "'gone_'"
+
+
+def _job_ctes(rows: str, image_error: str) -> list[tuple[str, str]]:
+    """``j``: the job's rows with features, folder and all errors, from ``rows``
+    (idx, name, age, gender, view, c0, c1, c2 and what ``image_error`` names)."""
+    return [("r", rows), ("j", f"""SELECT *,
+      least(greatest(CAST(age AS DOUBLE), 0.0), 100.0) / 100.0 AS age_norm,
+      CASE WHEN upper(gender) = 'M' THEN 1.0 ELSE 0.0 END AS sex_bin,
+      CASE WHEN upper(view) = 'AP' THEN 1.0 ELSE 0.0 END AS view_AP,
+      CASE WHEN upper(view) = 'PA' THEN 1.0 ELSE 0.0 END AS view_PA,
+      coalesce(nullif(upper(left(regexp_replace(name, '[^a-zA-Z]', '', 'g'), 1))
+        || lower(substr(regexp_replace(name, '[^a-zA-Z]', '', 'g'), 2)), ''), 'Unknown') || '20260209' AS folder_name,
       list_filter([
-        CASE WHEN u.age < 0 OR u.age > 150 THEN 'Invalid age: ' || CAST(u.age AS VARCHAR) || '. Must be between 0 and 150.' END,
-        CASE WHEN upper(u.gender) NOT IN ('M', 'F') THEN 'Invalid gender: ' || u.gender || '. Must be ''M'' or ''F''.' END,
-        CASE WHEN upper(u.view) NOT IN ('AP', 'PA') THEN 'Invalid view: ' || u.view || '. Must be ''AP'' or ''PA''.' END,
-        CASE WHEN NOT coalesce(i.ok, false) THEN 'Could not read image: cannot identify image file' END],
-        lambda x: x IS NOT NULL) AS errs
-      FROM uploads u LEFT JOIN img i ON i.vec_id = u.idx % 490""")]
+        CASE WHEN age < 0 OR age > 150 THEN 'Invalid age: ' || CAST(age AS VARCHAR) || '. Must be between 0 and 150.' END,
+        CASE WHEN upper(gender) NOT IN ('M', 'F') THEN 'Invalid gender: ' || gender || '. Must be ''M'' or ''F''.' END,
+        CASE WHEN upper(view) NOT IN ('AP', 'PA') THEN 'Invalid view: ' || view || '. Must be ''AP'' or ''PA''.' END,
+        {image_error}], lambda x: x IS NOT NULL) AS errs FROM r""")]
 
 
-@query("bulk_image_job", sql(["uploads", "label_names"], f"""
+JOB_SQL = f"""
 SELECT j.idx, j.name AS patient_name, j.age, j.gender, j.view, j.folder_name, len(j.errs) = 0 AS success,
   CASE WHEN len(j.errs) = 0 THEN 'Saved to /registry/' || j.folder_name ELSE array_to_string(j.errs, '; ') END AS message,
   t.top AS top_prediction, 'spark_batch' AS source
 FROM j LEFT JOIN (SELECT i.idx, arg_max(n.name, (CAST({_image_score_sql(1.0, BATCH_META)} AS FLOAT), -n.k)) AS top
-                  FROM j i, label_names n WHERE len(i.errs) = 0 GROUP BY i.idx) t ON t.idx = j.idx""", IMAGE_JOB_CTES))
+                  FROM j i, label_names n WHERE len(i.errs) = 0 GROUP BY i.idx) t ON t.idx = j.idx"""
+
+IMAGE_JOB_CTES = FULL_CTES + _job_ctes(
+    """SELECT u.*, i.* FROM uploads u LEFT JOIN img i ON i.vec_id = u.idx % (SELECT count(*) FROM embeddings)""",
+    "CASE WHEN NOT coalesce(ok, false) THEN 'Could not read image: cannot identify image file' END")
+
+
+@query("bulk_image_job", sql(["uploads", "label_names"], JOB_SQL, IMAGE_JOB_CTES))
 def q_bulk_image_job(spark, d):
-    """Uploads whose image files are decoded and scored with their metadata in
-    one task; unreadable files are rejected by decoding, not by name."""
+    """Uploads whose image files are read by path, decoded and scored with their
+    metadata in one task; many uploads may name one file, and folders hold equal
+    names. Unreadable files are rejected by decoding, not by name."""
     return _image_job(spark, d).select(*bulk.RESULT_COLS)
 
 
 def _image_job(spark, d):
-    u = fx.uploads(spark, d).drop("content").withColumn(
-        "image_path", F.concat(F.lit("up/"), F.lpad((F.col("idx") % 490).cast("string"), 8, "0"), F.lit(".png")))
-    imgs = rd.image_table(spark, write_images(spark, d))
-    return bulk.bulk_image_job(u, imgs, sc.channel_meta_factory(), F.lit("2026-02-09").cast("date"))
+    n = fx.table(spark, d, "embeddings").count()
+    root = write_images(spark, d, **SAME_NAMES)
+    u = fx.uploads(spark, d).drop("content").withColumn("image_path", F.concat(F.lit(f"{root}/"), F.expr(image_path(f"(idx % {n})"))))
+    return bulk.bulk_image_job(u, sc.channel_meta_factory(), F.lit("2026-02-09").cast("date"))
+
+
+#: Uploaded bytes: some cut short, some of formats that are not accepted.
+DAMAGE = """CASE vec_id % 17 WHEN 3 THEN substring(content, 1, length(content) - 9)
+            WHEN 5 THEN concat(unhex('474946383961'), content) WHEN 7 THEN concat(unhex('424D'), content) ELSE content END"""
+
+
+@query("bulk_content_job", sql(["label_names"], JOB_SQL, FULL_CTES + _job_ctes(
+    """SELECT vec_id AS idx, 'Patient ' || chr(CAST(65 + vec_id % 26 AS INTEGER)) AS name, CAST(vec_id % 170 - 10 AS INTEGER) AS age,
+         CASE vec_id % 11 WHEN 0 THEN 'X' ELSE substr('MFmf', CAST(vec_id % 4 + 1 AS INTEGER), 1) END AS gender,
+         CASE vec_id % 13 WHEN 0 THEN 'LL' WHEN 1 THEN 'ap' ELSE 'PA' END AS view, c0, c1, c2, ok, vec_id % 17 AS kind FROM img""",
+    """CASE WHEN kind = 5 THEN 'Invalid image format: GIF. Must be PNG or JPEG.' WHEN kind = 7 THEN 'Invalid image format: BMP. Must be PNG or JPEG.'
+            WHEN NOT ok THEN 'Could not read image: cannot identify image file' WHEN kind = 3 THEN 'Could not read image: image file is truncated' END""")))
+def q_bulk_content_job(spark, d):
+    """Uploads that hold the bytes of their image: the format and the whole
+    structure are checked while decoding, in the scoring task; truncated, foreign
+    and unreadable contents reject their row with its message."""
+    u = rd.image_bytes(spark, write_images(spark, d)).select(
+        F.regexp_extract("basename", r"(\d+)", 1).cast("long").alias("vec_id"), "content").selectExpr(
+        "vec_id AS idx", "concat('Patient ', chr(65 + vec_id % 26)) AS name", "CAST(vec_id % 170 - 10 AS INT) AS age",
+        "CASE vec_id % 11 WHEN 0 THEN 'X' ELSE substr('MFmf', CAST(vec_id % 4 + 1 AS INT), 1) END AS gender",
+        "CASE vec_id % 13 WHEN 0 THEN 'LL' WHEN 1 THEN 'ap' ELSE 'PA' END AS view", f"{DAMAGE} AS content")
+    job = bulk.bulk_image_job(u, sc.channel_meta_factory(), F.lit("2026-02-09").cast("date"), content="content")
+    return job.select(*bulk.RESULT_COLS)
 
 
 @query("registry_from_results", sql(["uploads", "label_names"], """

@@ -174,33 +174,6 @@ def test_training_export_order(spark, tmp_path):
     assert order("val") == [i for i in range(n) if i % 5 == 0]
 
 
-def test_truncated_image_is_rejected(spark, tmp_path):
-    from cohortbeam.operators import bulk, scoring as sc
-    good = encode_png(np.arange(192, dtype=np.uint8).reshape(8, 8, 3))
-    (tmp_path / "good.png").write_bytes(good)
-    (tmp_path / "cut.png").write_bytes(good[:len(good) // 2])
-    up = spark.createDataFrame([(1, "Ann", 40, "F", "PA", "x/good.png"), (2, "Bob", 40, "M", "AP", "cut.png"),
-                                (3, "Cy", 40, "M", "AP", "none.png"), (4, "Di", 400, "F", "PA", "good.png")],
-                               "idx long, name string, age int, gender string, view string, image_path string")
-    job = bulk.bulk_image_job(up, rd.image_table(spark, str(tmp_path)), sc.channel_meta_factory(),
-                              F.lit("2026-02-09").cast("date"), size=(16, 16))
-    got = {r.idx: r for r in job.collect()}
-    assert got[1].success and len(got[1].predictions) == 14
-    assert [got[i].success for i in (2, 3, 4)] == [False] * 3
-    assert got[2].message == got[3].message == "Could not read image: cannot identify image file"
-    assert got[4].message.startswith("Invalid age: 400")
-
-    one = bulk.single_image(spark, str(tmp_path / "good.png"), "Ann", 40, "F", "PA", sc.channel_meta_factory(),
-                            "2026-02-09", size=(16, 16)).first()
-    assert one.predictions == got[1].predictions and one.source == "web_upload"
-
-    def nan_factory():
-        return sc.with_arity(lambda x, m: np.full((len(x), 14), np.nan), 2)
-    bad = bulk.bulk_image_job(up.where("idx = 1"), rd.image_table(spark, str(tmp_path)), nan_factory,
-                              F.lit("2026-02-09").cast("date"), size=(16, 16)).first()
-    assert not bad.success and bad.message == "The model returned no usable scores"
-
-
 def test_model_with_many_inputs(spark):
     from cohortbeam.operators import scoring as sc
     df = spark.range(5).selectExpr(*[f"array(CAST(id + {i} AS DOUBLE)) AS c{i}" for i in range(5)])
