@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None, bench: bool = False):
 
 def load_all() -> None:
     from . import (cohort_queries, eval_queries, io_queries, registry_queries,  # noqa: F401
-                   scoring_queries)
+                   scoring_queries, store_queries)
