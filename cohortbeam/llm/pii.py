@@ -13,7 +13,8 @@ other half. The list is written back in the value's own layout with its check
 digits renewed, so the result is valid again, equal values get equal pseudonyms
 in every document, and different values of one format get different ones (but
 for slash dates, whose two readings share their pseudonyms). Dates stay in
-their century, letters letters, digits digits.
+their century, letters letters, digits digits; a phone number keeps its country
+code, found by the code's own digits, so its layouts share one pseudonym.
 
 DataFrame and SQL functions only; everything is row-local. Null texts stay null
 with 0 values; texts without values are unchanged; repeated rows change alike;
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 10
 KINDS = ("email", "ip", "date", "ssn", "phone", "iban", "card")
-#: What each kind looks like; [0-9] and the like, so that no escape depends on the SQL dialect.
+#: What each kind looks like; [0-9] and the like, so that no escape depends on the SQL dialect. Repeats without
+#: a bound are possessive: a plain repeated group would cost stack space for each repeat.
 PATTERNS = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++",
     "ip": "(?<![0-9A-Za-z.])[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?![0-9A-Za-z]|[.][0-9])",
     "date": "(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
             "(?![0-9A-Za-z]|[./-][0-9])",
@@ -41,6 +43,8 @@ PATTERNS = {
     "iban": "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": "(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: Country codes of two digits (fixed value); those of one digit are 1 and 7, all others have three.
+TWO_DIGIT_CODES = "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 
 
@@ -121,7 +125,8 @@ def _ssn(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    code = "IF(m RLIKE '^[+][0-9]{1,3}[ .(-]', length(regexp_extract(m, '^[+]([0-9]+)', 1)), IF(m RLIKE '^[+]', 2, 0))"
+    # the country code by its first digits, so that every layout of a number has the same pseudonym
+    code = f"CASE WHEN m NOT LIKE '+%' THEN 0 WHEN m RLIKE '^[+][17]' THEN 1 WHEN m RLIKE '^[+](?:{TWO_DIGIT_CODES})' THEN 2 ELSE 3 END"
     body = _let("p", "slice(ds, n + 1, size(ds))", _fill(
         "m", "[0-9]", f"concat(slice(ds, 1, n), {_feistel('p', _radices('p', 10), 'phone', key)})"))
     return _let("ds", _digits("m"), f"IF(size(ds) BETWEEN 8 AND 15, {_let('n', code, body)}, m)")

@@ -115,3 +115,24 @@ def test_awkward_rows(spark, awkward, no_docs):
     assert r.n_replaced == 6000 and len(set(re.findall(r"\d{3}-\d{3}-\d{4}", r.text))) == 1
     plan = pii.pseudonymize(long.select("doc_id", F.col("text")), "k")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_pseudonym_for_all_layouts_of_a_phone_number(spark):
+    got = one(spark, ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1-555-123-4567", "+493012345678", "+49 30 1234 5678",
+                      "+35312345678", "+353 1 234 5678"])
+    digits = [re.sub("[^0-9]", "", g) for g in got]
+    assert len(set(digits[:4])) == len(set(digits[4:6])) == len(set(digits[6:])) == 1
+    assert [digits[i][:n] for i, n in ((0, 1), (4, 2), (6, 3))] == ["1", "49", "353"]
+    assert digits[0] != "15551234567" and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[2])
+
+
+def test_very_long_runs_of_every_symbol_of_the_patterns(spark):
+    """Hosts of very many labels, long local parts and long runs: no crash, no blow-up."""
+    n = 100_000
+    texts = ["a@" + "a." * n + "org and 10.0.0.1", "b" * n + "@x.org", "1" * n, "1 " * n, "+1" * n, "(1" * n, "(" * n, " " * n, "+" * n,
+             "1." * n, "1-" * n, "a@" * n, "a@b" * n, ".@" * n, "AB12" * n, "AB12 " * n, "a.b%+" * n, "12/" * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
+    assert len(got) == len(texts) and [got[i].n_replaced for i in (0, 1, 2, 6, 7, 8)] == [2, 1, 0, 0, 0, 0]
+    assert got[0].text.endswith("a.org and " + got[0].text.split()[-1]) and "10.0.0.1" not in got[0].text
+    assert all(len(r.text) == len(texts[i]) for i, r in got.items() if i != 0)
