@@ -29,19 +29,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` step that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def hot_join(rows: DataFrame, small: DataFrame, on: list[str], size: str, share: int = 1000) -> DataFrame:
+def hot_join(rows: DataFrame, small: DataFrame, on: list[str], size: str, share: int = 1000, total: int | None = None) -> DataFrame:
     """Left join on keys that may be hot in ``rows`` (a stored table).
 
     ``small`` has one row per key, and in ``size`` how many of the rows have that
     key. Keys with a ``share``-th of all counted rows or more are ``share`` at
     most: they are broadcast. No key of the shuffled rest is hot. ``size`` is not
-    part of the result; key columns hold no nulls.
+    part of the result; key columns hold no nulls. ``total``: the sum of all
+    sizes, if it is known.
     """
-    total = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total is None:
+        total = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     is_hot = F.col(size) * share >= total
     near = rows.join(F.broadcast(small.where(is_hot).withColumn("_met", F.lit(True))), on, "left")
     found = [c for c in small.columns if c not in on]

@@ -8,8 +8,9 @@ and neutral mass, from its unjudged pages, follow links; distrust, from its
 blocked pages, runs against them, so hosts that link to blocked ones receive
 it. A host is blocked when distrust is more than ``threshold`` of its mass.
 
-DataFrame and SQL functions only. Hosts are pre-aggregated before any join, and
-each round is written to the shared folder; only three sums reach the driver.
+DataFrame and SQL functions only. Hosts are pre-aggregated before any join. The
+walk goes on until it has settled; each round is written to the shared folder
+and dropped once the next one is; only three sums reach the driver.
 
 Null addresses, and addresses without ``://``, have an empty host and path and
 are allowed. Pages without html have no links; repeated rows count each. An
@@ -17,12 +18,13 @@ empty table gives an empty result. Extra columns are ignored.
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .address import ascii_lower, host_and_path, salted_join
-from .common import stored
+from .common import drop_stored, hot_join, stored
 
 #: A link's host: after :// (or a leading //) in href or src.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
@@ -48,25 +50,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("weight")))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20,
-              tolerance: float = 1e-4) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """hosts (host, trust_seed, neutral_seed, distrust_seed) plus the masses
-    after the walk. Mass of hosts without links returns to its seeds."""
-    out_w = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    in_w = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
-    forward = stored(edges.join(out_w, "src").selectExpr("src", "dst", "weight / total AS share"), "url-forward")
-    backward = stored(edges.join(in_w, "dst").selectExpr("src", "dst", "weight / total AS share"), "url-backward")
+    after the walk, to within ``tolerance`` of all mass. Mass of hosts without
+    links returns to its seeds. A round shrinks every difference by ``damping``
+    at least, which bounds the rounds; more is an error."""
+    out_w = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count("*").alias("n_out"))
+    in_w = edges.groupBy("dst").agg(F.sum("weight").alias("total"), F.count("*").alias("n_in"))
+    out_w, in_w = stored(out_w, "url-out"), stored(in_w, "url-in")
+    forward = stored(hot_join(edges, out_w, ["src"], "n_out").selectExpr("src", "dst", "weight / total AS share"), "url-forward")
+    backward = stored(hot_join(edges, in_w, ["dst"], "n_in").selectExpr("src", "dst", "weight / total AS share"), "url-backward")
     seeds = [f"{m}_seed" for m in MASSES]
-    cur = hosts.select("host", *seeds, *[F.col(f"{m}_seed").cast("double").alias(m) for m in MASSES])
+    hosts = hosts.join(out_w.select(F.col("src").alias("host"), "n_out"), "host", "left").join(
+        in_w.select(F.col("dst").alias("host"), "n_in"), "host", "left").na.fill(0, ["n_out", "n_in"])
+    links = ["n_out", "n_in"]
+    cur = hosts.select("host", *seeds, *links, *[F.col(f"{m}_seed").cast("double").alias(m) for m in MASSES])
     whole = cur.agg(*[F.coalesce(F.sum(s), F.lit(0)).cast("double").alias(s) for s in seeds]).first()
-    for _ in range(rounds):
-        ahead = cur.select(F.col("host").alias("src"), "trust", "neutral").join(forward, "src").groupBy("dst").agg(
+    n_edges, before = edges.count(), None
+    for _ in range(math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1):
+        # hubs hold a large share of all links: their masses are broadcast, the others' are shuffled
+        ahead = hot_join(forward, cur.where("n_out > 0").select(F.col("host").alias("src"), "n_out", "trust", "neutral"),
+                         ["src"], "n_out", total=n_edges).groupBy("dst").agg(
             F.sum(F.expr("trust * share")).alias("in_trust"), F.sum(F.expr("neutral * share")).alias("in_neutral")
             ).withColumnRenamed("dst", "host")
-        back = cur.select(F.col("host").alias("dst"), "distrust").join(backward, "dst").groupBy("src").agg(
+        back = hot_join(backward, cur.where("n_in > 0").select(F.col("host").alias("dst"), "n_in", "distrust"),
+                        ["dst"], "n_in", total=n_edges).groupBy("src").agg(
             F.sum(F.expr("distrust * share")).alias("in_distrust")).withColumnRenamed("src", "host")
         met = stored(cur.join(ahead, "host", "left").join(back, "host", "left").na.fill(
             0.0, [f"in_{m}" for m in MASSES]), "url-round")
+        if before is not None:
+            drop_stored(before)
         came = met.agg(*[F.coalesce(F.sum(f"in_{m}"), F.lit(0.0)).alias(m) for m in MASSES]).first()
 
         def mass(m: str) -> Column:
@@ -75,14 +88,12 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             return ((1 - damping) * F.col(f"{m}_seed")
                     + damping * (F.col(f"in_{m}") + back_to_seed * F.col(f"{m}_seed")))
 
-        moved = met.select("host", *seeds, *[mass(m).alias(m) for m in MASSES],
-                           *[F.abs(mass(m) - F.col(m)).alias(f"d_{m}") for m in MASSES])
-        change = moved.agg(F.coalesce(F.sum(reduce(Column.__add__, [F.col(f"d_{m}") for m in MASSES])),
-                                      F.lit(0.0))).first()[0]
-        cur = moved.select("host", *seeds, *MASSES)
+        change = met.agg(F.coalesce(F.sum(reduce(Column.__add__, [F.abs(mass(m) - F.col(m)) for m in MASSES])),
+                                    F.lit(0.0))).first()[0]
+        cur, before = met.select("host", *seeds, *links, *[mass(m).alias(m) for m in MASSES]), met
         if change <= tolerance * max(sum(whole), 1.0):
-            break
-    return cur
+            return cur.drop(*links)
+    raise RuntimeError(f"host masses did not settle to {tolerance}")
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.5) -> DataFrame:

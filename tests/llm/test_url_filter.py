@@ -22,7 +22,7 @@ def rule_of(host, path):
     return max(fits, key=lambda r: len(r[0]), default=(None, None))
 
 
-def brute_shares(pages, damping=0.85, rounds=20):
+def brute_shares(pages, damping=0.85, rounds=500):
     hosts, edges = {}, {}
     for host, path, links in pages:
         if not host:
@@ -96,3 +96,24 @@ def test_empty_table_and_native_plan(spark, sf):
     assert url_filter.url_verdicts(none, RULES).count() == 0
     plan = url_filter.url_verdicts(spark.read.parquet(f"{sf}/pages.parquet"), RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_distrust_runs_a_long_way_back(spark):
+    """A chain of 40 hosts that ends in a large blocked host, to the fixed point."""
+    n = 40
+    made = [(f"http://h{i}.com/", f'<a href="http://h{i + 1}.com/">' if i + 1 < n else '<a href="http://bad.net/">') for i in range(n)]
+    made += [("http://bad.net/x", "")] * 3000
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.url_verdicts(pages, RULES).where("host <> 'bad.net'").collect()}
+    shares = brute_shares([(f"h{i}.com", "/", [f"h{i + 1}.com" if i + 1 < n else "bad.net"]) for i in range(n)]
+                          + [("bad.net", "/x", [])] * 3000)
+    assert len(got) == n and all(abs(got[h].distrust - shares[h]) < 1e-2 for h in got)
+    assert all(got[h].verdict == ("block" if shares[h] > 0.5 else "allow") for h in got if abs(shares[h] - 0.5) > 1e-2)
+    assert got["h0.com"].distrust > 0.5 and got["h15.com"].verdict == "block"
+
+
+def test_masses_are_kept_and_rounds_dropped(spark):
+    hosts = spark.createDataFrame([("a", 1, 0, 5), ("b", 0, 1, 0)], "host string, trust_seed long, neutral_seed long, distrust_seed long")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, weight long")
+    rows = url_filter.propagate(hosts, edges).collect()
+    assert len(rows) == 2 and abs(sum(r.trust + r.neutral + r.distrust for r in rows) - 7) < 1e-2
