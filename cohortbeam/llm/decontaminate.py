@@ -19,16 +19,19 @@ clean; an empty table gives an empty result. Extra columns are ignored.
 """
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import running, stored
 from .fm_index import BREAK, END, FIRST, FMIndex
 
 #: A-Z lower-cased; 0-9, a-z and all bytes of other characters kept; the rest splits words.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32
                    for b in range(256))
+KEY, KEY_ID = "_decontaminate_key", "_decontaminate_id"  # no columns of a result
 RESULT = "row_key long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -53,6 +56,18 @@ def item_chunks(benchmark: DataFrame, window: int, chunk_words: int = 10_000) ->
         run, "item_id string, words binary, n long")
 
 
+def benchmark_blocks(benchmark: DataFrame, window: int, block_words: int, **options) -> DataFrame:
+    """The different chunks of all items and the ``block`` of each: blocks are cut
+    by a running sum of words, so one holds ``block_words`` and a chunk at most,
+    however often an item is repeated."""
+    chunks = item_chunks(benchmark, window, **options).dropDuplicates(["item_id", "words"])
+    chunks = chunks.select(F.lit(0).cast("long").alias("all"), F.xxhash64("item_id", "words").alias("place"), "item_id", "words",
+                           F.col("n").alias("size"))
+    ordered = running(chunks, "all", ["place"], sums=("size",), name="decontaminate-items")
+    block = F.floor((F.col("run_size") - F.col("size")) / block_words).cast("int")
+    return ordered.select("item_id", "words", F.col("size").alias("n"), block.alias("block"))
+
+
 class Windows:
     """The distinct windows of a block of items, as word codes, and their items."""
 
@@ -80,8 +95,9 @@ class Windows:
 class Shard:
     """Words of some documents that can be hit, gathered until they are searched."""
 
-    def __init__(self, windows: Windows):
-        self.w = windows
+    def __init__(self, windows: dict):
+        self.w = SimpleNamespace(**windows)
+        windows = self.w
         self.shortest = int(windows.lengths.min()) if len(windows.lengths) else 0
         self.rows, self.texts, self.run_doc, self.run_at, self.run_len, self.seen = [], [], [], [], [], 0
 
@@ -131,7 +147,8 @@ class Shard:
 
 
 def _search_block(rows: DataFrame, windows: Windows, shard_words: int) -> DataFrame:
-    given = rows.sparkSession.sparkContext.broadcast(windows)  # block_words words at most, by construction
+    # block_words words and one chunk at most; a plain dict, so that workers need no class of this package to load it
+    given = rows.sparkSession.sparkContext.broadcast(vars(windows))
 
     def run(batches):
         shard = Shard(given.value)
@@ -165,9 +182,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     """Per document (row_key, doc_id, n_words, spans, items): spans are merged
     word ranges [start, end) covered by windows, items the ids they come from.
     ``row_key`` (long) names the rows; by default they are numbered."""
-    chunks = stored(item_chunks(benchmark, window), "decontaminate-items")
-    total = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_words))
+    chunks = benchmark_blocks(benchmark, window, block_words)
+    blocks = 1 + chunks.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
     key = F.monotonically_increasing_id() if row_key is None else row_key
     rows = docs.select(key.alias("row_key"), F.col("doc_id").cast("long"),
                        F.col("text").cast("string"))
@@ -175,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
         rows = stored(rows, "decontaminate-docs")
     found = None
     for block in range(blocks):
-        mine = chunks.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block).collect()
+        mine = chunks.where(F.col("block") == block).select("item_id", "words", "n").collect()
         part = _search_block(rows, Windows(mine, window), shard_words)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
@@ -192,8 +208,10 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The documents that are not contaminated, all columns."""
-    key = F.xxhash64("doc_id", "text")  # rows with one id and text share their verdict
-    bad = judged(contamination(docs, benchmark, window, row_key=key)).where("contaminated").select("row_key").distinct()
-    return docs.withColumn("row_key", key).join(stored(bad, "decontaminate-bad"), "row_key", "left_anti").select(
-        *[f"`{c}`" for c in docs.columns])
+    """The documents that are not contaminated, all columns. Rows with one id and
+    text share their verdict; a row is known by its id and a hash of both."""
+    key = F.xxhash64("doc_id", "text")
+    bad = judged(contamination(docs, benchmark, window, row_key=key)).where("contaminated").select(
+        F.col("row_key").alias(KEY), F.col("doc_id").alias(KEY_ID)).distinct()
+    same = (F.col(f"`{KEY}`") == key) & F.col(f"`{KEY_ID}`").eqNullSafe(F.col("doc_id").cast("long"))
+    return docs.join(stored(bad, "decontaminate-bad"), same, "left_anti")

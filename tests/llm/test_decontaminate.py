@@ -1,7 +1,10 @@
 """Decontamination against a brute-force version; FM-index properties."""
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -10,6 +13,7 @@ import pytest
 from cohortbeam.llm import decontaminate, fm_index, queries
 from llm.conftest import make_docs
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -89,3 +93,56 @@ def test_awkward_rows(spark, awkward, no_docs):
     assert decontaminate.contamination(awkward, bench).count() == 8
     assert not any(v[4] for v in digest(decontaminate.contamination(awkward, bench.where("false"))).values())
     assert decontaminate.contamination(no_docs, bench).count() == 0
+
+
+def test_repeated_items_fill_no_block(spark):
+    """A third of all benchmark rows are one item: it counts once, and blocks keep their bound."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(1000))
+    items = [(1, long)] * 50 + [(i, " ".join(f"v{rng.randrange(500)}" for _ in range(900))) for i in range(2, 40)] + [(None, long)] * 30
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    rows = decontaminate.benchmark_blocks(bench, 13, 5000, chunk_words=400).collect()
+    total = {}
+    for r in rows:
+        total[r.block] = total.get(r.block, 0) + r.n
+    assert max(total.values()) < 5000 + 412 and set(total) == set(range(len(total)))
+    assert len(rows) == len({(r.item_id, bytes(r.words)) for r in rows})
+    texts = [f"a {long[100:400]} b", "v1 v2 v3", None, items[60][1]] * 2
+    got = digest(decontaminate.contamination(make_docs(spark, texts), bench, block_words=5000))
+    assert [got[i] for i in range(len(texts))] == brute(texts, items)
+
+
+def test_clean_documents_keeps_columns_and_repeated_rows(spark):
+    item = " ".join(f"q{i}" for i in range(15))
+    docs = make_docs(spark, ["fine text", item, None, "fine text"], extra=("row_key", "key", "gone", "n", "bad"))
+    docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", docs.doc_id * 0 + 1).where("text = 'fine text'"))
+    got = decontaminate.clean_documents(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.row_key, r.gone) for r in got.where("text IS NOT NULL").collect()) == [
+        (0, "fine text", "x", "x")] * 2 + [(1, "fine text", "x", "x")] * 2 + [(3, "fine text", "x", "x")] * 2
+    assert got.where("text IS NULL").count() == 2
+
+
+def test_workers_need_no_copy_of_the_library(tmp_path):
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from cohortbeam.session import get_spark
+from cohortbeam.llm import decontaminate
+spark = get_spark("local[2]", 2)
+def importable(rows):
+    try:
+        import cohortbeam
+        yield 1
+    except ModuleNotFoundError:
+        yield 0
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(importable).collect() == [0]
+text = " ".join("q%d" % i for i in range(15))
+docs = spark.createDataFrame([(1, text), (2, "other")], "doc_id long, text string")
+bench = spark.createDataFrame([(7, text)], "item_id long, text string")
+assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
+print("clean")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "clean" in out.stdout, out.stderr[-2000:]
