@@ -20,7 +20,6 @@ are ignored.
 """
 from __future__ import annotations
 
-import html as html_text
 import re
 
 import numpy as np
@@ -29,17 +28,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .address import host_and_path, salted_join
 from .common import stored
+from .html_blocks import decoded
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+HIDDEN = re.compile(r"(?i)<(script|style|noscript|template)\b|<!--")
+ENDS = {None: re.compile("-->"), **{n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "noscript", "template")}}
 TAG = re.compile(r"(?s)<[^>]*>")
 PIECE = 1 << 20
-DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})"
+DECLARED = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})"
 
 
 def visible_text(page: str | None) -> str:
-    return html_text.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or "")))
+    """The page without hidden elements, comments and tags; a hidden element or
+    comment that never ends stays. Linear in the page, however broken it is."""
+    page, parts, at, begin, endless = page or "", [], 0, 0, set()
+    while m := HIDDEN.search(page, begin):
+        name = m[1] and m[1].lower()
+        end = None if name in endless else ENDS[name].search(page, m.end())
+        if end is None:
+            endless.add(name)  # no later one ends either
+            begin = m.end()
+        else:
+            parts.append(page[at:m.start()])
+            at = begin = end.end()
+    page = " ".join([*parts, page[at:]])
+    last = page.rfind(">") + 1  # behind it no tag ends
+    return decoded(TAG.sub(" ", page[:last]) + page[last:])
 
 
 def trigram_counts(text: str) -> np.ndarray:
