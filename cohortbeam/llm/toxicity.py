@@ -14,7 +14,8 @@ sample, and the fitted weights (``max_features`` at most) are broadcast.
 Null and empty texts score by the intercept alone. Repeated ids among labels:
 each row counts. Without both classes among the labelled rows every score is 0.
 Null ids are held out. An empty table gives an empty result; extra columns are
-ignored.
+ignored. Documents that stand several times give one text to the sample, so it
+never exceeds its bound.
 """
 from __future__ import annotations
 
@@ -62,7 +63,8 @@ def swaps() -> dict[str, tuple[str, ...]]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """(label, words, identity): distinct words of at most max_rows labelled
-    texts, and the words of each sentence with an identity term."""
+    texts, and the words of each sentence with an identity term. A document that
+    stands several times gives one text, the least."""
     picked = (labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL AND pmod(crc32(CAST(doc_id AS STRING)), 5) <> 0")
               .select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))  # the stated bound
@@ -79,11 +81,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
                     if in_s & terms.keys():
                         found.append(" ".join(sorted(in_s)))
                 sentences.append(found)
-            yield pd.DataFrame({"label": b.label, "words": words, "identity": sentences})
+            yield pd.DataFrame({"doc_id": b.doc_id, "words": words, "identity": sentences})
 
+    picked = stored(picked, "toxicity-picked")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(picked), "doc_id").select("label", "text").mapInPandas(
-        run, "label int, words array<string>, identity array<string>")
+    texts = texts.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")  # max_rows ids at most
+    texts = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = texts.mapInPandas(run, "doc_id long, words array<string>, identity array<string>")
+    return found.join(F.broadcast(picked), "doc_id").select("label", "words", "identity")  # one row a label: max_rows at most
 
 
 def fit(labels: np.ndarray, word_sets: list, identity: list, max_features: int, swap_weight: float = 1.0,
@@ -161,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_featur
     return weights, next((r.weight for r in rows if r.feature is None), float("-inf"))
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """docs plus ``toxicity`` (0 to 1, higher: likelier toxic); all columns pass through unchanged."""
-    docs = docs.drop("toxicity")
+def score(docs: DataFrame, model: tuple[dict[str, float], float], out: str = "toxicity") -> DataFrame:
+    """docs plus column ``out`` (0 to 1, higher: likelier toxic), in place of one
+    of that name; all others pass through unchanged."""
+    column, docs = out, docs.drop(out)
     given = docs.sparkSession.sparkContext.broadcast(model)  # max_features weights at most
 
     def run(batches):
@@ -184,10 +190,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
                 margin = bias + sum(weights[f] for f in sorted(hit))
                 out.append(0.0 if margin < -700 else 1 / (1 + math.exp(-margin)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())],
-                                             names=[*b.schema.names, "toxicity"])
+                                             names=[*b.schema.names, column])
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(
-        run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+        run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,7 @@
 """Toxicity: held-out accuracy, counterfactual swaps, edge rows."""
+import inspect
 import random
+import zlib
 
 import numpy as np
 
@@ -61,3 +63,42 @@ def test_awkward_rows(spark, awkward, no_docs):
     assert all(r.score == 0 and r.predicted == 0 for r in none)
     assert toxicity.scored(no_docs, labels).count() == 0
     assert toxicity.score(awkward, ({}, 0.0)).columns == [*awkward.columns, "toxicity"]
+
+
+def test_the_sample_keeps_its_bound_with_repeated_documents(spark):
+    """A third of all rows are one document: it gives one text."""
+    rows = [(i, f"text {i} is vermin" if i % 2 else f"text {i} is fine", "en", "s", 9) for i in range(60)]
+    rows += [(1, "text 1 is vermin", "en", "s", 9)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(1, 1, 1)], LABELS)
+    for bound in (10, 1000):
+        sample = toxicity.training_rows(docs, labels, bound).collect()
+        usable = sum(zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in labels.collect())
+        assert len(sample) == min(bound, usable)
+
+
+def test_swaps_at_the_shipped_weight_on_held_out_rows():
+    """Neutral mentions of a group among held-out texts: fewer false positives with the weight that ``train`` uses."""
+    rng = random.Random(5)
+    base = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+
+    def draw(toxic, named):
+        words = set(rng.sample(base, 6)) | ({rng.choice(["vermin", "idiots", "scum"])} if toxic and rng.random() < 0.7 else set())
+        return sorted(words | ({rng.choice(["muslims", "jews", "women"])} if named else set()))
+
+    sets, labels = [], []
+    for i in range(1500):
+        toxic = i % 4 == 0
+        sets.append(draw(toxic, rng.random() < (0.85 if toxic else 0.04)))
+        labels.append(int(toxic))
+    terms = toxicity.swaps()
+    identity = [[" ".join(s)] if set(s) & terms.keys() else [] for s in sets]
+    shipped = inspect.signature(toxicity.train).parameters["swap_weight"].default
+    neutral, toxic = [draw(False, True) for _ in range(400)], [draw(True, False) for _ in range(400)]
+
+    def rates(weight):
+        w, bias = toxicity.fit(np.array(labels), sets, identity, 4096, swap_weight=weight)
+        hit = [[bias + sum(w.get(f, 0) for f in toxicity.text_features(s)) >= 0 for s in part] for part in (neutral, toxic)]
+        return np.mean(hit[0]), np.mean(hit[1])
+    (plain_fp, plain_recall), (fp, recall) = rates(0.0), rates(shipped)
+    assert plain_fp > 0.5 and fp < 0.5 * plain_fp and recall > plain_recall - 0.1
