@@ -16,18 +16,33 @@ from cohortbeam.llm.common import stored, table
 from cohortbeam.llm.queries import encoder_path
 
 
+def _shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but id and text under names that no operator uses,
+    and those names by column."""
+    names = {c: c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _unshielded(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = tox.train(docs, table(spark, sf_dir, "labels"))
-    return tox.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    rows, names = _shielded(docs)
+    return _unshielded(tox.score(rows, model).where("toxicity < 0.5"), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of two or more lines are cut out; a document that
     consisted of nothing else goes, and n_chars follows the text."""
-    out = lines.line_dedup(docs, min_lines=2).where("n_deleted = 0 OR n_deleted < n_lines")
-    return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long"))
-                          .otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, names = _shielded(docs)
+    out = lines.line_dedup(rows, min_lines=2).where("n_deleted = 0 OR n_deleted < n_lines")
+    if "n_chars" in names:
+        n_chars = F.col(names["n_chars"])
+        out = out.withColumn(names["n_chars"], F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(n_chars))
+    return _unshielded(out, names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
