@@ -291,9 +291,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """docs without near-duplicates: the smallest id of each group stays (rows
-    without an id come last, equal rows count as one)."""
-    kept = grouped(docs, shingle, max_bits).groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best")).select("best.key")
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    return keyed.join(stored(kept, "simhash-kept"), "key", "left_semi").dropDuplicates(["key"]).select(
-        *[f"`{c}`" for c in docs.columns])
+    without an id come last, equal rows count as one). A row is known by its id
+    and a hash of id and text."""
+    best = grouped(docs, shingle, max_bits).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best"))
+    kept = stored(best.select(F.col("best.key").alias(KEY), F.col("best.doc_id").alias(KEY_ID)), "simhash-kept")
+    key = F.xxhash64("doc_id", "text")
+    same = (F.col(f"`{KEY}`") == key) & F.col(f"`{KEY_ID}`").eqNullSafe(F.col("doc_id").cast("long"))
+    found = docs.join(kept, same)
+    return found.dropDuplicates([KEY, KEY_ID]).select(*[f"`{c}`" for c in docs.columns])
+
+
+KEY, KEY_ID = "_simhash_key", "_simhash_id"  # no columns of a result

@@ -61,3 +61,16 @@ def test_near_duplicate_stage_with_missing_ids(spark, no_docs):
                                   (None, "x y z", "en", "s", 5), (None, "x y z", "en", "s", 5)], no_docs.schema)
     kept = simhash.one_of_each_group(docs).collect()
     assert sorted((r.doc_id is None, r.text) for r in kept) == [(False, "a b c"), (True, "x y z")]
+
+
+def test_columns_with_the_names_of_the_operators_own(spark, sf, awkward):
+    """Every stage gives back the columns it was given, with their values."""
+    names = ("gone", "row_key", "key", "toxicity", "n_lines", "n_deleted", "runs", "_kept_1", "root", "best")
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in names])
+    docs = stored(docs, "t")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = stored(f(spark, docs, sf), "t")
+        assert out.columns == docs.columns, name
+        rows = out.where("doc_id IS NOT NULL").collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
