@@ -78,7 +78,7 @@ def op7_pii(spark, sf_dir):
 
 @query
 def op8_line_dedup(spark, sf_dir):
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_lines=2).select(
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_lines=2, long_words=50).select(
         "doc_id", "text", "n_lines", "n_deleted")
 
 
@@ -94,6 +94,9 @@ WITH l AS (
   FROM w WHERE next IS NOT NULL
 ), gone AS (
   SELECT doc_id, i FROM c WHERE later UNION SELECT doc_id, i + 1 FROM c WHERE later
+  UNION SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS later FROM l
+    WHERE len(list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda w: w <> '')) >= 50) WHERE later
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_deleted,
          string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text
