@@ -148,9 +148,9 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None,
 
     When all values are equal the range is widened by 0.5 on both sides.
 
-    Work: one scan into counts of distinct (group, value) pairs; ranges, bins
-    and counts come from that small table. Without groups the range is one row
-    and becomes two literals, so nothing is joined to the data.
+    Work: counts of distinct (group, value) pairs; ranges, bins and counts come
+    from that small table. Without groups the range is found first and becomes
+    two literals, so nothing is joined to the data, which is scanned twice.
     """
     key = by or "_g"
     vals = (df.where(f"`{value}` IS NOT NULL").selectExpr(f"{f'`{by}`' if by else '0'} AS `{key}`",

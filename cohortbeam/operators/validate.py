@@ -67,11 +67,16 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("valid")), df.where(~F.col("valid"))
 
 
+def contract_problems(df: DataFrame, required: dict[str, str]) -> dict[str, str]:
+    """Columns that are missing, or of another type than the one named."""
+    types = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
+    found = {c: types.get(c.lower()) for c in required}
+    return {c: "missing" if found[c] is None else f"{found[c]} instead of {t}" for c, t in required.items()
+            if found[c] is None or t and found[c] != t}
+
+
 def require_columns(df: DataFrame, required: dict[str, str]) -> None:
     """Plan-time input contract: columns exist with the given type names."""
-    types = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
-    missing = [c for c in required if c.lower() not in types]
-    wrong = [c for c, t in required.items() if c.lower() in types and t and types[c.lower()] != t]
-    if missing or wrong:
-        raise ValueError(f"input contract: missing={missing} wrong_type={wrong} "
-                         f"(expected {required}, got {types})")
+    problems = contract_problems(df, required)
+    if problems:
+        raise ValueError(f"input contract: {problems} (expected {required})")

@@ -215,9 +215,10 @@ SELECT {sel_key}bin, round("left", 6) AS "left", round("right", 6) AS "right",
   count, round(CASE WHEN count > 0 THEN ln(count) END, 6) AS log_count
 FROM edges""", [
         ("data", f"SELECT * FROM ({src} {where}) WHERE x IS NOT NULL"),
-        ("rng", f"SELECT g, min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {float(bins)} AS width FROM data GROUP BY g"),
-        ("cnt", f"""SELECT d.g, CAST(CASE WHEN r.hi = r.lo THEN {bins // 2}
-          ELSE least(floor((d.x - r.lo) * {float(bins)} / (r.hi - r.lo)), {bins - 1}) END AS INTEGER) AS bin,
+        ("ends", """SELECT g, min(x) - CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0.0 END AS lo,
+          max(x) + CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0.0 END AS hi FROM data GROUP BY g"""),
+        ("rng", f"SELECT g, lo, hi, (hi - lo) / {float(bins)} AS width FROM ends"),
+        ("cnt", f"""SELECT d.g, CAST(least(floor((d.x - r.lo) * {float(bins)} / (r.hi - r.lo)), {bins - 1}) AS INTEGER) AS bin,
         count(*) AS n FROM data d JOIN rng r ON d.g = r.g GROUP BY 1, 2"""),
         ("frame", f"SELECT r.*, CAST(b.bin AS INTEGER) AS bin FROM rng r, range(0, {bins}) AS b(bin)"),
         ("edges", f"""SELECT f.g, f.bin, f.lo + f.bin * f.width AS "left",

@@ -354,7 +354,7 @@ FROM (SELECT idx, {LABELS[0]}, {', '.join(LABELS[1:])},
 def q_train_export(spark, d):
     """Cohort features and labels exported per split (seeded order for
     train, key order for val/test), read back."""
-    f = add_age_features(cohort(spark, d), materialize=True)
+    f = add_age_features(cohort(spark, d))  # the median reads the age column alone
     f = f.withColumns({"view_AP": (F.col("view_cat") == "AP").cast("double"),
                        "view_PA": (F.col("view_cat") == "PA").cast("double"),
                        "sex_bin": F.col("sex_bin").cast("double")})
@@ -368,6 +368,24 @@ def q_train_export(spark, d):
                        lsum.alias("label_sum"))
 
 
+@query("seeded_shuffle", cohort_sql("""
+SELECT idx, split, row_number() OVER (PARTITION BY split ORDER BY CASE WHEN split = 'train' THEN md5('42:' || CAST(idx AS VARCHAR)) END, idx) - 1 AS place
+FROM (SELECT idx, CASE idx % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM cohort)"""))
+def q_seeded_shuffle(spark, d):
+    """Where each row lies in the exported files: the train split in its seeded
+    order, the others by key, over all files of a split."""
+    from ..operators.cohort import row_numbers
+    path = _scratch(spark, d, "seeded_shuffle")
+    rows = cohort(spark, d).select("idx", "file_path", F.expr(
+        "CASE idx % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split"), F.col("idx").alias("f"))
+    wr.export_training_set(rows, path, ["f"], ["f"], seed=42)
+    back = spark.read.parquet(path).select("idx", "split", F.col("_metadata.file_name").alias("file"),
+                                           F.col("_metadata.row_index").alias("row"))
+    placed = row_numbers(back, ["split", "file", "row"])
+    first = placed.groupBy("split").agg(F.min("row_no").alias("first"))
+    return placed.join(F.broadcast(first), "split").select("idx", "split", (F.col("row_no") - F.col("first")).alias("place"))
+
+
 @query("eval_summary", eval_sql("""SELECT round(avg(auc), 4) AS mean_auc, round(avg(ap), 4) AS mean_ap,
   CAST(count(*) AS BIGINT) AS n_labels FROM lm"""))
 def q_eval_summary(spark, d):

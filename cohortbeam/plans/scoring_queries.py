@@ -40,6 +40,47 @@ def q_score_table(spark, d):
     return _long_scores(sc.score(_emb(spark, d), scorer, ["embedding"]))
 
 
+@query("model_loads", sql([], """SELECT count(*) AS n_scored, true AS once_per_worker FROM embeddings"""))
+def q_model_loads(spark, d):
+    """The model factory runs once in a Python worker, however many batches the
+    worker scores."""
+    loads, batches = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    make = sc.linear_model_factory(64)
+
+    def counted():
+        loads.add(1)
+        model = make()
+
+        def predict(x):
+            batches.add(1)
+            return model(x)
+        return sc.with_arity(predict, 1)
+
+    rows = sc.score(_emb(spark, d).repartition(4), sc.batch_scorer(counted, [[64]], batch_size=8), ["embedding"])
+    n = rows.where("size(scores) = 14").count()
+    once = 1 <= loads.value <= 4 < batches.value  # four tasks, so four workers at most
+    return spark.createDataFrame([(n, once)], "n_scored long, once_per_worker boolean")
+
+
+@query("input_contract", sql(["uploads", "studies", "paths"], """
+SELECT 'uploads' AS input, '' AS problems, count(*) AS n FROM uploads
+UNION ALL SELECT 'studies', 'age_raw: string instead of int, taken: missing', count(*) FROM studies
+UNION ALL SELECT 'paths', 'file_path: string instead of binary', count(*) FROM paths"""))
+def q_input_contract(spark, d):
+    """What each input lacks of the columns and types a job asks for, known
+    before any row is read, beside the rows it holds."""
+    asked = {"uploads": (fx.uploads, {"idx": "bigint", "NAME": "string", "age": "int", "content": "binary"}),
+             "studies": (fx.studies, {"idx": "bigint", "age_raw": "int", "taken": ""}),
+             "paths": (fx.paths, {"file_path": "binary"})}
+    out = None
+    for name, (view, required) in asked.items():
+        df = view(spark, d)
+        found = ", ".join(f"{c}: {p}" for c, p in sorted(va.contract_problems(df, required).items()))
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("input"), F.lit(found).alias("problems"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("sink_scored", sql(["scores", "label_names"], """
 SELECT s.vec_id, n.name AS label, round(CAST(CAST(s.score AS FLOAT) AS DOUBLE), 6) AS score
 FROM scores s JOIN label_names n ON n.k = s.k"""))

@@ -55,8 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    if base.startswith("file:"):
-        base = "/" + base[len("file:"):].lstrip("/")
+    if base.startswith("file:"):  # a plain path would belong to the default file system
+        path = "/" + base[len("file:"):].lstrip("/")
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        base = path if conf.get("fs.defaultFS", "file:///").startswith("file:") else f"file:{path}"
     return base
 
 
