@@ -12,11 +12,13 @@ with their covering radius, and every entry with its distance to the page's own
 routing object.
 
 Search: queries go in blocks of ``query_block`` rows, a block meets every tree.
-Per query and tree a best-first search opens the page with the least possible
-distance. Entries whose stored parent distance already shows, by the triangle
-inequality, that they are too far are skipped before their distance is
-computed. The bound starts at the k-th best of the routing sample and tightens
-from tree to tree in a task. Per task only k rows a query leave it.
+A best-first search opens the page with the least possible distance to any query
+of the block, with the queries that may still gain from it. Entries whose stored
+parent distance already shows, by the triangle inequality, that they are too far
+from all of these are skipped before a distance is computed; the others are one
+matrix product. The bound of each query starts at the k-th best of the routing
+sample and tightens from page to page and tree to tree in a task. Per task only
+k rows a query leave it.
 
 Vectors that are null, or hold a null, NaN or infinite component, and rows
 without an id take no part. Vectors are compared with vectors of their own
@@ -151,6 +153,80 @@ def search_tree(tree: dict, query_id: int, query: np.ndarray, base: float, best:
     return bound
 
 
+class Batch:
+    """Queries of one block that are searched together, and their best rows so
+    far: scores and ids of k rows each, best first (ids -1 where there is none)."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int, top: float, bound: np.ndarray):
+        self.ids, self.floats, self.k = ids, vecs.astype(np.float64), k
+        self.base = (self.floats * self.floats).sum(axis=1) + top
+        self.slack = 1e-6 * (np.sqrt(self.base) + 1)
+        self.bound = bound
+        self.scores = np.full((len(ids), k), NO_SCORE, dtype=np.int64)
+        self.found = np.full((len(ids), k), -1, dtype=np.int64)
+        self.computed = self.avoided = 0
+
+    def offer(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Rows ``ids`` with ``scores`` (queries x rows) for the queries ``q``."""
+        better = scores >= self.scores[q, -1][:, None]
+        hit = better.any(axis=1)
+        q, scores = q[hit], np.where(better[hit], scores[hit], NO_SCORE)
+        if not len(q):
+            return
+        scores = np.concatenate([self.scores[q], scores], axis=1)
+        ids = np.concatenate([self.found[q], np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
+        order = np.lexsort((ids, -scores), axis=1)[:, :self.k]
+        self.scores[q], self.found[q] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        full = self.scores[q, -1] > NO_SCORE
+        kth = np.sqrt(np.maximum(self.base[q] - 2.0 * self.scores[q, -1], 0))
+        self.bound[q] = np.where(full, np.minimum(self.bound[q], kth), self.bound[q])
+
+
+NO_SCORE = np.iinfo(np.int64).min // 4
+
+
+def search_together(tree: dict, batch: Batch) -> None:
+    """Best-first search of one tree for all queries of a batch: the page that is
+    nearest to any of them comes next, with the queries that may still gain from
+    it. Entries that the stored parent distances show to be too far from every
+    such query are skipped; the others are one matrix product."""
+    everyone = np.arange(len(batch.ids))
+    heap = [(0.0, 0, everyone, np.zeros(len(everyone)), None)]  # least distance, page, queries, least distances, parent distances
+    while heap:
+        _, page, q, low, d_parent = heapq.heappop(heap)
+        alive = low <= batch.bound[q] + batch.slack[q]
+        if not alive.any():
+            continue
+        q = q[alive]
+        lo, hi = int(tree["page_lo"][page]), int(tree["page_hi"][page])
+        leaf = tree["page_leaf"][page]
+        reach = (batch.bound[q] + batch.slack[q])[:, None]
+        if d_parent is None:
+            near = np.ones((len(q), hi - lo), dtype=bool)
+        else:
+            d_parent = d_parent[alive]
+            stored_d = tree["parent_d"][lo:hi] if leaf else tree["route_parent_d"][lo:hi]
+            radius = 0.0 if leaf else tree["route_radius"][lo:hi]
+            near = np.abs(d_parent[:, None] - stored_d) - radius <= reach
+        at = lo + np.flatnonzero(near.any(axis=0))
+        near = near[:, at - lo]
+        batch.computed += int(near.sum())
+        batch.avoided += len(everyone) * (hi - lo) - int(near.sum()) if leaf else 0
+        if not len(at):
+            continue
+        if leaf:
+            scores = np.rint(batch.floats[q] @ tree["floats"][at].T).astype(np.int64)
+            own = batch.ids[q][:, None] == tree["ids"][at]
+            batch.offer(q, np.where(near & ~own, scores, NO_SCORE - 1), tree["ids"][at])
+            continue
+        d = np.sqrt(np.maximum(batch.base[q][:, None] - 2.0 * (batch.floats[q] @ tree["floats"][tree["route_point"][at]].T), 0))
+        least = np.maximum(d - tree["route_radius"][at], 0)
+        go = near & (least <= reach)
+        for i in np.flatnonzero(go.any(axis=0)):
+            g = go[:, i]
+            heapq.heappush(heap, (float(least[g, i].min()), int(tree["route_child"][at[i]]), q[g], least[g, i], d[g, i]))
+
+
 def _routing_sample(vectors: DataFrame, rows: int, tree_rows: int) -> list:
     n = max(1, min(MAX_PIVOTS, -(-rows // tree_rows)))
     return vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()
@@ -214,21 +290,28 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, tree_rows: int =
 
         def search(batches, given=given):
             asked = given.value
-            base = [float((q.astype(np.float64) ** 2).sum()) + top for _, q in asked]
-            best: list[list] = [[] for _ in asked]
-            bounds = []
-            for n, (i, q) in enumerate(asked):
-                d = sorted(max(base[n] - 2.0 * float(np.dot(q.astype(np.float64), np.array(r.v, dtype=np.float64))), 0.0)
-                           ** 0.5 for r in sample if r.vec_id != i and len(r.v) == len(q))
-                bounds.append(d[k - 1] if len(d) >= k else float("inf"))
+            by_dim: dict[int, Batch] = {}
+            place: dict[int, np.ndarray] = {}
+            for dim in {len(q) for _, q in asked}:
+                place[dim] = np.array([n for n, (_, q) in enumerate(asked) if len(q) == dim])
+                ids = np.array([asked[n][0] for n in place[dim]], dtype=np.int64)
+                vecs = _matrix([asked[n][1] for n in place[dim]])
+                by_dim[dim] = Batch(ids, vecs, k, top, np.full(len(ids), np.inf))
+                routes = [r for r in sample if len(r.v) == dim]
+                if routes and dim:  # the k-th best of the routing sample bounds every query from the start
+                    known = np.array([r.vec_id for r in routes], dtype=np.int64)
+                    d = by_dim[dim].base[:, None] - 2.0 * (by_dim[dim].floats @ _matrix([r.v for r in routes]).astype(np.float64).T)
+                    d = np.sort(np.where(ids[:, None] == known, np.inf, np.sqrt(np.maximum(d, 0))), axis=1)
+                    if d.shape[1] >= k:
+                        by_dim[dim].bound = d[:, k - 1].copy()
             for b in batches:
                 for row in b.itertuples():
-                    tree = _open(row)
-                    for n, (i, q) in enumerate(asked):
-                        if len(q) == row.dim:
-                            bounds[n] = search_tree(tree, i, q, base[n], best[n], k, bounds[n])
-            out = [(n, asked[n][0], -i, s) for n, heap in enumerate(best) for s, i in heap]
-            yield pd.DataFrame(out, columns=["q", "query_id", "vec_id", "score"])
+                    if row.dim in by_dim:
+                        search_together(_open(row), by_dim[row.dim])
+            for dim, batch in by_dim.items():
+                at, col = np.nonzero(batch.scores > NO_SCORE)
+                yield pd.DataFrame({"q": place[dim][at], "query_id": batch.ids[at], "vec_id": batch.found[at, col],
+                                    "score": batch.scores[at, col]})
 
         part = index.repartition(F.xxhash64("ids")).mapInPandas(search, "q long, query_id long, vec_id long, score long")
         part = part.withColumn("block", F.lit(block))

@@ -49,3 +49,31 @@ def test_awkward_rows(spark):
     got = sorted(map(tuple, mtree.top_k(v.where("vec_id % 100 = 0"), v).collect()))
     assert got == [(0, 1, 5, 512 * 1024 - 512 * 2048), (0, 2, 5, 512 * 1024 - 512 * 2048)]
     assert mtree.top_k(v.where("false"), v.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("dims, spread", [(4, 50), (16, 400), (2, 0)])
+def test_searching_together_equals_one_by_one_and_avoids_distances(dims, spread):
+    rng = np.random.default_rng(dims)
+    centres = rng.integers(-20000, 20000, (20, dims))
+    x = (centres[rng.integers(0, 20, 3000)] + rng.integers(-spread, spread + 1, (3000, dims))).astype(np.int64)
+    top = float((x.astype(float) ** 2).sum(axis=1).max())
+    tree = mtree.build_tree(np.arange(3000), x, top)
+    tree["floats"] = tree["vecs"].astype(float)
+    asked = np.arange(0, 3000, 60)
+    batch = mtree.Batch(asked, x[asked], 7, top, np.full(len(asked), np.inf))
+    mtree.search_together(tree, batch)
+    for n, i in enumerate(asked):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i)[:7]
+        assert [(-s, j) for s, j in zip(batch.scores[n].tolist(), batch.found[n].tolist())] == want
+        best: list = []
+        mtree.search_tree(tree, i, x[i], float((x[i].astype(float) ** 2).sum()) + top, best, 7, float("inf"))
+        assert sorted((-s, -j) for s, j in best) == want
+    if spread:
+        assert batch.computed < 0.7 * len(asked) * 3000
+
+
+def test_fewer_rows_than_k_and_own_rows(spark):
+    v = spark.createDataFrame([(1, [1, 2]), (1, [5, 5]), (2, [0, 1]), (100, [3, 3])], "vec_id long, v array<long>")
+    got = sorted(map(tuple, mtree.top_k(v.where("vec_id = 100 OR vec_id = 1"), v, k=10).collect()))
+    assert [g for g in got if g[0] == 100] == [(100, 1, 1, 30), (100, 2, 1, 9), (100, 3, 2, 3)]
+    assert len([g for g in got if g[0] == 1]) == 4
