@@ -38,7 +38,8 @@ REST_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "header", "
               "sponsor")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-            "heading", "list_item", "nearest", "main_around", "rest_around", "rest_inside", "comment", "header")
+            "heading", "list_item", "nearest", "main_around", "rest_around", "rest_inside", "comment", "header",
+            "page_names_main", "page_names_rest")
 
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -225,7 +226,8 @@ def blocks(page: str | None) -> list[Block]:
 
 def features(found: list[Block]) -> np.ndarray:
     """One row of FEATURES for each block. What is around every block of the
-    page says nothing about any of them."""
+    page says nothing about any of them; whether the page names its main text or
+    its other parts at all tells what to make of blocks that nothing names."""
     words = np.array([b.words for b in found], dtype=float)
     links = np.array([b.link_density for b in found], dtype=float)
 
@@ -240,4 +242,5 @@ def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.heading, b.list_item, b.state.nearest, b.state.main_around, b.state.rest_around,
                      b.state.rest_inside, b.state.comment, b.state.header) for b in found], dtype=float).reshape(len(found), 8)
     own[:, 4] -= own[:, 4].min(initial=np.inf) if len(found) else 0
-    return np.column_stack([words, links, moved(words, 1), moved(links, 1), moved(words, -1), moved(links, -1), own])
+    names = np.ones((len(found), 1)) * [[((own[:, 2] > 0) & (own[:, 4] == 0)).any(), (own[:, 4] > 0).any()]]
+    return np.column_stack([words, links, moved(words, 1), moved(links, 1), moved(words, -1), moved(links, -1), own, names])

@@ -37,8 +37,9 @@ def labelled_blocks(pages: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([b.state.label for page in found for b in page], dtype=np.int64)
 
 
-def fit(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> Tree:
-    """Splits of least Gini impurity, first feature and lowest limit on ties."""
+def fit(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 5) -> Tree:
+    """Splits of least Gini impurity, first feature and lowest limit on ties;
+    ``least`` rows at least on either side of a split."""
     ones = int(y.sum())
     if depth == 0 or ones in (0, len(y)):
         return int(2 * ones > len(y))

@@ -63,6 +63,16 @@ MARKED = [
     <nav><h2>{1}</h2></nav><div id="responses"><h2>{3}</h2><p>{21}</p></div></div><footer><h4>{2}</h4></footer></body>""",
     """<body><div class="page-header"><h1>{3}</h1><p>{7}</p></div><main><div class="entry-header"><h1 data-main>{7}</h1><p>{4}</p></div>
     <div class="entry" data-main><p>{26}</p></div><aside><h2>{3}</h2></aside><form><h3>{2}</h3><p>{9}</p></form></main></body>""",
+    # only the other parts are named: what is left is the main text, but for lists of links
+    """<body><nav><ul><li><a href=x>{2}</a></li><li><a href=x>{1}</a></li></ul></nav><div data-main><h1>{6}</h1><p>{30}</p><p>{2}</p><p>{1}</p><p>{9}</p>
+    <p>{50} <a href=x>{3}</a> {14}</p><p>{4}</p></div><div><a href=x>{5}</a></div><div><a href=x>{4}</a></div><footer><p>{12}</p></footer></body>""",
+    """<header><p>{4}</p><p>{20}</p></header><table><tr><td data-main><h2>{4}</h2><div>{3}</div><ul><li>{4}</li><li>{2}</li></ul><p>{1}</p><p>{25}</p>
+    <p>{2}</p></td></tr></table><aside><p>{20}</p><p><a href=x>{3}</a></p></aside><form><p>{7}</p></form>""",
+    """<body><div class="menu"><a href=x>{2}</a></div><div><div class="ad">{12}</div><div data-main><h1>{3}</h1><p>{1}</p><p>{2}</p></div><div class="comments"><p>{30}</p>
+    </div></div><p><a href=x>{2}</a> <a href=x>{1}</a></p><div id="footer">{3}</div></body>""",
+    # the main text is named, and what nothing names is none
+    """<body><div><a href=x>{1}</a> {1}</div><div>{5}</div><p>{25}</p><article data-main><h1>{4}</h1><p>{3}</p><p>{36}</p></article><div>{20}</div><div>{3}</div></body>""",
+    """<body><h1>{3}</h1><p>{9}</p><div class="post" data-main><h2>{5}</h2><p>{28}</p><p>{2}</p></div><p>{14}</p><p>{40}</p><div class="footer">{6}</div></body>""",
     # one form around the whole page
     """<body><form id="page"><div class="menu"><p>{6}</p></div><div class="content" data-main><h1>{4}</h1><p>{33}</p><p>{5}</p></div>
     <div class="sidebar"><p>{18}</p></div></form></body>""",

@@ -37,6 +37,12 @@ HELD_OUT = {
 <form action="/s"><p>Get our letter</p><input name=a><button>Go</button></form><p>Engineers said so.</p><footer>Share this</footer></article>
 <section class="reader-comments"><p>About time, the thing has been shaking for years now and nobody did anything</p></section></main>
 <aside>Most read</aside><footer><p>Imprint</p></footer>""", ["Bridge closed", "Closed.", "For two weeks.", "Engineers said so."]),
+    "rest named": (f"""<div id="navbar"><a href=1>Home</a> <a href=2>All</a></div><h1>Harbour</h1><p>Short.</p><p>Two words.</p><p>{words(40)}</p>
+<p>See <a href=3>{words(3, "k")}</a> {words(9, "z")}</p><p>End.</p><div class="commentlist"><p>I saw it too, what a great day it was for all of us there in town</p>
+<p>Same here</p></div><div class="site-footer"><p>{words(30, "f")}</p></div>""",
+                   ["Harbour", "Short.", "Two words.", words(40), f"See {words(3, 'k')} {words(9, 'z')}", "End."]),
+    "main named": (f"""<div>Welcome to the site</div><p>{words(30, "i")}</p><div id="main-story"><h1>Snow</h1><p>It fell.</p><p><a href=1>{words(6, "l")}</a></p>
+<p>{words(70)}</p></div><p>{words(45, "o")}</p><div>Bye</div>""", ["Snow", "It fell.", words(6, "l"), words(70)]),
     "plain": (f"""<table><tr><td><a href=1>One</a><td><a href=2>Two</a><td><a href=3>Three</a></table>
 <h1>Of rivers</h1><p>{words(50)}</p><p>{words(31, "x")} <a href=4>see</a></p><p>{words(44, "y")}</p><p><a href=5>Next page</a></p><p>Page 3</p>""",
               ["Of rivers", words(50), words(31, "x") + " see", words(44, "y")]),
