@@ -32,7 +32,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import hot_join, running, stored
+from .common import drop_stored, hot_join, running, stored
 
 PART = 4096  # places of one conversation that meet its own row in one task
 CHUNK = 500  # ids of one list that are joined to text at once
@@ -130,6 +130,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, block: int = 4) -> t
         *key, "n_convs", "weighted", "rep.*"), "trie-classes")
     siblings = stored(classes.groupBy("blk", "s1", "s2").agg(F.count("*").alias("n_classes")).where("n_classes > 1")
                       .withColumn("diverges", F.lit(True)), "trie-siblings")
+    spent = [blocks, rows, classes, siblings]
     classes = stored(hot_join(classes, siblings, ["blk", "s1", "s2"], "n_classes"), "trie-diverging")
 
     # nodes: paths as they stand, diverging blocks turn by turn
@@ -141,6 +142,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, block: int = 4) -> t
                          F.sum(F.col("weight") * F.col("total")).alias("weighted")).where("n_convs > 0")
     nothing = {c: F.lit(0).cast("long") for c in (*NODE, "q1", "q2", "chars", "before")}
     nodes = stored(path.unionByName(split).unionByName(root.withColumns(nothing)), "trie-nodes")
+    spent += [classes, nodes]
     below = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("q1").alias("p1"), F.col("q2").alias(
         "p2")).agg(F.count("*").alias("n_children"))
     nodes = stored(nodes.join(below, NODE, "left").na.fill(0, ["n_children"]), "trie-children")
@@ -161,7 +163,10 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, block: int = 4) -> t
         F.sum(given).alias("distinct_chars"), F.sum("leaf").alias("n_leaves"))
     root = tails.agg(F.sum("owned").alias("distinct_chars"), F.sum("leaf").alias("n_leaves")).where("n_leaves > 0").withColumns(
         {c: F.lit(0).cast("long") for c in NODE})
+    spent += [nodes, tails, met, sequences]
     nodes = stored(nodes.join(path.unionByName(split).unionByName(root), NODE), "trie-sums")
+    for step in spent:
+        drop_stored(step)
     nodes = nodes.withColumn("saved_tokens", F.expr("weighted - n_convs * before - distinct_chars"))
 
     parents = nodes.where("n_children > 0").selectExpr("depth + 1 AS depth", "p1 AS q1", "p2 AS q2", "conv_id AS parent_conv_id",

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 ROWS = 2048  # rows whose distances are held at once
 HOT_SHARE = 1000  # labels with more than 1 / HOT_SHARE of the rows are broadcast: HOT_SHARE at most
@@ -175,7 +175,9 @@ def compress(df: DataFrame, n_parts: int = 16, entries: int = 64, rounds: int =
     vectors = vectors.where(F.size("v") == books.shape[0] * books.shape[2])
     for _ in range(rounds):
         books = refined(vectors, books)
-    return with_label_error(stored(coded(vectors, books), "codes-rows")), books
+    rows = stored(coded(vectors, books), "codes-rows")
+    drop_stored(vectors)
+    return with_label_error(rows), books
 
 
 def books_digest(books: np.ndarray | None) -> str:
