@@ -296,9 +296,9 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> D
     best = grouped(docs, shingle, max_bits).groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best"))
     kept = stored(best.select(F.col("best.key").alias(KEY), F.col("best.doc_id").alias(KEY_ID)), "simhash-kept")
-    key = F.xxhash64("doc_id", "text")
-    same = (F.col(f"`{KEY}`") == key) & F.col(f"`{KEY_ID}`").eqNullSafe(F.col("doc_id").cast("long"))
-    found = docs.join(kept, same)
+    # one shuffle by the hash serves the join and the removal of equal rows
+    found = docs.withColumn(KEY, F.xxhash64("doc_id", "text")).join(kept, KEY)
+    found = found.where(F.col(KEY_ID).eqNullSafe(F.col("doc_id").cast("long")))
     return found.dropDuplicates([KEY, KEY_ID]).select(*[f"`{c}`" for c in docs.columns])
 
 
