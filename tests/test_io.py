@@ -183,3 +183,21 @@ def test_model_with_many_inputs(spark):
     scorer = sc.batch_scorer(factory, [[1]] * 5, capture_errors=True, masked=False)
     rows = sc.score(df, scorer, [f"c{i}" for i in range(5)], capture_errors=True).collect()
     assert [r.scores[0] for r in sorted(rows, key=lambda r: r.c0)] == [5.0 * i + 10 for i in range(5)]
+
+
+def test_document_folders_are_those_of_partition_by(spark, tmp_path):
+    rows = [("Ann20260101", '{"age": 1}'), ("run_31", '{"age": 2}'), ("run_31", '{"age": 3}'), (None, '{"age": 4}'),
+            ("a b/c=d%e'[f]", '{"age": 5}'), ("", '{"age": 6}'), ("é", '{"age": 7}')]
+    df = spark.createDataFrame(rows, "folder_name string, value string").repartition(3)
+    df.write.partitionBy("folder_name").text(str(tmp_path / "want"))
+    wr.write_doc_folders(df, str(tmp_path / "got"))
+
+    def folders(name):
+        return sorted(p.name for p in (tmp_path / name).iterdir() if p.is_dir())
+
+    def docs(name):
+        r = rd.registry_docs(spark, str(tmp_path / name), "*.txt", rd.METADATA_SCHEMA)
+        return sorted((x.folder_name, x.age) for x in r.select("folder_name", "doc.age").collect())
+    assert folders("got") == folders("want") and docs("got") == docs("want") and len(docs("got")) == len(rows)
+    files = [p for p in (tmp_path / "got").rglob("*") if p.is_file()]
+    assert len(files) == len(folders("got"))  # one file a folder, nothing for the driver to move
