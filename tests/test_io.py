@@ -201,3 +201,38 @@ def test_document_folders_are_those_of_partition_by(spark, tmp_path):
     assert folders("got") == folders("want") and docs("got") == docs("want") and len(docs("got")) == len(rows)
     files = [p for p in (tmp_path / "got").rglob("*") if p.is_file()]
     assert len(files) == len(folders("got"))  # one file a folder, nothing for the driver to move
+
+
+def test_mean_of_prepared_images(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for i, shape in enumerate([(8, 8), (8, 8, 3), (5, 3, 3), (300, 40, 3)]):
+        (tmp_path / f"{i}.png").write_bytes(encode_png(rng.integers(0, 256, shape).astype(np.uint8)))
+    (tmp_path / "bad.png").write_bytes(b"nope")
+    t = im.prepare_images(rd.image_table(spark, str(tmp_path)), (32, 16), "tanh", mean=True)
+    assert "aggregate" not in t._jdf.queryExecution().toString().lower()
+    rows = t.collect()
+    assert len(rows) == 5 and sum(r.ok for r in rows) == 4
+    for r in rows:
+        if r.ok:
+            assert len(r.pixels) == 32 * 16 * 3 and r.mean == pytest.approx(np.mean(np.float64(r.pixels)), abs=1e-12)
+        else:
+            assert r.pixels is None and r.mean is None
+
+
+def test_stretched_rows_are_those_of_the_plain_formula():
+    rng = np.random.default_rng(5)
+    for h, w, out_h, out_w in ((8, 8, 256, 256), (300, 20, 64, 32), (1, 1, 4, 4), (7, 9, 7, 3)):
+        a = rng.integers(0, 256, (h, w, 3)).astype(np.float32)
+        ys, xs = (np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in ((out_h, h), (out_w, w)))
+        y0, x0 = ys.astype(int), xs.astype(int)
+        y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+        wy, wx = (ys - y0)[:, None, None], (xs - x0)[None, :, None]
+        top, bot = (a[y][:, x0] * (1 - wx) + a[y][:, x1] * wx for y in (y0, y1))
+        assert (im.resize_bilinear(a, out_h, out_w) == top * (1 - wy) + bot * wy).all()
+
+
+def test_few_table_files_are_written_by_many_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(i, [0.0] * 64) for i in range(40)], "vec_id long, embedding array<float>").coalesce(1)
+    written = im.write_image_files(df, str(tmp_path / "images"))
+    assert written.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert written.count() == 40 and len(list((tmp_path / "images").rglob("*.png"))) == 40
