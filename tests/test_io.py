@@ -236,3 +236,20 @@ def test_few_table_files_are_written_by_many_tasks(spark, tmp_path):
     written = im.write_image_files(df, str(tmp_path / "images"))
     assert written.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert written.count() == 40 and len(list((tmp_path / "images").rglob("*.png"))) == 40
+
+
+def test_channel_means_make_no_copy_in_double(spark):
+    import tracemalloc
+
+    from cohortbeam.operators import scoring as sc
+    x = np.random.default_rng(6).random((16, 64 * 64 * 3), dtype=np.float32)
+    model = sc.ChannelMeanModel(sc.rule_weights(3))
+    want = 1 / (1 + np.exp(-(x.astype(np.float64).reshape(16, -1, 3).mean(axis=1) @ sc.rule_weights(3))))
+    tracemalloc.start()
+    got = model(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, atol=1e-12) and peak < x.nbytes
+    x[3, 7] = np.inf
+    with pytest.raises(ValueError):
+        model(x)
