@@ -2,6 +2,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortbeam.operators import bulk
@@ -77,3 +78,17 @@ def test_failed_rows_as_zeros_compat(spark, tmp_path):
     r = {x.id: x for x in sc.score(df, scorer, ["x"], capture_errors=True, failed_as_zeros=True).collect()}
     assert r[3].scores == [0.0, 0.0] and r[3].error is not None
     assert r[0].scores == [3.0, 3.0] and r[0].error is None
+
+
+@pytest.mark.parametrize("pixels", [1, 7, 64, 65536, 96 * 3])
+def test_channel_meta_model_is_the_plain_formula(pixels):
+    rng = np.random.default_rng(pixels)
+    x, meta = rng.random((5, pixels * 3), dtype=np.float32), rng.random((5, 4))
+    model = sc.channel_meta_factory()()
+    both = np.concatenate([x.astype(np.float64).reshape(5, pixels, 3).mean(axis=1), meta], axis=1)
+    assert np.allclose(model(x, meta), 1 / (1 + np.exp(-(both @ sc.rule_weights(7)))), atol=1e-12)
+    for bad in (np.nan, np.inf, -np.inf):
+        broken = x.copy()
+        broken[2, -1] = bad
+        with pytest.raises(ValueError):
+            model(broken, meta)
