@@ -92,3 +92,31 @@ def test_channel_meta_model_is_the_plain_formula(pixels):
         broken[2, -1] = bad
         with pytest.raises(ValueError):
             model(broken, meta)
+
+
+def test_rows_of_one_file_reach_the_model_without_copies():
+    from cohortbeam.operators.file_scoring import model_batches
+    rng = np.random.default_rng(3)
+    a, b, c, d = (rng.random(192).astype(np.float32) for _ in range(4))
+    for tensors in ([a] * 20 + [b] * 3 + [c] * 2 + [d] * 9 + [a], [a, b, c, d] * 10, [a], [b] * 8, [a, b] + [c] * 40, []):
+        parts = list(model_batches(tensors, 16))
+        assert [i for s, e, _ in parts for i in range(s, e)] == list(range(len(tensors)))
+        for s, e, x in parts:
+            assert x.shape == (e - s, 192) and e - s <= 16 and all((x[i - s] == tensors[i]).all() for i in range(s, e))
+    first = next(model_batches([a] * 20, 16))[2]
+    assert np.shares_memory(first, a) and first.strides[0] == 0
+    model, meta = sc.channel_meta_factory()(), rng.random((16, 4))
+    assert (model(first, meta) == model(np.stack([a] * 16), meta)).all()
+
+
+def test_resize_makes_no_more_than_its_sums_in_double_precision():
+    import tracemalloc
+
+    from cohortbeam.operators.resample import resize_lanczos
+    img = np.arange(192, dtype=np.uint8).reshape(8, 8, 3)
+    resize_lanczos(img, 256, 256)
+    tracemalloc.start()
+    resize_lanczos(img, 256, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * 256 * 256 * 3 * 8  # the sums; before, two or three arrays of their size
