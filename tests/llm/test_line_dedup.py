@@ -144,3 +144,41 @@ def test_a_window_in_a_third_of_all_documents(spark):
     texts = [f"{i}\nthis is\nshared\n{i}" if i % 3 == 0 else f"own {i}\nlines {i % 50}\nof {i % 50}" for i in range(900)]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(make_docs(spark, texts).repartition(8)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 2)
+
+
+def brute_maximal_repeats(texts, m):
+    """(document, start, length) of the longest prefix of each suffix that begins an
+    earlier suffix, without those inside another one."""
+    seq = [x for d, t in enumerate(texts) for x in (*t.split("\n"), ("end", d))]
+    out, p = [], 0
+    for d, t in enumerate(texts):
+        reach = 0
+        for i in range(t.count("\n") + 1):
+            best = 0
+            for q in range(p):
+                n = 0
+                while seq[p + n] == seq[q + n]:
+                    n += 1
+                best = max(best, n)
+            if best >= m and i + best > reach:
+                out.append((d, i, best))
+            reach, p = max(reach, i + best), p + 1
+        p += 1
+    return out, seq
+
+
+@pytest.mark.parametrize("m", [2, 3])
+def test_repeats_are_maximal_runs_of_the_suffix_array(spark, m):
+    rng = random.Random(m)
+    texts = ["A\nB", "x\nB\nC", "A\nB\nC", "A\nB\nC", "a\n" * 9, ""]
+    texts += ["\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(40)] + texts[4:6]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(make_docs(spark, texts).repartition(5), m).collect()}
+    want, seq = brute_maximal_repeats(texts, m)
+    assert sorted((i, r.start, r.length) for i in got for r in got[i].repeats or []) == want
+    assert (3, 0, 3) in want
+    at = 0
+    for i, t in enumerate(texts):
+        for r in got[i].repeats or []:
+            assert r.source < at + r.start and seq[r.source:r.source + r.length] == seq[at + r.start:at + r.start + r.length]
+        at += t.count("\n") + 2
+    assert [got[i].text for i in range(len(texts))] == brute(texts, m)
